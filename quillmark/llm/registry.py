@@ -1,11 +1,14 @@
 """The subpackage's queries by name, and SQL for those that SQL can express."""
 
-from quillmark.llm import chat_format, decontaminate, exact_dedup, mixing, token_output
+from quillmark.llm import chat_format, decontaminate, exact_dedup, mixing, near_dedup, quality, token_output, toxicity
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
