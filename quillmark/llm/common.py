@@ -28,11 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: a lost executor costs no recomputation of what came before."""
+    """df as a Parquet table in the shared folder: a lost executor costs no recomputation of what came before.
+
+    Shuffle files of the write go when it ends, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,16 +1,20 @@
 """The subpackage's queries by name, and SQL for those that SQL can express."""
 
-from quillmark.llm import chat_format, decontaminate, exact_dedup, mixing, near_dedup, quality, token_output, toxicity
+import corpus_pipeline
+from quillmark.llm import chat_format, decontaminate, exact_dedup, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_quality": quality.op5_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_chat_format": chat_format.SQL,
