@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from quillmark.llm import kernel as K
 from quillmark.llm.common import discard, text_of, written
 
-#: Different pieces of a seed that a matcher gets at once, and bytes of all pieces in one of its blocks.
-GROUP = 256
+#: Different pieces of a seed that a matcher gets at once (some 2.5 MB), and bytes after which a block ends with its seed.
+GROUP = 8192
 BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
