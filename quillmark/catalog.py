@@ -1,12 +1,571 @@
-"""All queries by name, with the SQL that gives the same rows."""
+"""All queries by name, with the DuckDB SQL that gives the same rows.
+
+Each runs an operator of the library over the tables that sources.testbed derives from the driver's tables.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillmark.evals import metrics
+from quillmark.functions import redact as R
+from quillmark.functions.scalar import fair_share
+from quillmark.functions.text import heading, slug_title, snippet, token_text, wrapped
+from quillmark.operators import aggregates as A
+from quillmark.operators import cards as C
+from quillmark.operators import joins as J
+from quillmark.operators import merge as M
+from quillmark.operators import page as P
+from quillmark.operators import search as S
+from quillmark.operators.predicates import observation_rows, record_filter, session_filter
+from quillmark.plans.dsl import conjuncts, parse
+from quillmark.sources import testbed as T
+from quillmark.sources.html import html_text
+from quillmark.streaming import state as ST
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a query, and its SQL, which may use the tables rec, obs and ses."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = f"WITH {T.CTES} {sql}" if not sql.lstrip().startswith("WITH") else f"WITH {T.CTES}, {sql.lstrip()[4:]}"
+        return f
+
+    return add
+
+
+day = P.by_date
+DAY = "strftime({}, '%Y-%m-%d %H:%M:%S')".format
+
+
+def _ids(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*columns)
+
+
+# --- filters ---------------------------------------------------------------------------------------------------------
+
+
+def _records(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.records(spark, sf_dir).where(record_filter(parse(text))).select("stable_id", "source")
+
+
+_REC = "SELECT stable_id, source FROM rec WHERE "
+query("filter_source", _REC + "source = 'src7'")(partial(_records, "source:src7"))
+query("filter_tag_nocase", _REC + "(list_contains(tags, 'en') OR list_contains(llm_tags, 'en')) AND (list_contains(tags, 'good') OR list_contains(llm_tags, 'good'))")(partial(_records, "tag:EN,Good"))
+query("filter_date_or", _REC + "(created_at >= '2024-01-10' OR updated_at >= '2024-01-10') AND (created_at <= '2024-01-20' OR updated_at <= '2024-01-20')")(partial(_records, "from:2024-01-10 to:2024-01-20"))
+
+
+def _sessions(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.sessions(spark, sf_dir).where(session_filter(parse(text))).select("session_id", "kind", "origin")
+
+
+_SES = "SELECT session_id, kind, origin FROM ses WHERE "
+query("session_active_overlap", _SES + "last_ts >= '2024-01-02' AND first_ts <= '2024-01-03 23:59:59.999999'")(partial(_sessions, "active:2024-01-02..2024-01-03 from:2025-01-01"))
+query("session_root", _SES + "root_session_id = 's5'")(partial(_sessions, "session:s5"))
+query("session_top_beats_root", _SES + "session_id = 's10'")(partial(_sessions, "session:s5 top:s10"))
+query("session_source_subagents", _SES + "kind = 'subagent'")(partial(_sessions, "source:subagents"))
+query("session_source_origin", _SES + "origin = 'chatgpt'")(partial(_sessions, "source:chatgpt"))
+query("session_tags_match_none", _SES + "false")(partial(_sessions, "tag:en"))
+
+
+def _observations(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observation_rows(T.observations(spark, sf_dir), T.sessions(spark, sf_dir), parse(text)).select("obs_id", "type", "provenance")
+
+
+_OBS = "SELECT obs_id, type, provenance FROM obs WHERE "
+query("obs_type_provenance", _OBS + "type = 'user' AND provenance = 'human'")(partial(_observations, "type:user by:human"))
+query("obs_by_machine", _OBS + "provenance IN ('agent', 'hook', 'command', 'system')")(partial(_observations, "by:machine"))
+query("obs_by_agent_semi", _OBS + "session_id IN (SELECT session_id FROM ses WHERE agent_id = 'a9')")(partial(_observations, "agent:a9"))
+query("obs_by_origin_dates", _OBS + "session_id IN (SELECT session_id FROM ses WHERE origin = 'claude-web') AND ts >= '2024-01-02' AND ts <= '2024-01-04'")(partial(_observations, "source:claude-web from:2024-01-02 to:2024-01-04"))
+
+# --- text ------------------------------------------------------------------------------------------------------------
+
+
+def _text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.indexed(T.records(spark, sf_dir), "body")
+
+
+def _text_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.indexed(T.observations(spark, sf_dir), "body")
+
+
+@query("text_and", "SELECT stable_id FROM rec WHERE contains(terms, ' the ') AND contains(terms, ' heha ')")
+def text_and(spark, sf_dir):
+    return _text_records(spark, sf_dir).where(S.match_all(conjuncts("the heha"))).select("stable_id")
+
+
+@query("text_phrase", "SELECT stable_id FROM rec WHERE contains(terms, ' of the ') AND contains(terms, ' that ')")
+def text_phrase(spark, sf_dir):
+    return _text_records(spark, sf_dir).where(S.match_all(conjuncts('"of the" that'))).select("stable_id")
+
+
+@query("text_none", "SELECT stable_id FROM rec WHERE false")
+def text_none(spark, sf_dir):
+    """Text without word characters matches nothing."""
+    return _text_records(spark, sf_dir).where(S.match_all(conjuncts("!!!"))).select("stable_id")
+
+
+def _ladder(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.ladder(_text_records(spark, sf_dir), conjuncts(text)).select("stable_id", "tier")
+
+
+_LADDER = """WITH flagged AS (SELECT stable_id, CASE WHEN {all} THEN 3 WHEN {any} THEN 2 WHEN {prefix} THEN 1 ELSE 0 END AS tier FROM rec)
+SELECT stable_id, tier::INT AS tier FROM flagged WHERE tier > 0 AND tier = (SELECT max(tier) FROM flagged)"""
+_W = "contains(terms, ' {}')".format
+query("text_ladder_strict", _LADDER.format(all=_W("of ") + " AND " + _W("thereor "), any=_W("of ") + " OR " + _W("thereor "), prefix="false"))(partial(_ladder, "of thereor"))
+query("text_ladder_or", _LADDER.format(all="false", any=_W("que ") + " OR " + _W("zzzqq "), prefix=_W("que ") + " OR " + _W("zzzqq")))(partial(_ladder, "que zzzqq"))
+query("text_ladder_prefix", _LADDER.format(all="false", any=_W("qqzz ") + " OR " + _W("ereson "), prefix=_W("qqzz ") + " OR " + _W("ereson")))(partial(_ladder, "qqzz ereson"))
+
+_SCOPE = "SELECT root_session_id FROM obs GROUP BY root_session_id HAVING bool_or(contains(terms, ' with ')) AND bool_or(contains(terms, ' of the '))"
+
+
+@query("scope_session_intersect", _SCOPE)
+def scope_session_intersect(spark, sf_dir):
+    return S.session_roots(_text_observations(spark, sf_dir), conjuncts('with "of the"'))
+
+
+@query("scope_session_rows", f"SELECT obs_id, root_session_id FROM obs WHERE (contains(terms, ' with ') OR contains(terms, ' of the ')) AND root_session_id IN ({_SCOPE})")
+def scope_session_rows(spark, sf_dir):
+    return S.session_scope_rows(_text_observations(spark, sf_dir), conjuncts('with "of the"')).select("obs_id", "root_session_id")
+
+
+@query("hit_sessions", "WITH hits AS (SELECT * FROM obs WHERE contains(terms, ' that ')) SELECT session_id, kind FROM ses WHERE (kind <> 'subagent' AND root_session_id IN (SELECT root_session_id FROM hits)) OR (kind = 'subagent' AND session_id IN (SELECT session_id FROM hits))")
+def hit_sessions(spark, sf_dir):
+    hits = _text_observations(spark, sf_dir).where(S.match_all([["that"]]))
+    return S.hit_sessions(T.sessions(spark, sf_dir), hits).select("session_id", "kind")
+
+
+# --- order, union, pages ---------------------------------------------------------------------------------------------
+
+
+@query("page_offset", f"SELECT stable_id, {DAY('updated_at')} AS updated_at FROM rec ORDER BY rec.updated_at DESC NULLS LAST, stable_id LIMIT 41 OFFSET 80")
+def page_offset(spark, sf_dir):
+    return P.page(T.records(spark, sf_dir), "records", 80, 40).select("stable_id", day("updated_at").alias("updated_at"))
+
+
+@query("page_observations", "SELECT obs_id FROM obs ORDER BY ts ASC NULLS FIRST, obs_id LIMIT 201 OFFSET 30")
+def page_observations(spark, sf_dir):
+    return P.page(T.observations(spark, sf_dir), "observations", 30, 200).select("obs_id")
+
+
+_UNION = f"""WITH items AS (
+  SELECT 0 AS arm, stable_id AS id, source, coalesce(updated_at, created_at) AS t FROM rec
+  UNION ALL SELECT 1, session_id, CASE WHEN kind = 'subagent' THEN 'subagents' WHEN origin = 'claude-code' THEN 'sessions' ELSE origin END, last_ts FROM ses)
+SELECT arm, id, source, {DAY('t')} AS ts FROM items ORDER BY t DESC NULLS LAST, arm, id LIMIT 51 OFFSET 20"""
+
+
+@query("union_recency", _UNION)
+def union_recency(spark, sf_dir):
+    return P.union_by_time(T.records(spark, sf_dir), T.sessions(spark, sf_dir), 20, 50).select("arm", "id", "source", day("ts").alias("ts"))
+
+
+@query("session_items", "SELECT session_id AS id, cwd || CASE WHEN git_branch IS NULL THEN '' ELSE ' @ ' || git_branch END AS subject FROM ses")
+def session_items(spark, sf_dir):
+    return P.session_items(T.sessions(spark, sf_dir)).select("id", "subject")
+
+
+@query("record_wrapped", """SELECT stable_id AS id, '<ExternalContent source="' || stable_id || '">' || chr(10) || coalesce(body, '') || chr(10) || '</ExternalContent>' AS content FROM rec""")
+def record_wrapped(spark, sf_dir):
+    return T.records(spark, sf_dir).select(F.col("stable_id").alias("id"), wrapped(F.col("stable_id"), F.col("body")).alias("content"))
+
+
+# --- cards -----------------------------------------------------------------------------------------------------------
+
+
+@query("first_prompt", "SELECT root_session_id, substr(arg_min(body, (ts, obs_id)), 1, 280) AS prompt FROM obs WHERE type = 'user' AND body IS NOT NULL GROUP BY root_session_id")
+def first_prompt(spark, sf_dir):
+    return C.first_prompts(T.observations(spark, sf_dir))
+
+
+@query("session_cards", """WITH p AS (SELECT root_session_id, substr(arg_min(body, (ts, obs_id)), 1, 280) AS prompt FROM obs WHERE type = 'user' AND body IS NOT NULL GROUP BY root_session_id),
+n AS (SELECT root_session_id, count(*) AS matches FROM obs WHERE contains(terms, ' that ') GROUP BY root_session_id)
+SELECT session_id, prompt, coalesce(matches, 0) AS matches FROM ses LEFT JOIN p USING (root_session_id) LEFT JOIN n USING (root_session_id)""")
+def session_cards(spark, sf_dir):
+    hits = _text_observations(spark, sf_dir).where(S.match_all([["that"]]))
+    return C.cards(T.sessions(spark, sf_dir), T.observations(spark, sf_dir), hits).select("session_id", "prompt", "matches")
+
+
+@query("preview_budget", """WITH h AS (SELECT root_session_id, obs_id, coalesce(body, '') AS body, row_number() OVER w AS rank,
+  1500 - coalesce(sum(length(coalesce(body, ''))) OVER (PARTITION BY root_session_id ORDER BY ts NULLS FIRST, obs_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
+  FROM obs WHERE contains(terms, ' that ') OR contains(terms, ' de ') WINDOW w AS (PARTITION BY root_session_id ORDER BY ts NULLS FIRST, obs_id))
+SELECT root_session_id, obs_id, rank::INT AS rank, substr(body, 1, rest::INT) AS preview FROM h WHERE rank <= 5 AND rest > 0""")
+def preview_budget(spark, sf_dir):
+    hits = _text_observations(spark, sf_dir).where(S.match_any([["that"], ["de"]]))
+    return C.previews(hits)
+
+
+# --- aggregates ------------------------------------------------------------------------------------------------------
+
+
+@query("capabilities_counts", "SELECT source AS name, count(*) AS n FROM rec GROUP BY 1 UNION ALL SELECT origin, count(*) FROM ses GROUP BY 1 UNION ALL SELECT 'sessions', count(*) FROM ses")
+def capabilities_counts(spark, sf_dir):
+    return A.count_by_source(T.records(spark, sf_dir), T.sessions(spark, sf_dir))
+
+
+@query("capabilities_span", f"""WITH b AS (SELECT least(min(created_at), min(updated_at)) AS lo, greatest(max(created_at), max(updated_at)) AS hi FROM rec UNION ALL SELECT min(first_ts), max(last_ts) FROM ses)
+SELECT {DAY('min(lo)')} AS lo, {DAY('max(hi)')} AS hi FROM b""")
+def capabilities_span(spark, sf_dir):
+    return A.span(T.records(spark, sf_dir), T.sessions(spark, sf_dir)).select(day("lo").alias("lo"), day("hi").alias("hi"))
+
+
+@query("orphan_root", f"""SELECT root_session_id, {DAY('min(first_ts)')} AS first_ts, {DAY('max(last_ts)')} AS last_ts, count(*) AS streams
+FROM ses WHERE kind = 'subagent' AND root_session_id NOT IN (SELECT session_id FROM ses WHERE kind = 'subagent') GROUP BY 1""")
+def orphan_root(spark, sf_dir):
+    """Of a table that has lost its top sessions."""
+    out = A.orphan_roots(T.sessions(spark, sf_dir).where("kind = 'subagent'"))
+    return out.withColumn("first_ts", day("first_ts")).withColumn("last_ts", day("last_ts"))
+
+
+@query("tag_top20", """WITH c AS (SELECT source, tag, count(*) AS n FROM (SELECT source, unnest(list_distinct(list_concat(tags, coalesce(llm_tags, [])))) AS tag FROM rec) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, tag) AS rank FROM c) SELECT source, tag, n, rank::INT AS rank FROM r WHERE rank <= 20""")
+def tag_top20(spark, sf_dir):
+    return A.top_tags(T.records(spark, sf_dir))
+
+
+@query("llm_tag_progress", """WITH s AS (SELECT source, llm_tags IS NULL OR llm_tags_src_hash IS DISTINCT FROM src_hash AS stale FROM rec)
+SELECT source, count(*) AS n, count(*) FILTER (NOT stale) AS tagged, count(*) FILTER (stale) AS pending,
+CASE WHEN count(*) FILTER (stale) = 0 THEN 'done' WHEN count(*) FILTER (NOT stale) = 0 THEN 'none' ELSE 'partial' END AS state FROM s GROUP BY source""")
+def llm_tag_progress(spark, sf_dir):
+    return A.tag_progress(T.records(spark, sf_dir))
+
+
+@query("agent_types", "SELECT DISTINCT agent_type FROM ses WHERE agent_type IS NOT NULL")
+def agent_types(spark, sf_dir):
+    return A.distinct_agent_types(T.sessions(spark, sf_dir))
+
+
+@query("unclassified_count", "SELECT count(*) AS n, count(*) > 0 AS any_left FROM obs")
+def unclassified_count(spark, sf_dir):
+    return A.unclassified(T.observations(spark, sf_dir, classified=False))
+
+
+@query("fault_fold", """WITH f AS (SELECT source AS file, lang || ':' || (n_chars % 7) AS message FROM documents), c AS (SELECT file, message, count(*) AS n FROM f GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n DESC, message) AS rank FROM c)
+SELECT file, CASE WHEN rank <= 5 THEN message ELSE 'other messages' END AS message, sum(n)::BIGINT AS n FROM r GROUP BY 1, 2""")
+def fault_fold(spark, sf_dir):
+    docs = T.read(spark, sf_dir, "documents")
+    return A.fold_faults(docs.select(F.col("source").alias("file"), F.concat("lang", F.lit(":"), (F.col("n_chars") % 7).cast("string")).alias("message")))
+
+
+@query("payload_census", "SELECT type, count(*) AS n, sum(length(coalesce(body, '')))::BIGINT AS chars FROM obs GROUP BY type")
+def payload_census(spark, sf_dir):
+    return A.payload_census(T.observations(spark, sf_dir))
+
+
+# --- redaction, classification, scalars ------------------------------------------------------------------------------
+
+
+@query("scrub_email_ssn", r"""SELECT doc_id, regexp_replace(regexp_replace(text, '\b\d{3}-\d{2}-\d{4}\b', '[REDACTED:ssn]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED:email]', 'g') AS body FROM documents""")
+def scrub_email_ssn(spark, sf_dir):
+    patterns = {k: R.PII_PATTERNS[k] for k in ("ssn", "email")}
+    return T.read(spark, sf_dir, "documents").select("doc_id", R.redact_patterns(F.col("text"), patterns).alias("body"))
+
+
+_IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\b"
+
+
+@query("scrub_ipv4", f"SELECT doc_id, regexp_replace(text, '{_IPV4}', '[REDACTED:ipv4]', 'g') AS body FROM documents WHERE regexp_matches(text, '{_IPV4}')")
+def scrub_ipv4(spark, sf_dir):
+    docs = T.read(spark, sf_dir, "documents").where(F.rlike("text", F.lit(R.PII_PATTERNS["ipv4"])))
+    return docs.select("doc_id", R.redact_patterns(F.col("text"), {"ipv4": R.PII_PATTERNS["ipv4"]}).alias("body"))
+
+
+@query("scrub_counts", r"""SELECT 'email' AS label, sum(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')))::BIGINT AS n FROM documents""")
+def scrub_counts(spark, sf_dir):
+    counts = T.read(spark, sf_dir, "documents").select(F.explode(R.redaction_counts(F.col("text"))).alias("label", "n"))
+    return counts.where("label = 'email'").groupBy("label").agg(F.sum("n").alias("n"))
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+@query("scrub_all")
+def scrub_all(spark, sf_dir):
+    """All layers over all documents; card numbers need Luhn's check, which SQL lacks here."""
+    return T.read(spark, sf_dir, "documents").select("doc_id", R.redact(F.col("text")).alias("body"))
+
+
+@query("classify_provenance", "SELECT obs_id, provenance FROM obs")
+def classify_provenance(spark, sf_dir):
+    return T.observations(spark, sf_dir).select("obs_id", "provenance")
+
+
+@query("snippet_head", r"""WITH t AS (SELECT obs_id, trim(regexp_replace(coalesce(body, ''), '\s+', ' ', 'g')) AS x FROM obs),
+w AS (SELECT obs_id, x, substr(x, 1, 200) AS y FROM t), l AS (SELECT *, length(y) - strpos(reverse(y), ' ') AS last FROM w)
+SELECT obs_id, CASE WHEN length(x) <= 200 THEN x WHEN strpos(y, ' ') > 0 AND last >= length(y) - 24 THEN substr(y, 1, last) || '…' ELSE y || '…' END AS snippet FROM l""")
+def snippet_head(spark, sf_dir):
+    return T.observations(spark, sf_dir).select("obs_id", snippet(F.col("body"), []).alias("snippet"))
+
+
+@query("snippet_hit")
+def snippet_hit(spark, sf_dir):
+    return T.observations(spark, sf_dir).select("obs_id", snippet(F.col("body"), ["that", "de"]).alias("snippet"))
+
+
+@query("index_terms", "SELECT stable_id, terms FROM rec")
+def index_terms(spark, sf_dir):
+    return T.records(spark, sf_dir).select("stable_id", token_text(F.col("body")).alias("terms"))
+
+
+@query("fair_share", "SELECT i::INT AS i, share::INT AS share FROM (VALUES (0, 40), (1, 5), (2, 30), (3, 25)) v(i, share)")
+def fair_share_query(spark, sf_dir):
+    shares = fair_share([90, 5, 30, 25], 100)
+    return spark.range(4).select(F.col("id").cast("int").alias("i"), F.element_at(F.array(*[F.lit(x) for x in shares]), (F.col("id") + 1).cast("int")).alias("share"))
+
+
+@query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf_dir):
+    return T.read(spark, sf_dir, "events").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"))
+
+
+@query("html_text")
+def html_text_query(spark, sf_dir):
+    return T.read(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("page")).select("page_id", "page.title", "page.body")
+
+
+@query("slug_heading", "SELECT page_id, upper(substr(split_part(url, '/', 3), 1, 1)) || lower(substr(split_part(url, '/', 3), 2)) AS title, NULL::VARCHAR AS heading FROM pages WHERE strpos(split_part(url, '/', 3), '-') = 0")
+def slug_heading(spark, sf_dir):
+    host = F.split_part("url", F.lit("/"), F.lit(3))
+    return T.read(spark, sf_dir, "pages").where(F.instr(host, "-") == 0).select("page_id", slug_title(host).alias("title"), heading(F.lit("no mark")).alias("heading"))
+
+
+# --- writes ----------------------------------------------------------------------------------------------------------
+
+
+def _customers(spark: SparkSession, sf_dir: str, first: bool) -> DataFrame:
+    """Two overlapping batches of one table, some rows changed in the second."""
+    c = T.read(spark, sf_dir, "customer")
+    if first:
+        part, balance = c.where("c_custkey % 10 < 7"), F.col("c_acctbal")
+    else:
+        part, balance = c.where("c_custkey % 10 >= 4"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    return part.select("c_custkey", "c_name", balance.alias("balance")).withColumn("src_hash", F.md5(F.concat_ws("|", "c_name", F.format_number("balance", 2))))
+
+
+_CHANGE = "CASE WHEN c_custkey % 10 >= 7 THEN 'added' WHEN c_custkey % 3 = 0 THEN 'updated' ELSE 'unchanged' END"
+
+
+@query("upsert_coalesce", "SELECT c_custkey, round(CASE WHEN c_custkey % 10 >= 4 AND c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END, 2) AS balance FROM customer")
+def upsert_coalesce(spark, sf_dir):
+    done = M.upsert_entities(_customers(spark, sf_dir, True), _customers(spark, sf_dir, False), "c_custkey")
+    return done.select("c_custkey", F.round("balance", 2).alias("balance"))
+
+
+@query("hash_changed_anti", f"SELECT c_custkey FROM customer WHERE c_custkey % 10 >= 4 AND {_CHANGE} <> 'unchanged'")
+def hash_changed_anti(spark, sf_dir):
+    return M.changed_only(_customers(spark, sf_dir, False), _customers(spark, sf_dir, True), "c_custkey").select("c_custkey")
+
+
+@query("count_added_updated", f"WITH c AS (SELECT {_CHANGE} AS change FROM customer WHERE c_custkey % 10 >= 4) SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change <> 'added') AS updated, count(*) FILTER (change = 'unchanged') AS unchanged FROM c")
+def count_added_updated(spark, sf_dir):
+    return M.write_counts(M.changes(_customers(spark, sf_dir, True), _customers(spark, sf_dir, False), "c_custkey"))
+
+
+@query("batch_coalesce", "SELECT user_id, arg_min(value, event_id) FILTER (event_type = 'click') AS opened, arg_max(value, event_id) FILTER (event_type = 'view') AS seen, max(event_id) AS event_id FROM events GROUP BY user_id")
+def batch_coalesce(spark, sf_dir):
+    e = T.read(spark, sf_dir, "events")
+    batch = e.select("user_id", "event_id", F.when(F.col("event_type") == "click", F.col("value")).alias("opened"), F.when(F.col("event_type") == "view", F.col("value")).alias("seen"))
+    return M.coalesce_batch(batch, "user_id", "event_id", first=("opened",), latest=("seen",))
+
+
+@query("rescrub_changed", r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')""")
+def rescrub_changed(spark, sf_dir):
+    docs = T.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    found = M.rescrub(docs, "doc_id")
+    return found.where(F.contains("body", F.lit("[REDACTED:email]"))).select("doc_id")
+
+
+@query("newest_wins", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def newest_wins(spark, sf_dir):
+    return J.newest_wins(T.read(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", F.col("ts"), F.col("event_id")).select("user_id", "event_id")
+
+
+@query("first_claim_wins", "SELECT source, arg_max(doc_id, (n_chars, lang, -doc_id)) AS doc_id FROM documents GROUP BY source")
+def first_claim_wins(spark, sf_dir):
+    return J.first_claim_wins(T.read(spark, sf_dir, "documents").drop("text"), "source", "n_chars", "lang", "doc_id").select("source", "doc_id")
+
+
+@query("obs_kind_left_join", "SELECT obs_id, kind FROM obs")
+def obs_kind_left_join(spark, sf_dir):
+    return J.observations_with_kind(T.observations(spark, sf_dir).drop("kind"), T.sessions(spark, sf_dir)).select("obs_id", "kind")
+
+
+@query("paths_left", "SELECT DISTINCT jsonl_path FROM ses WHERE jsonl_path IS NOT NULL")
+def paths_left(spark, sf_dir):
+    return J.paths_left(T.observations(spark, sf_dir, classified=False), T.sessions(spark, sf_dir))
+
+
+@query("orphan_observations", "SELECT obs_id FROM obs WHERE kind = 'subagent'")
+def orphan_observations(spark, sf_dir):
+    return J.orphans(T.observations(spark, sf_dir), T.sessions(spark, sf_dir).where("kind <> 'subagent'")).select("obs_id")
+
+
+@query("existing_keys", "SELECT c_custkey FROM customer WHERE c_custkey % 10 IN (4, 5, 6)")
+def existing_keys(spark, sf_dir):
+    return J.present_keys(_customers(spark, sf_dir, False), _customers(spark, sf_dir, True), "c_custkey")
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = T.read(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("task_id"), (F.col("o_custkey") % 20).alias("project_id"), F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("first_reported_at"))
+
+
+_GONE = "o_orderkey % 4 = 0"
+
+
+@query("snapshot_anti", f"SELECT o_orderkey AS task_id FROM orders WHERE o_orderstatus = 'O' AND {_GONE} AND o_custkey % 20 < 15")
+def snapshot_anti(spark, sf_dir):
+    """Open tasks that the next poll lacks, of the projects it covered."""
+    before = _tasks(spark, sf_dir).where("status = 'O'")
+    covered = spark.range(15).select(F.col("id").alias("project_id"))
+    return J.vanished(before, before.where("task_id % 4 <> 0"), covered).select("task_id")
+
+
+@query("snapshot_uncovered", f"SELECT (o_custkey % 20) AS project_id, count(*) AS n, min(strftime(o_orderdate, '%Y-%m-%d')) AS since FROM orders WHERE o_orderstatus = 'O' AND {_GONE} AND o_custkey % 20 >= 15 GROUP BY 1")
+def snapshot_uncovered(spark, sf_dir):
+    before = _tasks(spark, sf_dir).where("status = 'O'")
+    covered = spark.range(15).select(F.col("id").alias("project_id"))
+    out = J.uncovered(before, before.where("task_id % 4 <> 0"), covered)
+    return out.select("project_id", F.size("task_ids").cast("long").alias("n"), "since")
+
+
+# --- ingest state ----------------------------------------------------------------------------------------------------
+
+
+@query("quarantine_summary", "SELECT source, lang AS error_type, n_chars % 4 >= 3 AS terminal, count(*) AS n FROM documents WHERE n_chars % 5 = 0 GROUP BY 1, 2, 3")
+def quarantine_summary(spark, sf_dir):
+    held = T.read(spark, sf_dir, "documents").where("n_chars % 5 = 0").select("source", F.col("lang").alias("error_type"), (F.col("n_chars") % 4).alias("attempts"))
+    return ST.quarantine_summary(held)
+
+
+@query("fault_reconcile", """SELECT doc_id::VARCHAR AS fault_key, CASE WHEN doc_id % 10 < 3 THEN 'released' WHEN doc_id % 10 < 7 THEN 'known' ELSE 'new' END AS status
+FROM documents WHERE NOT (doc_id % 10 < 3 AND doc_id % 20 < 10)""")
+def fault_reconcile(spark, sf_dir):
+    docs = T.read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("fault_key"), F.col("source").alias("scope"))
+    stored = docs.where("doc_id % 10 < 7").withColumn("scope_stamp", F.lit("1")).select("doc_id", "fault_key", "scope", "scope_stamp")
+    seen = docs.where("doc_id % 10 >= 3").select("fault_key")
+    stamps = docs.select(F.col("fault_key"), F.when((F.col("doc_id") % 20) >= 10, "2").otherwise("1").alias("stamp"))
+    return ST.reconcile_faults(stored, seen, stamps).where("status <> 'unchanged'").select("fault_key", "status")
+
+
+@query("cursor_forward", f"SELECT event_type AS source, {DAY('max(ts)')} AS cursor_value, count(*) AS rows_seen FROM events GROUP BY 1")
+def cursor_forward(spark, sf_dir):
+    e = T.read(spark, sf_dir, "events")
+    runs = e.groupBy(F.col("event_type").alias("source"), (F.col("event_id") % 7).alias("run")).agg(F.max("ts").alias("cursor_value"), F.count("*").alias("rows_seen"))
+    return ST.advance(runs).select("source", F.date_format("cursor_value", "yyyy-MM-dd HH:mm:ss").alias("cursor_value"), "rows_seen")
+
+
+@query("overlap_reread", "SELECT event_id FROM events e WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def overlap_reread(spark, sf_dir):
+    e = T.read(spark, sf_dir, "events")
+    return ST.window_rows(e, "ts", e.agg(F.max("ts")).scalar(), 3600).select("event_id")
+
+
+@query("rate_last8", """WITH s AS (SELECT event_type, event_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events)
+SELECT event_type, event_id, (n - first_value(n) OVER w)::BIGINT AS rows_done, (floor(epoch(ts)) - floor(epoch(first_value(ts) OVER w)))::BIGINT AS seconds
+FROM s WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""")
+def rate_last8(spark, sf_dir):
+    e = T.read(spark, sf_dir, "events")
+    n = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+    return ST.rate(e.withColumn("n", n), "event_type", "ts", "event_id")
+
+
+@query("dominant_session", "WITH c AS (SELECT source AS file, lang AS sid, count(*) AS n FROM documents GROUP BY 1, 2) SELECT file, arg_max(sid, (n, sid)) AS sid FROM c GROUP BY file")
+def dominant_session(spark, sf_dir):
+    from quillmark.sources.transcripts import dominant
+
+    return dominant(T.read(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("lang").alias("sid"))).select("file", "sid")
+
+
+# --- retrieval evaluation --------------------------------------------------------------------------------------------
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A ranking per source (longest first) and labels as grades."""
+    docs = T.read(spark, sf_dir, "documents")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), F.asc("doc_id")))
+    ranked = docs.select(F.col("source").alias("query"), F.col("doc_id").alias("id"), rank.alias("rank"))
+    grades = docs.join(T.read(spark, sf_dir, "labels"), "doc_id").select(F.col("source").alias("query"), F.col("doc_id").alias("id"), (F.col("quality") + F.col("toxic")).alias("grade"))
+    return ranked, grades
+
+
+_EVAL = """WITH ranked AS (SELECT source AS query, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+grades AS (SELECT source AS query, doc_id AS id, quality + toxic AS grade FROM documents JOIN labels USING (doc_id) WHERE quality + toxic > 0),
+ideal AS (SELECT query, sum(grade / log2(n + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC) AS n FROM grades) WHERE n <= 10 GROUP BY query),
+every AS (SELECT query, count(*) AS total FROM grades GROUP BY query),
+hits AS (SELECT r.query, r.rank, g.grade FROM ranked r JOIN grades g ON r.query = g.query AND r.id = g.id) """
+
+
+@query("ndcg10", _EVAL + "SELECT i.query, round(coalesce(sum(grade / log2(rank + 1)) FILTER (rank <= 10), 0) / any_value(idcg), 6) AS ndcg FROM ideal i LEFT JOIN hits h ON h.query = i.query GROUP BY i.query")
+def ndcg10(spark, sf_dir):
+    return metrics.ndcg(*_ranked(spark, sf_dir), 10).select("query", F.round("ndcg", 6).alias("ndcg"))
+
+
+@query("recall50", _EVAL + "SELECT e.query, round(count(*) FILTER (rank <= 20)::DOUBLE / any_value(total), 6) AS recall FROM every e LEFT JOIN hits h ON h.query = e.query GROUP BY e.query")
+def recall50(spark, sf_dir):
+    return metrics.recall(*_ranked(spark, sf_dir), 20).select("query", F.round("recall", 6).alias("recall"))
+
+
+@query("mrr10", _EVAL + "SELECT e.query, round(coalesce(1.0 / min(rank) FILTER (rank <= 10), 0), 6) AS mrr FROM every e LEFT JOIN hits h ON h.query = e.query GROUP BY e.query")
+def mrr10(spark, sf_dir):
+    return metrics.mrr(*_ranked(spark, sf_dir), 10).select("query", F.round("mrr", 6).alias("mrr"))
+
+
+def _two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = T.read(spark, sf_dir, "documents")
+    top = lambda *order: F.slice(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("doc_id")))), lambda x: x["doc_id"]), 1, 10)
+    return docs.groupBy(F.col("source").alias("query")).agg(top((-F.col("n_chars")).alias("a")).alias("before"), top((-F.col("n_chars") - 2 * (F.col("doc_id") % 400)).alias("a")).alias("after"))
+
+
+_RUNS = """WITH runs AS (SELECT source AS query, list(doc_id ORDER BY -n_chars, doc_id)[1:10] AS before, list(doc_id ORDER BY -n_chars - 2 * (doc_id % 400), doc_id)[1:10] AS after FROM documents GROUP BY source) """
+
+
+@query("overlap10", _RUNS + "SELECT query, round(len(list_intersect(before, after))::DOUBLE / greatest(len(before), len(after)), 6) AS overlap, before[1] IS DISTINCT FROM after[1] AS top1_changed FROM runs")
+def overlap10(spark, sf_dir):
+    runs = _two_runs(spark, sf_dir)
+    return runs.select("query", F.round(metrics.overlap(F.col("before"), F.col("after"), 10), 6).alias("overlap"), metrics.top1_changed(F.col("before"), F.col("after")).alias("top1_changed"))
+
+
+@query("rbo_drift", _RUNS + """, d AS (SELECT query, before, after, unnest(range(1, greatest(len(before), len(after)) + 1)) AS i FROM runs)
+SELECT query, round(1 - sum(pow(0.9::DOUBLE, i - 1) * len(list_intersect(before[1:i], after[1:i])) / i) / sum(pow(0.9::DOUBLE, i - 1)), 6) AS drift FROM d GROUP BY query""")
+def rbo_drift(spark, sf_dir):
+    return _two_runs(spark, sf_dir).select("query", F.round(metrics.drift(F.col("before"), F.col("after")), 6).alias("drift"))
+
+
+@query("miss_suggestions", "SELECT source AS query, min(doc_id) AS first_seen FROM documents WHERE source NOT IN ('src1', 'src2') GROUP BY source")
+def miss_suggestions(spark, sf_dir):
+    docs = T.read(spark, sf_dir, "documents")
+    misses = docs.select(F.col("source").alias("query"), F.col("doc_id").alias("id"))
+    return metrics.suggestions(misses, misses.where("query IN ('src1', 'src2')").select("query"))
+
+
+# --- flagship --------------------------------------------------------------------------------------------------------
+
+_FLAG = "source:src7 tag:en the"
+
+
+def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ast = parse(_FLAG)
+    found = _text_records(spark, sf_dir).where(record_filter(ast) & S.match_all(conjuncts(ast.text)))
+    return P.ordered(found.withColumn("total", F.count("*").over(Window.partitionBy(F.lit(1)))), "records").limit(40).select("stable_id", "source", day("updated_at").alias("updated_at"), "total")
+
+
+QUERIES["flagship_search"] = _flagship
+ORACLES["flagship_search"] = f"""WITH {T.CTES} SELECT stable_id, source, {DAY('updated_at')} AS updated_at, count(*) OVER () AS total FROM rec
+WHERE source = 'src7' AND (list_contains(tags, 'en') OR list_contains(llm_tags, 'en')) AND contains(terms, ' the ')
+ORDER BY rec.updated_at DESC NULLS LAST, stable_id LIMIT 40"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    """A filtered and tagged text search over the records, newest first."""
+    return _flagship(spark, sf_dir)
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col(c) for c in df.columns]

@@ -1,0 +1,65 @@
+"""python -m quillmark.cli STORE query TEXT | status | ingest SOURCE=DIR ... | rescrub | provenance"""
+
+from __future__ import annotations
+
+import json
+import sys
+
+from pyspark.sql import SparkSession
+
+from quillmark.engine import Engine
+from quillmark.operators import aggregates, merge, tagging
+from quillmark.sources.registry import read_all
+from quillmark.store import Store
+from quillmark.streaming import ingest
+
+
+def main(args: list[str], spark: SparkSession | None = None) -> int:
+    """0: done; 1: something failed; 2: used wrongly; 3: nothing ingested yet."""
+    if len(args) < 2:
+        print(__doc__)
+        return 2
+    spark = spark or SparkSession.builder.appName("quillmark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    store, command, rest = Store(spark, args[0]), args[1], args[2:]
+    if command == "ingest":
+        if not rest or not all("=" in x for x in rest):
+            print(__doc__)
+            return 2
+        frames, failed = read_all(spark, dict(x.split("=", 1) for x in rest))
+        reports = ingest.run(store, frames)
+        for r in reports:
+            print(json.dumps(vars(r)))
+        for name, why in failed.items():
+            print(json.dumps({"source": name, "error": why}))
+        return 1 if failed or any(r.error for r in reports) else 0
+    if why := store.ready():
+        print(why)
+        return 3
+    if command == "query":
+        answer = Engine(store.read("records"), store.read("sessions"), store.read("observations")).query(" ".join(rest))
+        print(json.dumps(answer, default=str, ensure_ascii=False))
+        return 2 if "error" in answer else 0
+    if command == "status":
+        for row in aggregates.count_by_source(store.read("records"), store.read("sessions")).collect():
+            print(row["name"], row["n"])
+        return 0
+    if command == "rescrub":
+        table = store.read("observations")
+        changed = merge.rescrub(table)
+        print(changed.count())
+        if "--write" in rest:
+            new = changed.select("obs_id", changed["body"].alias("_body"))
+            joined = table.join(new, "obs_id", "left")
+            from pyspark.sql import functions as F
+
+            store.commit({"observations": joined.withColumn("body", F.coalesce("_body", "body")).drop("_body")})
+        return 0
+    if command == "provenance":
+        store.commit({"observations": tagging.classify_missing(store.read("observations"), store.read("sessions"))})
+        return 0
+    print(__doc__)
+    return 2
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))
