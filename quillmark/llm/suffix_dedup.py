@@ -75,7 +75,8 @@ def matching_statistics(data: np.ndarray, reach: int) -> np.ndarray:
     for k in range(8):
         words |= padded[k : k + n] << np.uint64(56 - 8 * k)
     order = suffix_order(words, reach)
-    transform = data[order - 1]
+    transform = data[order - 1].astype(np.int16)
+    transform[order == 0] = -1  # nothing comes before the first place
     ends = np.flatnonzero(transform[1:] != transform[:-1])  # run ends: a run stops at this rank, the next starts after it
     a, b = order[ends], order[ends + 1]
     meet = common_prefix(words, a, b, reach)
