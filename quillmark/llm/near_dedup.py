@@ -5,18 +5,21 @@ value; a bin keeps its smallest value, and an empty bin takes that of the first
 same for all documents. Bands of bins are bucket keys. Documents of equal sets are one node from the start. Within a
 bucket only pairs of the centre and another node are candidates (a star), so their number stays below that of the
 band rows; each candidate is confirmed on full sets. A star may miss a link between two of its rays, so buckets whose
-nodes are not yet in one component get further centres, until each node outside the bucket's largest component has
-been one: then no pair of the bucket that could join two components is left untried.
+nodes are not yet in one component are gone through once more, in blocks of bounded size: a block compares the
+signatures of nodes of different components, each pair in the first band that it shares only, and gives the few pairs
+that agree well enough for a check on full sets. Where those would be many more than the nodes, the nodes' sets come to
+the block instead, and it gives one link for two components at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernel as K
@@ -27,6 +30,8 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 PROBES = 64
 SIMILARITY = 80
+#: Nodes in a part of a large bucket, and pairs a node in a block beyond which sets come to the block.
+PART, DENSE = 2048, 4
 
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
@@ -157,6 +162,118 @@ def confirm(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
     return written(whole.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long").distinct(), "near-links")
 
 
+@dataclass
+class Block:
+    """Nodes of a bucket, or of two parts of one: a pair is of both parts where there are two."""
+
+    node: np.ndarray
+    comp: np.ndarray
+    n: np.ndarray
+    part: np.ndarray
+    sig: np.ndarray
+    bands: np.ndarray
+    key: int
+    two: bool
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(p, all q) of different components whose sizes and signatures allow a link and that share no earlier band.
+
+        p runs over the nodes outside the largest component.
+        """
+        band = int(np.argmax(self.bands[0] == self.key))
+        names, sizes = np.unique(self.comp, return_counts=True)
+        top = names[np.argmax(sizes)]
+        for p in np.flatnonzero(self.comp != top).tolist():
+            fits = (self.comp != self.comp[p]) & (100 * np.minimum(self.n, self.n[p]) >= SIMILARITY * np.maximum(self.n, self.n[p]))
+            fits &= (self.comp == top) | (np.arange(len(self.node)) > p)
+            if self.two:
+                fits &= self.part != self.part[p]
+            q = np.flatnonzero(fits)
+            q = q[~(self.bands[q, :band] == self.bands[p, :band]).any(axis=1)]
+            q = q[(self.sig[q] == self.sig[p]).sum(axis=1) >= BINS // 2]
+            if len(q):
+                yield p, q
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], more: int) -> Iterator[tuple[tuple, Block, list]]:
+    """Whole blocks from rows sorted by (key, i, j): their names, the block, and the values of a further column."""
+    held: list[list] = []
+
+    def made() -> tuple[tuple, Block, list]:
+        _, i, j = name = tuple(held[0][:3])
+        part, comp, node, n, sig, bands = ([r[k] for r in held] for k in range(3, 9))
+        sigs = np.frombuffer(b"".join(sig), np.uint8).reshape(len(held), BINS)
+        return name, Block(np.array(node), np.array(comp), np.array(n), np.array(part), sigs, np.array(bands, dtype=np.int64), name[0], i != j), [r[9] for r in held] if more else []
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and list(row[:3]) != list(held[0][:3]):
+                yield made()
+                held = []
+            held.append(row)
+    if held:
+        yield made()
+
+
+def _promising(batches: Iterator[pa.RecordBatch], dense: int) -> Iterator[pa.RecordBatch]:
+    """key, i, j, a, b: pairs for a check on full sets; without a and b, a block with too many of them."""
+    for name, block, _ in _blocks(batches, 0):
+        a, b = [], []
+        for p, q in block.pairs():
+            a += [int(block.node[p])] * len(q)
+            b += block.node[q].tolist()
+            if len(a) > dense * len(block.node):
+                a, b = [None], [None]
+                break
+        if a:
+            yield pa.RecordBatch.from_arrays([*[pa.array([x] * len(a), t) for x, t in zip(name, (pa.int64(), pa.int32(), pa.int32()), strict=True)], pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "i", "j", "a", "b"])
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b: a link for each two components of a block that have one. Sets are the last column."""
+    for _, block, sets in _blocks(batches, 1):
+        each = [np.frombuffer(x, np.uint64) for x in sets]
+        _, ids = np.unique(np.concatenate(each), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        seen, a, b = set(), [], []
+        flags = np.zeros(int(ids.max()) + 1, bool)
+        for p, q in block.pairs():
+            own = ids[starts[p] : starts[p + 1]]
+            flags[own] = True
+            both = np.add.reduceat(flags[ids].astype(np.int32), starts[:-1])[q]
+            flags[own] = False
+            for k in q[100 * both >= SIMILARITY * (block.n[p] + block.n[q] - both)].tolist():
+                names = tuple(sorted((int(block.comp[p]), int(block.comp[k]))))
+                if names not in seen:
+                    seen.add(names)
+                    a.append(int(block.node[p]))
+                    b.append(int(block.node[k]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def cross_links(mixed: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components in mixed(key, node, comp, total), written."""
+    parts = F.ceil(F.col("total") / PART).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    rows = mixed.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "comp", "node")
+    nodes = signed.select(F.col("doc_id").alias("node"), "n", "sig", "bands").dropDuplicates(["node"])
+    blocks = rows.join(nodes, "node").select("key", "i", "j", "part", "comp", "node", "n", "sig", "bands")
+    whole = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    dense_from = DENSE
+    found = written(whole(blocks).mapInArrow(lambda batches: _promising(batches, dense_from), "key long, i int, j int, a long, b long"), "near-promising")
+    sparse = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = confirm(sparse, signed, docs)
+    dense = found.where("a IS NULL").select("key", "i", "j")
+    if not dense.isEmpty():
+        full = blocks.join(dense, ["key", "i", "j"], "left_semi").select("key", "i", "j", "part", "comp", "node", "n", "sig", "bands")
+        sets = sets_of(docs, full.select("node").distinct()).dropDuplicates(["node"])
+        joined = full.join(sets, "node").select("key", "i", "j", "part", "comp", "node", "n", "sig", "bands", "set")
+        links = links.union(written(whole(joined).mapInArrow(_joining, "a long, b long"), "near-joining"))
+    return links
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (smallest node reachable) of the nodes of links(a, b), written. Labels spread and jump until none moves."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -190,29 +307,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     buckets = written(rows.join(centres, "key"), "near-buckets")
     links = confirm(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), known, docs)
     labels = components(links)
-    used, most = None, 4
-    while True:
-        placed = buckets.select("key", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        placed = placed.distinct()
-        counts = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
-        largest = counts.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        mixed = written(placed.join(largest.select("key", F.col("top.comp").alias("top")), "key"), "near-mixed")
-        outside = mixed.where("comp <> top").select("key", "node", "n", "comp")
-        if used is not None:
-            outside = outside.join(used, ["key", "node"], "left_anti")
-        chosen = outside.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("rank") <= most).drop("rank")
-        chosen = written(chosen, "near-centres")
-        if chosen.isEmpty():
-            break
-        used = chosen.select("key", "node") if used is None else used.union(chosen.select("key", "node"))
-        c = chosen.select("key", F.col("node").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc"))
-        close = (F.least("n", "cn") * 100 >= F.greatest("n", "cn") * SIMILARITY) & (F.col("comp") != F.col("cc"))
-        pairs = mixed.join(c, "key").where(close).select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
-        found = confirm(pairs, known, docs)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
-        most *= 8
+    placed = buckets.select("key", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).distinct()
+    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.sum("size").alias("total"), F.count("*").alias("comps"))
+    mixed = placed.join(counts.where("comps > 1"), "key")
+    found = cross_links(written(mixed, "near-mixed"), known, docs)
+    if not found.isEmpty():
+        labels = components(links.union(found))
     comp = members.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id")).alias("component_id"))
     return comp.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -29,15 +29,21 @@ def test_exact(spark, texts):
     assert len(nulls) == 3
 
 
-def test_near(spark, texts):
+@pytest.mark.parametrize(("part", "dense"), [(2048, 4), (3, 4), (2048, 0)])
+def test_near(spark, texts, part, dense, monkeypatch):
+    """With whole buckets, buckets in parts, and sets that come to every block."""
+    monkeypatch.setattr(near_dedup, "PART", part)
+    monkeypatch.setattr(near_dedup, "DENSE", dense)
     got = {r["doc_id"]: r.asDict() for r in near_dedup.near_components(brute.frame(spark, texts)).collect()}
     want = brute.near_components(list(enumerate(texts)))
     for i, t in enumerate(texts):
         assert got[i]["n_shingles"] == len(brute.shingles(t)) and got[i]["component_id"] == want[i] and got[i]["kept"] == (want[i] == i)
 
 
-def test_near_finds_links_that_stars_miss(spark):
+@pytest.mark.parametrize("dense", [4, 0])
+def test_near_finds_links_that_stars_miss(spark, dense, monkeypatch):
     """A chain: each text is close to the next only, so no single centre reaches all."""
+    monkeypatch.setattr(near_dedup, "DENSE", dense)
     rng = random.Random(9)
     words = [f"t{i}" for i in range(100)]
     chain = []
