@@ -80,7 +80,7 @@ def tree_records(files: DataFrame, source: str = "dropbox") -> tuple[DataFrame,
 
 def report_records(spark: SparkSession, root: str, source: str) -> DataFrame:
     """Records of the *.md files right in root; folders below it, quarantine included, are never read."""
-    files = spark.read.option("pathGlobFilter", "*.md").option("wholetext", "true").text(f"{root.rstrip('/')}/*.md")
+    files = spark.read.option("pathGlobFilter", "*.md").text(f"{root.rstrip('/')}/*.md", wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.md$", 1)
     found = files.select(name.alias("name"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
     return found.select(

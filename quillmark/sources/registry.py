@@ -42,7 +42,7 @@ def _hits(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def _csv(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     from quillmark.operators.joins import newest_wins
 
-    raw = spark.read.option("pathGlobFilter", "*.csv").option("wholetext", "true").text(root)
+    raw = spark.read.option("pathGlobFilter", "*.csv").text(root, wholetext=True)
     backups = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
     rows = newest_wins(tasks.parse_backups(backups), "taskid", F.col("modified"), F.col("path"))
     lost = tasks.parse_backups(backups).where("lost > 0").select("path", F.concat("lost", F.lit(" rows without an id")).alias("reason")).distinct()

@@ -26,10 +26,10 @@ LIVE_MINUTES = 5
 
 def read_lines(spark: SparkSession, root: str, modified_before: datetime | None = None) -> DataFrame:
     """path, lineno, raw of every non-blank line of *.jsonl under root; files changed since modified_before are live and left."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true")
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
     if modified_before:
         reader = reader.option("modifiedBefore", modified_before.strftime("%Y-%m-%dT%H:%M:%S"))
-    files = reader.text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("at", "raw"))
     return lines.where(F.btrim("raw") != "").select("path", (F.col("at") + 1).alias("lineno"), "raw")
 
@@ -144,7 +144,7 @@ def spawn_index(objects: DataFrame) -> DataFrame:
         call.alias("call"), F.coalesce(structured != "", F.lit(False)).alias("sure"), "lineno",
     )
     found = found.where("parent = stem AND agent_id IS NOT NULL AND call IS NOT NULL")
-    order = F.when(F.col("sure"), F.struct(F.lit(1), F.col("lineno"))).otherwise(F.struct(F.lit(0), -F.col("lineno")))
+    order = F.struct(F.col("sure"), F.when(F.col("sure"), F.col("lineno")).otherwise(-F.col("lineno")))
     return found.groupBy("parent", "agent_id").agg(F.max_by("call", order).alias("spawned_by"))
 
 
