@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,24 +33,60 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def _set(spark: SparkSession, **conf: str) -> Iterator[None]:
+    names = {"tidy": _TIDY, "batch": _BATCH}
+    before = {names[k]: spark.conf.get(names[k], None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(names[k], v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def written(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
     """df as a Parquet table in the shared folder: a lost executor costs no recomputation of what came before.
 
-    Shuffle files of the write go when it ends, as nothing reads them again.
+    Shuffle files of the write go when it ends, as nothing reads them again. Python gets batches of so many rows, as
+    Arrow batches are bounded by rows and rows with texts or sets can be long.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_TIDY, "false")
-    spark.conf.set(_TIDY, "true")
-    try:
+    with _set(spark, tidy="true", batch=str(batch)):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: By module: how to drop what its operators keep in a worker between tasks.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def tidied(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """scan for mapInArrow that drops what other operators remember and gives freed memory back when a task ends.
+
+    Python workers live on from stage to stage and share an executor's memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owner, forget in REMEMBERED.items():
+            if owner != scan.__module__:
+                forget()
+        yield from scan(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def discard(df: DataFrame) -> None:
     """Remove the folder of a table made by written(), once nothing reads it any more."""
     spark = df.sparkSession

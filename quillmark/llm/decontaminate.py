@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import documents, spread, table
+from quillmark.llm.common import REMEMBERED, documents, spread, table, tidied
 
 WINDOW = 10
 #: Bytes of item text in one automaton.
@@ -147,6 +147,7 @@ class SuffixAutomaton:
 
 
 _BUILT: dict[str, SuffixAutomaton] = {}
+REMEMBERED[__name__] = _BUILT.clear
 
 
 def _automaton(items: list[tuple[str, list[bytes]]], window: int, key: str) -> SuffixAutomaton:
@@ -217,7 +218,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
                     names=batch.schema.names,
                 )
 
-        out = out.mapInArrow(scan, schema)
+        out = out.mapInArrow(tidied(scan), schema)
     return out
 
 
@@ -254,7 +255,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_s
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=fields)
 
-    return scored.mapInArrow(cut, docs.schema)
+    return scored.mapInArrow(tidied(cut), docs.schema)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernel as K
-from quillmark.llm.common import documents, spread, text_of, written
+from quillmark.llm.common import documents, spread, text_of, tidied, written
 
 SHINGLE = 2
 BANDS, ROWS = 32, 4
@@ -117,7 +117,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 )
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return base.mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, sig binary, bands array<long>")
+    return base.mapInArrow(tidied(scan), "doc_id long, n long, s1 long, s2 long, sig binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], ["node", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text"))
-    return texts.join(ids, "node", "left_semi").mapInArrow(scan, "node long, set binary")
+    return texts.join(ids, "node", "left_semi").mapInArrow(tidied(scan), "node long, set binary")
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +155,11 @@ def confirm(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links, written."""
     sigs = signed.select(F.col("doc_id").alias("node"), "sig")
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    alike = written(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long").distinct(), "near-alike")
+    alike = written(both.select("a", "b", "sig_a", "sig_b").mapInArrow(tidied(_alike), "a long, b long").distinct(), "near-alike")
     ids = written(alike.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ids")
     sets = sets_of(docs, ids)
     whole = alike.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return written(whole.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long").distinct(), "near-links")
+    return written(whole.select("a", "b", "set_a", "set_b").mapInArrow(tidied(_linked), "a long, b long").distinct(), "near-links", batch=100)
 
 
 @dataclass
@@ -262,7 +262,7 @@ def cross_links(mixed: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFra
     blocks = rows.join(nodes, "node").select("key", "i", "j", "part", "comp", "node", "n", "sig", "bands")
     whole = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     dense_from = DENSE
-    found = written(whole(blocks).mapInArrow(lambda batches: _promising(batches, dense_from), "key long, i int, j int, a long, b long"), "near-promising")
+    found = written(whole(blocks).mapInArrow(tidied(lambda batches: _promising(batches, dense_from)), "key long, i int, j int, a long, b long"), "near-promising")
     sparse = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = confirm(sparse, signed, docs)
     dense = found.where("a IS NULL").select("key", "i", "j")
@@ -270,7 +270,7 @@ def cross_links(mixed: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFra
         full = blocks.join(dense, ["key", "i", "j"], "left_semi").select("key", "i", "j", "part", "comp", "node", "n", "sig", "bands")
         sets = sets_of(docs, full.select("node").distinct()).dropDuplicates(["node"])
         joined = full.join(sets, "node").select("key", "i", "j", "part", "comp", "node", "n", "sig", "bands", "set")
-        links = links.union(written(whole(joined).mapInArrow(_joining, "a long, b long"), "near-joining"))
+        links = links.union(written(whole(joined).mapInArrow(tidied(_joining), "a long, b long"), "near-joining", batch=100))
     return links
 
 

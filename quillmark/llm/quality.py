@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernel as K
-from quillmark.llm.common import documents, spread, table, text_of
+from quillmark.llm.common import documents, spread, table, text_of, tidied
 
 DIM = 32
 NONZERO = 4
@@ -205,7 +205,7 @@ def score_documents(docs: DataFrame, model, threshold: float) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held.value.score(batch.column(2)))], ["doc_id", "held_out", "score"])
 
-    scored = docs.select(F.col("doc_id"), held_out().alias("held_out"), text_of().alias("text")).mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    scored = docs.select(F.col("doc_id"), held_out().alias("held_out"), text_of().alias("text")).mapInArrow(tidied(scan), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -232,4 +232,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, labelled: DataFrame | Non
         for batch in batches:
             yield batch.filter(pa.array(held.value.score(batch.column(at)) >= threshold))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(tidied(scan), docs.schema)

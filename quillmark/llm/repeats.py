@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernel as K
-from quillmark.llm.common import discard, text_of, written
+from quillmark.llm.common import discard, text_of, tidied, written
 
 #: Different pieces of a seed that a matcher gets at once (some 2.5 MB), and bytes after which a block ends with its seed.
 GROUP = 8192
@@ -128,7 +128,7 @@ def occurrences(docs: DataFrame, how: Search) -> DataFrame:
                 if len(seed):
                     yield pa.RecordBatch.from_arrays([_signed(seed), _signed(piece), pa.array(keys[a + doc]), pa.array(first << 20 | windows << 10 | off)], ["seed", "piece", "key", "loc"])
 
-    return docs.mapInArrow(scan, "seed long, piece long, key long, loc long")
+    return docs.mapInArrow(tidied(scan), "seed long, piece long, key long, loc long")
 
 
 def _cut(how: Search, need: list[dict], units: Units, data: np.ndarray) -> Iterator[tuple]:
@@ -155,7 +155,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, how: Search) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.join(wanted, "key").select("text", "need").mapInArrow(scan, "seed long, piece long, n long, loc long, hot boolean, body binary")
+    return docs.join(wanted, "key").select("text", "need").mapInArrow(tidied(scan), "seed long, piece long, n long, loc long, hot boolean, body binary")
 
 
 def _block(rows: list[tuple], how: Search) -> Block:
@@ -213,7 +213,7 @@ def compare(cool: DataFrame, how: Search) -> DataFrame:
             yield from done()
 
     ordered = cool.select("seed", "piece", "loc", "body").repartition("seed").sortWithinPartitions("seed", "piece")
-    return ordered.mapInArrow(scan, _MARKS)
+    return ordered.mapInArrow(tidied(scan), _MARKS)
 
 
 def count_windows(hot: DataFrame, how: Search) -> DataFrame:
@@ -231,7 +231,7 @@ def count_windows(hot: DataFrame, how: Search) -> DataFrame:
             piece = np.array([r[1] for r in rows], np.int64)
             yield pa.RecordBatch.from_arrays([_signed(block.seed[of]), pa.array(piece[of]), pa.array((start - block.first[of]).astype(np.int32)), _signed(key)], ["seed", "piece", "at", "window"])
 
-    windows = written(hot.select("seed", "piece", "loc", "body").dropDuplicates(["seed", "piece"]).mapInArrow(scan, "seed long, piece long, at int, window long"), "repeat-windows")
+    windows = written(hot.select("seed", "piece", "loc", "body").dropDuplicates(["seed", "piece"]).mapInArrow(tidied(scan), "seed long, piece long, at int, window long"), "repeat-windows")
     again = written(windows.groupBy("seed", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeat-again")
     hits = windows.join(again, ["seed", "window"]).groupBy("seed", "piece")
     return hits.agg(F.collect_list(F.struct("at", F.lit(1).alias("n"))).alias("marks"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm import kernel as K
-from quillmark.llm.common import documents, spread
+from quillmark.llm.common import documents, spread, tidied
 from quillmark.llm.repeats import Block, Search, covered, keyed, prefix_of, repeated_windows, window_keys, word_units
 
 LENGTH = 35
@@ -66,7 +66,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    out = joined.mapInArrow(scan, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = joined.mapInArrow(tidied(scan), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if texts else out.drop("kept")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import documents, spread
+from quillmark.llm.common import documents, spread, tidied
 from quillmark.llm.repeats import Block, Search, byte_units, covered, keyed, repeated_windows
 
 LENGTH = 200
@@ -132,7 +132,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    out = joined.mapInArrow(scan, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = joined.mapInArrow(tidied(scan), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if texts else out.drop("kept")
 
 

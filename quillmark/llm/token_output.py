@@ -25,14 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import documents, spread, text_of, written
+from quillmark.llm.common import REMEMBERED, documents, spread, text_of, tidied, written
 
 MAGIC = b"QMTOKEN1"
 END_ID = 2
 SEGMENT_BYTES = 4 << 20
 SAMPLE = 64
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 600_000
+#: Words and pieces whose ids a worker remembers; beyond that it starts anew.
+WORDS, PIECES = 600_000, 600_000
 
 #: What a file says whose ids follow from words (fixed values).
 _WORD_NORM = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -162,21 +162,24 @@ class Encoder:
             says = json.load(f)
         self.added = [x["content"].encode() for x in says["added_tokens"]]
         self.held = re.compile(b"|".join(map(re.escape, self.added)) or b"(?!)").search
+        self.sign = bytes(sorted(set.intersection(*map(set, self.added)))[:1]) if self.added else b""
         self.bytes = {ord(c): self.pre.pre_tokenize_str(c)[0][0] for c in _LETTERS} if self.pre else {}
         self.by_word = says.get("pre_tokenizer") == _WORD_PRE and says.get("normalizer") == _WORD_NORM and not any(x.split() != [x] for x in self.added)
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= REMEMBERED:
+        if len(self.pieces) >= PIECES:
             self.pieces.clear()
-        ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
-        return ids
+        ids = [t.id for t in self.model.tokenize(piece)]
+        packed = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
 
     def _word(self, word: bytes) -> bytes:
-        if self.held(word):
+        if self.sign in word and self.held(word):
             return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         text = word.decode("utf-8", "replace")
         if _PLAIN(text):
-            parts = _PARTS(text.lower().translate(self.bytes))
+            text = text.lower()
+            parts = _PARTS(text if text.isascii() else text.translate(self.bytes))
         else:
             parts = [x for x, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(text))]
         get = self.pieces.get
@@ -195,7 +198,7 @@ class Encoder:
             try:
                 ids = b"".join(map(known.__getitem__, words))
             except KeyError:
-                if len(known) > REMEMBERED:
+                if len(known) > WORDS:
                     known.clear()
                 for w in words:
                     if w not in known:
@@ -206,6 +209,7 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
+REMEMBERED[__name__] = _ENCODERS.clear
 
 
 def _encoder(path: str, end_id: int) -> Encoder:
@@ -245,7 +249,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segment_
         if ids:
             yield flush()
 
-    return written(ordered.mapInArrow(segments, "part int, seg int, n_docs long, n_tokens long, blob binary"), "tokens")
+    return written(ordered.mapInArrow(tidied(segments), "part int, seg int, n_docs long, n_tokens long, blob binary"), "tokens")
 
 
 def read_index(segments: DataFrame) -> DataFrame:
@@ -264,7 +268,7 @@ def read_index(segments: DataFrame) -> DataFrame:
                     ["part", "seg", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    rows = segments.select("part", "seg", "blob").mapInArrow(read, "part int, seg int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = segments.select("part", "seg", "blob").mapInArrow(tidied(read), "part int, seg int, doc_id long, at long, n_tokens long, ids_crc32 long")
     sizes = segments.select("part", "seg", F.col("n_tokens").alias("size"))
     before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("size").alias("size")).select("part", before(Window.orderBy("part")).alias("part_start"))
