@@ -69,20 +69,30 @@ def written(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
 REMEMBERED: dict[str, Callable[[], None]] = {}
 
 
+def forget_others(owner: str) -> None:
+    for module, forget in REMEMBERED.items():
+        if module != owner:
+            forget()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidied(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """scan for mapInArrow that drops what other operators remember and gives freed memory back when a task ends.
 
     Python workers live on from stage to stage and share an executor's memory.
     """
 
+    owner = scan.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for owner, forget in REMEMBERED.items():
-            if owner != scan.__module__:
-                forget()
+        forget_others(owner)
         yield from scan(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # glibc only
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return run
 
