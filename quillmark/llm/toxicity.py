@@ -23,7 +23,7 @@ from quillmark.llm.common import documents, spread, table
 from quillmark.llm.quality import Network, _sigmoid, labelled_sample, score_documents
 
 #: About so many labelled rows, chosen by a hash of the id, train the model.
-SAMPLE_ROWS = 14000
+SAMPLE_ROWS = 10000
 THRESHOLD = 0.3
 #: Bytes of word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5)
@@ -68,21 +68,28 @@ class Lexicon:
         return out
 
 
-def _doc_rates(features: list[tuple[np.ndarray, np.ndarray]], use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature hashes and in how many of the used documents each is."""
-    each, doc = [], 0
-    for hashes, first in features:
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if use[doc]:
-                each.append(np.unique(hashes[a:b]))
-            doc += 1
-    return np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _doc_rates(texts: pa.Array, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature hashes and in how many of the used documents each is. Counts are merged as slices come."""
+    keys, counts, each = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        fresh, n = np.unique(np.concatenate(each), return_counts=True) if each else (keys[:0], counts[:0])
+        every, where = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
+        return every, np.bincount(where, weights=np.concatenate([counts, n]), minlength=len(every)).astype(np.int64)
 
-def build_lexicon(features: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, use: np.ndarray) -> Lexicon:
-    keys, n = _doc_rates(features, use & positive)
+    for row, _, data, offsets in K.slices(texts):
+        hashes, first = word_features(data, offsets)
+        each += [np.unique(hashes[a:b]) for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)) if use[row + i]]
+        if sum(map(len, each)) > 1 << 21:
+            keys, counts = merged()
+            each = []
+    return merged()
+
+
+def build_lexicon(texts: pa.Array, positive: np.ndarray, use: np.ndarray) -> Lexicon:
+    keys, n = _doc_rates(texts, use & positive)
     keys, n = keys[n >= LEAST_SUPPORT], n[n >= LEAST_SUPPORT]
-    every, m = _doc_rates(features, use)
+    every, m = _doc_rates(texts, use)
     among = m[np.searchsorted(every, keys)] if len(keys) else n
     rate = lambda k, total: (k + 0.5) / (total + 1)
     evidence = np.log(rate(n, (use & positive).sum()) / rate(among, use.sum())).astype(np.float32)
@@ -137,11 +144,11 @@ def fit_nnpu(net: Network, x: np.ndarray, positive: np.ndarray, prior: float, ep
 
 def train(texts: pa.Array, toxic: np.ndarray, half: np.ndarray) -> ToxicityModel:
     """half marks the rows that give the lexicon. Without positives every score is low."""
-    features = [word_features(data, offsets) for _, _, data, offsets in K.slices(texts)]
     positive = toxic == 1
     prior = float(positive.mean()) if len(positive) else 0.0
-    lexicon = build_lexicon(features, positive, half)
-    x = np.concatenate([evidence_features(h, first, lexicon) for h, first in features]) if features else np.zeros((0, 1 + 2 * len(LEVELS)), np.float32)
+    lexicon = build_lexicon(texts, positive, half)
+    rows = [evidence_features(*word_features(data, offsets), lexicon) for _, _, data, offsets in K.slices(texts)]
+    x = np.concatenate([*rows, np.zeros((0, 1 + 2 * len(LEVELS)), np.float32)])
     net = Network(x.shape[1], hidden=8)
     rest = ~half if (~half).any() else half
     if rest.any() and positive[rest].any():
