@@ -262,3 +262,18 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = find_hits(spread(documents(spark, sf_dir), "doc_id", "text"), table(spark, sf_dir, "benchmark"))
     hit = F.expr(N_HIT)
     return hits.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH items AS (SELECT item_id::VARCHAR AS item, ws, least(10, len(ws)) AS size FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+grams AS (SELECT DISTINCT item, size, array_to_string(ws[i:i + size - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM items)),
+docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+windows AS (SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS gram
+            FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM items) WHERE len(ws) >= size)),
+hits AS (SELECT doc_id, size, i, item FROM windows JOIN grams USING (size, gram)),
+places AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS j FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

@@ -18,6 +18,9 @@ QUERIES = {
 }
 ORACLES = {
     "op2_chat_format": chat_format.SQL,
+    "op3_near_dedup": near_dedup.SQL,
+    "op6_decontaminate": decontaminate.SQL,
+    "op7_substring_dedup": substring_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_mix_sources": mixing.SQL,
 }
