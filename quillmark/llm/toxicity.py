@@ -1,9 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives; all other texts of the sample, whatever their label says, are unlabelled and
-hold positives at the rate of the class prior. One half of the sample gives a lexicon: words and word beginnings with
-the log of their document rate among positives over that among unlabelled texts. The other half trains a numpy network
-on what the lexicon says of a text, by the risk estimator
+hold positives at the rate of the class prior. A half of the sample gives a lexicon: words and word beginnings with the
+log of their document rate among positives over that among unlabelled texts. A numpy network is trained on what each
+half's lexicon says of the other half's texts, by the risk estimator
 
     prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)])
 
@@ -115,14 +115,16 @@ def evidence_features(hashes: np.ndarray, first: np.ndarray, lexicon: Lexicon) -
 
 @dataclass
 class ToxicityModel:
-    lexicon: Lexicon
+    lexica: tuple[Lexicon, Lexicon]
     network: Network
     prior: float
 
     def score(self, column: pa.Array) -> np.ndarray:
+        """The mean of what the network says by either half's lexicon, each as strange to the text as in training."""
         out = np.empty(len(column))
         for a, b, data, offsets in K.slices(column):
-            out[a:b] = self.network.score(evidence_features(*word_features(data, offsets), self.lexicon))
+            words = word_features(data, offsets)
+            out[a:b] = np.mean([self.network.score(evidence_features(*words, lexicon)) for lexicon in self.lexica], axis=0)
         return out
 
 
@@ -142,21 +144,24 @@ def fit_nnpu(net: Network, x: np.ndarray, positive: np.ndarray, prior: float, ep
     net.fit(x, slope, epochs=epochs, batch=512)
 
 
+def _evidence(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    rows = [evidence_features(*word_features(data, offsets), lexicon) for _, _, data, offsets in K.slices(texts)]
+    return np.concatenate([*rows, np.zeros((0, 1 + 2 * len(LEVELS)), np.float32)])
+
+
 def train(texts: pa.Array, toxic: np.ndarray, half: np.ndarray) -> ToxicityModel:
-    """half marks the rows that give the lexicon. Without positives every score is low."""
+    """half marks one half of the rows; each half's lexicon describes the other half to the network. Without positives every score is low."""
     positive = toxic == 1
     prior = float(positive.mean()) if len(positive) else 0.0
-    lexicon = build_lexicon(texts, positive, half)
-    rows = [evidence_features(*word_features(data, offsets), lexicon) for _, _, data, offsets in K.slices(texts)]
-    x = np.concatenate([*rows, np.zeros((0, 1 + 2 * len(LEVELS)), np.float32)])
+    lexica = build_lexicon(texts, positive, half), build_lexicon(texts, positive, ~half)
+    x = np.where(half[:, None], _evidence(texts, lexica[1]), _evidence(texts, lexica[0]))
     net = Network(x.shape[1], hidden=8)
-    rest = ~half if (~half).any() else half
-    if rest.any() and positive[rest].any():
-        fit_nnpu(net, x[rest], positive[rest], prior)
+    if positive.any():
+        fit_nnpu(net, x, positive, prior)
     else:
         net.w[2] *= 0
         net.w[3] = np.array([-6.0])
-    return ToxicityModel(lexicon, net, prior)
+    return ToxicityModel(lexica, net, prior)
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:

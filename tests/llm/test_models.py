@@ -24,7 +24,7 @@ def labelled(n=900, seed=3):
             for _ in range(max(1, len(w) // 15)):
                 w.insert(rng.randrange(len(w)), rng.choice(bad))
         if low:
-            w = [x.upper() + "!!" for x in w] if i % 4 else [w[0]] * len(w)
+            w = [x.upper() + "!!" for x in w] if i % 4 or rude else [w[0]] * len(w)
         texts.append(" ".join(w))
         good.append(not low)
         toxic.append(rude)
@@ -52,9 +52,11 @@ def test_quality_with_little_to_learn_from():
 def test_temperature_softens_false_certainty():
     net = quality.Network(1)
     net.logits = lambda x: x[:, 0] * 20
-    x, y = np.array([[1.0], [1.0], [1.0], [-1.0]]), np.array([1, 1, 0, 0])
+    x, y = np.array([[1.0], [1.0], [1.0], [-1.0]] * 50), np.array([1, 1, 0, 0] * 50)
     net.calibrate(x, y)
     assert net.temperature > 4
+    net.calibrate(x[:1], y[:1])
+    assert 0.5 < net.temperature < 2
 
 
 def test_toxicity_learns_from_positives_and_the_rest():
