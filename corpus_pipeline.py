@@ -15,6 +15,9 @@ from quillmark.llm.near_dedup import near_deduplicated
 from quillmark.llm.quality import good_documents
 from quillmark.llm.token_output import default_tokenizer, read_index, write_tokens
 
+#: Words in a shingle of the near_dedup stage; the 2 of op3 is that query's own.
+SHINGLE = 5
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -22,8 +25,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    return near_deduplicated(docs)
+    """One document of each near-duplicate group, by shingles of five words, stays: the one with the smallest id."""
+    return near_deduplicated(docs, SHINGLE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Near-duplicate groups by one-permutation MinHash with optimal densification, bands and stars.
 
-A document's set is that of its distinct 2-word shingles. One hash of each shingle gives its bin (high bits) and its
+A document's set is that of its distinct shingles of k words: 2 in op3, as many as the caller says elsewhere. One hash of each shingle gives its bin (high bits) and its
 value; a bin keeps its smallest value, and an empty bin takes that of the first full bin in a probe order that is the
 same for all documents. Bands of bins are bucket keys. Documents of equal sets are one node from the start. Within a
 bucket only pairs of the centre and another node are candidates (a star), so their number stays below that of the
@@ -99,13 +99,13 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, n (set size), s1, s2 (digest of the set), sig (a byte for each bin), bands of docs(doc_id, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in K.slices(batch.column(1)):
-                sets = shingle_sets(data, offsets)
+                sets = shingle_sets(data, offsets, k)
                 full = np.array([len(s) > 0 for s in sets])
                 s = signatures(sets)
                 digests = np.array([divmod(xxhash.xxh3_128_intdigest(x.tobytes()), 1 << 64) for x in sets], dtype=np.uint64).view(np.int64)
@@ -120,13 +120,13 @@ def sign(docs: DataFrame) -> DataFrame:
     return base.mapInArrow(tidied(scan), "doc_id long, n long, s1 long, s2 long, sig binary, bands array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, k: int = SHINGLE) -> DataFrame:
     """node, set (sorted shingle hashes, 8 bytes each) of the documents whose ids are in ids(node)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in K.slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], ["node", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s.tobytes() for s in shingle_sets(data, offsets, k)], pa.binary())], ["node", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text"))
     return texts.join(ids, "node", "left_semi").mapInArrow(tidied(scan), "node long, set binary")
@@ -151,13 +151,13 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirm(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, signed: DataFrame, docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) that are links, written."""
     sigs = signed.select(F.col("doc_id").alias("node"), "sig")
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     alike = written(both.select("a", "b", "sig_a", "sig_b").mapInArrow(tidied(_alike), "a long, b long").distinct(), "near-alike")
     ids = written(alike.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ids")
-    sets = sets_of(docs, ids)
+    sets = sets_of(docs, ids, k)
     whole = alike.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return written(whole.select("a", "b", "set_a", "set_b").mapInArrow(tidied(_linked), "a long, b long").distinct(), "near-links", batch=100)
 
@@ -252,7 +252,7 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def cross_links(mixed: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+def cross_links(mixed: DataFrame, signed: DataFrame, docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """Links (a, b) between different components in mixed(key, node, comp, total), written."""
     parts = F.ceil(F.col("total") / PART).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
@@ -264,11 +264,11 @@ def cross_links(mixed: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFra
     dense_from = DENSE
     found = written(whole(blocks).mapInArrow(tidied(lambda batches: _promising(batches, dense_from)), "key long, i int, j int, a long, b long"), "near-promising")
     sparse = found.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = confirm(sparse, signed, docs)
+    links = confirm(sparse, signed, docs, k)
     dense = found.where("a IS NULL").select("key", "i", "j")
     if not dense.isEmpty():
         full = blocks.join(dense, ["key", "i", "j"], "left_semi").select("key", "i", "j", "part", "comp", "node", "n", "sig", "bands")
-        sets = sets_of(docs, full.select("node").distinct()).dropDuplicates(["node"])
+        sets = sets_of(docs, full.select("node").distinct(), k).dropDuplicates(["node"])
         joined = full.join(sets, "node").select("key", "i", "j", "part", "comp", "node", "n", "sig", "bands", "set")
         links = links.union(written(whole(joined).mapInArrow(tidied(_joining), "a long, b long"), "near-joining", batch=100))
     return links
@@ -289,13 +289,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_components(docs: DataFrame) -> DataFrame:
+def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text).
 
     Null and empty texts have no shingles and are linked with nothing. Rows that share a doc_id are one node; a row whose
     doc_id is null is linked with nothing, has a null component_id and is kept. An empty table gives no rows.
     """
-    signed = written(sign(docs), "near-signed")
+    signed = written(sign(docs, k), "near-signed")
     known = signed.where("n > 0 AND doc_id IS NOT NULL")
     first = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
     members = signed.select("doc_id", "n", "s1", "s2").join(first, ["s1", "s2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
@@ -305,12 +305,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     rows = written(rows, "near-bands")
     centres = rows.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
     buckets = written(rows.join(centres, "key"), "near-buckets")
-    links = confirm(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), known, docs)
+    links = confirm(buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), known, docs, k)
     labels = components(links)
     placed = buckets.select("key", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).distinct()
     counts = placed.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.sum("size").alias("total"), F.count("*").alias("comps"))
     mixed = placed.join(counts.where("comps > 1"), "key")
-    found = cross_links(written(mixed, "near-mixed"), known, docs)
+    found = cross_links(written(mixed, "near-mixed"), known, docs, k)
     if not found.isEmpty():
         labels = components(links.union(found))
     comp = members.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -321,9 +321,9 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(spread(documents(spark, sf_dir), "doc_id", "text"))
 
 
-def near_deduplicated(docs: DataFrame) -> DataFrame:
+def near_deduplicated(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """docs with one row of each group, unchanged. Of rows that repeat a doc_id one stays; null ids all stay."""
-    kept = near_components(spread(docs, "doc_id", "text")).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = near_components(spread(docs, "doc_id", "text"), k).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     names = [F.col(f"`{c}`") for c in docs.columns]
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*names).union(docs.where("doc_id IS NULL").select(*names))
 

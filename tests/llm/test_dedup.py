@@ -1,8 +1,10 @@
+import functools
 import hashlib
 import random
 
 import pytest
 
+import corpus_pipeline
 from quillmark.llm import near_dedup, repeats, substring_dedup, suffix_dedup
 from quillmark.llm.exact_dedup import exact_dedup
 from tests.llm import brute
@@ -69,6 +71,17 @@ def test_near_odd_tables(spark, texts):
     assert sorted(r["doc_id"] for r in left.collect()) == [0, 2] and left.columns == docs.columns
 
 
+def test_near_copies_in_the_pipeline_share_five_words(spark, texts, monkeypatch):
+    """Three words of a hundred differ: 0.89 by shingles of two words, 0.73 by five."""
+    words = [f"t{i}" for i in range(100)]
+    other = [f"n{i}" if i in (20, 50, 80) else w for i, w in enumerate(words)]
+    pair = brute.frame(spark, [" ".join(words), " ".join(other), " ".join([*words, "end"])])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, pair, "").collect()) == [0, 1]
+    monkeypatch.setattr(brute, "shingles", functools.partial(brute.shingles, k=5))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(brute.frame(spark, texts), 5).collect()}
+    assert got == brute.near_components(list(enumerate(texts)))
+
+
 @pytest.mark.parametrize("group", [8192, 2])
 def test_bytes(spark, texts, group, monkeypatch):
     """Both with groups that fit a block and with windows counted one by one."""
