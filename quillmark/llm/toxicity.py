@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; all other texts of the sample, whatever their label says, are unlabelled and
-hold positives at the rate of the class prior. A half of the sample gives a lexicon: words and word beginnings with the
+Confirmed toxic texts are the positives. The unlabelled texts are a sample of all documents without regard to their
+labels; they hold positives at the rate of the class prior, which is estimated from the two samples. A half of the sample gives a lexicon: words and word beginnings with the
 log of their document rate among positives over that among unlabelled texts. A numpy network is trained on what each
 half's lexicon says of the other half's texts, by the risk estimator
 
@@ -17,13 +17,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmark.llm import kernel as K
-from quillmark.llm.common import documents, spread, table
-from quillmark.llm.quality import Network, _sigmoid, labelled_sample, score_documents
+from quillmark.llm.common import documents, spread, table, text_of
+from quillmark.llm.quality import Network, _sigmoid, held_out, score_documents
 
-#: About so many labelled rows, chosen by a hash of the id, train the model.
+#: About so many unlabelled rows and confirmed toxic ones, chosen by a hash of the id, train the model.
 SAMPLE_ROWS = 10000
+POSITIVE_ROWS = 2000
+#: The prior's estimate is taken for wrong above this: toxic texts are the lesser part.
+MOST_PRIOR = 0.5
 THRESHOLD = 0.3
 #: Bytes of word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5)
@@ -86,13 +90,16 @@ def _doc_rates(texts: pa.Array, use: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return merged()
 
 
-def build_lexicon(texts: pa.Array, positive: np.ndarray, use: np.ndarray) -> Lexicon:
+def build_lexicon(texts: pa.Array, positive: np.ndarray, unlabelled: np.ndarray, use: np.ndarray) -> Lexicon:
     keys, n = _doc_rates(texts, use & positive)
     keys, n = keys[n >= LEAST_SUPPORT], n[n >= LEAST_SUPPORT]
-    every, m = _doc_rates(texts, use)
-    among = m[np.searchsorted(every, keys)] if len(keys) else n
+    every, m = _doc_rates(texts, use & unlabelled)
+    among = np.zeros(len(keys), np.int64)
+    if len(every):
+        at = np.minimum(np.searchsorted(every, keys), len(every) - 1)
+        among = np.where(every[at] == keys, m[at], 0)
     rate = lambda k, total: (k + 0.5) / (total + 1)
-    evidence = np.log(rate(n, (use & positive).sum()) / rate(among, use.sum())).astype(np.float32)
+    evidence = np.log(rate(n, (use & positive).sum()) / rate(among, (use & unlabelled).sum())).astype(np.float32)
     keep = evidence >= LEAST_EVIDENCE
     return Lexicon(keys[keep], evidence[keep])
 
@@ -128,17 +135,36 @@ class ToxicityModel:
         return out
 
 
-def fit_nnpu(net: Network, x: np.ndarray, positive: np.ndarray, prior: float, epochs: int = 60) -> None:
-    """Logistic loss. positive marks the confirmed rows; every row counts as unlabelled."""
+def class_prior(score: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, share: float) -> float:
+    """The share of positives among unlabelled rows, by the best bin: the least ratio of the shares of both above a score.
+
+    The bin is the one of the least upper bound, at 90 % confidence, so thin bins don't win by chance. The estimate is too
+    high where no score is reached by positives only, so share, that of the confirmed rows among those with a label, is
+    taken where it is less.
+    """
+    p, u = np.sort(score[positive]), np.sort(score[unlabelled])
+    if not len(p) or not len(u):
+        return min(share, MOST_PRIOR)
+    bins = np.unique(p)
+    q_p = 1 - np.searchsorted(p, bins) / len(p)
+    q_u = 1 - np.searchsorted(u, bins) / len(u)
+    unsure = np.sqrt(np.log(40) / 2 / len(p)) + np.sqrt(np.log(40) / 2 / len(u))
+    best = np.argmin((q_u + unsure) / q_p)
+    return float(min(q_u[best] / q_p[best], share, MOST_PRIOR))
+
+
+def fit_nnpu(net: Network, x: np.ndarray, positive: np.ndarray, prior: float, epochs: int = 60, unlabelled: np.ndarray | None = None) -> None:
+    """Logistic loss. positive marks the confirmed rows, unlabelled those that count as such (every row if not given)."""
+    free = np.ones(len(x), bool) if unlabelled is None else unlabelled
 
     def slope(rows: np.ndarray, z: np.ndarray) -> np.ndarray:
-        s, p = _sigmoid(z), positive[rows]
+        s, p, u = _sigmoid(z), positive[rows], free[rows]
         out = np.zeros(len(rows))
         if p.any():
             out[p] += prior * (s[p] - 1) / p.sum()
-        part_u, part_p = s / len(rows), np.where(p, prior * s / max(p.sum(), 1), 0)
+        part_u, part_p = np.where(u, s / max(u.sum(), 1), 0), np.where(p, prior * s / max(p.sum(), 1), 0)
         loss = np.logaddexp(0, z)
-        negative = loss.mean() - (prior * loss[p].mean() if p.any() else 0)
+        negative = (loss[u].mean() if u.any() else 0) - (prior * loss[p].mean() if p.any() else 0)
         return out + (part_u - part_p) if negative >= 0 else -(part_u - part_p)
 
     net.fit(x, slope, epochs=epochs, batch=512)
@@ -149,24 +175,49 @@ def _evidence(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     return np.concatenate([*rows, np.zeros((0, 1 + 2 * len(LEVELS)), np.float32)])
 
 
-def train(texts: pa.Array, toxic: np.ndarray, half: np.ndarray) -> ToxicityModel:
-    """half marks one half of the rows; each half's lexicon describes the other half to the network. Without positives every score is low."""
+def train(texts: pa.Array, toxic: np.ndarray, half: np.ndarray, unlabelled: np.ndarray | None = None, share: float | None = None) -> ToxicityModel:
+    """toxic is 1 for confirmed rows, unlabelled marks the rows of the unlabelled sample (every row if not given).
+
+    half marks one half of the rows; each half's lexicon describes the other half to the network. Without positives every score is low.
+    """
     positive = toxic == 1
-    prior = float(positive.mean()) if len(positive) else 0.0
-    lexica = build_lexicon(texts, positive, half), build_lexicon(texts, positive, ~half)
+    free = np.ones(len(positive), bool) if unlabelled is None else unlabelled
+    lexica = build_lexicon(texts, positive, free, half), build_lexicon(texts, positive, free, ~half)
     x = np.where(half[:, None], _evidence(texts, lexica[1]), _evidence(texts, lexica[0]))
+    prior = class_prior(x[:, 0], positive, free, share if share is not None else float(positive.mean()) if len(positive) else 0.0)
     net = Network(x.shape[1], hidden=8)
     if positive.any():
-        fit_nnpu(net, x, positive, prior)
+        fit_nnpu(net, x, positive, prior, unlabelled=free)
     else:
         net.w[2] *= 0
         net.w[3] = np.array([-6.0])
     return ToxicityModel(lexica, net, prior)
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    sample = labelled_sample(docs, labels, "toxic", rows)
-    return train(sample.column("text"), sample.column("label").to_numpy(), sample.column("part").to_numpy() < 4)
+def sampled(docs: DataFrame, labels: DataFrame, rows: int, positives: int) -> pa.Table:
+    """text, toxic (1 if confirmed), unlabelled, part of two samples outside the held-out remainder 2, in order of id.
+
+    About `rows` documents are drawn whatever their label, and about `positives` of the confirmed toxic ones; one that is in
+    both samples has a row of each. part is 0 to 7. The few confirmed ids are broadcast, so that texts aren't shuffled.
+    """
+    texts = spread(docs, "doc_id", "text").where(~held_out())
+    known = spread(labels, "doc_id", "toxic").where((F.col("toxic") == 1) & ~held_out()).select("doc_id").distinct()
+
+    def drawn(frame: DataFrame, most: int, salt: str):
+        n = frame.count()
+        return F.lit(True) if n <= most else F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1 << 20)) < int((1 << 20) * most / n)
+
+    confirmed = texts.join(F.broadcast(known.where(drawn(known, positives, "toxic"))), "doc_id").select("doc_id", "text", F.lit(1).alias("toxic"), F.lit(False).alias("unlabelled"))
+    free = texts.where(drawn(texts, rows, "unlabelled")).select("doc_id", "text", F.lit(0).alias("toxic"), F.lit(True).alias("unlabelled"))
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(8)).cast("int").alias("part")
+    return free.union(confirmed).select("doc_id", text_of().alias("text"), "toxic", "unlabelled", part).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, positives: int = POSITIVE_ROWS) -> ToxicityModel:
+    sample = sampled(docs, labels, rows, positives)
+    share = spread(labels, "doc_id", "toxic").where(~held_out()).agg(F.avg("toxic")).first()[0] or 0.0
+    free = sample.column("unlabelled").to_numpy().astype(bool)
+    return train(sample.column("text"), sample.column("toxic").to_numpy(), sample.column("part").to_numpy() < 4, free, share)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

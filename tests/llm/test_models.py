@@ -69,6 +69,17 @@ def test_toxicity_learns_from_positives_and_the_rest():
     assert model.score(pa.array([long]))[0] < 0.3
 
 
+def test_toxicity_learns_from_texts_without_a_label(spark):
+    """Only some toxic texts carry a label, and none that isn't: the rest must serve as unlabelled, at a prior of its own."""
+    texts, _, toxic = labelled()
+    docs = brute.frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 600, 14)], "doc_id long, toxic int")
+    model = toxicity.toxicity_model(docs, labels)
+    assert 0.08 < model.prior < 0.25
+    found = model.score(pa.array(texts[600:])) >= 0.3
+    assert found[toxic[600:] == 1].mean() > 0.9 and found[toxic[600:] == 0].mean() < 0.1
+
+
 def test_toxicity_without_positives():
     model = toxicity.train(pa.array(["a", "b"]), np.zeros(2, int), np.array([True, False]))
     assert model.score(pa.array(["a", ""])).max() < 0.3
