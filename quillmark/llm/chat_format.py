@@ -1,7 +1,8 @@
 """Chat formatting: canonical turns from differently shaped tables, one marked text per conversation, and back.
 
 A table's nested field paths are hashed; the hash selects a declarative mapping that says where roles and texts lie.
-The same is done row by row for JSON payloads, through the schema of each value. Everything is DataFrame expressions.
+Where columns of several layouts stand side by side, and for JSON payloads, each row goes by the layout that it fills.
+Everything is DataFrame expressions.
 
 Template: ``<|im_start|>`` role newline text ``<|im_end|>`` newline, for each turn. Inside texts every ``<``, any
 number of backslashes, ``|`` gets one more backslash, so no control string is left in them and the way back is exact.
@@ -58,7 +59,8 @@ def _pair(user: str, assistant: str, more: str | None = None) -> Callable:
         asked = at(user).cast("string")
         if more:
             extra = F.coalesce(at(more).cast("string"), F.lit(""))
-            asked = F.concat(F.coalesce(asked, F.lit("")), F.when(extra != "", F.concat(F.lit("\n"), extra)).otherwise(""))
+            whole = F.concat(F.coalesce(asked, F.lit("")), F.when(extra != "", F.concat(F.lit("\n"), extra)).otherwise(""))
+            asked = F.when(asked.isNotNull() | at(more).isNotNull(), whole)
         return F.array(_turn(F.lit("user"), asked), _turn(F.lit("assistant"), at(assistant)))
 
     return turns
@@ -106,52 +108,67 @@ def select_layout(schema: T.StructType) -> Layout:
     return whole[0]
 
 
+def _tops(layout: Layout) -> list[str]:
+    return sorted({p.split("[")[0] for p in layout.paths})
+
+
+def _filled(layouts: list[Layout], turns: dict[str, Column], may: dict[str, Column] | None = None) -> Column:
+    """(name, turns) of the first layout that a row fills throughout, or else in part; null where it fills none.
+
+    A part of a pair is a text of it, as its roles are given; a list is filled by any turn. may says where a layout counts.
+    """
+
+    def hit(x: Layout, throughout: bool) -> Column:
+        said = turns[x.name]
+        if throughout:
+            full = (F.size(said) > 0) & F.forall(said, lambda t: t["text"].isNotNull())
+        else:
+            full = F.size(said) > 0 if "[]" in x.paths[0] else F.exists(said, lambda t: t["text"].isNotNull() | (t["role"].isNotNull() if x.turns is None else F.lit(False)))
+        return full & may[x.name] if may else full
+
+    kind = "struct<name:string,turns:array<struct<role:string,text:string>>>"
+    one = lambda x: F.struct(F.lit(x.name).alias("name"), turns[x.name].alias("turns")).cast(kind)
+    return F.coalesce(*[F.when(hit(x, t), one(x)) for t in (True, False) for x in layouts])
+
+
 def canonical_turns(df: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text from any known layout. Rows without a conv_id column are numbered by their content."""
-    layout = select_layout(df.schema)
-    if layout.turns is None:
+    """conv_id, turn, role, text from any known layout. Rows without a conv_id column are numbered by their content.
+
+    Where the columns of several layouts are there in full, as in a union of sources, each row goes by the one it fills.
+    A row that fills none gives one row with null turn, role and text, so that nothing is lost unseen.
+    """
+    main = select_layout(df.schema)
+    paths = set(nested_paths(df.schema))
+    layouts = sorted((x for x in LAYOUTS if set(x.paths) <= paths), key=lambda x: (-len(x.paths), x.name))
+    if main.turns is None and len(layouts) == 1:
         return spread(df, "conv_id", "turn", "role", "text")
     names = {f.name.lower(): f.name for f in df.schema.fields}
     at = lambda path: F.col(f"`{names[path]}`")
     key = at("conv_id") if "conv_id" in names else F.xxhash64(F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in df.schema.fields])))
-    flat = df.select(key.alias("conv_id"), F.posexplode(layout.turns(at)).alias("turn", "said"))
-    return flat.select("conv_id", F.col("turn").cast("long").alias("turn"), "said.role", "said.text")
-
-
-#: The schema that a JSON value of each layout has, as Spark writes it.
-JSON_SCHEMAS = {
-    "messages": "OBJECT<messages: ARRAY<OBJECT<content: STRING, role: STRING>>>",
-    "from_value": "OBJECT<conversations: ARRAY<OBJECT<from: STRING, value: STRING>>>",
-    "prompt_response": "OBJECT<prompt: STRING, response: STRING>",
-    "prompt_completion": "OBJECT<completion: STRING, prompt: STRING>",
-    "instruction": "OBJECT<instruction: STRING, output: STRING>",
-    "instruction_input": "OBJECT<input: STRING, instruction: STRING, output: STRING>",
-}
-_SHAPES = {
-    "messages": "struct<messages:array<struct<role:string,content:string>>>",
-    "from_value": "struct<conversations:array<struct<from:string,value:string>>>",
-    "prompt_response": "struct<prompt:string,response:string>",
-    "prompt_completion": "struct<prompt:string,completion:string>",
-    "instruction": "struct<instruction:string,output:string>",
-    "instruction_input": "struct<instruction:string,input:string,output:string>",
-}
+    said = {x.name: x.turns(at) if x.turns else F.array(_turn(at("role"), at("text"))) for x in layouts}
+    own = at("turn").cast("long") if main.turns is None else F.lit(None).cast("long")
+    rows = df.select(key.alias("conv_id"), own.alias("own"), _filled(layouts, said).alias("found"))
+    flat = rows.select("conv_id", "own", F.col("found.name").alias("name"), F.posexplode_outer("found.turns").alias("at", "said"))
+    turn = F.when(F.col("name") == "rows_by_turn", F.col("own")).otherwise(F.col("at").cast("long"))
+    return flat.select("conv_id", turn.alias("turn"), "said.role", "said.text")
+
+
+#: All that a JSON value of any layout may hold.
+_JSON = "struct<messages:array<struct<role:string,content:string>>,conversations:array<struct<from:string,value:string>>,prompt:string,response:string,completion:string,instruction:string,input:string,output:string>"
 
 
 def json_turns(df: DataFrame, key: str, payload: str) -> DataFrame:
     """conv_id, layout, turn, role, text from a column of JSON values of mixed layouts.
 
-    Each value's own schema is hashed to find its mapping. A value of no known layout, or that isn't JSON, gives one row
-    with null layout, turn, role and text, so that nothing is lost unseen.
+    A value has a layout when it has all its keys, whatever other keys or nulls are there. A value of no known layout, or
+    that isn't JSON, gives one row with null layout, turn, role and text, so that nothing is lost unseen.
     """
-    seen = F.sha2(F.schema_of_variant(F.try_parse_json(F.col(payload))), 256)
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for x in LAYOUTS:
-        if x.name in JSON_SCHEMAS:
-            hit = seen == hashlib.sha256(JSON_SCHEMAS[x.name].encode()).hexdigest()
-            value = F.from_json(F.col(payload), _SHAPES[x.name])
-            layout = F.when(hit, x.name).otherwise(layout)
-            turns = F.when(hit, x.turns(lambda path, v=value: v[path])).otherwise(turns)
-    flat = df.select(F.col(key).alias("conv_id"), layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "said"))
+    layouts = sorted((x for x in LAYOUTS if x.turns), key=lambda x: (-len(x.paths), x.name))
+    keys = F.when(F.try_parse_json(F.col(payload)).isNotNull(), F.json_object_keys(F.col(payload)))
+    read = df.select(F.col(key).alias("conv_id"), keys.alias("keys"), F.from_json(F.col(payload), _JSON).alias("value"))
+    may = {x.name: F.coalesce(F.size(F.array_intersect("keys", F.array(*map(F.lit, _tops(x))))) == len(_tops(x)), F.lit(False)) for x in layouts}
+    found = read.select("conv_id", _filled(layouts, {x.name: x.turns(lambda path: F.col("value")[path]) for x in layouts}, may).alias("found"))
+    flat = found.select("conv_id", F.col("found.name").alias("layout"), F.posexplode_outer("found.turns").alias("turn", "said"))
     return flat.select("conv_id", "layout", F.col("turn").cast("long").alias("turn"), "said.role", "said.text")
 
 

@@ -112,6 +112,24 @@ def test_json_layouts_row_by_row(spark):
     assert [(r["conv_id"], r["layout"], r["text"]) for r in got] == [(1, "messages", "q"), (2, "prompt_response", "p"), (2, "prompt_response", "r"), (3, None, None), (4, None, None), (5, None, None)]
 
 
+def test_layouts_of_a_mixed_table(spark):
+    fields = "conv_id long, turn long, role string, text string, messages array<struct<role:string,content:string>>, prompt string, response string"
+    rows = [(1, 7, "user", "u", None, None, None), (2, None, None, None, [("user", "q"), ("gpt", None)], None, None), (3, None, None, None, None, "p", "r"), (4, None, None, None, [], "p", None), (5, *[None] * 6)]
+    want = [(1, 7, "user", "u"), (2, 0, "user", "q"), (2, 1, "assistant", None), (3, 0, "user", "p"), (3, 1, "assistant", "r"), (4, 0, "user", "p"), (4, 1, "assistant", None), (5, None, None, None)]
+    for drop in ([], ["turn", "role", "text"]):
+        got = C.canonical_turns(spark.createDataFrame(rows, fields).drop(*drop)).orderBy("conv_id", "turn").collect()
+        assert [tuple(r) for r in got] == ([(1, None, None, None), *want[1:]] if drop else want)
+
+
+def test_json_layouts_with_more_keys_and_nulls(spark):
+    values = [{"messages": [{"role": "user", "content": None, "name": "x"}], "id": 3}, {"prompt": "p", "response": "r", "n": [1]}, {"instruction": "do", "input": None, "output": "o"}, {"prompt": "p"}]
+    got = C.json_turns(spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "id long, body string"), "id", "body").orderBy("conv_id", "turn").collect()
+    assert [(r["conv_id"], r["layout"], r["role"], r["text"]) for r in got] == [
+        (0, "messages", "user", None), (1, "prompt_response", "user", "p"), (1, "prompt_response", "assistant", "r"),
+        (2, "instruction_input", "user", "do"), (2, "instruction_input", "assistant", "o"), (3, None, None, None),
+    ]
+
+
 @given(st.text(alphabet="<|\\>a\n", max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_escape_has_an_inverse_and_leaves_no_control_string(text):
