@@ -18,6 +18,8 @@ HASHED = {
     "sessions": ("session_id", "root_session_id", "kind", "cwd", "git_branch", "first_ts", "last_ts"),
     "observations": ("obs_id", "session_id", "type", "ts", "body"),
 }
+#: Times that say which of two rows of a key is the later one, the first that is known.
+TIMES = {"records": ("updated_at", "created_at"), "sessions": ("last_ts", "first_ts"), "observations": ("ts",)}
 
 
 @dataclass
@@ -39,6 +41,14 @@ def hashed(df: DataFrame, table: str) -> DataFrame:
     return df.withColumn("src_hash", row_hash(*_text(df, HASHED[table])))
 
 
+def coalesced(batch: DataFrame, table: str) -> DataFrame:
+    """One row per key of a hashed batch: the latest by time, then by hash; records keep their first created_at and latest updated_at."""
+    times = [F.col(c).cast("timestamp") for c in TIMES[table] if c in batch.columns] or [F.lit(None).cast("timestamp")]
+    ordered = batch.withColumn("_order", F.struct(F.coalesce(*times).alias("at"), F.col("src_hash")))
+    known = lambda c: (c,) if table == "records" and c in batch.columns else ()
+    return merge.coalesce_batch(ordered, KEYS[table], "_order", first=known("created_at"), latest=known("updated_at")).drop("_order")
+
+
 def write(store: Store, source: str, frames: dict[str, DataFrame], cursor: str | None = None) -> Report:
     """Merge the frames of one source into the store and move its cursor, in one commit.
 
@@ -51,7 +61,7 @@ def write(store: Store, source: str, frames: dict[str, DataFrame], cursor: str |
         if table not in frames:
             continue
         batch, stored, key = hashed(frames[table], table), store.read(table), KEYS[table]
-        batch = joins.newest_wins(batch, key, F.col("src_hash"))
+        batch = coalesced(batch, table)
         if table == "observations":
             known = store.read("sessions").select("session_id").union(frames["sessions"].select("session_id")) if "sessions" in frames else store.read("sessions").select("session_id")
             report.orphans = joins.orphans(batch, known).count()

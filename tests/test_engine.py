@@ -121,6 +121,17 @@ def test_ingest_is_idempotent_and_redacts(spark, tmp_path):
         store.commit({}, base=1)
 
 
+def test_the_later_version_of_a_batch_is_stored(spark, tmp_path):
+    fields = "stable_id string, source string, subject string, body string, tags array<string>, created_at timestamp, updated_at timestamp"
+    versions = [(f"r:{i}", "dropbox", "s", f"{what} {i}", None, created, updated) for i in range(8) for what, created, updated in (("new", None, at(7)), ("old", at(1), at(5)))]
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.ready()
+    ingest.write(store, "dropbox", {"records": spark.createDataFrame(versions, fields)})
+    rows = store.read("records").collect()
+    assert sorted(r["body"] for r in rows) == [f"new {i}" for i in range(8)]
+    assert {(r["created_at"].day, r["updated_at"].day) for r in rows} == {(1, 7)}
+
+
 def test_orphans_are_left_out(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     sessions = testbed.sessions(spark, SF)
