@@ -1,8 +1,8 @@
-"""Substring deduplication by seeds and extension.
+"""Substring deduplication by seeds and hashed windows around them.
 
-Documents meet on winnowed anchors of a few words (see repeats.py). From an anchor that several places share, matches
-are extended to the left and to the right over equal words, all places at once: places whose extensions to both ends of
-a window agree hold the same window. Runs of such windows are the maximal repeats over the length.
+Documents meet on winnowed anchors of a few words (see repeats.py). Where several places share an anchor, each window
+around it is keyed by hashes of its words to the left of the anchor, in it and to the right: places of equal keys hold
+the same window. The unions of such windows are the maximal repeats over the length; words aren't compared one by one.
 """
 
 from __future__ import annotations
