@@ -322,10 +322,25 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_deduplicated(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """docs with one row of each group, unchanged. Of rows that repeat a doc_id one stays; null ids all stay."""
-    kept = near_components(spread(docs, "doc_id", "text"), k).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    """docs with one row of each group, unchanged: the one of the smallest id.
+
+    Where ids repeat or are null, rows are told apart by id and text, null ids come last, and rows equal in both are one
+    row; but texts without words are linked with nothing, so those of null id all stay.
+    """
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*names).union(docs.where("doc_id IS NULL").select(*names))
+    unique = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()
+    if unique:
+        kept = near_components(spread(docs, "doc_id", "text"), k).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*names)
+    key = F.xxhash64("doc_id", text_of()).alias("key")
+    base = docs.select("doc_id", "text", key)
+    comps = near_components(base.select(F.col("key").alias("doc_id"), "text"), k).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))
+    kept = base.join(comps, "key").groupBy("component_id").agg(first.alias("first")).select("first.key")
+    bare = F.col("doc_id").isNull() & ~F.rlike(text_of(), F.lit(r"[^\x20\x09-\x0D]"))
+    rows = docs.select(F.struct(*names).alias("row"), key, bare.alias("bare")).join(kept, "key", "left_semi")
+    one = rows.where("NOT bare").dropDuplicates(["key"]).union(rows.where("bare"))
+    return one.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 SQL = r"""

@@ -82,6 +82,15 @@ def test_near_copies_in_the_pipeline_share_five_words(spark, texts, monkeypatch)
     assert got == brute.near_components(list(enumerate(texts)))
 
 
+def test_near_deduplicated_rows_that_share_an_id(spark):
+    """Ids that repeat with other texts, and null ids: only rows whose text is linked to one that stays may go."""
+    a, b, c = ("".join(f"{x}{i} " for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, c), (None, c), (None, a), (None, ""), (None, None), (4, None), (4, None)]
+    left = near_dedup.near_deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in left.collect())
+    assert got == sorted([("1", a), ("1", b), ("None", c), ("None", ""), ("None", ""), ("4", "")]) and left.columns == ["doc_id", "text"]
+
+
 @pytest.mark.parametrize("group", [8192, 2])
 def test_bytes(spark, texts, group, monkeypatch):
     """Both with groups that fit a block and with windows counted one by one."""
