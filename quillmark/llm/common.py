@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,13 +21,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where none is set (tests), a folder of our own becomes it."""
+    """The cluster's spark.checkpoint.dir, or what setCheckpointDir was given: a folder that all executors see."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillmark-")
+    if not found and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        # one process on one machine: its warehouse is what all tasks see
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quillmark-intermediate"
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
+    if not found:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -61,7 +63,7 @@ def written(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _set(spark, tidy="true", batch=str(batch)):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -110,6 +112,25 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def ids_are_keys(docs: DataFrame) -> bool:
+    """Is doc_id a number that is never null and never repeats?"""
+    number = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return number and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()
+
+
+def keyed(docs: DataFrame, whole: bool = False, by_id: bool | None = None) -> DataFrame:
+    """doc_id, text (null: empty) and key, a long that tells rows apart; if whole, also row, all columns as a struct.
+
+    The key is doc_id itself where ids_are_keys (by_id, if the caller has asked). Else rows are numbered and written once,
+    so that a task that runs again meets the same numbers.
+    """
+    rows = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    base = docs.select(F.col("doc_id"), text_of().alias("text"), *rows)
+    if ids_are_keys(docs) if by_id is None else by_id:
+        return base.withColumn("key", F.col("doc_id").cast("long"))
+    return written(base.withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
 def spread(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns only, so that a clash or an odd type in another column does no harm."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])

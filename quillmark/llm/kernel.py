@@ -1,7 +1,9 @@
-"""Vectorised text kernels over Arrow string columns: words, polynomial hashes, sliding minima.
+"""Vectorised text kernels over Arrow string columns: words, hashes, sliding minima.
 
 Everything here works on the concatenated UTF-8 bytes of a slice of documents, a few MB at a time; a longer
-document forms a slice of its own.
+document forms a slice of its own. span_keys mixes each eight bytes in turn and is what sets and words are told apart
+by; the polynomial prefix hashes are cheaper for strings that overlap, but linear, so they only say which strings to
+bring together, never that two strings are equal.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE = 1 << 21
 _U = np.uint64
@@ -82,6 +85,36 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inverse[start])
 
 
+#: Spans of more bytes are hashed one by one.
+_LONG = 1024
+_ODD = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
+#: Case-folding of A-Z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span: its bytes are taken eight at a time, and all is mixed after each step.
+
+    Two lanes (0 and 1) are independent, and together a 128-bit hash.
+    """
+    n = ends - starts
+    out = mix(n.astype(np.uint64) * _ODD[1 - lane] + _ODD[lane])
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+    live = np.flatnonzero((n > 0) & (n <= _LONG))
+    at, left = starts[live], n[live]
+    while len(live):
+        chunk = eight[at]
+        short = left < 8
+        chunk[short] &= (_U(1) << (left[short] * 8).astype(np.uint64)) - _U(1)
+        out[live] = mix((out[live] ^ chunk) * _ODD[lane] + _U(lane + 1))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(n > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=int(_ODD[lane]))
+    return out
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of non-separators; none crosses a document's end."""
     inside = ~space[data]

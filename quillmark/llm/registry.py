@@ -1,6 +1,5 @@
 """The subpackage's queries by name, and SQL for those that SQL can express."""
 
-import corpus_pipeline
 from quillmark.llm import chat_format, decontaminate, exact_dedup, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_output, toxicity
 
 QUERIES = {
@@ -14,11 +13,11 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_chat_format": chat_format.SQL,
     "op3_near_dedup": near_dedup.SQL,
+    "op4_suffix_dedup": suffix_dedup.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
