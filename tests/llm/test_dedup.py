@@ -19,20 +19,26 @@ def texts():
     return brute.corpus(random.Random(5))
 
 
-def test_exact(spark, texts):
+@pytest.mark.parametrize("digest_bytes", [32, 0])
+def test_exact(spark, texts, digest_bytes):
+    """With digests, and with the same digest for all texts."""
+    dedup = functools.partial(exact_dedup, digest_bytes=digest_bytes)
     docs = brute.frame(spark, texts)
-    got = {r["doc_id"]: r.asDict() for r in exact_dedup(docs.union(docs.limit(1))).where("doc_id > 0").collect()}
+    got = {r["doc_id"]: r.asDict() for r in dedup(docs.union(docs.limit(1))).where("doc_id > 0").collect()}
     plain = [t or "" for t in texts]
     for i, t in enumerate(plain):
         if i:
             same = [j for j, x in enumerate(plain) if x == t]
             assert got[i]["keep_id"] == max(same) and got[i]["kept"] == (i == max(same))
             assert got[i]["group_size"] == len(same) + (t == "") and got[i]["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
-    again = exact_dedup(docs.where("doc_id = 7").union(docs.where("doc_id = 7"))).collect()
+    again = dedup(docs.where("doc_id = 7").union(docs.where("doc_id = 7"))).collect()
     assert sorted(r["kept"] for r in again) == [False, True] and {r["group_size"] for r in again} == {2}
-    assert exact_dedup(docs.limit(0)).count() == 0
-    nulls = exact_dedup(docs.selectExpr("cast(null as long) doc_id", "text").limit(3)).collect()
-    assert len(nulls) == 3
+    assert dedup(docs.limit(0)).count() == 0
+    nulls = dedup(docs.selectExpr("cast(null as long) doc_id", "text").limit(3)).collect()
+    assert sorted((r["group_size"], r["kept"]) for r in nulls) == [(1, True), (2, False), (2, True)] and {r["keep_id"] for r in nulls} == {None}
+    named = dedup(docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.lit("same").alias("text")).repartition(5)).collect()
+    top = max(f"d{i}" for i in range(len(texts)))
+    assert {r["keep_id"] for r in named} == {top} and [r["doc_id"] for r in named if r["kept"]] == [top]
 
 
 @pytest.mark.parametrize(("part", "dense"), [(2048, 4), (3, 4), (2048, 0)])
