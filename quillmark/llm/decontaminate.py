@@ -9,7 +9,8 @@ documents for each, so that neither the driver nor a worker ever holds an unboun
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 from itertools import repeat
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import REMEMBERED, documents, spread, table, tidied
+from quillmark.llm.common import REMEMBERED, documents, spread, table, tidied, written
 
 WINDOW = 10
 #: Bytes of item text in one automaton.
@@ -27,6 +28,10 @@ BLOCK_BYTES = 1 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 
 
+#: The same words for Spark's expressions, once A-Z is folded or not: case makes no difference to their number.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
@@ -157,9 +162,9 @@ def _automaton(items: list[tuple[str, list[bytes]]], window: int, key: str) -> S
     return _BUILT[key]
 
 
-def _merged(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
+def _merged(spans: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
-    for s, e in sorted(a + b):
+    for s, e in sorted(spans):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -167,58 +172,77 @@ def _merged(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items with words, in blocks of about block_bytes at most."""
+def _counted_blocks(benchmark: DataFrame, block_bytes: int) -> list[Callable[[], list[tuple[str, list[bytes]]]]]:
+    """One function for each block of at most about block_bytes of item text; it fetches the block's items with words."""
     items = spread(benchmark, "item_id", "text").where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    for k in range(n):
+    n = -(-2 * size // block_bytes) if size > block_bytes else 1
+
+    def block(k: int) -> list[tuple[str, list[bytes]]]:
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        block = [(r[0] if r[0] is not None else "", words_of(r[1].encode())) for r in part.collect()]
-        if block or n == 1:
-            yield [(name, words) for name, words in block if words]
+        fetched = [(r[0] if r[0] is not None else "", words_of(r[1].encode())) for r in part.collect()]
+        return [(name, words) for name, words in fetched if words]
+
+    return [partial(block, k) for k in range(n)]
+
+
+def _pass(docs: DataFrame, at: int, items: list[tuple[str, list[bytes]]], window: int, hit_only: bool) -> DataFrame:
+    """docs with n_words, spans and items by one block of items; if hit_only, just the rows that are hit."""
+    key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
+    held = docs.sparkSession.sparkContext.broadcast(items)
+    schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items")).schema
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = _automaton(held.value, window, key)
+        get, least = auto.vocab.get, auto.least
+        for batch in batches:
+            n_words: list[int] = []
+            spans: list[list] = [[]] * batch.num_rows
+            names: list[list] = [[]] * batch.num_rows
+            for row, text in enumerate(batch.column(at).cast(pa.large_binary())):
+                words = words_of(text.as_py())
+                n_words.append(len(words))
+                if len(words) < least:
+                    continue
+                ids = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], ids >= 0, [False]]).view(np.int8)))
+                own: list[list[int]] = []
+                found: set[str] = set()
+                for a, b in edge.reshape(-1, 2)[np.diff(edge)[::2] >= least].tolist() if len(edge) else ():
+                    auto.stream(ids[a:b].tolist(), a, own, found)
+                if own:
+                    spans[row] = _merged(own)
+                    names[row] = sorted(found)
+            columns = [*batch.columns, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(names, pa.list_(pa.string()))]
+            out = pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield out.filter(pa.array([bool(x) for x in spans], pa.bool_())) if hit_only else out
+
+    return docs.mapInArrow(tidied(scan), schema)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words long, spans array<array<int>> (hit words, from and to) and items array<string> added.
 
     Null text has no words. Items without words hit nothing; items of the same id count as one; a null item_id has the
-    empty name. Rows that repeat are scored each. Columns of docs with those three names are replaced.
+    empty name. Rows that repeat are scored each. Columns of docs with those three names are replaced. Items of more than
+    block_bytes are dealt into blocks: each block has a pass of its own over the documents that writes hit rows only, and
+    what the passes found meets by row. An empty table gives no rows. A text is worked on as a whole.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_words", "spans", "items")])
-    fields = [*docs.schema.fields]
-    out = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    at = [f.name for f in fields].index("text")
-    schema = out.schema
-    for items in _blocks(benchmark, block_bytes):
-        key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
-        held = docs.sparkSession.sparkContext.broadcast(items)
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held, key=key) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(held.value, window, key)
-            get, least = auto.vocab.get, auto.least
-            for batch in batches:
-                n_words, spans, names = [], batch.column(len(fields) + 1).to_pylist(), batch.column(len(fields) + 2).to_pylist()
-                for row, text in enumerate(batch.column(at).cast(pa.large_binary())):
-                    words = words_of(text.as_py())
-                    n_words.append(len(words))
-                    if len(words) < least:
-                        continue
-                    ids = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], ids >= 0, [False]]).view(np.int8)))
-                    own: list[list[int]] = []
-                    found: set[str] = set()
-                    for a, b in edge.reshape(-1, 2)[np.diff(edge)[::2] >= least].tolist() if len(edge) else ():
-                        auto.stream(ids[a:b].tolist(), a, own, found)
-                    if own:
-                        spans[row] = _merged(spans[row], own)
-                        names[row] = sorted({*names[row], *found})
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(fields)], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(names, pa.list_(pa.string()))],
-                    names=batch.schema.names,
-                )
-
-        out = out.mapInArrow(tidied(scan), schema)
+    names = docs.columns
+    first, *others = _counted_blocks(benchmark, block_bytes)
+    if not others:
+        return _pass(docs, names.index("text"), first(), window, False)
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    rows = written(docs.select(row, F.col("text"), F.monotonically_increasing_id().alias("key")), "decontaminate-rows")
+    texts = rows.select("key", "text")
+    hits = [written(_pass(texts, 1, block(), window, True).select("key", "spans", "items"), "decontaminate-hits") for block in (first, *others)]
+    every = reduce(DataFrame.union, hits).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # spans of several blocks in order of their starts: those that touch become one
+    join = "aggregate(array_sort(spans), cast(array() as array<array<int>>), (a, s) -> if(size(a) > 0 AND s[0] <= element_at(a, -1)[1], concat(slice(a, 1, size(a) - 1), array(array(element_at(a, -1)[0], greatest(element_at(a, -1)[1], s[1])))), concat(a, array(s))))"
+    merged = every.select("key", F.expr(join).alias("spans"), "items")
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long").alias("n_words")
+    out = rows.join(merged, "key", "left").select(*[F.col(f"row.`{c}`") for c in names], n_words, F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out
 
 
@@ -259,6 +283,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_s
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_hits over the whole texts of documents, 10 words; nulls, ties and odd rows as stated there."""
     hits = find_hits(spread(documents(spark, sf_dir), "doc_id", "text"), table(spark, sf_dir, "benchmark"))
     hit = F.expr(N_HIT)
     return hits.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
