@@ -198,7 +198,12 @@ def held_out(column: str = "doc_id"):
 
 
 def score_documents(docs: DataFrame, model, threshold: float) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, held_out, score, predicted for each row. Null text scores as empty text."""
+    """docs(doc_id, text) -> doc_id, held_out, score, predicted for each row.
+
+    Null text scores as empty text does, and equal texts score alike; rows that repeat are scored each; a null id is not
+    held out. A score that equals the threshold is predicted 1. An empty table gives no rows; further columns are
+    ignored. A text is worked on as a whole, at some 40 bytes of memory a byte.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +215,11 @@ def score_documents(docs: DataFrame, model, threshold: float) -> DataFrame:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityModel:
+    """A model from docs(doc_id, text) and labels(doc_id, quality).
+
+    Null labels and ids are no labels; an id with two labels counts with both; null text is empty. Without rows a score
+    still comes, near 0.5.
+    """
     sample = labelled_sample(docs, labels, "quality", rows)
     return train(sample.column("text"), sample.column("label").to_numpy(), sample.column("part").to_numpy() == 0)
 
@@ -218,12 +228,17 @@ THRESHOLD = 0.7
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_documents over the whole texts of documents; nulls, ties and odd rows as stated there."""
     docs = documents(spark, sf_dir)
     return score_documents(spread(docs, "doc_id", "text"), quality_model(docs, table(spark, sf_dir, "labels")), THRESHOLD)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs that the classifier doesn't reject, unchanged; it is trained on the texts of labelled (docs if not given)."""
+    """docs that the classifier doesn't reject, unchanged; it is trained on the texts of labelled (docs if not given).
+
+    A row stays if its score reaches the threshold; null text scores as empty text, rows that repeat score alike. An empty
+    table gives no rows.
+    """
     model = quality_model(docs if labelled is None else labelled, labels)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

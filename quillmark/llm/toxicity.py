@@ -1,9 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives. The unlabelled texts are a sample of all documents without regard to their
-labels; they hold positives at the rate of the class prior, which is estimated from the two samples. A half of the sample gives a lexicon: words and word beginnings with the
-log of their document rate among positives over that among unlabelled texts. A numpy network is trained on what each
-half's lexicon says of the other half's texts, by the risk estimator
+labels; they hold positives at the rate of the class prior, which is estimated from the two samples. A half of the
+sample gives a lexicon: words and word beginnings with the log of their document rate among positives over that among
+unlabelled texts. A numpy network is trained on what each half's lexicon says of the other half's texts; this is done for
+several ways to halve the sample, as a lexicon of few positives depends on which they are. The risk estimator is
 
     prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)])
 
@@ -34,6 +35,8 @@ BEGINNINGS = (4, 5)
 LEAST_SUPPORT = 3
 LEAST_EVIDENCE = 1.0
 LEVELS = (1.5, 2.0, 3.0)
+#: Ways to halve the sample.
+WAYS = 4
 
 #: All ASCII but letters separates words.
 _NO_LETTER = np.zeros(256, dtype=bool)
@@ -53,23 +56,36 @@ def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 @dataclass
 class Lexicon:
-    """Evidence by feature hash; keys are sorted. A bit table says quickly of most hashes that they are not among them."""
+    """Evidence by feature hash; keys are sorted."""
 
     keys: np.ndarray
     evidence: np.ndarray
 
-    def __post_init__(self) -> None:
+
+class Lexica:
+    """Several lexica in one table: a row of evidence, one column a lexicon, for each key of any.
+
+    A bit table says quickly of most hashes that they are not among the keys.
+    """
+
+    def __init__(self, each: list[Lexicon]):
+        self.keys = np.unique(np.concatenate([x.keys for x in each])) if each else np.zeros(0, np.uint64)
+        self.evidence = np.zeros((len(self.keys), len(each)), np.float32)
+        for k, x in enumerate(each):
+            self.evidence[np.searchsorted(self.keys, x.keys), k] = x.evidence
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def look_up(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(hashes.shape, np.float32)
-        if len(self.keys):
-            rows = np.nonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
-            h = hashes[rows]
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            out[rows] = np.where(self.keys[at] == h, self.evidence[at], 0)
-        return out
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of hashes (words x kinds) of which some lexicon knows a feature, and their strongest evidence in each."""
+        word, kind = np.nonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
+        h = hashes[word, kind]
+        at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
+        rows, own = np.unique(word[known], return_inverse=True)
+        out = np.zeros((len(rows), self.evidence.shape[1]), np.float32)
+        np.maximum.at(out, own, self.evidence[at[known]])
+        return rows, out
 
 
 def _doc_rates(texts: pa.Array, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,34 +120,35 @@ def build_lexicon(texts: pa.Array, positive: np.ndarray, unlabelled: np.ndarray,
     return Lexicon(keys[keep], evidence[keep])
 
 
-def evidence_features(hashes: np.ndarray, first: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-    """Per document: the strongest evidence, how many words reach each level, and their share of the words."""
-    e = lexicon.look_up(hashes).max(axis=1, initial=0)
+def evidence_features(hashes: np.ndarray, first: np.ndarray, lexica: Lexica) -> np.ndarray:
+    """By lexicon and document: the strongest evidence, how many words reach each level, and their share of the words."""
+    rows, e = lexica.look_up(hashes)
     n = np.diff(first)
-    full = n > 0
-    out = np.zeros((len(n), 1 + 2 * len(LEVELS)), np.float32)
-    if full.any():
-        at = first[:-1][full]
-        out[full, 0] = np.maximum.reduceat(e, at)
+    doc = np.searchsorted(first, rows, side="right") - 1
+    out = np.zeros((e.shape[1], len(n), 1 + 2 * len(LEVELS)), np.float32)
+    for j in range(e.shape[1]):
+        np.maximum.at(out[j, :, 0], doc, e[:, j])
         for k, level in enumerate(LEVELS):
-            hits = np.add.reduceat((e >= level).astype(np.float32), at)
-            out[full, 1 + k] = np.log1p(hits)
-            out[full, 1 + len(LEVELS) + k] = np.log1p(100 * hits / n[full])
+            hits = np.bincount(doc[e[:, j] >= level], minlength=len(n))
+            out[j, :, 1 + k] = np.log1p(hits)
+            out[j, :, 1 + len(LEVELS) + k] = np.log1p(100 * hits / np.maximum(n, 1))
     return out
 
 
 @dataclass
 class ToxicityModel:
-    lexica: tuple[Lexicon, Lexicon]
-    network: Network
+    """networks[k] goes with the lexica 2 k and 2 k + 1."""
+
+    lexica: Lexica
+    networks: list[Network]
     prior: float
 
     def score(self, column: pa.Array) -> np.ndarray:
-        """The mean of what the network says by either half's lexicon, each as strange to the text as in training."""
+        """The mean of what each network says by either of its lexica, each as strange to the text as in training."""
         out = np.empty(len(column))
         for a, b, data, offsets in K.slices(column):
-            words = word_features(data, offsets)
-            out[a:b] = np.mean([self.network.score(evidence_features(*words, lexicon)) for lexicon in self.lexica], axis=0)
+            x = evidence_features(*word_features(data, offsets), self.lexica)
+            out[a:b] = np.mean([self.networks[j // 2].score(x[j]) for j in range(len(x))], axis=0)
         return out
 
 
@@ -170,35 +187,42 @@ def fit_nnpu(net: Network, x: np.ndarray, positive: np.ndarray, prior: float, ep
     net.fit(x, slope, epochs=epochs, batch=512)
 
 
-def _evidence(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    rows = [evidence_features(*word_features(data, offsets), lexicon) for _, _, data, offsets in K.slices(texts)]
-    return np.concatenate([*rows, np.zeros((0, 1 + 2 * len(LEVELS)), np.float32)])
+def _evidence(texts: pa.Array, lexica: Lexica) -> np.ndarray:
+    rows = [evidence_features(*word_features(data, offsets), lexica) for _, _, data, offsets in K.slices(texts)]
+    return np.concatenate([*rows, np.zeros((lexica.evidence.shape[1], 0, 1 + 2 * len(LEVELS)), np.float32)], axis=1)
 
 
-def train(texts: pa.Array, toxic: np.ndarray, half: np.ndarray, unlabelled: np.ndarray | None = None, share: float | None = None) -> ToxicityModel:
+def train(texts: pa.Array, toxic: np.ndarray, part: np.ndarray, unlabelled: np.ndarray | None = None, share: float | None = None) -> ToxicityModel:
     """toxic is 1 for confirmed rows, unlabelled marks the rows of the unlabelled sample (every row if not given).
 
-    half marks one half of the rows; each half's lexicon describes the other half to the network. Without positives every score is low.
+    Each bit of part halves the rows in one way. A half's lexicon describes the other half to the network of that way.
+    Without positives every score is low.
     """
     positive = toxic == 1
     free = np.ones(len(positive), bool) if unlabelled is None else unlabelled
-    lexica = build_lexicon(texts, positive, free, half), build_lexicon(texts, positive, free, ~half)
-    x = np.where(half[:, None], _evidence(texts, lexica[1]), _evidence(texts, lexica[0]))
-    prior = class_prior(x[:, 0], positive, free, share if share is not None else float(positive.mean()) if len(positive) else 0.0)
-    net = Network(x.shape[1], hidden=8)
-    if positive.any():
-        fit_nnpu(net, x, positive, prior, unlabelled=free)
-    else:
-        net.w[2] *= 0
-        net.w[3] = np.array([-6.0])
-    return ToxicityModel(lexica, net, prior)
+    halves = [(part >> way & 1) == 1 for way in range(WAYS)]
+    lexica = Lexica([build_lexicon(texts, positive, free, use) for half in halves for use in (half, ~half)])
+    every = _evidence(texts, lexica)
+    said = [np.where(half[:, None], every[2 * k + 1], every[2 * k]) for k, half in enumerate(halves)]
+    given = share if share is not None else float(positive.mean()) if len(positive) else 0.0
+    prior = float(np.mean([class_prior(x[:, 0], positive, free, given) for x in said]))
+    networks = []
+    for k, x in enumerate(said):
+        net = Network(x.shape[1], hidden=8, seed=5 + k)
+        if positive.any():
+            fit_nnpu(net, x, positive, prior, unlabelled=free)
+        else:
+            net.w[2] *= 0
+            net.w[3] = np.array([-6.0])
+        networks.append(net)
+    return ToxicityModel(lexica, networks, prior)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, rows: int, positives: int) -> pa.Table:
     """text, toxic (1 if confirmed), unlabelled, part of two samples outside the held-out remainder 2, in order of id.
 
     About `rows` documents are drawn whatever their label, and about `positives` of the confirmed toxic ones; one that is in
-    both samples has a row of each. part is 0 to 7. The few confirmed ids are broadcast, so that texts aren't shuffled.
+    both samples has a row of each. part is 0 to 2 ** WAYS - 1. The few confirmed ids are broadcast, so that texts aren't shuffled.
     """
     texts = spread(docs, "doc_id", "text").where(~held_out())
     known = spread(labels, "doc_id", "toxic").where((F.col("toxic") == 1) & ~held_out()).select("doc_id").distinct()
@@ -209,17 +233,23 @@ def sampled(docs: DataFrame, labels: DataFrame, rows: int, positives: int) -> pa
 
     confirmed = texts.join(F.broadcast(known.where(drawn(known, positives, "toxic"))), "doc_id").select("doc_id", "text", F.lit(1).alias("toxic"), F.lit(False).alias("unlabelled"))
     free = texts.where(drawn(texts, rows, "unlabelled")).select("doc_id", "text", F.lit(0).alias("toxic"), F.lit(True).alias("unlabelled"))
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(8)).cast("int").alias("part")
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(1 << WAYS)).cast("int").alias("part")
     return free.union(confirmed).select("doc_id", text_of().alias("text"), "toxic", "unlabelled", part).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, positives: int = POSITIVE_ROWS) -> ToxicityModel:
+    """A model from docs(doc_id, text) and labels(doc_id, toxic).
+
+    Null labels and ids are no labels; an id with several rows counts with each of its texts; null text is empty. Without
+    rows or without confirmed ones every score is low.
+    """
     sample = sampled(docs, labels, rows, positives)
     share = spread(labels, "doc_id", "toxic").where(~held_out()).agg(F.avg("toxic")).first()[0] or 0.0
     free = sample.column("unlabelled").to_numpy().astype(bool)
-    return train(sample.column("text"), sample.column("toxic").to_numpy(), sample.column("part").to_numpy() < 4, free, share)
+    return train(sample.column("text"), sample.column("toxic").to_numpy(), sample.column("part").to_numpy(), free, share)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_documents over the whole texts of documents; nulls, ties and odd rows as stated there."""
     docs = documents(spark, sf_dir)
     return score_documents(spread(docs, "doc_id", "text"), toxicity_model(docs, table(spark, sf_dir, "labels")), THRESHOLD)
