@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 from quillmark.evals import metrics
 from quillmark.functions import redact as R
+from quillmark.functions.porter import stem
 from quillmark.functions.scalar import fair_share
-from quillmark.functions.text import heading, slug_title, snippet, token_text, wrapped
+from quillmark.functions.text import fold, heading, slug_title, snippet, token_text, wrapped
 from quillmark.operators import aggregates as A
 from quillmark.operators import cards as C
 from quillmark.operators import joins as J
 from quillmark.operators import merge as M
 from quillmark.operators import page as P
 from quillmark.operators import search as S
+from quillmark.operators.postings import TextIndex
 from quillmark.operators.predicates import observation_rows, record_filter, session_filter
 from quillmark.plans.dsl import conjuncts, parse
 from quillmark.sources import testbed as T
@@ -86,8 +88,8 @@ query("obs_by_origin_dates", _OBS + "session_id IN (SELECT session_id FROM ses W
 # --- text ------------------------------------------------------------------------------------------------------------
 
 
-def _text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.indexed(T.records(spark, sf_dir), "body")
+def _index(spark: SparkSession, sf_dir: str, table: str = "records", stem: bool = False) -> TextIndex:
+    return T.text_index(spark, sf_dir, table, stem)
 
 
 def _text_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,22 +98,28 @@ def _text_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("text_and", "SELECT stable_id FROM rec WHERE contains(terms, ' the ') AND contains(terms, ' heha ')")
 def text_and(spark, sf_dir):
-    return _text_records(spark, sf_dir).where(S.match_all(conjuncts("the heha"))).select("stable_id")
+    return _index(spark, sf_dir).match_all(conjuncts("the heha"))
 
 
 @query("text_phrase", "SELECT stable_id FROM rec WHERE contains(terms, ' of the ') AND contains(terms, ' that ')")
 def text_phrase(spark, sf_dir):
-    return _text_records(spark, sf_dir).where(S.match_all(conjuncts('"of the" that'))).select("stable_id")
+    return _index(spark, sf_dir).match_all(conjuncts('"of the" that'))
 
 
 @query("text_none", "SELECT stable_id FROM rec WHERE false")
 def text_none(spark, sf_dir):
     """Text without word characters matches nothing."""
-    return _text_records(spark, sf_dir).where(S.match_all(conjuncts("!!!"))).select("stable_id")
+    return _index(spark, sf_dir).match_all(conjuncts("!!!"))
+
+
+@query("text_scan", "SELECT stable_id FROM rec WHERE contains(terms, ' of the ') AND contains(terms, ' that ')")
+def text_scan(spark, sf_dir):
+    """The same match without a stored index."""
+    return T.indexed(T.records(spark, sf_dir), "body").where(S.match_all(conjuncts('"of the" that'))).select("stable_id")
 
 
 def _ladder(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.ladder(_text_records(spark, sf_dir), conjuncts(text)).select("stable_id", "tier")
+    return _index(spark, sf_dir).ladder(conjuncts(text))
 
 
 _LADDER = """WITH flagged AS (SELECT stable_id, CASE WHEN {all} THEN 3 WHEN {any} THEN 2 WHEN {prefix} THEN 1 ELSE 0 END AS tier FROM rec)
@@ -121,23 +129,45 @@ query("text_ladder_strict", _LADDER.format(all=_W("of ") + " AND " + _W("thereor
 query("text_ladder_or", _LADDER.format(all="false", any=_W("que ") + " OR " + _W("zzzqq "), prefix=_W("que ") + " OR " + _W("zzzqq")))(partial(_ladder, "que zzzqq"))
 query("text_ladder_prefix", _LADDER.format(all="false", any=_W("qqzz ") + " OR " + _W("ereson "), prefix=_W("qqzz ") + " OR " + _W("ereson")))(partial(_ladder, "qqzz ereson"))
 
+
+@query("text_ladder_scan", _LADDER.format(all="false", any=_W("que ") + " OR " + _W("zzzqq "), prefix="false"))
+def text_ladder_scan(spark, sf_dir):
+    """The ladder without a stored index."""
+    return S.ladder(T.indexed(T.records(spark, sf_dir), "body"), conjuncts("que zzzqq")).select("stable_id", "tier")
+
+
+@query("index_postings", """SELECT token, 'doc:' || doc_id AS stable_id, count(*) AS n, min(i)::INT - 1 AS first_at, max(i)::INT - 1 AS last_at
+FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS token, generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), 1) AS i FROM documents)
+GROUP BY token, doc_id""")
+def index_postings(spark, sf_dir):
+    """The stored index itself: every token of every row, how often and where."""
+    at = F.col("at")
+    return _index(spark, sf_dir).postings.select("token", F.col("key").alias("stable_id"), F.size(at).cast("long").alias("n"), F.get(at, F.lit(0)).alias("first_at"), F.element_at(at, -1).alias("last_at"))
+
+
+@query("text_stemmed", "SELECT stable_id FROM rec WHERE (contains(terms, ' this ') OR contains(terms, ' thi ') OR contains(terms, ' thies ')) AND (contains(terms, ' was ') OR contains(terms, ' wa ')) AND contains(terms, ' the ')")
+def text_stemmed(spark, sf_dir):
+    """The engine's own index: folded and stemmed. this and thi, was and wa have one stem each."""
+    words = [[stem(fold(t)) for t in p] for p in conjuncts("this was the")]
+    return _index(spark, sf_dir, stem=True).match_all(words)
+
+
 _SCOPE = "SELECT root_session_id FROM obs GROUP BY root_session_id HAVING bool_or(contains(terms, ' with ')) AND bool_or(contains(terms, ' of the '))"
 
 
 @query("scope_session_intersect", _SCOPE)
 def scope_session_intersect(spark, sf_dir):
-    return S.session_roots(_text_observations(spark, sf_dir), conjuncts('with "of the"'))
+    return _index(spark, sf_dir, "observations").groups(conjuncts('with "of the"'), "root_session_id")
 
 
 @query("scope_session_rows", f"SELECT obs_id, root_session_id FROM obs WHERE (contains(terms, ' with ') OR contains(terms, ' of the ')) AND root_session_id IN ({_SCOPE})")
 def scope_session_rows(spark, sf_dir):
-    return S.session_scope_rows(_text_observations(spark, sf_dir), conjuncts('with "of the"')).select("obs_id", "root_session_id")
+    return _index(spark, sf_dir, "observations").group_rows(conjuncts('with "of the"'), "root_session_id").select("obs_id", "root_session_id")
 
 
 @query("hit_sessions", "WITH hits AS (SELECT * FROM obs WHERE contains(terms, ' that ')) SELECT session_id, kind FROM ses WHERE (kind <> 'subagent' AND root_session_id IN (SELECT root_session_id FROM hits)) OR (kind = 'subagent' AND session_id IN (SELECT session_id FROM hits))")
 def hit_sessions(spark, sf_dir):
-    hits = _text_observations(spark, sf_dir).where(S.match_all([["that"]]))
-    return S.hit_sessions(T.sessions(spark, sf_dir), hits).select("session_id", "kind")
+    return S.hit_sessions(T.sessions(spark, sf_dir), _index(spark, sf_dir, "observations").match_all([["that"]])).select("session_id", "kind")
 
 
 # --- order, union, pages ---------------------------------------------------------------------------------------------
@@ -548,8 +578,10 @@ _FLAG = "source:src7 tag:en the"
 
 def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     ast = parse(_FLAG)
-    found = _text_records(spark, sf_dir).where(record_filter(ast) & S.match_all(conjuncts(ast.text)))
-    return P.ordered(found.withColumn("total", F.count("*").over(Window.partitionBy(F.lit(1)))), "records").limit(40).select("stable_id", "source", day("updated_at").alias("updated_at"), "total")
+    matched = _index(spark, sf_dir).match_all(conjuncts(ast.text))
+    found = T.record_heads(spark, sf_dir).where(record_filter(ast)).join(matched, "stable_id", "left_semi")
+    total = found.agg(F.count("*").alias("total"))
+    return P.ordered(found, "records").limit(40).select("stable_id", "source", day("updated_at").alias("updated_at"), total.scalar().alias("total"))
 
 
 QUERIES["flagship_search"] = _flagship

@@ -34,12 +34,21 @@ def stem_tokens(text: str | None) -> str:
     return " " + " ".join(stem(t) for t in re.findall(r"[^\W_]+", fold(text or "").lower())) + " "
 
 
+def _stem_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: stem(fold(t)))
+
+
+def stemmed_token(token: Column | str) -> Column:
+    """A token with folded diacritics, stemmed; the one text expression that Spark has no function for."""
+    return F.pandas_udf(_stem_each, "string")(token)
+
+
 def _stem_all(texts: pd.Series) -> pd.Series:
     return texts.map(stem_tokens)
 
 
 def stemmed_text(text: Column) -> Column:
-    """token_text with folded diacritics and stems; the one text expression that Spark has no function for."""
+    """token_text with folded diacritics and stems, for frames that have no stored index."""
     return F.pandas_udf(_stem_all, "string")(text)
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.authorship import author
 from quillmark.functions.text import token_text
+from quillmark.operators.postings import OPTIONS, TextIndex, postings
+from quillmark.workspace import stored
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def record_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without what is made of their texts, so that a scan leaves the texts out."""
+    return records(spark, sf_dir).drop("subject", "body", "src_hash", "llm_tags_src_hash")
+
+
 def observations(spark: SparkSession, sf_dir: str, classified: bool = True) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
     c = F.col("conv_id")
@@ -54,6 +61,21 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str, str, bool], TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str, table: str, stem: bool = False) -> TextIndex:
+    """The stored index of records or observations: written once a session, as an ingest would, and read by each query after."""
+    name = (spark.sparkContext.applicationId, sf_dir, table, stem)
+    if name not in _INDEXES:
+        if table == "records":
+            rows, key, carry = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("stable_id"), F.col("text").alias("body")), "stable_id", ()
+        else:
+            rows, key, carry = observations(spark, sf_dir, classified=False).select("obs_id", "session_id", "root_session_id", "body"), "obs_id", ("session_id", "root_session_id")
+        _INDEXES[name] = TextIndex(stored(postings(rows, key, F.col("body"), carry, stem), f"index-{table}", **OPTIONS), key, carry)
+    return _INDEXES[name]
+
+
 def indexed(df: DataFrame, *columns: str) -> DataFrame:
     """With the unstemmed index column over the named texts."""
     return df.withColumn("terms", token_text(F.concat_ws(" ", *columns)))
