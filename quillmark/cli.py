@@ -1,64 +1,176 @@
-"""python -m quillmark.cli STORE query TEXT | status | ingest SOURCE=DIR ... | rescrub | provenance"""
+"""python -m quillmark.cli STORE COMMAND ..
+
+ingest SOURCE=DIR ..                  read what is new in each source
+query TEXT                            one page of answers; a query without any is logged as a miss
+status | stale | migrate              counts, cursors, faults and quarantine; sources not read for long; old stores
+rescrub [--write] [--all]             rows that today's secret patterns (or all layers) would change
+provenance                            author classes of turns that lack one
+rebuild SOURCE=DIR [--force]          replace all rows of one source; refuses a great loss
+rebuild-all SOURCE=DIR .. [--force]   the same for several
+freeze GOLDEN FILE                    rankings of the golden queries, kept in FILE
+regress GOLDEN FILE                   how rankings have moved since
+"""
 
 from __future__ import annotations
 
 import json
 import sys
+from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from quillmark.engine import Engine
+from quillmark.evals import harness
+from quillmark.functions.redact import redact, redact_secrets
+from quillmark.model import KEYS
 from quillmark.operators import aggregates, merge, tagging
-from quillmark.sources.registry import read_all
+from quillmark.sources.registry import SOURCES
 from quillmark.store import Store
 from quillmark.streaming import ingest
+from quillmark.workspace import stored
+
+DONE, FAILED, MISUSED, EMPTY = 0, 1, 2, 3
+SCRUBBED = {"records": ("subject", "body"), "observations": ("body",)}
+
+
+def _roots(args: list[str]) -> dict[str, str] | None:
+    """SOURCE=DIR pairs; None if one isn't a pair of a known source and a place, or a source comes twice."""
+    pairs = [x.split("=", 1) for x in args if "=" in x]
+    names = [p[0] for p in pairs]
+    if not pairs or len(pairs) != len(args) or len(set(names)) != len(names) or not all(n in SOURCES and d for n, d in pairs):
+        return None
+    return dict(pairs)
+
+
+def rebuild(store: Store, name: str, root: str, force: bool = False) -> dict[str, int]:
+    """Replace all rows of one source by what its input holds now; rows per table."""
+    made, out, tables = SOURCES[name].read(store.spark, root), {}, {}
+    base = store.manifest()["version"]
+    for table in ("records", "sessions", "observations"):
+        if table not in made:
+            continue
+        was = store.read(table)
+        good, _ = ingest.split_bad(stored(made[table], f"rebuild-{table}"), ingest.fault_in(table, made[table].columns))
+        rows = ingest._shaped(ingest.coalesced(ingest.hashed(good, table), table), was)
+        for column in SCRUBBED.get(table, ()):
+            rows = rows.withColumn(column, redact(F.col(column)))
+        rows = stored(rows, f"rebuild-{table}")
+        if table == "observations":
+            own = tables["sessions"].where(F.col("origin") == _origin(name)).select("session_id") if "sessions" in tables else store.read("sessions").select("session_id")
+            before = was.join(store.read("sessions").where(F.col("origin") == _origin(name)).select("session_id"), "session_id", "left_semi").select(*was.columns)
+            merge.guard_shrink(before.count(), rows.count(), force)
+            tables[table] = was.join(before.select("obs_id"), "obs_id", "left_anti").select(*was.columns).unionByName(rows.join(own, "session_id", "left_semi").select(*was.columns))
+        else:
+            scope, value = ("source", name) if table == "records" else ("origin", _origin(name))
+            tables[table] = merge.rebuild(was, rows, scope, value, force)
+        out[table] = rows.count()
+    store.commit({t: stored(df, f"rebuild-{t}") for t, df in tables.items()}, base=base)
+    return out
+
+
+def _origin(name: str) -> str:
+    return "claude-code" if name == "sessions" else name
+
+
+def rescrub(store: Store, layer, write: bool) -> dict[str, int]:
+    """Rows by table that the layer changes; written only where the text is still the one that was read."""
+    base, out, deltas = store.manifest()["version"], {}, {}
+    for table, columns in SCRUBBED.items():
+        changed = stored(merge.rescrub_rows(store.read(table), columns, layer), f"rescrub-{table}")
+        if n := changed.count():
+            out[table], deltas[table] = n, changed
+    if write and deltas:
+        store.commit(deltas=deltas, base=base)
+    return out
+
+
+def status(store: Store) -> dict:
+    ledger = lambda t: [{k: str(v) if isinstance(v, datetime) else v for k, v in r.asDict().items()} for r in store.read(t).collect()]
+    held = store.read("quarantine")
+    return {
+        "version": store.manifest()["version"], "rows": {r["name"]: r["n"] for r in aggregates.count_by_source(store.read("records"), store.read("sessions")).collect()},
+        "sources": ledger("ingest_state"),
+        "faults": {r["source"]: r["count"] for r in store.read("poison_faults").groupBy("source").count().collect()},
+        "quarantine": [r.asDict() for r in ingest.state.quarantine_summary(held).collect()],
+        "tags": [r.asDict() for r in aggregates.tag_progress(store.read("records")).collect()],
+        "unclassified": aggregates.unclassified(store.read("observations")).first()["n"],
+    }
 
 
 def main(args: list[str], spark: SparkSession | None = None) -> int:
     """0: done; 1: something failed; 2: used wrongly; 3: nothing ingested yet."""
     if len(args) < 2:
         print(__doc__)
-        return 2
+        return MISUSED
     spark = spark or SparkSession.builder.appName("quillmark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    store, command, rest = Store(spark, args[0]), args[1], args[2:]
-    if command == "ingest":
-        if not rest or not all("=" in x for x in rest):
+    store, command, rest = Store(spark, args[0]), args[1], [a for a in args[2:] if not a.startswith("--")]
+    flags = {a for a in args[2:] if a.startswith("--")}
+    if command in ("ingest", "rebuild", "rebuild-all"):
+        roots = _roots(rest)
+        if roots is None or (command == "rebuild" and len(roots) != 1) or flags - ({"--force"} if command != "ingest" else set()):
             print(__doc__)
-            return 2
-        frames, failed = read_all(spark, dict(x.split("=", 1) for x in rest))
-        reports = ingest.run(store, frames)
-        for r in reports:
-            print(json.dumps(vars(r)))
-        for name, why in failed.items():
-            print(json.dumps({"source": name, "error": why}))
-        return 1 if failed or any(r.error for r in reports) else 0
+            return MISUSED
+        if command == "ingest":
+            reports = ingest.run(store, roots)
+            for r in reports:
+                print(json.dumps(vars(r)))
+            return FAILED if any(r.error for r in reports) else DONE
+        failed = False
+        for name, root in roots.items():
+            try:
+                print(json.dumps({"source": name, "rows": rebuild(store, name, root, "--force" in flags)}))
+            except Exception as e:  # the others go on
+                failed = True
+                print(json.dumps({"source": name, "error": f"{type(e).__name__}: {str(e)[:500]}"}))
+        return FAILED if failed else DONE
     if why := store.ready():
         print(why)
-        return 3
+        return EMPTY
     if command == "query":
-        answer = Engine(store.read("records"), store.read("sessions"), store.read("observations")).query(" ".join(rest))
+        misses: list[str] = []
+        answer = Engine.of_store(store, on_miss=misses.append).query(" ".join(rest))
         print(json.dumps(answer, default=str, ensure_ascii=False))
-        return 2 if "error" in answer else 0
+        if misses:
+            store.commit(deltas={"misses": spark.createDataFrame([(q, datetime.now(UTC)) for q in misses], "query string, at timestamp")})
+        return MISUSED if "error" in answer else DONE
     if command == "status":
-        for row in aggregates.count_by_source(store.read("records"), store.read("sessions")).collect():
-            print(row["name"], row["n"])
-        return 0
+        print(json.dumps(status(store), default=str))
+        return DONE
+    if command == "stale":
+        told = ingest.stale(store)
+        for row in told:
+            print(json.dumps(row, default=str))
+        return FAILED if told else DONE
+    if command == "migrate":
+        print("migrated" if store.migrate() else "up to date")
+        return DONE
     if command == "rescrub":
-        table = store.read("observations")
-        changed = merge.rescrub(table)
-        print(changed.count())
-        if "--write" in rest:
-            new = changed.select("obs_id", changed["body"].alias("_body"))
-            joined = table.join(new, "obs_id", "left")
-            from pyspark.sql import functions as F
-
-            store.commit({"observations": joined.withColumn("body", F.coalesce("_body", "body")).drop("_body")})
-        return 0
+        print(json.dumps(rescrub(store, redact if "--all" in flags else redact_secrets, "--write" in flags)))
+        return DONE
     if command == "provenance":
-        store.commit({"observations": tagging.classify_missing(store.read("observations"), store.read("sessions"))})
-        return 0
+        observations = store.read("observations")
+        blank = observations.where("provenance IS NULL")
+        filled = stored(tagging.classify_missing(blank, store.read("sessions")), "provenance")
+        store.commit(deltas={"observations": filled})
+        print(filled.count())
+        return DONE
+    if command in ("freeze", "regress") and len(rest) == 2:
+        with open(rest[0], encoding="utf-8") as f:
+            golden = harness.load_golden(f.read())
+        engine = Engine.of_store(store)
+        search = lambda q, k: [i["id"] for i in engine.query(q, page_size=k).get("items", [])]
+        results = harness.run_queries(spark, golden, search)
+        if command == "freeze":
+            with open(rest[1], "w", encoding="utf-8") as f:
+                f.write(json.dumps([r.asDict() for r in harness.freeze(results).collect()], ensure_ascii=False))
+            return DONE
+        with open(rest[1], encoding="utf-8") as f:
+            frozen = spark.createDataFrame([(r["query"], r["id"], r["rank"]) for r in json.load(f)], "query string, id string, rank int")
+        print(harness.report(harness.compare(results, frozen)))
+        return DONE
     print(__doc__)
-    return 2
+    return MISUSED
 
 
 if __name__ == "__main__":

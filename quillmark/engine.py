@@ -18,9 +18,11 @@ from quillmark.operators import aggregates as A
 from quillmark.operators import cards as C
 from quillmark.operators import page as P
 from quillmark.operators import search as S
+from quillmark.operators.postings import TextIndex
 from quillmark.operators.predicates import observation_rows, record_filter, session_filter
 from quillmark.plans import dsl
 from quillmark.plans.dsl import QueryAST
+from quillmark.store import Store
 
 SUMMARY_PAGE, FULL_PAGE = 200, 40
 CEILING_CHARS = 50_000
@@ -41,24 +43,54 @@ class Found:
 
 
 class Engine:
-    """Answers queries over three frames. With stem, words match by Porter stems and without diacritics, as the index does."""
+    """Answers queries over three frames. With stem, words match by Porter stems and without diacritics, as the index does.
 
-    def __init__(self, records: DataFrame, sessions: DataFrame, observations: DataFrame, stem: bool = True, on_miss: Callable[[str], None] | None = None):
-        index = stemmed_text if stem else token_text
+    With stored indexes (by table) a query reads the postings of its words; without, it scans the texts.
+    """
+
+    def __init__(
+        self, records: DataFrame, sessions: DataFrame, observations: DataFrame, stem: bool = True, on_miss: Callable[[str], None] | None = None,
+        indexes: dict[str, TextIndex | None] | None = None,
+    ):
+        terms = stemmed_text if stem else token_text
         self.stemmed, self.on_miss = stem, on_miss
-        self.records = records.withColumn("terms", index(F.concat_ws(" ", "subject", "body")))
+        self.indexes = {k: v for k, v in (indexes or {}).items() if v is not None and stem}
         self.sessions = sessions
-        self.observations = observations.withColumn("terms", index(F.coalesce("body", F.lit(""))))
+        self.records = records if "records" in self.indexes else records.withColumn("terms", terms(F.concat_ws(" ", "subject", "body")))
+        self.observations = observations if "observations" in self.indexes else observations.withColumn("terms", terms(F.coalesce("body", F.lit(""))))
+
+    @classmethod
+    def of_store(cls, store: Store, on_miss: Callable[[str], None] | None = None) -> Engine:
+        return cls(store.read("records"), store.read("sessions"), store.read("observations"), on_miss=on_miss, indexes={t: store.index(t) for t in ("records", "observations")})
 
     def phrases(self, text: str | None) -> list[list[str]]:
         found = dsl.conjuncts(text)
         return [[stem(fold(t)) for t in p] for p in found] if self.stemmed else found
 
-    def _tier(self, df: DataFrame, phrases: list[list[str]]) -> tuple[DataFrame, str | None, int]:
+    def _with_tier(self, table: str, df: DataFrame, phrases: list[list[str]]) -> DataFrame:
+        """Rows that meet some tier, with it."""
+        index = self.indexes.get(table)
+        if index is None:
+            return df.withColumn("_tier", S.tier_of(phrases)).where("_tier > 0")
+        met = index.tiers(phrases).select(index.key, "src_hash", F.col("tier").alias("_tier"))
+        return df.join(met, [index.key, "src_hash"])
+
+    def _tier(self, table: str, df: DataFrame, phrases: list[list[str]]) -> tuple[DataFrame, str | None, int]:
         """Rows of the strictest tier with any; its name and how many rows it has, before further filters."""
-        counts = {r["tier"]: r["n"] for r in df.groupBy(S.tier_of(phrases).alias("tier")).agg(F.count("*").alias("n")).collect()}
-        best = max((t for t in counts if t), default=0)
-        return df.where(S.tier_of(phrases) >= best) if best else df.where(F.lit(False)), S.TIER_NAMES.get(best), counts.get(best, 0) if best else 0
+        met = self._with_tier(table, df, phrases)
+        counts = {r["tier"]: r["n"] for r in met.groupBy(F.col("_tier").alias("tier")).agg(F.count("*").alias("n")).collect()}
+        best = max(counts, default=0)
+        return met.where(F.col("_tier") >= best).select(*df.columns), S.TIER_NAMES.get(best), counts.get(best, 0)
+
+    def _session_scope(self, df: DataFrame, phrases: list[list[str]]) -> DataFrame:
+        index = self.indexes.get("observations")
+        if index is None:
+            return S.session_scope_rows(df, phrases)
+        rows = df.join(index.match_any(phrases).select(index.key, "src_hash"), [index.key, "src_hash"], "left_semi")
+        flags = index._flags(phrases)
+        alive = df.select(F.col(index.key).alias("key"), "src_hash").join(flags.drop("session_id"), ["key", "src_hash"])
+        roots = alive.groupBy("root_session_id").agg(*[F.bool_or(f"c{k}").alias(f"c{k}") for k in range(len(phrases))]).where(index._all(phrases)).select("root_session_id")
+        return rows.join(roots, "root_session_id", "left_semi").select(*df.columns)
 
     def find_records(self, ast: QueryAST) -> Found:
         """The ladder runs over all records and filters come after it: a filter never relaxes the words."""
@@ -67,7 +99,7 @@ class Engine:
         phrases = self.phrases(ast.text)
         if not phrases:
             return Found(self.records.where(F.lit(False)), matched=0)
-        rows, tier, matched = self._tier(self.records, phrases)
+        rows, tier, matched = self._tier("records", self.records, phrases)
         return Found(rows.where(record_filter(ast)), tier=tier, matched=matched)
 
     def find_observations(self, ast: QueryAST) -> Found:
@@ -77,9 +109,9 @@ class Engine:
         if not phrases:
             return Found(self.observations.where(F.lit(False)), matched=0)
         if ast.scope == "session":
-            rows = S.session_scope_rows(self.observations, phrases)
+            rows = self._session_scope(self.observations, phrases)
             return Found(observation_rows(rows, self.sessions, ast), matched=rows.count())
-        rows, tier, matched = self._tier(self.observations, phrases)
+        rows, tier, matched = self._tier("observations", self.observations, phrases)
         return Found(observation_rows(rows, self.sessions, ast), tier=tier, matched=matched)
 
     def find_sessions(self, ast: QueryAST) -> Found:
@@ -95,10 +127,10 @@ class Engine:
         if not phrases:
             return Found(passing.where(F.lit(False)), matched=0)
         if ast.scope == "session":
-            hits, tier = S.session_scope_rows(rows, phrases), None
+            hits, tier = self._session_scope(rows, phrases), None
             matched = hits.count()
         else:
-            hits, tier, matched = self._tier(rows, phrases)
+            hits, tier, matched = self._tier("observations", rows, phrases)
         return Found(S.hit_sessions(passing, hits), hits=hits, tier=tier, matched=matched)
 
     def query(self, text: str, fields: str = "summary", page_size: int | None = None, page_token: str | None = None, max_chars: int = CEILING_CHARS) -> dict:

@@ -26,7 +26,16 @@ QUARANTINE = _struct(source=_S, record_key=_S, error_type=_S, error_detail=_S, a
 FAULTS = _struct(source=_S, fault_key=_S, scope=_S, scope_stamp=_S, reason=_S, detail=_S, record_count=_L, line=_L, first_seen_at=_TS, last_seen_at=_TS)
 
 TABLES = {"records": RECORDS, "sessions": SESSIONS, "observations": OBSERVATIONS, "ingest_state": INGEST_STATE, "quarantine": QUARANTINE, "poison_faults": FAULTS}
-SCHEMA_VERSION = 8
+STALE_TOLD = _struct(source=_S, input_at=_TS, threshold_seconds=_L)
+MISSES = _struct(query=_S, at=_TS)
+TABLES |= {"stale_told": STALE_TOLD, "misses": MISSES}
+KEYS = {
+    "records": ("stable_id",), "sessions": ("session_id",), "observations": ("obs_id",), "ingest_state": ("source",), "quarantine": ("source", "record_key"),
+    "poison_faults": ("source", "fault_key"), "stale_told": ("source", "input_at", "threshold_seconds"), "misses": ("query", "at"),
+}
+#: Tables with an index: key, texts, and what postings carry.
+INDEXED = {"records": ("stable_id", ("subject", "body"), ("src_hash",)), "observations": ("obs_id", ("body",), ("src_hash", "session_id", "root_session_id"))}
+SCHEMA_VERSION, TOKENIZER_VERSION = 9, 2
 
 # Fixed values.
 KINDS = ("session", "subagent")

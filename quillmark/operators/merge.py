@@ -1,8 +1,10 @@
-"""Upserts without a lakehouse: a full outer join of the stored table and the batch, and counts of what it did."""
+"""Upserts without a lakehouse: a full outer join of stored rows (those a batch touches are enough) and the batch, and counts of what it did."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.redact import redact
@@ -102,11 +104,16 @@ def rebuild(stored: DataFrame, fresh: DataFrame, scope: str, value: str, force:
     return stored.where(~F.coalesce(F.col(scope) == value, F.lit(False))).unionByName(fresh.select(*stored.columns))
 
 
-def rescrub(stored: DataFrame, key: str = "obs_id") -> DataFrame:
-    """Keys and new bodies of rows that today's rules would change; join and compare with the old body to apply."""
-    new = redact(F.col("body"))
-    return stored.select(key, F.col("body").alias("old_body"), new.alias("body")).where("body <> old_body")
+def rescrub(stored: DataFrame, key: str = "obs_id", layer: Callable[[Column], Column] = redact) -> DataFrame:
+    """Keys, old and new bodies of rows that today's rules would change."""
+    return stored.select(key, F.col("body").alias("old_body"), layer(F.col("body")).alias("body")).where("body <> old_body")
 
 
-def rank_by(df: DataFrame, *order: Column) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def rescrub_rows(stored: DataFrame, columns: tuple[str, ...], layer: Callable[[Column], Column] = redact) -> DataFrame:
+    """Whole rows that the layer would change, changed. As the version that was read goes with the commit, no later text is lost."""
+    new = {c: layer(F.col(c)) for c in columns}
+    marked = stored.withColumns({f"_new_{c}": x for c, x in new.items()})
+    moved = F.lit(False)
+    for c in columns:
+        moved = moved | ~F.col(f"_new_{c}").eqNullSafe(F.col(c))
+    return marked.where(moved).select(*[F.col(f"_new_{c}").alias(c) if c in columns else F.col(c) for c in stored.columns])

@@ -78,9 +78,12 @@ def tree_records(files: DataFrame, source: str = "dropbox") -> tuple[DataFrame,
     return records, read.where("fault IS NOT NULL").select("path", F.col("fault").alias("reason"))
 
 
-def report_records(spark: SparkSession, root: str, source: str) -> DataFrame:
-    """Records of the *.md files right in root; folders below it, quarantine included, are never read."""
-    files = spark.read.option("pathGlobFilter", "*.md").text(f"{root.rstrip('/')}/*.md", wholetext=True)
+def report_records(spark: SparkSession, root: str, source: str, since: datetime | None = None) -> DataFrame:
+    """Records of the *.md files right in root, changed after since; folders below it, quarantine included, are never read."""
+    reader = spark.read.option("pathGlobFilter", "*.md")
+    if since:
+        reader = reader.option("modifiedAfter", since.astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%S"))
+    files = reader.text(f"{root.rstrip('/')}/*.md", wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.md$", 1)
     found = files.select(name.alias("name"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
     return found.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,54 +14,91 @@ from quillmark.sources import chats, files, hits, tasks, transcripts
 
 @dataclass(frozen=True)
 class Source:
-    """shape is 'records' or 'entities'; read(spark, root) gives frames by table name, and 'faults'."""
+    """shape is 'records' or 'entities'; read(spark, root, since=None, now=None) gives frames by table name, and 'faults'.
+
+    since leaves out input that hasn't been modified since, where the source's files say so; now is the time of the run.
+    """
 
     name: str
     shape: str
-    read: Callable[[SparkSession, str], dict[str, DataFrame]]
+    read: Callable[..., dict[str, DataFrame]]
 
 
-def _transcripts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    sessions, observations, faults = transcripts.entities(transcripts.read_lines(spark, root))
+def _transcripts(spark: SparkSession, root: str, since: datetime | None = None, now: datetime | None = None) -> dict[str, DataFrame]:
+    """A file written within the last minutes of now may still grow and is left for the next run."""
+    before = now - timedelta(minutes=transcripts.LIVE_MINUTES) if now else None
+    sessions, observations, faults = transcripts.entities(transcripts.read_lines(spark, root, before, since), since)
     return {"sessions": sessions, "observations": observations, "faults": faults}
 
 
 def _chats(shape: str, read: Callable) -> Callable:
-    def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    def load(spark: SparkSession, root: str, since: datetime | None = None, now: datetime | None = None) -> dict[str, DataFrame]:
         sessions, observations, faults = read(files.sniff_exports(files.export_files(spark, root), shape))
         return {"sessions": sessions, "observations": observations, "faults": faults}
 
     return load
 
 
-def _hits(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    frames = {kind: spark.read.text(f"{root.rstrip('/')}/{kind}*.ndjson").select(F.col("value").alias("raw")) for kind in ("pr", "assigned")}
+#: Endpoints of the search, by the names of their files.
+ENDPOINTS = ("pr", "assigned", "author", "mentions")
+
+
+def _hits(spark: SparkSession, root: str, since: datetime | None = None, now: datetime | None = None) -> dict[str, DataFrame]:
+    there = [k for k in ENDPOINTS if _any(spark, f"{root.rstrip('/')}/{k}*.ndjson")]
+    if not there:
+        raise FileNotFoundError(f"no search hits in {root}")
+    frames = {kind: spark.read.text(f"{root.rstrip('/')}/{kind}*.ndjson").select(F.col("value").alias("raw")) for kind in there}
     records, faults = hits.all_endpoints(frames)
+    if since:
+        records = records.where(F.coalesce("updated_at", "created_at", F.lit(since)) >= F.lit(since).cast("date"))
     return {"records": records, "faults": faults}
 
 
-def _csv(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    from quillmark.operators.joins import newest_wins
+def _any(spark: SparkSession, glob: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
 
-    raw = spark.read.option("pathGlobFilter", "*.csv").text(root, wholetext=True)
-    backups = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    rows = newest_wins(tasks.parse_backups(backups), "taskid", F.col("modified"), F.col("path"))
-    lost = tasks.parse_backups(backups).where("lost > 0").select("path", F.concat("lost", F.lit(" rows without an id")).alias("reason")).distinct()
-    return {"records": tasks.csv_records(rows), "faults": lost}
 
+def _tasks(spark: SparkSession, root: str, since: datetime | None = None, now: datetime | None = None) -> dict[str, DataFrame]:
+    """Backups (*.csv) and polled tasks (*.ndjson, one task a line): of a task in both the later observation stays."""
+    from quillmark.operators.joins import newest_wins
 
-def _posts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    place = root.rstrip("/")
+    if not _any(spark, f"{place}/*.csv") and not _any(spark, f"{place}/*.ndjson"):
+        raise FileNotFoundError(f"no task backups in {root}")
+    made, faults = [], []
+    if _any(spark, f"{place}/*.csv"):
+        raw = spark.read.text(f"{place}/*.csv", wholetext=True)
+        backups = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
+        parsed = tasks.parse_backups(backups)
+        rows = newest_wins(parsed, "taskid", F.col("modified"), F.col("path"))
+        made.append(tasks.csv_records(rows).join(rows.select(F.concat(F.lit("ticktick:"), "taskid").alias("stable_id"), F.col("modified").alias("_seen")), "stable_id"))
+        faults.append(parsed.where("lost > 0").select("path", F.concat("lost", F.lit(" rows without an id")).alias("reason")).distinct())
+    if _any(spark, f"{place}/*.ndjson"):
+        raw = spark.read.text(f"{place}/*.ndjson").select("value", F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("path"))
+        polled = raw.select(F.col("value").alias("raw"), F.try_variant_get(F.try_parse_json("value"), "$.projectName", "string").alias("project_name"))
+        records, bad = tasks.api_records(polled)
+        made.append(records.withColumn("_seen", raw.agg(F.max("modified")).scalar()))
+        faults.append(bad.select(F.col("raw").alias("path"), "reason"))
+    every, told = made[0], faults[0]
+    for df, bad in zip(made[1:], faults[1:], strict=True):
+        every, told = every.unionByName(df), told.unionByName(bad)
+    return {"records": newest_wins(every, "stable_id", F.col("_seen"), F.col("extra")).drop("_seen"), "faults": told}
+
+
+def _posts(spark: SparkSession, root: str, since: datetime | None = None, now: datetime | None = None) -> dict[str, DataFrame]:
     zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(root).select("path", F.col("modificationTime").alias("modified"), "content")
     return {"records": files.post_records(zips)}
 
 
-def _tree(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    records, faults = files.tree_records(files.scan_tree(spark, root))
+def _tree(spark: SparkSession, root: str, since: datetime | None = None, now: datetime | None = None) -> dict[str, DataFrame]:
+    records, faults = files.tree_records(files.scan_tree(spark, root, since))
     return {"records": records, "faults": faults}
 
 
 def _reports(name: str) -> Callable:
-    return lambda spark, root: {"records": files.report_records(spark, root, name)}
+    return lambda spark, root, since=None, now=None: {"records": files.report_records(spark, root, name, since)}
 
 
 SOURCES = {
@@ -70,7 +108,7 @@ SOURCES = {
         Source("chatgpt", "entities", _chats("node_map", chats.node_map)),
         Source("claude-web", "entities", _chats("message_list", chats.message_list)),
         Source("github", "records", _hits),
-        Source("ticktick", "records", _csv),
+        Source("ticktick", "records", _tasks),
         Source("substack", "records", _posts),
         Source("dropbox", "records", _tree),
         Source("research", "records", _reports("research")),

@@ -5,7 +5,7 @@ Lines are parsed as VARIANT, so unknown keys and wrong types are nulls and not f
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,16 +24,25 @@ AGENT_ID = r"agentId: ([A-Za-z0-9_-]+)"
 LIVE_MINUTES = 5
 
 
-def read_lines(spark: SparkSession, root: str, modified_before: datetime | None = None) -> DataFrame:
-    """path, lineno, raw of every non-blank line of *.jsonl under root; files changed since modified_before are live and left."""
+def read_lines(spark: SparkSession, root: str, modified_before: datetime | None = None, modified_after: datetime | None = None) -> DataFrame:
+    """path, lineno, raw of every non-blank line of *.jsonl under root.
+
+    Files changed since modified_before are live and left; those not changed since modified_after were read before.
+    """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
     if modified_before:
-        reader = reader.option("modifiedBefore", modified_before.strftime("%Y-%m-%dT%H:%M:%S"))
+        reader = reader.option("modifiedBefore", _utc(modified_before))
+    if modified_after:
+        reader = reader.option("modifiedAfter", _utc(modified_after))
     files = reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("at", "raw"))
     return lines.where(F.btrim("raw") != "").select("path", (F.col("at") + 1).alias("lineno"), "raw")
 
 
+def _utc(t: datetime) -> str:
+    return (t.astimezone(UTC) if t.tzinfo else t).strftime("%Y-%m-%dT%H:%M:%S")
+
+
 def _at(value: str | Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(F.col(value) if isinstance(value, str) else value, path, kind)
 

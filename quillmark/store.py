@@ -1,8 +1,12 @@
-"""Tables as versioned Parquet folders under one root, with a manifest that names the current version of each.
+"""Tables as Parquet folders under one root, with numbered manifests that say what each version is made of.
 
-A commit writes new folders first and then replaces the manifest in one rename, so readers see all of it or nothing.
-The manifest also carries ingest cursors: rows and cursor move together. One writer at a time: a commit is refused if
-the manifest has moved since the writer read it.
+A table is a base and some deltas: rows that later commits have added or replaced. A small commit thus writes its own
+rows only; readers take the last version of each key, and after a few deltas a commit writes them into a new base.
+Tables with texts have an index beside them, one segment of postings for each base and delta.
+
+A commit writes new folders first and then creates the manifest of the next number, which fails if another writer was
+there first; readers see all of it or nothing. Cursors are part of the manifest: rows and cursor move together. Folders
+that the last manifests don't name are removed.
 """
 
 from __future__ import annotations
@@ -11,8 +15,13 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmark.model import INDEXED, KEYS, SCHEMA_VERSION, TABLES, TOKENIZER_VERSION
+from quillmark.operators.postings import OPTIONS, TextIndex, postings
 
-from quillmark.model import SCHEMA_VERSION, TABLES
+#: Deltas of a table before they are merged into its base, and manifests whose folders stay.
+MOST_DELTAS, KEPT_VERSIONS = 8, 3
 
 
 class StoreError(RuntimeError):
@@ -26,19 +35,23 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _read(self, name: str) -> str | None:
-        path = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(path):
-            return None
-        stream = self._fs.open(path)
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def _load(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.root}/_manifest/{name}"))
         try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def _versions(self) -> list[str]:
+        return [n for n in self._names("_manifest") if n.endswith(".json")]
+
     def manifest(self) -> dict:
-        text = self._read("_current")
-        found = json.loads(text) if text else {"version": 0, "schema": SCHEMA_VERSION, "tables": {}, "cursors": {}}
+        names = self._versions()
+        found = self._load(names[-1]) if names else {"version": 0, "schema": SCHEMA_VERSION, "tokenizer": TOKENIZER_VERSION, "tables": {}, "cursors": {}}
         if found["schema"] > SCHEMA_VERSION:
             raise StoreError(f"the store has schema {found['schema']}, this code {SCHEMA_VERSION}")
         return found
@@ -50,39 +63,100 @@ class Store:
         except StoreError as e:
             return str(e)
 
-    def read(self, table: str) -> DataFrame:
-        """The current version; columns that an older version lacks are null."""
-        path = self.manifest()["tables"].get(table)
-        if not path:
-            return self.spark.createDataFrame([], TABLES[table])
+    def _parquet(self, table: str, path: str) -> DataFrame:
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{path}")
 
-    def commit(self, tables: dict[str, DataFrame], cursors: dict[str, str] | None = None, base: int | None = None) -> int:
+    def read(self, table: str, manifest: dict | None = None) -> DataFrame:
+        """The current version; columns that an older version lacks are null."""
+        parts = (manifest or self.manifest())["tables"].get(table)
+        if not parts:
+            return self.spark.createDataFrame([], TABLES[table])
+        base = self._parquet(table, parts["base"]) if parts["base"] else self.spark.createDataFrame([], TABLES[table])
+        if not parts["deltas"]:
+            return base
+        key = KEYS[table]
+        deltas = None
+        for n, path in enumerate(parts["deltas"]):
+            one = self._parquet(table, path).withColumn("_n", F.lit(n))
+            deltas = one if deltas is None else deltas.unionByName(one)
+        last = deltas.groupBy(*key).agg(F.max_by(F.struct(*base.columns), "_n").alias("row")).select("row.*") if len(parts["deltas"]) > 1 else deltas.drop("_n")
+        return base.join(deltas.select(*key), list(key), "left_anti").select(*base.columns).unionByName(last)
+
+    def index(self, table: str) -> TextIndex | None:
+        """The table's postings; a posting counts where the row still has the version (src_hash) that it carries."""
+        parts = self.manifest()["tables"].get(table)
+        if not parts or not parts["index"]:
+            return None
+        key, _, carry = INDEXED[table]
+        return TextIndex(self.spark.read.parquet(*[f"{self.root}/{p}" for p in parts["index"]]), key, carry)
+
+    def _write(self, table: str, df: DataFrame, kind: str) -> tuple[str, list[str]]:
+        """The folder of df's rows, and of their postings."""
+        name = f"{table}/{kind}-{uuid.uuid4().hex[:12]}"
+        have = set(df.columns)
+        filled = df.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table].fields])
+        filled.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        if table not in INDEXED:
+            return name, []
+        return name, [self._write_index(table, self._parquet(table, name), kind)]
+
+    def _write_index(self, table: str, rows: DataFrame, kind: str) -> str:
+        key, texts, carry = INDEXED[table]
+        name = f"{table}-index/{kind}-{uuid.uuid4().hex[:12]}"
+        postings(rows, key, F.concat_ws(" ", *texts), carry, stem=True).write.options(compression="zstd", **OPTIONS).parquet(f"{self.root}/{name}")
+        return name
+
+    def commit(self, tables: dict[str, DataFrame] | None = None, cursors: dict[str, str] | None = None, base: int | None = None, deltas: dict[str, DataFrame] | None = None) -> int:
+        """A new version: tables replaced whole, deltas added, cursors moved. base is the version that the writer has read."""
         before = self.manifest()
         if base is not None and before["version"] != base:
             raise StoreError(f"version {base} was read, but {before['version']} is current")
-        after = {"version": before["version"] + 1, "schema": SCHEMA_VERSION, "tables": dict(before["tables"]), "cursors": before["cursors"] | (cursors or {})}
-        for name, df in tables.items():
-            path = f"{name}/v{after['version']}-{uuid.uuid4().hex[:8]}"
-            shape = TABLES[name]
-            filled = df.select(*[df[f.name].cast(f.dataType).alias(f.name) if f.name in df.columns else _null(f) for f in shape.fields])
-            filled.write.parquet(f"{self.root}/{path}")
-            after["tables"][name] = path
-        if self.manifest()["version"] != before["version"]:
-            raise StoreError("another writer has committed meanwhile")
-        staged = self._path(f"{self.root}/_staged-{uuid.uuid4().hex}")
-        out = self._fs.create(staged, True)
-        out.write(bytearray(json.dumps(after).encode()))
-        out.close()
-        current = self._path(f"{self.root}/_current")
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        option = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        option[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(staged, current, option)
+        after = {"version": before["version"] + 1, "schema": SCHEMA_VERSION, "tokenizer": TOKENIZER_VERSION, "tables": {k: dict(v) for k, v in before["tables"].items()}, "cursors": before["cursors"] | (cursors or {})}
+        for table, df in (tables or {}).items():
+            path, index = self._write(table, df, "base")
+            after["tables"][table] = {"base": path, "deltas": [], "index": index}
+        for table, df in (deltas or {}).items():
+            parts = after["tables"].get(table, {"base": None, "deltas": [], "index": []})
+            path, index = self._write(table, df, "delta")
+            after["tables"][table] = {"base": parts["base"], "deltas": [*parts["deltas"], path], "index": [*parts["index"], *index]}
+            if len(after["tables"][table]["deltas"]) > MOST_DELTAS:
+                path, index = self._write(table, self.read(table, after), "base")
+                after["tables"][table] = {"base": path, "deltas": [], "index": index}
+        self._publish(after)
+        self._sweep()
         return after["version"]
 
-
-def _null(field):
-    from pyspark.sql import functions as F
-
-    return F.lit(None).cast(field.dataType).alias(field.name)
+    def _publish(self, manifest: dict) -> None:
+        """Create the manifest of this number; whoever comes second finds it there."""
+        jvm = self.spark.sparkContext._jvm
+        path = self._path(f"{self.root}/_manifest/v{manifest['version']:012d}.json")
+        try:
+            out = self._fs.create(path, False)
+        except Exception as e:
+            if self._fs.exists(path):
+                raise StoreError("another writer has committed meanwhile") from e
+            raise
+        try:
+            jvm.org.apache.commons.io.IOUtils.write(json.dumps(manifest), out, "UTF-8")
+        finally:
+            out.close()
+
+    def _sweep(self) -> None:
+        """Remove manifests before the last few, and folders that those left don't name."""
+        names = self._versions()
+        kept = [self._load(n) for n in names[-KEPT_VERSIONS:]]
+        named = {p for m in kept for t in m["tables"].values() for p in (t["base"], *t["deltas"], *t["index"]) if p}
+        if len(names) > KEPT_VERSIONS:
+            dropped = [self._load(n) for n in names[:-KEPT_VERSIONS]]
+            for old in {p for m in dropped for t in m["tables"].values() for p in (t["base"], *t["deltas"], *t["index"]) if p} - named:
+                self._fs.delete(self._path(f"{self.root}/{old}"), True)
+            for n in names[:-KEPT_VERSIONS]:
+                self._fs.delete(self._path(f"{self.root}/_manifest/{n}"), False)
+
+    def migrate(self) -> bool:
+        """Bring a store of older code up to this one: columns it lacks turn null, indexes of another tokenizer are made anew."""
+        now = self.manifest()
+        if not now["version"] or (now["schema"] == SCHEMA_VERSION and now.get("tokenizer") == TOKENIZER_VERSION):
+            return False
+        self.commit({t: self.read(t, now) for t in now["tables"]}, base=now["version"])
+        return True

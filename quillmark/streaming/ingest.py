@@ -1,16 +1,27 @@
-"""Incremental ingest: micro-batches into the store, each of them one commit of rows and cursor."""
+"""Incremental ingest: each source reads what is new, bad rows are set aside, and rows, faults and cursor move in one commit.
+
+A run goes through the sources whose turn it is. A source that waits after failures is passed over, its input is read
+from its cursor less an overlap, rows that aren't valid are quarantined, and a failure is counted and reported without
+touching the others. A stop that is asked for takes effect between sources.
+"""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.functions.scalar import row_hash
+from quillmark.functions.scalar import backoff_seconds, fault_key, row_hash
+from quillmark.model import KINDS
 from quillmark.operators import joins, merge
-from quillmark.store import Store
+from quillmark.sources.registry import SOURCES
+from quillmark.store import Store, StoreError
+from quillmark.streaming import state
+from quillmark.workspace import stored as kept
 
 KEYS = {"records": "stable_id", "sessions": "session_id", "observations": "obs_id"}
 HASHED = {
@@ -20,6 +31,8 @@ HASHED = {
 }
 #: Times that say which of two rows of a key is the later one, the first that is known.
 TIMES = {"records": ("updated_at", "created_at"), "sessions": ("last_ts", "first_ts"), "observations": ("ts",)}
+#: Tries of a write, and the wait before the second, which doubles.
+TRIES, WAIT_SECONDS = 3, 0.5
 
 
 @dataclass
@@ -30,6 +43,9 @@ class Report:
     counts: dict[str, dict[str, int]] = field(default_factory=dict)
     faults: int = 0
     orphans: int = 0
+    quarantined: int = 0
+    cursor: str | None = None
+    waiting_until: str | None = None
     error: str | None = None
 
 
@@ -49,57 +65,188 @@ def coalesced(batch: DataFrame, table: str) -> DataFrame:
     return merge.coalesce_batch(ordered, KEYS[table], "_order", first=known("created_at"), latest=known("updated_at")).drop("_order")
 
 
-def write(store: Store, source: str, frames: dict[str, DataFrame], cursor: str | None = None) -> Report:
+def fault_in(table: str, columns: list[str]) -> Column:
+    """Why a row can't be stored, or null."""
+    blank = lambda c: F.coalesce(F.btrim(F.col(c).cast("string")), F.lit("")) == ""
+    checks = [(blank(KEYS[table]), f"no {KEYS[table]}")]
+    if table == "records":
+        checks.append((blank("source"), "no source"))
+    if table == "sessions" and "kind" in columns:
+        checks.append((~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), "unknown kind"))
+    if table == "observations":
+        checks.append((blank("session_id"), "no session_id"))
+    out = F.lit(None).cast("string")
+    for bad, why in reversed(checks):
+        out = F.when(bad, why).otherwise(out)
+    return out
+
+
+def split_bad(batch: DataFrame, why: Column) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) rows of a batch; bad ones have error_detail. A batch that is bad throughout is an error of the source."""
+    marked = batch.withColumn("error_detail", why)
+    counts = marked.agg(F.count_if(F.col("error_detail").isNull()).alias("good"), F.count("*").alias("n")).first()
+    if counts["n"] and not counts["good"]:
+        raise ValueError("every row of the batch is bad")
+    return marked.where("error_detail IS NULL").drop("error_detail"), marked.where("error_detail IS NOT NULL")
+
+
+def _shaped(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    have = set(batch.columns)
+    return batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema.fields])
+
+
+def _differing(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """Rows of new that old doesn't hold as they are."""
+    mark = F.sha2(F.to_json(F.struct(*new.columns)), 256)
+    return new.withColumn("_mark", mark).join(old.select(key, mark.alias("_mark")), [key, "_mark"], "left_anti").drop("_mark")
+
+
+def _faults(store: Store, source: str, found: DataFrame, now: Column) -> DataFrame:
+    """The table of permanent faults after a run that found(path or another first column, reason, ..) for this source.
+
+    A fault that is seen again keeps its first time. One that wasn't seen stays while its input hasn't been read anew; with
+    a stamp of the input it goes when the stamp has moved.
+    """
+    have = set(found.columns)
+    scope = next((F.col(c).cast("string") for c in ("path", "row", "raw") if c in have), F.lit(None).cast("string"))
+    detail = F.col("lineno").cast("string") if "lineno" in have else F.lit(None).cast("string")
+    stamp = F.col("stamp").cast("string") if "stamp" in have else F.lit(None).cast("string")
+    line = F.col("lineno").cast("long") if "lineno" in have else F.lit(None).cast("long")
+    seen = found.select(scope.alias("scope"), F.col("reason"), detail.alias("detail"), stamp.alias("scope_stamp"), line.alias("line"))
+    seen = seen.groupBy(fault_key(F.col("scope"), F.col("reason"), F.col("detail")).alias("fault_key"), "scope", "reason", "detail", "scope_stamp", "line").agg(F.count("*").alias("record_count"))
+    old = store.read("poison_faults")
+    own = old.where(F.col("source") == source)
+    moved = seen.select("scope", F.col("scope_stamp").alias("stamp")).where("stamp IS NOT NULL").distinct()
+    stamps = own.join(moved, "scope").select("fault_key", "stamp")
+    status = state.reconcile_faults(own, seen, stamps)
+    gone = status.where("status = 'released'").select("fault_key")
+    first = own.select("fault_key", F.col("first_seen_at").alias("_first"))
+    fresh = seen.join(first, "fault_key", "left").select(F.lit(source).alias("source"), "fault_key", "scope", "scope_stamp", "reason", "detail", "record_count", "line", F.coalesce("_first", now).alias("first_seen_at"), now.alias("last_seen_at"))
+    rest = own.join(gone, "fault_key", "left_anti").join(seen.select("fault_key"), "fault_key", "left_anti")
+    return old.where(F.col("source") != source).unionByName(rest.select(*old.columns)).unionByName(fresh.select(*old.columns))
+
+
+def write(store: Store, source: str, frames: dict[str, DataFrame], cursor: str | None = None, now: datetime | None = None) -> Report:
     """Merge the frames of one source into the store and move its cursor, in one commit.
 
-    Observations without a session, in the batch or stored, are counted and left out. A frame read twice changes nothing.
+    Each frame is read once: valid rows are written beside the store first, and counts and merge read them there. Rows
+    that aren't valid go to quarantine, and leave it when they are written at last. Observations without a session, in
+    the batch or stored, are counted and left out. Only rows that change are written. A frame read twice changes nothing.
     """
-    report, out, base = Report(source), {}, store.manifest()["version"]
-    if "faults" in frames:
-        report.faults = frames["faults"].count()
+    when = F.lit(now or datetime.now(UTC)).cast("timestamp")
+    report, deltas, tables, base = Report(source, cursor=cursor), {}, {}, store.manifest()["version"]
+    failed, done = None, None
+    batches: dict[str, DataFrame] = {}
     for table in ("records", "sessions", "observations"):
         if table not in frames:
             continue
-        batch, stored, key = hashed(frames[table], table), store.read(table), KEYS[table]
-        batch = coalesced(batch, table)
+        key, was = KEYS[table], store.read(table)
+        raw = kept(frames[table], f"ingest-{table}")
+        good, bad = split_bad(raw, fault_in(table, raw.columns))
+        name = F.coalesce(F.nullif(F.btrim(F.col(key).cast("string")), F.lit("")), F.sha2(F.to_json(F.struct(*raw.columns)), 256))
+        told = bad.select(F.lit(source).alias("source"), F.concat(F.lit(f"{table}:"), name).alias("record_key"), F.lit("invalid").alias("error_type"), "error_detail").dropDuplicates(["source", "record_key"])
+        failed = told if failed is None else failed.union(told)
+        batch = coalesced(hashed(good, table), table)
         if table == "observations":
-            known = store.read("sessions").select("session_id").union(frames["sessions"].select("session_id")) if "sessions" in frames else store.read("sessions").select("session_id")
+            known = store.read("sessions").select("session_id")
+            if "sessions" in batches:
+                known = known.union(batches["sessions"].select("session_id"))
             report.orphans = joins.orphans(batch, known).count()
             batch = batch.join(known, "session_id", "left_semi")
-        whole = _shaped(batch, stored)
-        report.counts[table] = merge.write_counts(merge.changes(stored, whole, key)).first().asDict()
-        out[table] = merge.upsert_records(stored, whole) if table == "records" else merge.upsert_entities(stored, whole, key)
-    store.commit(out, {source: cursor} if cursor else None, base)
+        batch = batches[table] = kept(_shaped(batch, was), f"ingest-{table}")
+        written = batch.select(F.lit(source).alias("source"), F.concat(F.lit(f"{table}:"), key).alias("record_key"))
+        done = written if done is None else done.union(written)
+        touched = kept(was.join(batch.select(key), key, "left_semi").select(*was.columns), f"ingest-{table}-touched")
+        report.counts[table] = merge.write_counts(merge.changes(touched, batch, key)).first().asDict()
+        new = merge.upsert_records(touched, batch) if table == "records" else merge.upsert_entities(touched, batch, key)
+        deltas[table] = _differing(new, touched, key)
+    if failed is not None:
+        held = store.read("quarantine")
+        report.quarantined = failed.count()
+        if report.quarantined or not held.isEmpty():
+            tables["quarantine"] = state.release(state.quarantine(held, failed, when), done)
+    if "faults" in frames:
+        found = kept(frames["faults"], "ingest-faults")
+        report.faults = found.count()
+        if report.faults or not store.read("poison_faults").where(F.col("source") == source).isEmpty():
+            tables["poison_faults"] = _faults(store, source, found, when)
+    store.commit(tables, {source: cursor} if cursor else None, base, deltas)
     return report
 
 
-def _shaped(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    have = set(batch.columns)
-    return batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema.fields])
+def write_with_retry(store: Store, source: str, frames: dict[str, DataFrame], cursor: str | None = None, now: datetime | None = None, tries: int = TRIES, wait: float = WAIT_SECONDS) -> Report:
+    """write, tried again after a jittered wait where another writer came first or storage failed; bad input isn't retried."""
+    for n in range(tries):
+        try:
+            return write(store, source, frames, cursor, now)
+        except ValueError:
+            raise
+        except Exception as e:
+            if n + 1 == tries or not (isinstance(e, StoreError) or "IOException" in str(e)):
+                raise
+            time.sleep(backoff_seconds(n, wait, 30.0))
+    raise AssertionError("unreachable")
 
 
-def run(store: Store, sources: dict[str, dict[str, DataFrame]], threads: int = 4) -> list[Report]:
-    """All sources: plans are made side by side, commits one after the other; one that fails is reported and the rest go on."""
+def _mark(frames: dict[str, DataFrame]) -> str | None:
+    """The latest time in the frames, as the next run's cursor."""
+    tops = []
+    for table, df in frames.items():
+        times = [c for c in TIMES.get(table, ()) if c in df.columns]
+        if times:
+            tops.append(df.agg(F.max(F.coalesce(*[F.col(c).cast("timestamp") for c in times])).alias("top")).first()["top"])
+    tops = [t for t in tops if t is not None]
+    return max(tops).astimezone(UTC).isoformat() if tops else None
 
-    def faults_of(item: tuple[str, dict[str, DataFrame]]) -> int:
-        return item[1]["faults"].count() if "faults" in item[1] else 0
 
-    with ThreadPoolExecutor(threads) as pool:
-        list(pool.map(lambda item: _quiet(faults_of, item), sources.items()))
-    out = []
-    for name, frames in sources.items():
+def run(store: Store, roots: dict[str, str], now: datetime | None = None, stop: Callable[[], bool] | None = None, sources: dict | None = None) -> list[Report]:
+    """One run over the sources whose roots are given, each by its cursor policy; state and reports are kept by source."""
+    now, out, runs = now or datetime.now(UTC), [], []
+    known = sources or SOURCES
+    past = {r["source"]: r for r in store.read("ingest_state").collect()}
+    inputs = []
+    for name, root in roots.items():
+        if stop and stop():
+            break
+        row = past.get(name)
+        wait = row["next_attempt_at"] if row else None
+        if wait is not None and wait.astimezone(UTC) > now:
+            out.append(Report(name, waiting_until=wait.astimezone(UTC).isoformat()))
+            continue
+        policy = state.POLICIES.get(name, state.CursorPolicy("none"))
+        since = None
+        if policy.kind != "none" and row and row["cursor_value"]:
+            since = datetime.fromisoformat(row["cursor_value"]) - timedelta(seconds=policy.overlap_seconds)
         try:
-            out.append(write(store, name, frames))
-        except Exception as e:  # isolation of sources
-            out.append(Report(name, error=f"{type(e).__name__}: {e}"))
+            frames = known[name].read(store.spark, root, since=since, now=now)
+            frames = {k: kept(df, f"source-{name}-{k}") for k, df in frames.items()}
+            report = write_with_retry(store, name, frames, _mark(frames) if policy.kind != "none" else None, now)
+            rows = sum(c["added"] + c["updated"] for c in report.counts.values())
+            runs.append((name, True, report.cursor, rows, None))
+            inputs.append((name, now, int(policy.stale_seconds)))
+        except Exception as e:  # one source's failure is counted and the others go on
+            report = Report(name, error=f"{type(e).__name__}: {str(e)[:500]}")
+            runs.append((name, False, None, 0, report.error))
+        out.append(report)
+    if runs:
+        made = store.spark.createDataFrame(runs, "source string, ok boolean, cursor_value string, rows_seen long, error string")
+        kinds = F.create_map(*[F.lit(x) for k, p in state.POLICIES.items() for x in (k, p.kind)])
+        after = state.after_run(store.read("ingest_state"), made, F.lit(now).cast("timestamp")).withColumn("cursor_kind", F.coalesce(F.element_at(kinds, F.col("source")), F.lit("none")))
+        store.commit({"ingest_state": kept(after, "ingest-state")})
     return out
 
 
-def _quiet(f, item) -> None:
-    try:
-        f(item)
-    except Exception:  # reported when the source is written
-        return
+def stale(store: Store, now: datetime | None = None) -> list[dict]:
+    """Sources that haven't been read for longer than their policy allows, each told once an episode."""
+    when = F.lit(now or datetime.now(UTC)).cast("timestamp")
+    limits = F.create_map(*[F.lit(x) for k, p in state.POLICIES.items() for x in (k, p.stale_seconds)])
+    ok = store.read("ingest_state").where("last_ok_at IS NOT NULL")
+    inputs = ok.select("source", F.col("last_ok_at").alias("input_at"), F.element_at(limits, F.col("source")).cast("long").alias("threshold_seconds")).where("threshold_seconds IS NOT NULL")
+    new = kept(state.stale_episodes(inputs, store.read("stale_told"), when), "stale")
+    rows = [r.asDict() for r in new.collect()]
+    if rows:
+        store.commit(deltas={"stale_told": new})
+    return rows
 
 
 def stream_records(store: Store, stream: DataFrame, source: str, cursor: str, checkpoint: str) -> None:
@@ -108,15 +255,6 @@ def stream_records(store: Store, stream: DataFrame, source: str, cursor: str, ch
     def one(batch: DataFrame, batch_id: int) -> None:
         top = batch.agg(F.max(cursor).cast("string")).first()[0]
         if top is not None:
-            write(store, source, {"records": batch}, top)
+            write_with_retry(store, source, {"records": batch}, top)
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def split_bad(batch: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
-    """(good, bad) rows of a batch; a batch that is bad throughout is an error of the source and not of its rows."""
-    marked = batch.withColumn("_ok", F.coalesce(valid, F.lit(False)))
-    counts = marked.agg(F.count_if("_ok").alias("good"), F.count("*").alias("n")).first()
-    if counts["n"] and not counts["good"]:
-        raise ValueError("every row of the batch is bad")
-    return marked.where("_ok").drop("_ok"), marked.where("NOT _ok").drop("_ok")

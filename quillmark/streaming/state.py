@@ -17,6 +17,7 @@ class CursorPolicy:
 
     kind: str
     overlap_seconds: int = 0
+    stale_seconds: int = 2 * 86400
 
 
 # Fixed values.

@@ -5,6 +5,7 @@ import pytest
 from quillmark.engine import Engine, ceiling
 from quillmark.operators import tagging
 from quillmark.sources import testbed
+from quillmark.sources.registry import Source
 from quillmark.store import Store, StoreError
 from quillmark.streaming import ingest, state
 from tests.conftest import SF
@@ -119,6 +120,10 @@ def test_ingest_is_idempotent_and_redacts(spark, tmp_path):
     assert rows["a:2"]["body"] == "plain!" and rows["a:2"]["created_at"] is not None and rows["a:1"]["updated_at"] is not None
     with pytest.raises(StoreError):
         store.commit({}, base=1)
+    late = Store(spark, str(tmp_path / "store"))
+    late.manifest = lambda: {"version": 1, "schema": 9, "tables": {}, "cursors": {}}
+    with pytest.raises(StoreError):  # another writer has made that number
+        late.commit({})
 
 
 def test_the_later_version_of_a_batch_is_stored(spark, tmp_path):
@@ -138,7 +143,9 @@ def test_orphans_are_left_out(spark, tmp_path):
     report = ingest.write(store, "sessions", {"sessions": sessions.where("conv_id < 3"), "observations": testbed.observations(spark, SF)})
     assert report.orphans > 0 and store.read("sessions").count() == 3
     assert store.read("observations").select("session_id").distinct().count() == 3
-    done = ingest.run(store, {"bad": {"records": spark.range(1)}, "good": {"sessions": sessions}})
+    made = {"bad": {"records": spark.range(1)}, "good": {"sessions": sessions}}
+    sources = {n: Source(n, "x", lambda spark, root, since=None, now=None: made[root]) for n in made}
+    done = ingest.run(store, {n: n for n in made}, sources=sources)
     assert done[0].error and not done[1].error and store.read("sessions").count() == sessions.count()
 
 
