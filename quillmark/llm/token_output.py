@@ -31,8 +31,10 @@ MAGIC = b"QMTOKEN1"
 END_ID = 2
 SEGMENT_BYTES = 4 << 20
 SAMPLE = 64
-#: Words and pieces whose ids a worker remembers; beyond that it starts anew.
-WORDS, PIECES = 600_000, 600_000
+#: Bytes of words, and of pieces, with their ids that a worker remembers; beyond that it starts anew.
+WORD_BYTES, PIECE_BYTES = 16 << 20, 80 << 20
+#: What an entry takes besides the bytes of its word and ids: two objects and their place in the table.
+_ENTRY = 180
 
 #: What a file says whose ids follow from words (fixed values).
 _WORD_NORM = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -44,9 +46,10 @@ _WORD_PRE = {
     ],
 }
 _LETTERS = "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
-_PLAIN = re.compile(r"[\x21-\x26\x28-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+").fullmatch
-#: After the pre-tokenizer's letters for bytes: all that isn't ASCII belongs to a letter.
-_PARTS = re.compile(r"(?:[a-z]|[^\x00-\x7F])+|[0-9]|[^a-z0-9\x80-\U0010FFFF]+").findall
+#: Texts that neither normal forms nor unusual spaces nor unusual letters concern: only lower case is to be made of them.
+_PLAIN = re.compile(r"[\x09-\x0D\x20-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*").fullmatch
+#: What the pre-tokenizer cuts such a text into, once it is in lower case.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xFF]+|[0-9]|[^\x09-\x0D\x20a-z0-9\x80-\xFF]+").findall
 
 
 def ef_encode(values: np.ndarray) -> bytes:
@@ -138,15 +141,30 @@ class Segment:
         return np.frombuffer(self.ids[4 * start : 4 * self._ends.select(i)], "<u4")
 
 
+class _Remembered(dict):
+    """Ids by word or piece: what is missing is made and kept, until all takes too many bytes."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.size = make, limit, 0
+
+    def __missing__(self, key):
+        ids = self.make(key)
+        if self.size >= self.limit:
+            self.clear()
+            self.size = 0
+        self[key] = ids
+        self.size += _ENTRY + len(key) + len(ids)
+        return ids
+
+
 class Encoder:
     """Whole-text encoding by a tokenizers file.
 
     Where the file's pre-tokenizer throws white space away and nothing reaches over it, the ids of a text are those of
-    its words one after the other, and those of a word the ids of its pieces. Then each distinct word goes through the
-    file's normaliser and pre-tokenizer once and each distinct piece through its model once; both are remembered.
-    Words of printable ASCII without apostrophe and Latin-1 letters need no normaliser beyond lower case: they are cut
-    into letters, digits and the rest.
-    Words that hold an added token, and files of other kinds, are encoded by the library as a whole.
+    its pieces one after the other, and each distinct piece goes through the model once; ids are remembered, in memory of
+    bounded size. Texts of printable ASCII and Latin-1 letters are cut into pieces by the pre-tokenizer's own pattern once
+    they are in lower case; other texts go word by word through the file's normaliser and pre-tokenizer. Words that hold
+    an added token, and files of other kinds, are encoded by the library as a whole.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -156,8 +174,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.normalizer, self.pre = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.end = struct.pack("<I", end_id)
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known = _Remembered(self._word, WORD_BYTES)
+        self.pieces = _Remembered(self._piece, PIECE_BYTES)
+        self.coded = _Remembered(self._ids, WORD_BYTES)
         with open(path, encoding="utf-8") as f:
             says = json.load(f)
         self.added = [x["content"].encode() for x in says["added_tokens"]]
@@ -166,46 +185,31 @@ class Encoder:
         self.bytes = {ord(c): self.pre.pre_tokenize_str(c)[0][0] for c in _LETTERS} if self.pre else {}
         self.by_word = says.get("pre_tokenizer") == _WORD_PRE and says.get("normalizer") == _WORD_NORM and not any(x.split() != [x] for x in self.added)
 
+    def _ids(self, coded: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(coded)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= PIECES:
-            self.pieces.clear()
-        ids = [t.id for t in self.model.tokenize(piece)]
-        packed = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return packed
+        return self._ids(piece if piece.isascii() else piece.translate(self.bytes))
 
     def _word(self, word: bytes) -> bytes:
-        if self.sign in word and self.held(word):
-            return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         text = word.decode("utf-8", "replace")
-        if _PLAIN(text):
-            text = text.lower()
-            parts = _PARTS(text if text.isascii() else text.translate(self.bytes))
-        else:
-            parts = [x for x, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(text))]
-        get = self.pieces.get
-        if len(parts) == 1:
-            return get(parts[0]) or self._piece(parts[0])
-        return b"".join([get(x) or self._piece(x) for x in parts])
+        if self.sign in word and self.held(word):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([self.coded[x] for x, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(text))])
+
+    def _text(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "replace")
+        if _PLAIN(text) and not (self.sign in raw and self.held(raw)):
+            return b"".join(map(self.pieces.__getitem__, _PARTS(text.lower())))
+        return b"".join(map(self.known.__getitem__, raw.split()))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian uint32."""
         if not self.by_word:
             done = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return [np.array(x.ids, dtype="<u4").tobytes() + self.end for x in done]
-        out, known = [], self.known
-        for text in texts:
-            words = text.split()
-            try:
-                ids = b"".join(map(known.__getitem__, words))
-            except KeyError:
-                if len(known) > WORDS:
-                    known.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = self._word(w)
-                ids = b"".join(map(known.__getitem__, words))
-            out.append(ids + self.end)
-        return out
+        return [self._text(raw) + self.end for raw in texts]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -238,8 +242,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segment_
 
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
-            for at in range(0, len(texts), 256):
-                for doc_id, coded in zip(batch.column(0)[at : at + 256].to_pylist(), encoder.encode(texts[at : at + 256].to_pylist()), strict=True):
+            for at in range(0, len(texts), 32):
+                for doc_id, coded in zip(batch.column(0)[at : at + 32].to_pylist(), encoder.encode(texts[at : at + 32].to_pylist()), strict=True):
                     doc_ids.append(doc_id)
                     ids.append(coded)
                     size += len(coded)
