@@ -5,9 +5,15 @@ Nothing is caught or skipped: an error in the expression fails the write.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmark.functions.text import let
+
 # Labels and patterns, in the order in which they are applied.
 PII_PATTERNS = {
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
@@ -30,23 +36,46 @@ SECRET_PATTERNS = {
 }
 CARD = PII_PATTERNS["credit_card"]
 
+#: What a text must hold for a pattern to match anywhere; looked for before the pattern is tried. None of the marks put in
+#: holds any of these, so a text that lacks them at first lacks them throughout.
+_NEEDS = {
+    "ssn": ("-",), "email": ("@",), "iban": None, "ipv6": (":",), "ipv4": (".",), "credit_card": None, "phone": None,
+    "private_key": ("PRIVATE KEY",), "aws_key": ("AKIA", "ASIA"), "github_token": ("gh",), "api_key": ("sk-",), "slack_token": ("xox",), "jwt": ("eyJ",),
+}
+_TWO_DIGITS = {"ssn", "iban", "credit_card", "phone"}
+_ANY = r"[0-9]{2}|[@:]|[0-9]\.|PRIVATE KEY|AKIA|ASIA|gh[pousri]|sk-|xox[abprs]-|eyJ"
+
 
 def mark(label: str) -> str:
     return f"[REDACTED:{label}]"
 
 
+def _may(text: Column, label: str) -> Column:
+    """Could the pattern of this label match? Never false where it does."""
+    needs = _NEEDS[label]
+    said = reduce(or_, [F.contains(text, F.lit(x)) for x in needs]) if needs else F.lit(True)
+    return said & F.rlike(text, F.lit("[0-9]{2}")) if label in _TWO_DIGITS else said
+
+
 def _valid_cards(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(f"({CARD})"), F.lit(1))
     return F.filter(found, lambda x: F.call_function("luhn_check", F.regexp_replace(x, r"\D", "")))
 
 
 def redact_cards(text: Column) -> Column:
-    return F.aggregate(F.array_distinct(_valid_cards(text)), text, lambda acc, card: F.replace(acc, card, F.lit(mark("credit_card"))))
+    def put(x: Column) -> Column:
+        done = F.aggregate(F.array_distinct(_valid_cards(x)), x, lambda acc, card: F.replace(acc, card, F.lit(mark("credit_card"))))
+        return F.when(_may(x, "credit_card"), done).otherwise(x)
+
+    return let(text, put)
 
 
 def redact_patterns(text: Column, patterns: dict[str, str]) -> Column:
+    def layer(label: str, pattern: str) -> Callable[[Column], Column]:
+        return lambda x: F.when(_may(x, label), F.regexp_replace(x, pattern, mark(label))).otherwise(x)
+
     for label, pattern in patterns.items():
-        text = F.regexp_replace(text, pattern, mark(label).replace("$", r"\$"))
+        text = let(text, layer(label, pattern))
     return text
 
 
@@ -55,7 +84,9 @@ def redact_secrets(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    return redact_patterns(redact_cards(redact_secrets(text)), PII_PATTERNS)
+    """All layers; a text that holds nothing any of them could match is looked at once."""
+    layers = lambda x: redact_patterns(redact_cards(redact_secrets(x)), PII_PATTERNS)
+    return let(text, lambda x: F.when(F.rlike(x, F.lit(_ANY)), layers(x)).otherwise(x))
 
 
 def redaction_counts(text: Column) -> Column:
@@ -69,4 +100,5 @@ def redaction_counts(text: Column) -> Column:
         n = F.regexp_count(stage, F.lit(pattern))
         counts += [F.lit(label), n + cards if label == "credit_card" else n]
         stage = F.regexp_replace(stage, pattern, mark(label))
-    return F.map_filter(F.create_map(*counts), lambda _, n: n > 0)
+    found = F.map_filter(F.create_map(*counts), lambda _, n: n > 0)
+    return F.when(F.rlike(text, F.lit(_ANY)), found).otherwise(F.create_map().cast("map<string,int>"))
