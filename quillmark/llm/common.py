@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.llm import kernel as K
+from quillmark.workspace import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,20 +23,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir, or what setCheckpointDir was given: a folder that all executors see."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        # one process on one machine: its warehouse is what all tasks see
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quillmark-intermediate"
-        sc.setCheckpointDir(found)
-        found = sc.getCheckpointDir()
-    if not found:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found.rstrip("/")
-
-
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -78,6 +67,7 @@ def forget_others(owner: str) -> None:
 
 
 def give_back() -> None:
+    K.forget()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # glibc only
         ctypes.CDLL(None).malloc_trim(0)

@@ -7,7 +7,7 @@ neighbours in the sample; a document is the mean over its words and over its sha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernel as K
-from quillmark.llm.common import documents, spread, table, text_of, tidied
+from quillmark.llm.common import documents, give_back, spread, table, text_of, tidied
 
 DIM = 32
 NONZERO = 4
@@ -24,6 +24,7 @@ BUCKETS = 1 << 15
 #: About so many labelled rows, chosen by a hash of the id, train the network; fewer if fewer have labels.
 SAMPLE_ROWS = 8000
 HIDDEN = 24
+DRIVER_SLICE = 1 << 18
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = 97
@@ -84,7 +85,7 @@ def features(words: Words, vectors: np.ndarray, shapes: np.ndarray) -> np.ndarra
     return np.concatenate([4 * _means(vectors[words.bucket], words.first), 4 * _means(shapes[words.shape], words.first), form], axis=1, dtype=np.float32)
 
 
-def context_vectors(columns: list[Words], index: np.ndarray) -> np.ndarray:
+def context_vectors(columns: Iterable[Words], index: np.ndarray) -> np.ndarray:
     """Index vectors plus the unit sum of index vectors met one and two words away."""
     met = np.zeros_like(index)
     for w in columns:
@@ -160,6 +161,11 @@ class QualityModel:
         return out
 
 
+def _slices(texts: pa.Array) -> Iterator[Words]:
+    """Words of small slices: training runs on the driver, whose memory is little."""
+    return (read_words(data, offsets) for _, _, data, offsets in K.slices(texts, DRIVER_SLICE))
+
+
 def train(texts: pa.Array, labels: np.ndarray, part: np.ndarray) -> QualityModel:
     """part says which rows (True) serve to set the temperature; the others fit vectors and network.
 
@@ -167,9 +173,8 @@ def train(texts: pa.Array, labels: np.ndarray, part: np.ndarray) -> QualityModel
     """
     index = index_vectors()
     shapes = index_vectors(seed=13)
-    columns = [read_words(data, offsets) for _, _, data, offsets in K.slices(texts)]
-    vectors = context_vectors(columns, index)
-    x = np.concatenate([features(w, vectors, shapes) for w in columns]) if columns else np.zeros((0, 2 * DIM + 4), np.float32)
+    vectors = context_vectors(_slices(texts), index)
+    x = np.concatenate([np.zeros((0, 2 * DIM + 4), np.float32), *(features(w, vectors, shapes) for w in _slices(texts))])
     net = Network(x.shape[1])
     fit = ~part if (~part).any() else part
     y = labels[fit].astype(float)
@@ -221,7 +226,10 @@ def quality_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
     still comes, near 0.5.
     """
     sample = labelled_sample(docs, labels, "quality", rows)
-    return train(sample.column("text"), sample.column("label").to_numpy(), sample.column("part").to_numpy() == 0)
+    model = train(sample.column("text"), sample.column("label").to_numpy(), sample.column("part").to_numpy() == 0)
+    del sample
+    give_back()
+    return model
 
 
 THRESHOLD = 0.7

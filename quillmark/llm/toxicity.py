@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernel as K
-from quillmark.llm.common import documents, spread, table, text_of
-from quillmark.llm.quality import Network, _sigmoid, held_out, score_documents
+from quillmark.llm.common import documents, give_back, spread, table, text_of
+from quillmark.llm.quality import DRIVER_SLICE, Network, _sigmoid, held_out, score_documents
 
 #: About so many unlabelled rows and confirmed toxic ones, chosen by a hash of the id, train the model.
 SAMPLE_ROWS = 10000
@@ -97,7 +97,7 @@ def _doc_rates(texts: pa.Array, use: np.ndarray) -> tuple[np.ndarray, np.ndarray
         every, where = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
         return every, np.bincount(where, weights=np.concatenate([counts, n]), minlength=len(every)).astype(np.int64)
 
-    for row, _, data, offsets in K.slices(texts):
+    for row, _, data, offsets in K.slices(texts, DRIVER_SLICE):
         hashes, first = word_features(data, offsets)
         each += [np.unique(hashes[a:b]) for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)) if use[row + i]]
         if sum(map(len, each)) > 1 << 21:
@@ -188,7 +188,7 @@ def fit_nnpu(net: Network, x: np.ndarray, positive: np.ndarray, prior: float, ep
 
 
 def _evidence(texts: pa.Array, lexica: Lexica) -> np.ndarray:
-    rows = [evidence_features(*word_features(data, offsets), lexica) for _, _, data, offsets in K.slices(texts)]
+    rows = [evidence_features(*word_features(data, offsets), lexica) for _, _, data, offsets in K.slices(texts, DRIVER_SLICE)]
     return np.concatenate([*rows, np.zeros((lexica.evidence.shape[1], 0, 1 + 2 * len(LEVELS)), np.float32)], axis=1)
 
 
@@ -246,7 +246,10 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     sample = sampled(docs, labels, rows, positives)
     share = spread(labels, "doc_id", "toxic").where(~held_out()).agg(F.avg("toxic")).first()[0] or 0.0
     free = sample.column("unlabelled").to_numpy().astype(bool)
-    return train(sample.column("text"), sample.column("toxic").to_numpy(), sample.column("part").to_numpy(), free, share)
+    model = train(sample.column("text"), sample.column("toxic").to_numpy(), sample.column("part").to_numpy(), free, share)
+    del sample
+    give_back()
+    return model
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
