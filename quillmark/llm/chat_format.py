@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.common import spread, table
+from quillmark.llm.common import spread, table, written
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -132,7 +132,10 @@ def _filled(layouts: list[Layout], turns: dict[str, Column], may: dict[str, Colu
 
 
 def canonical_turns(df: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text from any known layout. Rows without a conv_id column are numbered by their content.
+    """conv_id, turn, role, text from any known layout.
+
+    In a table without a conv_id column each row is a conversation of its own: rows are numbered, and written once so that a
+    task that runs again meets the same numbers.
 
     Where the columns of several layouts are there in full, as in a union of sources, each row goes by the one it fills.
     A row that fills none gives one row with null turn, role and text, so that nothing is lost unseen.
@@ -144,7 +147,11 @@ def canonical_turns(df: DataFrame) -> DataFrame:
         return spread(df, "conv_id", "turn", "role", "text")
     names = {f.name.lower(): f.name for f in df.schema.fields}
     at = lambda path: F.col(f"`{names[path]}`")
-    key = at("conv_id") if "conv_id" in names else F.xxhash64(F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in df.schema.fields])))
+    if "conv_id" not in names:
+        needed = sorted({names[p] for x in layouts for p in _tops(x)})
+        df = written(df.select(F.monotonically_increasing_id().alias("conv_id"), *[F.col(f"`{c}`") for c in needed]), "chat-numbered")
+        names = {f.name.lower(): f.name for f in df.schema.fields}
+    key = at("conv_id")
     said = {x.name: x.turns(at) if x.turns else F.array(_turn(at("role"), at("text"))) for x in layouts}
     own = at("turn").cast("long") if main.turns is None else F.lit(None).cast("long")
     rows = df.select(key.alias("conv_id"), own.alias("own"), _filled(layouts, said).alias("found"))
@@ -226,6 +233,7 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """format_chats over all conversations and one more, read back; nulls, ties and odd rows as stated there."""
     turns = canonical_turns(table(spark, sf_dir, "conversations"))
     probe = END + START + "assistant ok"
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")

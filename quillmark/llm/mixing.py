@@ -87,13 +87,15 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Rows that share a doc_id and a source are drawn together, as one unit of their joint size.
     """
     units = word_sizes(docs).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
-    drawn = draw(units, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies")
-    same = docs["doc_id"].eqNullSafe(drawn["_id"]) & docs["source"].eqNullSafe(drawn["_source"])
-    joined = docs.join(drawn, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    drawn = draw(units, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.expr("sequence(1, cast(copies as int))").alias("_copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & F.col("row.source").eqNullSafe(F.col("_source"))
+    joined = rows.join(drawn, same).select("row", F.explode("_copies"))
+    return joined.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix_sources over all documents; nulls, ties and odd rows as stated there."""
     return mix_sources(documents(spark, sf_dir))
 
 

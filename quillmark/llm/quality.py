@@ -111,7 +111,8 @@ class Network:
         return np.tanh(((x - self.center) / self.scale) @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3][0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
+        """Rounded, as the last bits of a product depend on which rows are worked on together."""
+        return np.round(1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40))), 9)
 
     def backward(self, x: np.ndarray, slope: np.ndarray) -> list[np.ndarray]:
         """Gradients for rows x (centred and scaled) whose loss has these slopes by the logit."""

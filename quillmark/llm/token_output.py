@@ -288,4 +288,5 @@ def default_tokenizer() -> str:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """write_tokens over the whole texts of documents, and what its segments say; nulls, ties and odd rows as stated there."""
     return read_index(write_tokens(documents(spark, sf_dir), default_tokenizer()))

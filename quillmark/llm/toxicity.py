@@ -148,7 +148,7 @@ class ToxicityModel:
         out = np.empty(len(column))
         for a, b, data, offsets in K.slices(column):
             x = evidence_features(*word_features(data, offsets), self.lexica)
-            out[a:b] = np.mean([self.networks[j // 2].score(x[j]) for j in range(len(x))], axis=0)
+            out[a:b] = np.round(np.mean([self.networks[j // 2].score(x[j]) for j in range(len(x))], axis=0), 9)
         return out
 
 
