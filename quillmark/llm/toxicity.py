@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives. The unlabelled texts are a sample of all documents without regard to their
-labels; they hold positives at the rate of the class prior, which is estimated from the two samples. A half of the
+labels; they hold positives at the rate of the class prior, which is estimated from the two samples, below a given bound. A half of the
 sample gives a lexicon: words and word beginnings with the log of their document rate among positives over that among
 unlabelled texts. A numpy network is trained on what each half's lexicon says of the other half's texts; this is done for
 several ways to halve the sample, as a lexicon of few positives depends on which they are. The risk estimator is
@@ -27,8 +27,8 @@ from quillmark.llm.quality import DRIVER_SLICE, Network, _sigmoid, held_out, sco
 #: About so many unlabelled rows and confirmed toxic ones, chosen by a hash of the id, train the model.
 SAMPLE_ROWS = 10000
 POSITIVE_ROWS = 2000
-#: The prior's estimate is taken for wrong above this: toxic texts are the lesser part.
-MOST_PRIOR = 0.5
+#: The share of toxic texts in the corpus is taken to be no more than this, whatever the estimate says.
+PRIOR = 0.1
 THRESHOLD = 0.3
 #: Bytes of word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5)
@@ -152,22 +152,21 @@ class ToxicityModel:
         return out
 
 
-def class_prior(score: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, share: float) -> float:
+def class_prior(score: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, most: float) -> float:
     """The share of positives among unlabelled rows, by the best bin: the least ratio of the shares of both above a score.
 
     The bin is the one of the least upper bound, at 90 % confidence, so thin bins don't win by chance. The estimate is too
-    high where no score is reached by positives only, so share, that of the confirmed rows among those with a label, is
-    taken where it is less.
+    high where no score is reached by positives only, so the given bound is taken where it is less.
     """
     p, u = np.sort(score[positive]), np.sort(score[unlabelled])
     if not len(p) or not len(u):
-        return min(share, MOST_PRIOR)
+        return most
     bins = np.unique(p)
     q_p = 1 - np.searchsorted(p, bins) / len(p)
     q_u = 1 - np.searchsorted(u, bins) / len(u)
     unsure = np.sqrt(np.log(40) / 2 / len(p)) + np.sqrt(np.log(40) / 2 / len(u))
     best = np.argmin((q_u + unsure) / q_p)
-    return float(min(q_u[best] / q_p[best], share, MOST_PRIOR))
+    return float(min(q_u[best] / q_p[best], most))
 
 
 def fit_nnpu(net: Network, x: np.ndarray, positive: np.ndarray, prior: float, epochs: int = 60, unlabelled: np.ndarray | None = None) -> None:
@@ -192,7 +191,7 @@ def _evidence(texts: pa.Array, lexica: Lexica) -> np.ndarray:
     return np.concatenate([*rows, np.zeros((lexica.evidence.shape[1], 0, 1 + 2 * len(LEVELS)), np.float32)], axis=1)
 
 
-def train(texts: pa.Array, toxic: np.ndarray, part: np.ndarray, unlabelled: np.ndarray | None = None, share: float | None = None) -> ToxicityModel:
+def train(texts: pa.Array, toxic: np.ndarray, part: np.ndarray, unlabelled: np.ndarray | None = None, most: float = PRIOR) -> ToxicityModel:
     """toxic is 1 for confirmed rows, unlabelled marks the rows of the unlabelled sample (every row if not given).
 
     Each bit of part halves the rows in one way. A half's lexicon describes the other half to the network of that way.
@@ -204,8 +203,7 @@ def train(texts: pa.Array, toxic: np.ndarray, part: np.ndarray, unlabelled: np.n
     lexica = Lexica([build_lexicon(texts, positive, free, use) for half in halves for use in (half, ~half)])
     every = _evidence(texts, lexica)
     said = [np.where(half[:, None], every[2 * k + 1], every[2 * k]) for k, half in enumerate(halves)]
-    given = share if share is not None else float(positive.mean()) if len(positive) else 0.0
-    prior = float(np.mean([class_prior(x[:, 0], positive, free, given) for x in said]))
+    prior = float(np.mean([class_prior(x[:, 0], positive, free, most) for x in said]))
     networks = []
     for k, x in enumerate(said):
         net = Network(x.shape[1], hidden=8, seed=5 + k)
@@ -237,16 +235,15 @@ def sampled(docs: DataFrame, labels: DataFrame, rows: int, positives: int) -> pa
     return free.union(confirmed).select("doc_id", text_of().alias("text"), "toxic", "unlabelled", part).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, positives: int = POSITIVE_ROWS) -> ToxicityModel:
-    """A model from docs(doc_id, text) and labels(doc_id, toxic).
+def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, positives: int = POSITIVE_ROWS, most: float = PRIOR) -> ToxicityModel:
+    """A model from docs(doc_id, text) and the confirmed ones among labels(doc_id, toxic); labels of 0 serve for nothing.
 
     Null labels and ids are no labels; an id with several rows counts with each of its texts; null text is empty. Without
     rows or without confirmed ones every score is low.
     """
     sample = sampled(docs, labels, rows, positives)
-    share = spread(labels, "doc_id", "toxic").where(~held_out()).agg(F.avg("toxic")).first()[0] or 0.0
     free = sample.column("unlabelled").to_numpy().astype(bool)
-    model = train(sample.column("text"), sample.column("toxic").to_numpy(), sample.column("part").to_numpy(), free, share)
+    model = train(sample.column("text"), sample.column("toxic").to_numpy(), sample.column("part").to_numpy(), free, most)
     del sample
     give_back()
     return model
