@@ -183,6 +183,11 @@ def page_observations(spark, sf_dir):
     return P.page(T.observations(spark, sf_dir), "observations", 30, 200).select("obs_id")
 
 
+@query("keyset_scan", "SELECT stable_id FROM rec WHERE stable_id > 'doc:5' ORDER BY stable_id LIMIT 60")
+def keyset_scan(spark, sf_dir):
+    return P.keyset(T.record_heads(spark, sf_dir), "stable_id", "doc:5", 60).select("stable_id")
+
+
 _UNION = f"""WITH items AS (
   SELECT 0 AS arm, stable_id AS id, source, coalesce(updated_at, created_at) AS t FROM rec
   UNION ALL SELECT 1, session_id, CASE WHEN kind = 'subagent' THEN 'subagents' WHEN origin = 'claude-code' THEN 'sessions' ELSE origin END, last_ts FROM ses)

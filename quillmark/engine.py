@@ -23,6 +23,7 @@ from quillmark.operators.predicates import observation_rows, record_filter, sess
 from quillmark.plans import dsl
 from quillmark.plans.dsl import QueryAST
 from quillmark.store import Store
+from quillmark.workspace import stored
 
 SUMMARY_PAGE, FULL_PAGE = 200, 40
 CEILING_CHARS = 50_000
@@ -55,7 +56,7 @@ class Engine:
         terms = stemmed_text if stem else token_text
         self.stemmed, self.on_miss = stem, on_miss
         self.indexes = {k: v for k, v in (indexes or {}).items() if v is not None and stem}
-        self.sessions = sessions
+        self.sessions, self._scopes = sessions, {}
         self.records = records if "records" in self.indexes else records.withColumn("terms", terms(F.concat_ws(" ", "subject", "body")))
         self.observations = observations if "observations" in self.indexes else observations.withColumn("terms", terms(F.coalesce("body", F.lit(""))))
 
@@ -86,11 +87,18 @@ class Engine:
         index = self.indexes.get("observations")
         if index is None:
             return S.session_scope_rows(df, phrases)
+        name = json.dumps(phrases)
+        if df is self.observations and name in self._scopes:  # the engine's frames are one version, so a scope holds
+            return self._scopes[name]
         rows = df.join(index.match_any(phrases).select(index.key, "src_hash"), [index.key, "src_hash"], "left_semi")
         flags = index._flags(phrases)
         alive = df.select(F.col(index.key).alias("key"), "src_hash").join(flags.drop("session_id"), ["key", "src_hash"])
         roots = alive.groupBy("root_session_id").agg(*[F.bool_or(f"c{k}").alias(f"c{k}") for k in range(len(phrases))]).where(index._all(phrases)).select("root_session_id")
-        return rows.join(roots, "root_session_id", "left_semi").select(*df.columns)
+        found = rows.join(roots, "root_session_id", "left_semi").select(*df.columns)
+        if df is self.observations:
+            self._scopes[name] = stored(found, "scope")
+            return self._scopes[name]
+        return found
 
     def find_records(self, ast: QueryAST) -> Found:
         """The ladder runs over all records and filters come after it: a filter never relaxes the words."""

@@ -5,11 +5,12 @@ Nothing is caught or skipped: an error in the expression fails the write.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import let
@@ -102,3 +103,38 @@ def redaction_counts(text: Column) -> Column:
         stage = F.regexp_replace(stage, pattern, mark(label))
     found = F.map_filter(F.create_map(*counts), lambda _, n: n > 0)
     return F.when(F.rlike(text, F.lit(_ANY)), found).otherwise(F.create_map().cast("map<string,int>"))
+
+
+def redact_entities(df: DataFrame, columns: Sequence[str], recognise: Callable[[list[str]], list[list[tuple[int, int, str]]]]) -> DataFrame:
+    """df with what a recogniser (names, places; a scanner of secrets) finds replaced by marks.
+
+    recognise gets a batch of texts and gives (from, to, label) of each finding. It fails closed: an error, or an answer
+    for fewer texts than it got, fails the task, so no text passes unread. Overlapping findings become one.
+    """
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for column in columns:
+                known = frame[column].notna()
+                texts = frame.loc[known, column].tolist()
+                found = recognise(texts) if texts else []
+                if len(found) != len(texts):
+                    raise RuntimeError(f"the recogniser answered for {len(found)} of {len(texts)} texts")
+                frame.loc[known, column] = [_marked(t, spans) for t, spans in zip(texts, found, strict=True)]
+            yield frame
+
+    return df.mapInPandas(scan, df.schema)
+
+
+def _marked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    merged: list[list] = []
+    for a, b, label in sorted(spans):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b, label])
+    for a, b, label in merged:
+        out += [text[at:a], mark(label)]
+        at = b
+    return "".join([*out, text[at:]])

@@ -60,3 +60,8 @@ def union_by_time(records: DataFrame, sessions: DataFrame, offset: int, size: in
 
 def by_date(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+
+
+def keyset(df: DataFrame, key: str, after: str | None, size: int) -> DataFrame:
+    """The next rows in order of a unique key, after the last one seen: the cost doesn't grow with how far the scan is."""
+    return (df if after is None else df.where(F.col(key) > after)).orderBy(key).limit(size)

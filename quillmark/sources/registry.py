@@ -22,6 +22,8 @@ class Source:
     name: str
     shape: str
     read: Callable[..., dict[str, DataFrame]]
+    #: What follows from the stored rows and the frames just read, as further frames' rows: finish(read table, frames, now).
+    finish: Callable[[Callable[[str], DataFrame], dict[str, DataFrame], datetime], dict[str, DataFrame]] | None = None
 
 
 def _transcripts(spark: SparkSession, root: str, since: datetime | None = None, now: datetime | None = None) -> dict[str, DataFrame]:
@@ -87,6 +89,26 @@ def _tasks(spark: SparkSession, root: str, since: datetime | None = None, now: d
     return {"records": newest_wins(every, "stable_id", F.col("_seen"), F.col("extra")).drop("_seen"), "faults": told}
 
 
+def _finished_tasks(stored: Callable[[str], DataFrame], frames: dict[str, DataFrame], now: datetime) -> dict[str, DataFrame]:
+    """Stored open tasks that a poll of their project no longer lists are done: their records are added, marked as inferred.
+
+    Projects that the poll doesn't cover infer nothing, and backups list no open tasks to compare with.
+    """
+    from quillmark.operators.joins import vanished
+
+    records = frames["records"]
+    polled = records.where(F.get_json_object("extra", "$.provenance") == "api")
+    project = lambda: F.get(F.filter("tags", lambda t: ~t.isin("open", "completed")), F.lit(0))
+    open_before = stored("records").where((F.col("source") == "ticktick") & F.array_contains("tags", "open"))
+    before = open_before.withColumn("task_id", F.col("stable_id")).withColumn("project_id", project())
+    gone = vanished(before, polled.select(F.col("stable_id").alias("task_id")), polled.select(project().alias("project_id")).distinct()).select("task_id")
+    done = open_before.join(gone, open_before["stable_id"] == gone["task_id"], "left_semi").select(
+        "stable_id", "source", "subject", "body", F.transform("tags", lambda t: F.when(t == "open", "completed").otherwise(t)).alias("tags"), "created_at", F.lit(now).cast("timestamp").alias("updated_at"),
+        F.to_json(F.struct(F.lit("api-inferred-complete").alias("provenance"), F.lit("2").alias("status"))).alias("extra"),
+    )
+    return frames | {"records": records.unionByName(done.join(records.select("stable_id"), "stable_id", "left_anti").select(*records.columns))}
+
+
 def _posts(spark: SparkSession, root: str, since: datetime | None = None, now: datetime | None = None) -> dict[str, DataFrame]:
     zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(root).select("path", F.col("modificationTime").alias("modified"), "content")
     return {"records": files.post_records(zips)}
@@ -108,7 +130,7 @@ SOURCES = {
         Source("chatgpt", "entities", _chats("node_map", chats.node_map)),
         Source("claude-web", "entities", _chats("message_list", chats.message_list)),
         Source("github", "records", _hits),
-        Source("ticktick", "records", _tasks),
+        Source("ticktick", "records", _tasks, _finished_tasks),
         Source("substack", "records", _posts),
         Source("dropbox", "records", _tree),
         Source("research", "records", _reports("research")),

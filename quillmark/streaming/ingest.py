@@ -220,6 +220,8 @@ def run(store: Store, roots: dict[str, str], now: datetime | None = None, stop:
         try:
             frames = known[name].read(store.spark, root, since=since, now=now)
             frames = {k: kept(df, f"source-{name}-{k}") for k, df in frames.items()}
+            if known[name].finish:
+                frames = known[name].finish(store.read, frames, now)
             report = write_with_retry(store, name, frames, _mark(frames) if policy.kind != "none" else None, now)
             rows = sum(c["added"] + c["updated"] for c in report.counts.values())
             runs.append((name, True, report.cursor, rows, None))

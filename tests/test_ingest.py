@@ -143,3 +143,26 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main([store, "freeze", str(golden), str(frozen)], spark) == 0 and cli.main([store, "regress", str(golden), str(frozen)], spark) == 0
     assert "drift=0.000" in capsys.readouterr().out
     assert cli.main([store, "migrate"], spark) == 0 and cli.main([store, "provenance"], spark) == 0 and cli.main([store, "bogus"], spark) == 2
+
+
+def test_a_poll_that_lists_a_task_no_more_has_it_done(spark, tmp_path):
+    store, root = Store(spark, str(tmp_path / "store")), tmp_path / "in"
+    root.mkdir()
+    task = lambda i, p: json.dumps({"id": i, "title": f"t{i}", "status": 0, "projectName": p, "createdTime": "2024-01-01T00:00:00.000+0000"})
+    (root / "poll.ndjson").write_text("\n".join([task(1, "P"), task(2, "P"), task(3, "Q"), '{"id": null}']))
+    first = ingest.run(store, {"ticktick": str(root)}, now=at(2))[0]
+    assert not first.error and first.faults == 1
+    (root / "poll.ndjson").write_text(task(1, "P"))
+    assert not ingest.run(store, {"ticktick": str(root)}, now=at(3))[0].error
+    tags = {r["stable_id"]: r["tags"] for r in store.read("records").collect()}
+    assert tags == {"ticktick:1": ["P", "open"], "ticktick:2": ["P", "completed"], "ticktick:3": ["Q", "open"]}
+
+
+def test_a_recogniser_fails_closed(spark):
+    from quillmark.functions.redact import redact_entities
+
+    df = spark.createDataFrame([(1, "Ann met Bob"), (2, None)], "id int, body string")
+    find = lambda texts: [[(0, 3, "person"), (8, 11, "person")] for _ in texts]
+    assert [r["body"] for r in redact_entities(df, ["body"], find).orderBy("id").collect()] == ["[REDACTED:person] met [REDACTED:person]", None]
+    with pytest.raises(Exception, match="0 of 1"):
+        redact_entities(df, ["body"], lambda texts: []).collect()
