@@ -33,9 +33,10 @@ BINS = BANDS * ROWS
 PROBES = 64
 SIMILARITY = 80
 #: Nodes in a part of a large bucket, bytes of their sets, and pairs a node in a block beyond which sets come to it.
-PART, PART_BYTES, DENSE = 2048, 32 << 20, 4
+PART, PART_BYTES, DENSE = 1024, 16 << 20, 4
 #: Sets of fewer shingles fill few bins: their pairs go to the check on full sets whatever their signatures say.
 FEW = 32
+SALTS = 32
 
 _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
@@ -331,8 +332,12 @@ def row_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """key, n_shingles, comp (smallest key reachable) for each row of docs(key, text); keys tell rows apart."""
     signed = written(sign(docs, k), "near-signed")
     known = signed.where("n > 0")
-    first = known.groupBy("s1", "s2").agg(F.min("key").alias("node"))
-    members = signed.select("key", "n", "s1", "s2").join(first, ["s1", "s2"], "left").select("key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    # the first of equal sets, by salts first, so that a set of very many documents meets in no one task
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt")
+    salted = known.groupBy("s1", "s2", salt).agg(F.min("key").alias("top"))
+    first = salted.groupBy("s1", "s2").agg(F.min("top").alias("node"))
+    named = salted.drop("top").join(first, ["s1", "s2"])
+    members = signed.select("key", "n", "s1", "s2", salt).join(named, ["s1", "s2", "salt"], "left").select("key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
     members = written(members, "near-members")
     nodes = members.where("key = node").select("key")
     rows = known.join(nodes, "key", "left_semi").select(F.explode("bands").alias("key"), F.col("key").alias("node"), "n")
