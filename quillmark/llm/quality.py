@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernel as K
-from quillmark.llm.common import documents, give_back, spread, table, text_of, tidied
+from quillmark.llm.common import discard, documents, give_back, spread, table, text_of, tidied, written
 
 DIM = 32
 NONZERO = 4
 BUCKETS = 1 << 15
 #: About so many labelled rows, chosen by a hash of the id, train the network; fewer if fewer have labels.
 SAMPLE_ROWS = 8000
+#: Bytes of a text that can be in a sample, and of the whole sample; beyond that fewer rows are taken.
+SAMPLE_TEXT, SAMPLE_BYTES = 1 << 20, 64 << 20
 HIDDEN = 24
 DRIVER_SLICE = 1 << 18
 
@@ -196,7 +198,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
     texts = spread(docs, "doc_id", "text").where(~held_out())
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(8)).cast("int").alias("part")
-    return texts.join(known, "doc_id").select("doc_id", text_of().alias("text"), "label", part).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    sample = texts.join(known, "doc_id").select("doc_id", text_of().alias("text"), "label", part)
+    return fetched(sample).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
+def fetched(sample: DataFrame, most: int = SAMPLE_BYTES) -> pa.Table:
+    """sample(doc_id, text, ..) on the driver, without texts over SAMPLE_TEXT, thinned by a hash of the id to about `most` bytes."""
+    kept = written(sample.where(F.octet_length("text") <= SAMPLE_TEXT), "sample")
+    size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    thin = kept if size <= most else kept.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("bytes")), F.lit(1 << 20)) < int((1 << 20) * most / size))
+    out = thin.toArrow()
+    discard(kept)
+    return out
 
 
 def held_out(column: str = "doc_id"):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import kernel as K
 from quillmark.llm.common import documents, give_back, spread, table, text_of
-from quillmark.llm.quality import DRIVER_SLICE, Network, _sigmoid, held_out, score_documents
+from quillmark.llm.quality import DRIVER_SLICE, Network, _sigmoid, fetched, held_out, score_documents
 
 #: About so many unlabelled rows and confirmed toxic ones, chosen by a hash of the id, train the model.
 SAMPLE_ROWS = 10000
@@ -232,7 +232,7 @@ def sampled(docs: DataFrame, labels: DataFrame, rows: int, positives: int) -> pa
     confirmed = texts.join(F.broadcast(known.where(drawn(known, positives, "toxic"))), "doc_id").select("doc_id", "text", F.lit(1).alias("toxic"), F.lit(False).alias("unlabelled"))
     free = texts.where(drawn(texts, rows, "unlabelled")).select("doc_id", "text", F.lit(0).alias("toxic"), F.lit(True).alias("unlabelled"))
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(1 << WAYS)).cast("int").alias("part")
-    return free.union(confirmed).select("doc_id", text_of().alias("text"), "toxic", "unlabelled", part).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
+    return fetched(free.union(confirmed).select("doc_id", text_of().alias("text"), "toxic", "unlabelled", part)).sort_by([("doc_id", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, positives: int = POSITIVE_ROWS, most: float = PRIOR) -> ToxicityModel:

@@ -145,6 +145,12 @@ def test_models_of_odd_tables(spark, make, label):
     assert quality.score_documents(docs.where("doc_id IN (2, 3)"), model, 0.5).select("score").distinct().count() == 1
 
 
+def test_samples_are_bounded_by_bytes(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, F.repeat(F.lit("x"), F.lit(quality.SAMPLE_TEXT + 1))).otherwise(F.repeat(F.lit("y"), F.lit(1000))).alias("text"))
+    assert quality.fetched(docs).num_rows == 399
+    assert 20 <= quality.fetched(docs, 100_000).num_rows <= 200
+
+
 # --- decontamination -------------------------------------------------------------------------------------------------
 
 
