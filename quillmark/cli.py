@@ -5,6 +5,7 @@ query TEXT                            one page of answers; a query without any i
 status | stale | migrate              counts, cursors, faults and quarantine; sources not read for long; old stores
 rescrub [--write] [--all]             rows that today's secret patterns (or all layers) would change
 provenance                            author classes of turns that lack one
+tag MODULE:FUNCTION [N]               tags by a model (texts to JSON lists of words) for the next N rows that need them
 rebuild SOURCE=DIR [--force]          replace all rows of one source; refuses a great loss
 rebuild-all SOURCE=DIR .. [--force]   the same for several
 freeze GOLDEN FILE                    rankings of the golden queries, kept in FILE
@@ -13,8 +14,11 @@ regress GOLDEN FILE                   how rankings have moved since
 
 from __future__ import annotations
 
+import importlib
 import json
+import signal
 import sys
+import threading
 from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
@@ -23,7 +27,6 @@ from pyspark.sql import functions as F
 from quillmark.engine import Engine
 from quillmark.evals import harness
 from quillmark.functions.redact import redact, redact_secrets
-from quillmark.model import KEYS
 from quillmark.operators import aggregates, merge, tagging
 from quillmark.sources.registry import SOURCES
 from quillmark.store import Store
@@ -112,7 +115,10 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
             print(__doc__)
             return MISUSED
         if command == "ingest":
-            reports = ingest.run(store, roots)
+            asked: list[int] = []
+            if threading.current_thread() is threading.main_thread():
+                signal.signal(signal.SIGTERM, lambda *_: asked.append(1))  # a source that has begun is finished
+            reports = ingest.run(store, roots, stop=lambda: bool(asked))
             for r in reports:
                 print(json.dumps(vars(r)))
             return FAILED if any(r.error for r in reports) else DONE
@@ -155,6 +161,16 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
         store.commit(deltas={"observations": filled})
         print(filled.count())
         return DONE
+    if command == "tag" and 1 <= len(rest) <= 2 and ":" in rest[0]:
+        module, name = rest[0].split(":", 1)
+        model = getattr(importlib.import_module(module), name)
+        records = store.read("records")
+        wanted = stored(tagging.pending(records).limit(int(rest[1]) if len(rest) == 2 else 1000), "tag-wanted")
+        tagged = stored(tagging.tag(wanted, model), "tag-done")
+        rows = records.join(tagged.select("stable_id"), "stable_id", "left_semi").select(*records.columns)
+        store.commit(deltas={"records": stored(tagging.write_tags(rows, tagged), "tag-rows")})
+        print(tagged.count())
+        return DONE
     if command in ("freeze", "regress") and len(rest) == 2:
         with open(rest[0], encoding="utf-8") as f:
             golden = harness.load_golden(f.read())

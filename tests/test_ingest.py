@@ -12,6 +12,10 @@ from quillmark.store import MOST_DELTAS, Store
 from quillmark.streaming import ingest
 from tests.conftest import SF
 
+def good_tags(texts):
+    return ['["good"]' for _ in texts]
+
+
 RECORD = "stable_id string, source string, subject string, body string, created_at timestamp, updated_at timestamp"
 
 
@@ -142,6 +146,8 @@ def test_commands(spark, tmp_path, capsys):
     golden.write_text(json.dumps({"version": 1, "queries": [{"id": "q1", "query": "source:dropbox lock", "kind": "natural", "origin": "t"}]}))
     assert cli.main([store, "freeze", str(golden), str(frozen)], spark) == 0 and cli.main([store, "regress", str(golden), str(frozen)], spark) == 0
     assert "drift=0.000" in capsys.readouterr().out
+    assert cli.main([store, "tag", "tests.test_ingest:good_tags", "1"], spark) == 0
+    assert sorted(r["llm_tags"] or [] for r in Store(spark, store).read("records").collect()) == [[], [], ["good"]]
     assert cli.main([store, "migrate"], spark) == 0 and cli.main([store, "provenance"], spark) == 0 and cli.main([store, "bogus"], spark) == 2
 
 
