@@ -19,7 +19,7 @@ from quillmark.operators import cards as C
 from quillmark.operators import page as P
 from quillmark.operators import search as S
 from quillmark.operators.postings import TextIndex
-from quillmark.operators.predicates import observation_rows, record_filter, session_filter
+from quillmark.operators.predicates import among, observation_rows, record_filter, session_filter
 from quillmark.plans import dsl
 from quillmark.plans.dsl import QueryAST
 from quillmark.store import Store
@@ -188,7 +188,7 @@ class Engine:
         ids = [i["id"] for i in items if i["arm"] == 1]
         if not ids or sessions is None:
             return items
-        on_page = self.sessions.where(F.col("session_id").isin(ids)).select("session_id", "root_session_id")
+        on_page = among(self.sessions, "session_id", ids).select("session_id", "root_session_id")
         of_page = on_page.select("root_session_id").distinct()
         observations = self.observations.join(of_page, "root_session_id", "left_semi")
         hits = observations if sessions.hits is None else sessions.hits.join(of_page, "root_session_id", "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -83,3 +84,15 @@ def observation_rows(observations: DataFrame, sessions: DataFrame, ast: QueryAST
     if ast.active_from or ast.active_to:
         of_session.append(overlap(F.col("first_ts"), F.col("last_ts"), F.lit(ast.active_from) if ast.active_from else None, F.lit(ast.active_to) if ast.active_to else None))
     return found.join(sessions.where(_all(of_session)).select("session_id"), "session_id", "left_semi") if of_session else found
+
+
+#: Values up to which a list of them is a condition of the scan; a longer one is a table to join.
+MOST_VALUES = 500
+
+
+def among(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
+    """Rows whose column is among the values, however many these are; repeated ones and null count for nothing."""
+    known = sorted({v for v in values if v is not None})
+    if len(known) <= MOST_VALUES:
+        return df.where(F.col(column).isin(known))
+    return df.join(df.sparkSession.createDataFrame([(v,) for v in known], f"{column} string"), column, "left_semi")
