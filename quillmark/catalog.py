@@ -455,14 +455,14 @@ def _unescaped(column: str) -> str:
     return column
 
 
-_HTML = rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', '', 'g'), '(?s)<!--.*?-->|<![^>]*>', '', 'g') AS h FROM pages),
+HTML_SQL = rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', '', 'g'), '(?s)<!--.*?-->|<![^>]*>', '', 'g') AS h FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?i)<br\b[^>]*>', chr(10) || chr(10), 'g'), '(?i)</(p|div|br|li|h1|h2|h3)\s*>', chr(10) || chr(10), 'g'), '(?s)</?[A-Za-z][^>]*>', '', 'g') AS x,
   regexp_replace(coalesce(nullif(regexp_extract(h, '(?is)<h1\b[^>]*>(.*?)</h1', 1), ''), nullif(regexp_extract(h, '(?is)<title\b[^>]*>(.*?)</title', 1), '')), '(?s)</?[A-Za-z][^>]*>', '', 'g') AS t FROM a)
 SELECT page_id, nullif(trim({_unescaped('t')}, {_SPACE}), '') AS title,
   trim(regexp_replace(regexp_replace({_unescaped('x')}, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t\r\x0B\x0C]+(\n|$)', '\1', 'g'), {_SPACE}) AS body FROM b"""
 
 
-@query("html_text", _HTML)
+@query("html_text", HTML_SQL)
 def html_text_query(spark, sf_dir):
     return T.read(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("page")).select("page_id", "page.title", "page.body")
 

@@ -5,10 +5,15 @@ Each has SQL over the tables themselves, so a parser that loses, cuts or changes
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.catalog import DAY, day, query
+from quillmark.catalog import DAY, HTML_SQL, day, query
 from quillmark.functions.redact import redact_cards
 from quillmark.functions.scalar import fault_key, file_stamp, parse_epoch, parse_time, row_hash
 from quillmark.operators import joins as J
@@ -239,6 +244,26 @@ def tree_files(spark, sf_dir):
     return files.tree_records(found)[0].where("body <> ''").select("stable_id", "subject", "body", "tags")
 
 
+def _zips(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in frames:
+        for k, part in df.groupby("k"):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("posts.csv", "a")
+                for page, html in zip(part["page_id"], part["html"], strict=True):
+                    z.writestr(f"posts/{page}.some-slug.html", html)
+                    z.writestr(f"posts/{page}.opens.csv", "a")
+            yield pd.DataFrame({"path": [f"/z/{k}.zip"], "modified": [pd.Timestamp("2024-03-01")], "content": [out.getvalue()]})
+
+
+@query("post_zips", f"SELECT 'substack:' || page_id AS stable_id, coalesce(title, 'Some Slug') AS subject, body, CASE WHEN octet_length(encode(body)) < {files.STUB_BYTES} THEN ['substack', 'published', 'stub'] ELSE ['substack', 'published'] END AS tags FROM ({HTML_SQL})")
+def post_zips(spark, sf_dir):
+    """Pages as posts in export zips."""
+    pages = T.read(spark, sf_dir, "pages").select("page_id", "html", (F.col("page_id") % 7).alias("k")).repartition("k")
+    zips = pages.mapInPandas(_zips, "path string, modified timestamp, content binary")
+    return files.post_records(zips).select("stable_id", "subject", "body", "tags")
+
+
 # --- scalars ---------------------------------------------------------------------------------------------------------
 
 
