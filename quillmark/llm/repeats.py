@@ -31,7 +31,7 @@ from quillmark.llm import kernel as K
 from quillmark.llm.common import discard, tidied, written
 
 #: Different pieces of a seed that meet in one block, and bytes after which a block ends with its seed.
-GROUP = 1024
+GROUP = 512
 BLOCK_BYTES = 1 << 18
 
 _U = np.uint64

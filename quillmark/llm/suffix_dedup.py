@@ -148,7 +148,8 @@ def match_block(block: Block, length: int) -> tuple[np.ndarray, np.ndarray]:
     return windows, index.matching_statistics(piece, place) >= length
 
 
-SEARCH = Search(byte_units, byte_cut, LENGTH, SEEDS, match_block)
+#: Byte windows part into more pieces than word windows when they are dealt anew, so more of them meet before that.
+SEARCH = Search(byte_units, byte_cut, LENGTH, SEEDS, match_block, group=1024)
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False, how: Search = SEARCH) -> DataFrame:
