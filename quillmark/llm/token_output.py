@@ -32,7 +32,7 @@ END_ID = 2
 SEGMENT_BYTES = 4 << 20
 SAMPLE = 64
 #: Bytes of words, and of pieces, with their ids that a worker remembers; beyond that it starts anew.
-WORD_BYTES, PIECE_BYTES = 16 << 20, 80 << 20
+WORD_BYTES, PIECE_BYTES = 16 << 20, 64 << 20
 #: What an entry takes besides the bytes of its word and ids: two objects and their place in the table.
 _ENTRY = 180
 
