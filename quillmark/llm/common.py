@@ -20,11 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return table(spark, sf_dir, "documents")
 
 
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that Python gets at once.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches for Python end at BATCH_BYTES in this session, not at Spark's 64 MB, unless it has a bound of its own."""
+    if spark.conf.get(_BYTES) == "67108864b":
+        spark.conf.set(_BYTES, f"{BATCH_BYTES}b")
 
 
 @contextlib.contextmanager
@@ -46,10 +56,10 @@ def _set(spark: SparkSession, **conf: str) -> Iterator[None]:
 def written(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
     """df as a Parquet table in the shared folder: a lost executor costs no recomputation of what came before.
 
-    Shuffle files of the write go when it ends, as nothing reads them again. Python gets batches of so many rows, as
-    Arrow batches are bounded by rows and rows with texts or sets can be long.
+    Shuffle files of the write go when it ends, as nothing reads them again. Python gets batches of so many rows at most.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _set(spark, tidy="true", batch=str(batch)):
         df.write.option("compression", "zstd").parquet(path)

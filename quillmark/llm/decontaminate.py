@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import REMEMBERED, documents, spread, table, tidied, written
+from quillmark.llm.common import REMEMBERED, bound_batches, documents, spread, table, tidied, written
 
 WINDOW = 10
 #: Bytes of item text in one automaton.
@@ -189,6 +189,7 @@ def _counted_blocks(benchmark: DataFrame, block_bytes: int) -> list[Callable[[],
 def _pass(docs: DataFrame, at: int, items: list[tuple[str, list[bytes]]], window: int, hit_only: bool) -> DataFrame:
     """docs with n_words, spans and items by one block of items; if hit_only, just the rows that are hit."""
     key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(items)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items")).schema
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import kernel as K
-from quillmark.llm.common import discard, documents, give_back, spread, table, text_of, tidied, written
+from quillmark.llm.common import bound_batches, discard, documents, give_back, spread, table, text_of, tidied, written
 
 DIM = 32
 NONZERO = 4
@@ -223,6 +223,7 @@ def score_documents(docs: DataFrame, model, threshold: float) -> DataFrame:
     held out. A score that equals the threshold is predicted 1. An empty table gives no rows; further columns are
     ignored. A text is worked on as a whole, at some 40 bytes of memory a byte.
     """
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +263,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, labelled: DataFrame | Non
     table gives no rows.
     """
     model = quality_model(docs if labelled is None else labelled, labels)
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
