@@ -137,7 +137,7 @@ class RunIndex:
             near = np.searchsorted(sampled, at, side="right") - 1
             found = np.maximum(found, meet[near] - (at - sampled[near]))
         whole = np.where(self.copies[piece] > 1, self.sizes[piece] - place, 0)
-        return np.maximum(found, whole)
+        return np.maximum(np.minimum(found, self.sizes[piece] - place), whole)  # what follows a piece is no text of it
 
 
 def match_block(block: Block, length: int) -> tuple[np.ndarray, np.ndarray]:
