@@ -1,6 +1,6 @@
 """The subpackage's queries by name, and SQL for those that SQL can express."""
 
-from quillmark.llm import chat_format, decontaminate, exact_dedup, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_output, toxicity
+from quillmark.llm import chat_format, decontaminate, exact_dedup, importance, merkle, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_output, toxicity, url_filter
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_url_filter": url_filter.op13_url_filter,
 }
 ORACLES = {
     "op2_chat_format": chat_format.SQL,
@@ -22,4 +25,7 @@ ORACLES = {
     "op7_substring_dedup": substring_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_mix_sources": mixing.SQL,
+    "op11_importance_resampling": importance.SQL,
+    "op12_merkle_manifest": merkle.SQL,
+    "op13_url_filter": url_filter.SQL,
 }
