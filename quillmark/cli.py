@@ -2,12 +2,13 @@
 
 ingest SOURCE=DIR ..                  read what is new in each source
 query TEXT                            one page of answers; a query without any is logged as a miss
-status | stale | migrate              counts, cursors, faults and quarantine; sources not read for long; old stores
+status | stale | migrate              counts, cursors, faults and quarantine; sources whose input is old; old stores
+deliver SPOOL                         send what runs have to tell as a batch of files in SPOOL, and acknowledge what was sent
 rescrub [--write] [--all]             rows that today's secret patterns (or all layers) would change
 provenance                            author classes of turns that lack one
 tag MODULE:FUNCTION [N]               tags by a model (texts to JSON lists of words) for the next N rows that need them
 rebuild SOURCE=DIR [--force]          replace all rows of one source; refuses a great loss
-rebuild-all SOURCE=DIR .. [--force]   the same for several
+rebuild-all SOURCE=DIR .. [--force]   the same for several, in one version
 freeze GOLDEN FILE                    rankings of the golden queries, kept in FILE
 regress GOLDEN FILE                   how rankings have moved since
 """
@@ -19,19 +20,22 @@ import json
 import signal
 import sys
 import threading
+from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.engine import Engine
 from quillmark.evals import harness
+from quillmark.functions.recognise import Recogniser
 from quillmark.functions.redact import redact, redact_secrets
 from quillmark.operators import aggregates, merge, tagging
 from quillmark.sources.registry import SOURCES
+from quillmark.model import KEYS
 from quillmark.store import Store
-from quillmark.streaming import ingest
-from quillmark.workspace import stored
+from quillmark.streaming import ingest, outbox
+from quillmark.workspace import Staging, staging, stored
 
 DONE, FAILED, MISUSED, EMPTY = 0, 1, 2, 3
 SCRUBBED = {"records": ("subject", "body"), "observations": ("body",)}
@@ -46,45 +50,73 @@ def _roots(args: list[str]) -> dict[str, str] | None:
     return dict(pairs)
 
 
-def rebuild(store: Store, name: str, root: str, force: bool = False) -> dict[str, int]:
-    """Replace all rows of one source by what its input holds now; rows per table."""
+def _rebuilt(store: Store, name: str, root: str, force: bool, work: Staging, recogniser: Recogniser | None, read: Callable[[str], DataFrame]) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """Tables with all rows of one source replaced, and its rows per table."""
     made, out, tables = SOURCES[name].read(store.spark, root), {}, {}
-    base = store.manifest()["version"]
     for table in ("records", "sessions", "observations"):
         if table not in made:
             continue
-        was = store.read(table)
-        good, _ = ingest.split_bad(stored(made[table], f"rebuild-{table}"), ingest.fault_in(table, made[table].columns))
-        rows = ingest._shaped(ingest.coalesced(ingest.hashed(good, table), table), was)
-        for column in SCRUBBED.get(table, ()):
-            rows = rows.withColumn(column, redact(F.col(column)))
-        rows = stored(rows, f"rebuild-{table}")
+        was = read(table)
+        batch = ingest.staged(work, name, table, made[table], None, recogniser)
+        rows = work.keep(ingest._shaped(ingest.coalesced(batch.rows, table), was), f"{table}-rows")
         if table == "observations":
-            own = tables["sessions"].where(F.col("origin") == _origin(name)).select("session_id") if "sessions" in tables else store.read("sessions").select("session_id")
-            before = was.join(store.read("sessions").where(F.col("origin") == _origin(name)).select("session_id"), "session_id", "left_semi").select(*was.columns)
+            own = tables["sessions"].where(F.col("origin") == _origin(name)).select("session_id") if "sessions" in tables else read("sessions").select("session_id")
+            before = was.join(read("sessions").where(F.col("origin") == _origin(name)).select("session_id"), "session_id", "left_semi").select(*was.columns)
             merge.guard_shrink(before.count(), rows.count(), force)
             tables[table] = was.join(before.select("obs_id"), "obs_id", "left_anti").select(*was.columns).unionByName(rows.join(own, "session_id", "left_semi").select(*was.columns))
         else:
             scope, value = ("source", name) if table == "records" else ("origin", _origin(name))
             tables[table] = merge.rebuild(was, rows, scope, value, force)
         out[table] = rows.count()
-    store.commit({t: stored(df, f"rebuild-{t}") for t, df in tables.items()}, base=base)
+    return {t: work.keep(df, f"{t}-rebuilt") for t, df in tables.items()}, out
+
+
+def rebuild(store: Store, name: str, root: str, force: bool = False, recogniser: Recogniser | None = None) -> dict[str, int]:
+    """Replace all rows of one source by what its input holds now; rows per table."""
+    base = store.manifest()["version"]
+    with staging(store.spark) as work:
+        tables, out = _rebuilt(store, name, root, force, work, recogniser, store.read)
+        store.commit(tables, base=base)
     return out
 
 
+def rebuild_all(store: Store, roots: dict[str, str], force: bool = False, recogniser: Recogniser | None = None) -> tuple[dict[str, dict[str, int]], dict[str, str]]:
+    """The same for several sources, in one version: (rows, errors) by source. A source that fails keeps its rows, the others go on."""
+    base, out, failed = store.manifest()["version"], {}, {}
+    with staging(store.spark) as work:
+        now: dict[str, DataFrame] = {}
+        read = lambda t: now[t] if t in now else store.read(t)
+        for name, root in roots.items():
+            try:
+                tables, out[name] = _rebuilt(store, name, root, force, work, recogniser, read)
+                now |= tables
+            except Exception as e:
+                failed[name] = f"{type(e).__name__}: {str(e)[:500]}"
+        if now:
+            store.commit(now, base=base)
+    return out, failed
+
+
 def _origin(name: str) -> str:
     return "claude-code" if name == "sessions" else name
 
 
-def rescrub(store: Store, layer, write: bool) -> dict[str, int]:
-    """Rows by table that the layer changes; written only where the text is still the one that was read."""
+def rescrub(store: Store, layer, write: bool, recogniser: Recogniser | None = None) -> dict[str, int]:
+    """Rows by table that the layer, and then the recogniser, change; written only where the text is still the one that was read."""
     base, out, deltas = store.manifest()["version"], {}, {}
-    for table, columns in SCRUBBED.items():
-        changed = stored(merge.rescrub_rows(store.read(table), columns, layer), f"rescrub-{table}")
-        if n := changed.count():
-            out[table], deltas[table] = n, changed
-    if write and deltas:
-        store.commit(deltas=deltas, base=base)
+    with staging(store.spark) as work:
+        for table, columns in SCRUBBED.items():
+            rows = store.read(table)
+            changed = work.keep(merge.rescrub_rows(rows, columns, layer), f"rescrub-{table}")
+            if recogniser:
+                key = KEYS[table][0]
+                rest = rows.join(changed.select(key), key, "left_anti").select(*rows.columns).unionByName(changed)
+                found = work.keep(recogniser.over(rest, columns), f"rescrub-{table}-found")
+                changed = work.keep(ingest._differing(found, rows, key), f"rescrub-{table}-both")
+            if n := changed.count():
+                out[table], deltas[table] = n, changed
+        if write and deltas:
+            store.commit(deltas=deltas, base=base)
     return out
 
 
@@ -96,6 +128,8 @@ def status(store: Store) -> dict:
         "sources": ledger("ingest_state"),
         "faults": {r["source"]: r["count"] for r in store.read("poison_faults").groupBy("source").count().collect()},
         "quarantine": [r.asDict() for r in ingest.state.quarantine_summary(held).collect()],
+        "unread_lines": outbox.pending(store).count(),
+        "uncovered": [r.asDict() for r in store.read("open_tasks").where("missed_at IS NOT NULL").groupBy("source", "project_id").agg(F.count("*").alias("tasks"), F.min("missed_at").cast("string").alias("since")).collect()],
         "tags": [r.asDict() for r in aggregates.tag_progress(store.read("records")).collect()],
         "unclassified": aggregates.unclassified(store.read("observations")).first()["n"],
     }
@@ -122,13 +156,9 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
             for r in reports:
                 print(json.dumps(vars(r)))
             return FAILED if any(r.error for r in reports) else DONE
-        failed = False
-        for name, root in roots.items():
-            try:
-                print(json.dumps({"source": name, "rows": rebuild(store, name, root, "--force" in flags)}))
-            except Exception as e:  # the others go on
-                failed = True
-                print(json.dumps({"source": name, "error": f"{type(e).__name__}: {str(e)[:500]}"}))
+        done, failed = rebuild_all(store, roots, "--force" in flags)
+        for name in roots:
+            print(json.dumps({"source": name, "error": failed[name]} if name in failed else {"source": name, "rows": done[name]}))
         return FAILED if failed else DONE
     if why := store.ready():
         print(why)
@@ -148,6 +178,9 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
         for row in told:
             print(json.dumps(row, default=str))
         return FAILED if told else DONE
+    if command == "deliver" and len(rest) == 1:
+        print(outbox.deliver(store, rest[0]))
+        return DONE
     if command == "migrate":
         print("migrated" if store.migrate() else "up to date")
         return DONE

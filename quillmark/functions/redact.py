@@ -90,6 +90,16 @@ def redact(text: Column) -> Column:
     return let(text, lambda x: F.when(F.rlike(x, F.lit(_ANY)), layers(x)).otherwise(x))
 
 
+def redact_json(text: Column) -> Column:
+    """JSON text with its values redacted. It stays JSON: a number that is taken for a secret makes all values strings."""
+
+    def put(x: Column) -> Column:
+        strings = F.to_json(F.transform_values(F.from_json(x, "map<string,string>"), lambda _, v: redact(v)))
+        return let(redact(x), lambda done: F.when(done.eqNullSafe(x) | F.try_parse_json(done).isNotNull() | F.try_parse_json(x).isNull(), done).otherwise(strings))
+
+    return let(text, put)
+
+
 def redaction_counts(text: Column) -> Column:
     """A map of label to how often the stages of redact() replace it."""
     counts, stage = [], text

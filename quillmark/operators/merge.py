@@ -38,10 +38,10 @@ def write_counts(changed: DataFrame) -> DataFrame:
     return changed.agg(n("added").alias("added"), n("updated", "unchanged").alias("updated"), n("unchanged").alias("unchanged"))
 
 
-def upsert_records(stored: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_records(stored: DataFrame, batch: DataFrame, layer: Callable[[Column], Column] = redact) -> DataFrame:
     """created_at keeps the first known value and updated_at takes the latest; source and llm tags of stored rows stay.
 
-    Only rows whose hash moved are redacted, so the costly expression runs on changes alone.
+    Only rows whose hash moved go through the layer, so the costly expression runs on changes alone.
     """
     new = batch.withColumn("subject", F.col("subject")).alias("n")
     old = stored.alias("o")
@@ -56,12 +56,12 @@ def upsert_records(stored: DataFrame, batch: DataFrame) -> DataFrame:
             return F.when(F.col("o.stable_id").isNotNull(), o).otherwise(n)
         if c == "updated_at":
             return F.greatest(o, n)
-        return F.when(moved, redact(n) if c in ("subject", "body") else n).otherwise(o)
+        return F.when(moved, layer(n) if c in ("subject", "body") else n).otherwise(o)
 
     return joined.select(*[column(c).alias(c) for c in stored.columns])
 
 
-def upsert_entities(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+def upsert_entities(stored: DataFrame, batch: DataFrame, key: str, layer: Callable[[Column], Column] = redact) -> DataFrame:
     """Last write wins by hash; times never turn null; provenance is outside the hash and fills in when it was unknown."""
     new, old = batch.alias("n"), stored.alias("o")
     joined = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
@@ -76,7 +76,7 @@ def upsert_entities(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
             return F.coalesce(n, o)
         if c in ("ts", "first_ts", "last_ts"):
             return F.when(moved, F.coalesce(n, o)).otherwise(o)
-        return F.when(moved, redact(n) if c == "body" else n).otherwise(o)
+        return F.when(moved, layer(n) if c == "body" else n).otherwise(o)
 
     return joined.select(*[column(c).alias(c) for c in stored.columns])
 

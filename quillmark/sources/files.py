@@ -147,5 +147,13 @@ def sniff_exports(files: DataFrame, shape: str) -> DataFrame:
     return files.where(F.try_variant_get(first, key, "variant").isNotNull())
 
 
+def inputs_of(spark: SparkSession, root: str) -> DataFrame:
+    """path, modified of all files below root, none of which is opened; no rows if there is no such place."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "path string, modified timestamp")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("modificationTime").alias("modified"))
+
+
 def newest_input(files: DataFrame) -> DataFrame:
     return files.agg(F.max("modified").alias("newest"))

@@ -90,7 +90,11 @@ def csv_records(rows: DataFrame) -> DataFrame:
 
 
 def api_records(tasks: DataFrame, completed_at: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, faults) of tasks(raw, project_name). completed_at names a column: then the completions are inferred."""
+    """(records, faults) of tasks(raw, project_name) and perhaps project_id, which serves where a task doesn't name its own.
+
+    completed_at names a column: then the completions are inferred.
+    """
+    owner = F.coalesce("project_id", F.lit("")) if "project_id" in tasks.columns else F.lit("")
     v = F.col("v")
     any_text = lambda path: F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
     seen = tasks.withColumn("v", F.try_parse_json("raw")).withColumn("task_id", F.when(_is(v, "OBJECT"), F.nullif(F.btrim(any_text("$.id")), F.lit(""))))
@@ -106,7 +110,8 @@ def api_records(tasks: DataFrame, completed_at: str | None = None) -> tuple[Data
     updated = F.coalesce(*([F.col(completed_at)] if completed_at else []), parse_time(_text(v, "$.modifiedTime")), parse_time(_text(v, "$.completedTime")), created)
     extra = [
         F.lit("api-inferred-complete" if completed_at else "api").alias("provenance"), status.alias("status"), priority_name(any_text("$.priority")).alias("priority"), date_text(any_text("$.dueDate")).alias("due_date"),
-        date_text(any_text("$.startDate")).alias("start_date"), any_text("$.repeatFlag").alias("repeat"), any_text("$.parentId").alias("parent_id"), any_text("$.projectId").alias("project_id"),
+        date_text(any_text("$.startDate")).alias("start_date"), any_text("$.repeatFlag").alias("repeat"), any_text("$.parentId").alias("parent_id"), F.coalesce(F.nullif(any_text("$.projectId"), F.lit("")), owner).alias("project_id"),
+        *([F.coalesce("project_name", F.lit("")).alias("project_name")] if "project_id" in tasks.columns else []),
     ]
     if completed_at:
         extra.append(F.lit("true").alias("completed_time_approx"))

@@ -4,14 +4,16 @@ A table is a base and some deltas: rows that later commits have added or replace
 rows only; readers take the last version of each key, and after a few deltas a commit writes them into a new base.
 Tables with texts have an index beside them, one segment of postings for each base and delta.
 
-A commit writes new folders first and then creates the manifest of the next number, which fails if another writer was
-there first; readers see all of it or nothing. Cursors are part of the manifest: rows and cursor move together. Folders
-that the last manifests don't name are removed.
+A commit writes new folders first and then a file with the whole manifest, which it gives the next number's name; that
+fails if another writer was there first. Readers see all of it or nothing, and a writer that dies on the way leaves no
+number behind. Cursors are part of the manifest: rows and cursor move together. What no manifest of the last days and of
+the last few versions names is removed, so a reader that holds a version keeps its files that long.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,8 @@ from quillmark.operators.postings import OPTIONS, TextIndex, postings
 
 #: Deltas of a table before they are merged into its base, and manifests whose folders stay.
 MOST_DELTAS, KEPT_VERSIONS = 8, 3
+#: Manifests and folders younger than this stay too, whatever names them.
+KEPT_SECONDS = 2 * 86400
 
 
 class StoreError(RuntimeError):
@@ -29,12 +33,15 @@ class StoreError(RuntimeError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, kept_seconds: float = KEPT_SECONDS):
+        self.spark, self.root, self.kept_seconds = spark, root.rstrip("/"), kept_seconds
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def path(self, name: str):
+        return self._path(name)
+
     def _names(self, folder: str) -> list[str]:
         path = self._path(f"{self.root}/{folder}")
         return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
@@ -47,7 +54,7 @@ class Store:
             stream.close()
 
     def _versions(self) -> list[str]:
-        return [n for n in self._names("_manifest") if n.endswith(".json")]
+        return [n for n in self._names("_manifest") if n.endswith(".json") and not n.startswith(".")]
 
     def manifest(self) -> dict:
         names = self._versions()
@@ -127,31 +134,53 @@ class Store:
         return after["version"]
 
     def _publish(self, manifest: dict) -> None:
-        """Create the manifest of this number; whoever comes second finds it there."""
+        """Write the manifest aside and give it its number's name; whoever comes second finds the name taken."""
         jvm = self.spark.sparkContext._jvm
         path = self._path(f"{self.root}/_manifest/v{manifest['version']:012d}.json")
+        aside = self._path(f"{self.root}/_manifest/.new-{uuid.uuid4().hex}")
+        out = self._fs.create(aside, False)
+        try:
+            jvm.org.apache.commons.io.IOUtils.write(json.dumps(manifest), out, "UTF-8")
+        finally:
+            out.close()
         try:
-            out = self._fs.create(path, False)
+            self._name(aside, path)
         except Exception as e:
             if self._fs.exists(path):
                 raise StoreError("another writer has committed meanwhile") from e
             raise
-        try:
-            jvm.org.apache.commons.io.IOUtils.write(json.dumps(manifest), out, "UTF-8")
         finally:
-            out.close()
+            self._fs.delete(aside, False)
+
+    def _name(self, aside, path) -> None:
+        """Give a file another name, which fails if the name is taken: a link on a local disk, a rename elsewhere."""
+        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+        if self._fs.getUri().getScheme() == "file":
+            local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(local(path), local(aside))
+            return
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        none = sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(aside, path, none)
 
     def _sweep(self) -> None:
-        """Remove manifests before the last few, and folders that those left don't name."""
-        names = self._versions()
-        kept = [self._load(n) for n in names[-KEPT_VERSIONS:]]
+        """Remove manifests that are neither recent nor among the last few, and old folders that none of the others names."""
+        before = time.time() - self.kept_seconds
+        listed = [s for s in self._fs.listStatus(self._path(f"{self.root}/_manifest")) if s.getPath().getName().endswith(".json")]
+        listed.sort(key=lambda s: s.getPath().getName())
+        gone = [s for s in listed[:-KEPT_VERSIONS] if s.getModificationTime() / 1000 < before]
+        if not gone:
+            return
+        names = {s.getPath().getName() for s in gone}
+        kept = [self._load(s.getPath().getName()) for s in listed if s.getPath().getName() not in names]
         named = {p for m in kept for t in m["tables"].values() for p in (t["base"], *t["deltas"], *t["index"]) if p}
-        if len(names) > KEPT_VERSIONS:
-            dropped = [self._load(n) for n in names[:-KEPT_VERSIONS]]
-            for old in {p for m in dropped for t in m["tables"].values() for p in (t["base"], *t["deltas"], *t["index"]) if p} - named:
-                self._fs.delete(self._path(f"{self.root}/{old}"), True)
-            for n in names[:-KEPT_VERSIONS]:
-                self._fs.delete(self._path(f"{self.root}/_manifest/{n}"), False)
+        for folder in {p.split("/")[0] for p in named} | {f"{t}{x}" for t in TABLES for x in ("", "-index")}:
+            place = self._path(f"{self.root}/{folder}")
+            for s in self._fs.listStatus(place) if self._fs.exists(place) else []:
+                if f"{folder}/{s.getPath().getName()}" not in named and s.getModificationTime() / 1000 < before:
+                    self._fs.delete(s.getPath(), True)  # also what a writer that lost or died has left
+        for s in gone:
+            self._fs.delete(s.getPath(), False)
 
     def migrate(self) -> bool:
         """Bring a store of older code up to this one: columns it lacks turn null, indexes of another tokenizer are made anew."""

@@ -75,7 +75,11 @@ def retry_due(held: DataFrame, now: Column) -> DataFrame:
 
 
 def quarantine(held: DataFrame, failed: DataFrame, now: Column) -> DataFrame:
-    """held after failed(source, record_key, error_type, error_detail): attempts count up, waits double from 15 minutes to a day."""
+    """held after failed(source, record_key, error_type, error_detail): attempts count up, waits double from 15 minutes to a day.
+
+    A payload, where there is one, stays until the row fails with another.
+    """
+    held, failed = (df if "payload" in df.columns else df.withColumn("payload", F.lit(None).cast("string")) for df in (held, failed))
     h, f = held.alias("h"), failed.alias("f")
     joined = h.join(f, (F.col("h.source") == F.col("f.source")) & (F.col("h.record_key") == F.col("f.record_key")), "full_outer")
     again = F.col("f.record_key").isNotNull()
@@ -86,6 +90,7 @@ def quarantine(held: DataFrame, failed: DataFrame, now: Column) -> DataFrame:
         F.coalesce("f.error_type", "h.error_type").alias("error_type"), F.coalesce("f.error_detail", "h.error_detail").alias("error_detail"),
         attempts.alias("attempts"), F.coalesce("h.first_seen_at", now).alias("first_seen_at"), F.when(again, now).otherwise(F.col("h.last_seen_at")).alias("last_seen_at"),
         F.when(again, now + F.make_interval(secs=wait.cast("decimal(18,6)"))).otherwise(F.col("h.next_retry_at")).alias("next_retry_at"),
+        F.coalesce("f.payload", "h.payload").alias("payload"),
     )
 
 

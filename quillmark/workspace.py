@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,29 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Staging:
+    """Tables of one piece of work below the shared folder; clear() removes them all, those that were cut short too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/staging-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[Staging]:
+    """A Staging that is cleared however the work ends."""
+    made = Staging(spark)
+    try:
+        yield made
+    finally:
+        made.clear()
