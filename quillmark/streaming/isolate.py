@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one table of a source may have set aside in a run; beyond it the source fails as a whole, loudly, with nothing stored.
 MOST_POISON = 64
+#: So many rows that fail before any works are an outage.
+ALL_BAD = 8
 #: Errors that say nothing about rows.
 OUTAGES = ("RecogniserUnavailable", "FileNotFoundException", "No space left", "SparkOutOfMemory", "Connection refused")
 
@@ -66,7 +68,7 @@ def written_apart(keyed: DataFrame, parse: Callable[[DataFrame], DataFrame], wri
         if span["lo"] is None:
             return
         if span["lo"] == span["hi"]:
-            if len(out.bad) >= most:
+            if len(out.bad) >= most or (len(out.bad) >= ALL_BAD and not out.parts):
                 raise error
             out.bad.append((span["lo"], type(error).__name__, _said(error)))
             return
