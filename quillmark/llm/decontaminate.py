@@ -250,18 +250,32 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
 N_HIT = "aggregate(spans, 0L, (n, s) -> n + s[1] - s[0])"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_hit: int = 0, max_coverage: float = 0.0) -> DataFrame:
-    """docs without those that have more than max_hit hit words and more than max_coverage of their words hit."""
-    names = docs.columns
-    scored = find_hits(docs, benchmark, window).withColumn("_hit", F.expr(N_HIT))
-    bad = (F.col("_hit") > max_hit) & (F.col("_hit") > max_coverage * F.col("n_words"))
-    return scored.where(~bad).select(*[F.col(f"`{c}`") for c in names])
+def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with all columns but text under names that nothing clashes with, and those names in order."""
+    names = ["text" if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]), names
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_hit: int = 0, max_coverage: float = 0.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without those that have more than max_hit hit words and more than max_coverage of their words hit.
+
+    Rows that stay are as they were, whatever their columns are called; rows that repeat stay or go together, and a null
+    text stays. An empty docs gives no rows, an empty benchmark all of them.
+    """
+    plain, names = _renamed(docs)
+    scored = find_hits(plain, benchmark, window, block_bytes)
+    bad = (F.expr(N_HIT) > max_hit) & (F.expr(N_HIT) > max_coverage * F.col("n_words"))
+    return scored.where(~bad).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = WINDOW) -> DataFrame:
-    """docs with hit spans of at least min_span words taken out of their texts; what is left keeps its bytes."""
-    fields = [f.name for f in docs.schema.fields]
-    scored = find_hits(docs, benchmark, window).select(*[F.col(f"`{c}`") for c in fields], "spans")
+    """docs with hit spans of at least min_span words taken out of their texts; what is left keeps its bytes.
+
+    A null text stays null and a text that is hit throughout becomes what lies around its words. Rows that repeat are cut
+    alike; other columns stay as they are, whatever they are called. An empty docs gives no rows.
+    """
+    plain, fields = _renamed(docs)
+    scored = find_hits(plain, benchmark, window).select(*fields, "spans")
     at = fields.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +294,8 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_s
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=fields)
 
-    return scored.mapInArrow(tidied(cut), docs.schema)
+    done = scored.mapInArrow(tidied(cut), plain.schema)
+    return done.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, fields, strict=True)])
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
