@@ -145,6 +145,33 @@ def index_postings(spark, sf_dir):
     return _index(spark, sf_dir).postings.select("token", F.col("key").alias("stable_id"), F.size(at).cast("long").alias("n"), F.get(at, F.lit(0)).alias("first_at"), F.element_at(at, -1).alias("last_at"))
 
 
+_TOKENS = "SELECT DISTINCT {key} AS key, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS token FROM {table}"
+_DOC_TOKENS = _TOKENS.format(key="'doc:' || doc_id", table="documents")
+_TURN_TOKENS = _TOKENS.format(key="conv_id || ':' || turn", table="conversations")
+
+
+@query("index_term_table", f"SELECT token, count(*) AS df, min(key) AS low, max(key) AS high FROM ({_DOC_TOKENS}) GROUP BY token")
+def index_term_table(spark, sf_dir):
+    """The stored terms: every token with the number of its rows and the range of their keys."""
+    return _index(spark, sf_dir).segments[0][1].select("token", "df", "low", "high")
+
+
+_PROBED = ("the", "of", "heha", "zzqq", "que")
+
+
+@query("index_probe", " UNION ALL ".join(f"SELECT '{t}' AS family, w AS token, (SELECT count(*) FROM ({q}) WHERE token = w) AS df FROM (VALUES {', '.join(f'({w!r})' for w in _PROBED)}) v(w)" for t, q in (("records", _DOC_TOKENS), ("observations", _TURN_TOKENS))))
+def index_probe(spark, sf_dir):
+    """In how many rows of either index the words are, without a posting read."""
+    probe = lambda t: _index(spark, sf_dir, t).probe(list(_PROBED)).select(F.lit(t).alias("family"), "token", "df")
+    return probe("records").union(probe("observations"))
+
+
+@query("text_rare_first", "SELECT obs_id FROM obs WHERE contains(terms, ' the ') AND contains(terms, ' of ') AND contains(terms, ' that ') AND contains(terms, ' of the ')")
+def text_rare_first(spark, sf_dir):
+    """All of some words and a phrase in turns, from the rarest word on."""
+    return _index(spark, sf_dir, "observations").match_all(conjuncts('the that "of the"')).select("obs_id")
+
+
 @query("text_stemmed", "SELECT stable_id FROM rec WHERE (contains(terms, ' this ') OR contains(terms, ' thi ') OR contains(terms, ' thies ')) AND (contains(terms, ' was ') OR contains(terms, ' wa ')) AND contains(terms, ' the ')")
 def text_stemmed(spark, sf_dir):
     """The engine's own index: folded and stemmed. this and thi, was and wa have one stem each."""

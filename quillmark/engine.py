@@ -18,15 +18,17 @@ from quillmark.operators import aggregates as A
 from quillmark.operators import cards as C
 from quillmark.operators import page as P
 from quillmark.operators import search as S
-from quillmark.operators.postings import TextIndex
+from quillmark.operators.postings import PROBED, TextIndex
 from quillmark.operators.predicates import among, observation_rows, record_filter, session_filter
 from quillmark.plans import dsl
 from quillmark.plans.dsl import QueryAST
 from quillmark.store import Store
-from quillmark.workspace import stored
+from quillmark.workspace import Staging
 
 SUMMARY_PAGE, FULL_PAGE = 200, 40
 CEILING_CHARS = 50_000
+#: Session scopes that an engine remembers.
+MOST_SCOPES = 8
 _MISMATCH = {
     "mismatch_sessions_on_records": "the source holds records, but the query uses keys of sessions",
     "mismatch_records_on_sessions": "the source holds sessions, but the query uses keys of records",
@@ -56,7 +58,7 @@ class Engine:
         terms = stemmed_text if stem else token_text
         self.stemmed, self.on_miss = stem, on_miss
         self.indexes = {k: v for k, v in (indexes or {}).items() if v is not None and stem}
-        self.sessions, self._scopes = sessions, {}
+        self.sessions, self._scopes = sessions, {}  # scopes: rows and where they are kept, the last asked for last
         self.records = records if "records" in self.indexes else records.withColumn("terms", terms(F.concat_ws(" ", "subject", "body")))
         self.observations = observations if "observations" in self.indexes else observations.withColumn("terms", terms(F.coalesce("body", F.lit(""))))
 
@@ -77,7 +79,18 @@ class Engine:
         return df.join(met, [index.key, "src_hash"])
 
     def _tier(self, table: str, df: DataFrame, phrases: list[list[str]]) -> tuple[DataFrame, str | None, int]:
-        """Rows of the strictest tier with any; its name and how many rows it has, before further filters."""
+        """Rows of the strictest tier with any; its name and how many rows it has, before further filters.
+
+        With an index that keeps its terms, rows that have all words are looked for first, from the rarest word.
+        """
+        index = self.indexes.get(table)
+        if index is not None and index.segments:
+            found = index.match_all(phrases).select(index.key, "src_hash")
+            some = [r[0] for r in found.select(index.key).limit(PROBED + 1).collect()]
+            near = df.where(F.col(index.key).isin(some)) if len(some) <= PROBED else df  # few keys lead to their row groups
+            rows = near.join(found, [index.key, "src_hash"], "left_semi").select(*df.columns)
+            if some and (n := rows.count()):
+                return rows, S.TIER_NAMES.get(S.STRICT), n
         met = self._with_tier(table, df, phrases)
         counts = {r["tier"]: r["n"] for r in met.groupBy(F.col("_tier").alias("tier")).agg(F.count("*").alias("n")).collect()}
         best = max(counts, default=0)
@@ -89,16 +102,25 @@ class Engine:
             return S.session_scope_rows(df, phrases)
         name = json.dumps(phrases)
         if df is self.observations and name in self._scopes:  # the engine's frames are one version, so a scope holds
-            return self._scopes[name]
+            self._scopes[name] = self._scopes.pop(name)
+            return self._scopes[name][0]
         rows = df.join(index.match_any(phrases).select(index.key, "src_hash"), [index.key, "src_hash"], "left_semi")
         flags = index._flags(phrases)
         alive = df.select(F.col(index.key).alias("key"), "src_hash").join(flags.drop("session_id"), ["key", "src_hash"])
         roots = alive.groupBy("root_session_id").agg(*[F.bool_or(f"c{k}").alias(f"c{k}") for k in range(len(phrases))]).where(index._all(phrases)).select("root_session_id")
         found = rows.join(roots, "root_session_id", "left_semi").select(*df.columns)
-        if df is self.observations:
-            self._scopes[name] = stored(found, "scope")
-            return self._scopes[name]
-        return found
+        if df is not self.observations:
+            return found
+        while len(self._scopes) >= MOST_SCOPES:
+            self._scopes.pop(next(iter(self._scopes)))[1].clear()  # the one that was asked for longest ago
+        work = Staging(df.sparkSession)
+        self._scopes[name] = (work.keep(found, "scope"), work)
+        return self._scopes[name][0]
+
+    def close(self) -> None:
+        """Remove the tables of the scopes that are remembered."""
+        while self._scopes:
+            self._scopes.popitem()[1][1].clear()
 
     def find_records(self, ast: QueryAST) -> Found:
         """The ladder runs over all records and filters come after it: a filter never relaxes the words."""
@@ -122,6 +144,12 @@ class Engine:
         rows, tier, matched = self._tier("observations", self.observations, phrases)
         return Found(observation_rows(rows, self.sessions, ast), tier=tier, matched=matched)
 
+    def _with_placeholder(self, passing: DataFrame, top: str) -> DataFrame:
+        """passing, or a placeholder for a root whose own transcript is missing while streams below it are there."""
+        root = A.orphan_roots(self.sessions.where(F.col("root_session_id") == top)).withColumn("session_id", F.col("root_session_id")).withColumn("kind", F.lit("session"))
+        row = root.where(~passing.select(F.lit(1)).exists())
+        return passing.unionByName(row.select(*[F.col(c) if c in row.columns else F.lit(None).cast(passing.schema[c].dataType).alias(c) for c in passing.columns]))
+
     def find_sessions(self, ast: QueryAST) -> Found:
         """Cards. type: and by: are inside each tier; the other filters act on the cards."""
         inside = QueryAST(obs_type=ast.obs_type, provenance=ast.provenance)
@@ -129,7 +157,7 @@ class Engine:
         passing = self.sessions.where(session_filter(ast))
         if ast.text is None:
             if not (ast.obs_type or ast.provenance):
-                return Found(passing)
+                return Found(passing if not ast.top_session_id or ast.tags else self._with_placeholder(passing, ast.top_session_id))
             return Found(S.hit_sessions(passing, rows), hits=rows)
         phrases = self.phrases(ast.text)
         if not phrases:

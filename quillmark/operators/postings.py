@@ -7,6 +7,11 @@ its version) may ride along.
 
 A segment holds the postings of the rows that one write has changed. A row's older postings are told by their version,
 which the stored row no longer has; merging the segments leaves them out.
+
+Beside its postings a segment has its terms: each token with the number of its rows and the range of their keys, sorted by
+token, with a Bloom filter on it. A query for all of some words asks the terms first. A row's postings lie in one segment,
+so a segment that lacks a word isn't read; in the others the rarest word's rows are read, and of the other words only
+those keys.
 """
 
 from __future__ import annotations
@@ -23,6 +28,9 @@ from quillmark.operators.search import OR, PREFIX, STRICT
 
 #: Row groups are small, so that few rows are read beside a token's own.
 OPTIONS = {"parquet.block.size": str(8 << 20), "parquet.page.row.count.limit": "2000"}
+TERM_OPTIONS = {"parquet.block.size": str(1 << 20), "parquet.page.row.count.limit": "2000", "parquet.bloom.filter.enabled#token": "true"}
+#: Rows of the rarest word whose keys become a condition on the others' postings; more are joined.
+PROBED = 1000
 _LAST = "\U0010ffff"
 
 
@@ -46,26 +54,76 @@ def postings(df: DataFrame, key: str, text: Column, carry: tuple[str, ...] = (),
     return dealt.groupBy("token", "key", *carry).agg(F.array_sort(F.collect_list("at")).alias("at")).sortWithinPartitions("token", "key")
 
 
+def terms(rows: DataFrame) -> DataFrame:
+    """token, df, low, high of a segment's postings: how many rows have the token, and the range of their keys; sorted by token."""
+    found = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("key").alias("low"), F.max("key").alias("high"))
+    return found.repartitionByRange("token").sortWithinPartitions("token")
+
+
 def _begins(token: Column, start: str) -> Column:
     return (token >= start) & (token < start + _LAST)
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings of one table, and the name of the table's key."""
+    """Postings of one table, and the name of the table's key; segments are (postings, terms) of each, if terms are kept."""
 
     postings: DataFrame
     key: str
     carry: tuple[str, ...] = ()
-
-    def _flags(self, phrases: list[list[str]], beginning: bool = False) -> DataFrame:
-        """key, carried columns, c0, c1 .. (has the row each phrase?), and with beginning p (has it the last phrase, its last word as a beginning?)."""
+    segments: tuple[tuple[DataFrame, DataFrame], ...] = ()
+
+    def frequencies(self, words: list[str]) -> list[dict]:
+        """segment, token, df, low, high of the words where a segment has them, from the terms alone."""
+        every = None
+        for n, (_, own) in enumerate(self.segments):
+            one = own.where(F.col("token").isin(words)).select(F.lit(n).alias("segment"), "token", "df", "low", "high")
+            every = one if every is None else every.union(one)
+        return [r.asDict() for r in every.collect()] if every is not None else []  # a row a word and segment at most
+
+    def probe(self, words: list[str]) -> DataFrame:
+        """token, df, segments of each word, 0 where no row has it; no posting is read."""
+        found: dict[str, list[int]] = {w: [] for w in words}
+        for r in self.frequencies(words):
+            found[r["token"]].append(r["df"])
+        rows = [(w, sum(n), len(n)) for w, n in sorted(found.items())]
+        return self.postings.sparkSession.createDataFrame(rows, "token string, df long, segments int")
+
+    def _rarest_first(self, words: list[str]) -> DataFrame | None:
+        """Postings of the words in rows that have the rarest of them, of segments that have all; None if there are none."""
+        by_segment: dict[int, dict[str, dict]] = {}
+        for r in self.frequencies(words):
+            by_segment.setdefault(r["segment"], {})[r["token"]] = r
+        out = None
+        for n, own in sorted(by_segment.items()):
+            low, high = max(r["low"] for r in own.values()), min(r["high"] for r in own.values())
+            if len(own) < len(words) or low > high:
+                continue
+            rows = self.segments[n][0].where(F.col("key").between(low, high))
+            rare = min(own.values(), key=lambda r: (r["df"], r["token"]))
+            of_rare = rows.where(F.col("token") == rare["token"])
+            rest = [w for w in words if w != rare["token"]]
+            others = rows.where(F.col("token").isin(rest))
+            if rest and rare["df"] <= PROBED:
+                keys = [r["key"] for r in of_rare.select("key").distinct().collect()]  # PROBED at most
+                others = others.where(F.col("key").isin(keys))
+            elif rest:
+                others = others.join(of_rare.select("key"), "key", "left_semi").select(*rows.columns)
+            one = of_rare.unionByName(others) if rest else of_rare
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def _flags(self, phrases: list[list[str]], beginning: bool = False, read: DataFrame | None = None) -> DataFrame:
+        """key, carried columns, c0, c1 .. (has the row each phrase?), and with beginning p (has it the last phrase, its last word as a beginning?).
+
+        read has the postings to look at, if not all.
+        """
         token = F.col("token")
         words = sorted({w for p in phrases for w in p})
         start = phrases[-1][-1]
         wanted = token.isin(words) | _begins(token, start) if beginning else token.isin(words)
         places = any(len(p) > 1 for p in phrases)
-        rows = self.postings.where(wanted).select("key", "token", *self.carry, *(["at"] if places else []))
+        rows = (self.postings if read is None else read).where(wanted).select("key", "token", *self.carry, *(["at"] if places else []))
         sums, number = [], {w: i for i, w in enumerate(words)}
         for w, i in number.items():
             sums.append((F.flatten(F.collect_list(F.when(token == w, F.col("at")))) if places else F.bool_or(token == w)).alias(f"w{i}"))
@@ -101,7 +159,14 @@ class TextIndex:
 
     def match_all(self, phrases: list[list[str]]) -> DataFrame:
         """Keys of rows that have every phrase; none for no phrases."""
-        return self._named(self._flags(phrases).where(self._all(phrases)).select("key", *self.carry)) if phrases else self.none()
+        if not phrases:
+            return self.none()
+        read = None
+        if self.segments:
+            read = self._rarest_first(sorted({w for p in phrases for w in p}))
+            if read is None:
+                return self.none()
+        return self._named(self._flags(phrases, read=read).where(self._all(phrases)).select("key", *self.carry))
 
     def match_any(self, phrases: list[list[str]]) -> DataFrame:
         return self._named(self._flags(phrases).where(self._any(phrases)).select("key", *self.carry)) if phrases else self.none()

@@ -14,15 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.catalog import DAY, HTML_SQL, day, query
-from quillmark.functions.redact import redact_cards
+from quillmark.functions.redact import redact_cards, redact_json
 from quillmark.functions.scalar import fault_key, file_stamp, parse_epoch, parse_time, row_hash
 from quillmark.operators import joins as J
 from quillmark.operators import merge as M
 from quillmark.operators import tagging
-from quillmark.sources import chats, files, hits, tasks, transcripts
+from quillmark.sources import chats, files, hits, polls, tasks, transcripts
 from quillmark.sources import testbed as T
-from quillmark.streaming import ingest
+from quillmark.streaming import ingest, outbox
 from quillmark.streaming import state as ST
+from quillmark.workspace import staging, stored
 
 _ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
@@ -233,6 +234,96 @@ def task_merge(spark, sf_dir):
     return J.merge_two_sources(backup, polled).select("task_id", "origin", "completed_at", "inferred")
 
 
+_PROJECT, _OPEN = "(o_custkey % 20)", "o_orderstatus <> 'F'"
+
+
+def _poll_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that aren't finished as a poll: a listing of projects 0 to 17, and a payload for each; 3 and 7 go on elsewhere, 11 is empty, 18 and 19 aren't listed."""
+    o = T.read(spark, sf_dir, "orders").withColumn("p", (F.col("o_custkey") % 20).cast("string"))
+    task = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.lit(0).alias("status"))
+    whole = F.collect_list(F.when((F.col("o_orderstatus") != "F") & (F.col("p") != "11"), task))  # a payload is as large as its project
+    held = o.groupBy("p").agg(whole.alias("tasks")).withColumn("more", F.when(F.col("p").isin("3", "7"), True))
+    payload = _json(project=F.struct(F.col("p").alias("id")), tasks=F.col("tasks"), hasMore=F.col("more"))
+    listed = F.array(*[F.struct(F.lit(str(k)).alias("id")) for k in range(18)])
+    return held.select(payload.alias("value")).union(spark.range(1).select(_json(projects=listed).alias("value")))
+
+
+@query("poll_covered", f"SELECT DISTINCT {_PROJECT}::VARCHAR AS project_id, false AS complete FROM orders WHERE {_PROJECT} < 18 AND {_PROJECT} NOT IN (3, 7)")
+def poll_covered(spark, sf_dir):
+    """Projects that a poll covered: listed, and read to the end. With two that weren't it isn't complete."""
+    poll = polls.read_poll(_poll_lines(spark, sf_dir))
+    return poll.covered.withColumn("complete", poll.complete.scalar())
+
+
+@query("poll_tasks", f"SELECT 'ticktick:' || o_orderkey AS stable_id, {_PROJECT}::VARCHAR AS project_id FROM orders WHERE {_OPEN} AND {_PROJECT} <> 11")
+def poll_tasks(spark, sf_dir):
+    """Tasks out of the payloads of a poll, each with its project."""
+    records, _ = tasks.api_records(polls.read_poll(_poll_lines(spark, sf_dir)).tasks)
+    return records.select("stable_id", F.get_json_object("extra", "$.project_id").alias("project_id"))
+
+
+_FATES = f"""CASE WHEN {_OPEN} AND {_PROJECT} <> 11 THEN CASE WHEN o_custkey % 7 = 0 THEN 'new' ELSE 'open' END
+WHEN {_PROJECT} < 18 AND {_PROJECT} NOT IN (3, 7) THEN 'completed' WHEN o_orderkey % 2 = 0 THEN 'retained' ELSE 'missed' END"""
+
+
+def _fates(spark: SparkSession, sf_dir: str, complete: bool) -> DataFrame:
+    """All orders but those of every seventh customer were open before, half of them were missed before."""
+    poll = polls.read_poll(_poll_lines(spark, sf_dir))
+    before = T.read(spark, sf_dir, "orders").where("o_custkey % 7 <> 0").select(F.col("o_orderkey").cast("string").alias("task_id"), (F.col("o_custkey") % 20).cast("string").alias("project_id"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("2024-01-01").cast("timestamp")).alias("missed_at"))
+    polled = poll.tasks.select(F.get_json_object("raw", "$.id").alias("task_id"), "project_id")
+    return polls.poll_diff(before, polled, poll.covered, F.lit(complete))
+
+
+@query("poll_fates", f"SELECT o_orderkey::VARCHAR AS task_id, {_PROJECT}::VARCHAR AS project_id, {_FATES} AS fate FROM orders WHERE o_custkey % 7 <> 0 OR ({_OPEN} AND {_PROJECT} <> 11)")
+def poll_fates(spark, sf_dir):
+    """What a poll says of each task: open, new, completed where it looked, kept and reported first or again where it didn't."""
+    return _fates(spark, sf_dir, True)
+
+
+@query("poll_incomplete", f"SELECT CASE WHEN o_custkey % 7 = 0 THEN 'ignored' ELSE 'kept' END AS fate, count(*) AS n FROM orders WHERE o_custkey % 7 <> 0 OR ({_OPEN} AND {_PROJECT} <> 11) GROUP BY 1")
+def poll_incomplete(spark, sf_dir):
+    """From a poll that isn't complete nothing follows."""
+    return _fates(spark, sf_dir, False).groupBy("fate").agg(F.count("*").alias("n"))
+
+
+@query("poison_rows", "SELECT doc_id, '[REDACTED:email] of ' || doc_id AS held FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents)")
+def poison_rows(spark, sf_dir):
+    """All documents go through a parser that one of them makes fail: that row alone is set aside, as redacted JSON, and the others are written."""
+    docs = T.read(spark, sf_dir, "documents")
+    last = docs.agg(F.max("doc_id")).scalar()
+    raw = docs.select("doc_id", "text", F.concat(F.lit("a@b.org of "), "doc_id").alias("note"))
+
+    def parse(rows: DataFrame) -> DataFrame:
+        return rows.select(F.concat(F.lit("doc:"), "doc_id").alias("stable_id"), F.lit("docs").alias("source"), F.lit("s").alias("subject"), F.when(F.col("doc_id") == last, F.raise_error(F.lit("can't be read"))).otherwise(F.col("text")).alias("body"))
+
+    with staging(spark) as work:
+        batch = ingest.staged(work, "docs", "records", ingest.Rows(raw, parse, ("doc_id",)))
+        if batch.rows.count() + 1 != docs.count():
+            raise AssertionError("a sound row was lost")
+        held = batch.aside.select(F.get_json_object("payload", "$.doc_id").cast("long").alias("doc_id"), F.get_json_object("payload", "$.note").alias("held"))
+        return stored(held, "poison-rows")
+
+
+@query("extra_scrubbed", """SELECT doc_id, '{"note":"by [REDACTED:email]","n":' || doc_id || '}' AS extra FROM documents""")
+def extra_scrubbed(spark, sf_dir):
+    """Addresses inside JSON are redacted, and it stays JSON."""
+    extra = _json(note=F.concat(F.lit("by user"), F.col("doc_id"), F.lit("@example.org")), n=F.col("doc_id"))
+    return T.read(spark, sf_dir, "documents").select("doc_id", redact_json(extra).alias("extra"))
+
+
+_LINE = "'set aside ' || doc_id || ': ' || source"
+
+
+@query("outbox_unread", f"SELECT {_LINE} AS line FROM documents WHERE lang <> 'en'")
+def outbox_unread(spark, sf_dir):
+    """Of a line for each document those that no delivered batch carries as a whole line stay to be read; a longer line carries none."""
+    d = T.read(spark, sf_dir, "documents")
+    line = F.concat(F.lit("set aside "), "doc_id", F.lit(": "), "source")
+    due = outbox.lines(d, F.lit("docs"), "held", line, F.col("doc_id"), F.lit("2024-01-01").cast("timestamp"))
+    carried = d.select(F.when(F.col("lang") == "en", line).otherwise(F.concat(line, F.lit(" and more"))).alias("line"))
+    return outbox.unread(due, carried).select("line")
+
+
 @query("tree_files", r"""SELECT 'dropbox:' || source || '/d' || doc_id || '.md' AS stable_id, CASE WHEN doc_id % 2 = 0 THEN 'Head ' || doc_id ELSE 'd' || doc_id END AS subject,
 substr(CASE WHEN doc_id % 2 = 0 THEN '# Head ' || doc_id || chr(10) ELSE '' END || text, 1, 200000) AS body, [source, 'md'] AS tags FROM documents WHERE text <> '' OR doc_id % 2 = 0""")
 def tree_files(spark, sf_dir):

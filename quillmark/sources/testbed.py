@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.authorship import author
 from quillmark.functions.text import token_text
-from quillmark.operators.postings import OPTIONS, TextIndex, postings
+from quillmark.operators.postings import OPTIONS, TERM_OPTIONS, TextIndex, postings, terms
 from quillmark.workspace import stored
 
 
@@ -61,18 +61,26 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_INDEXES: dict[tuple[str, str, str, bool], TextIndex] = {}
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files at path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(place)))
 
 
 def text_index(spark: SparkSession, sf_dir: str, table: str, stem: bool = False) -> TextIndex:
-    """The stored index of records or observations: written once a session, as an ingest would, and read by each query after."""
-    name = (spark.sparkContext.applicationId, sf_dir, table, stem)
+    """The stored index of records or observations: written once a session and version of the files, as an ingest would, and read by each query after."""
+    name = (spark.sparkContext.applicationId, sf_dir, table, stem, _stamp(spark, f"{sf_dir}/{'documents' if table == 'records' else 'conversations'}.parquet"))
     if name not in _INDEXES:
         if table == "records":
             rows, key, carry = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("stable_id"), F.col("text").alias("body")), "stable_id", ()
         else:
             rows, key, carry = observations(spark, sf_dir, classified=False).select("obs_id", "session_id", "root_session_id", "body"), "obs_id", ("session_id", "root_session_id")
-        _INDEXES[name] = TextIndex(stored(postings(rows, key, F.col("body"), carry, stem), f"index-{table}", **OPTIONS), key, carry)
+        every = stored(postings(rows, key, F.col("body"), carry, stem), f"index-{table}", **OPTIONS)
+        _INDEXES[name] = TextIndex(every, key, carry, ((every, stored(terms(every), f"terms-{table}", **TERM_OPTIONS)),))
     return _INDEXES[name]
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.model import INDEXED, KEYS, SCHEMA_VERSION, TABLES, TOKENIZER_VERSION
-from quillmark.operators.postings import OPTIONS, TextIndex, postings
+from quillmark.operators.postings import OPTIONS, TERM_OPTIONS, TextIndex, postings, terms
 
 #: Deltas of a table before they are merged into its base, and manifests whose folders stay.
 MOST_DELTAS, KEPT_VERSIONS = 8, 3
@@ -28,6 +28,15 @@ MOST_DELTAS, KEPT_VERSIONS = 8, 3
 KEPT_SECONDS = 2 * 86400
 
 
+TERMS = "token string, df long, low string, high string"
+
+
+def _terms_of(index: str) -> str:
+    """The folder of the terms of an index segment."""
+    table, name = index.split("/")
+    return f"{table.removesuffix('-index')}-terms/{name}"
+
+
 class StoreError(RuntimeError):
     """The store is newer than this code, or another writer was first."""
 
@@ -95,13 +104,19 @@ class Store:
         if not parts or not parts["index"]:
             return None
         key, _, carry = INDEXED[table]
-        return TextIndex(self.spark.read.parquet(*[f"{self.root}/{p}" for p in parts["index"]]), key, carry)
+        every = self.spark.read.parquet(*[f"{self.root}/{p}" for p in parts["index"]])
+        of = lambda p: self.spark.read.schema(every.schema).parquet(f"{self.root}/{p}")
+        own = lambda p: self.spark.read.schema(TERMS).parquet(f"{self.root}/{_terms_of(p)}")
+        whole = all(self._fs.exists(self._path(f"{self.root}/{_terms_of(p)}/_SUCCESS")) for p in parts["index"])  # older stores have none
+        return TextIndex(every, key, carry, tuple((of(p), own(p)) for p in parts["index"]) if whole else ())
 
     def _write(self, table: str, df: DataFrame, kind: str) -> tuple[str, list[str]]:
         """The folder of df's rows, and of their postings."""
         name = f"{table}/{kind}-{uuid.uuid4().hex[:12]}"
         have = set(df.columns)
         filled = df.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table].fields])
+        if table in INDEXED and kind == "base":  # in order of the key, so that a few keys are in a few row groups
+            filled = filled.repartitionByRange(*KEYS[table]).sortWithinPartitions(*KEYS[table])
         filled.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         if table not in INDEXED:
             return name, []
@@ -111,6 +126,7 @@ class Store:
         key, texts, carry = INDEXED[table]
         name = f"{table}-index/{kind}-{uuid.uuid4().hex[:12]}"
         postings(rows, key, F.concat_ws(" ", *texts), carry, stem=True).write.options(compression="zstd", **OPTIONS).parquet(f"{self.root}/{name}")
+        terms(self.spark.read.parquet(f"{self.root}/{name}")).write.options(compression="zstd", **TERM_OPTIONS).parquet(f"{self.root}/{_terms_of(name)}")
         return name
 
     def commit(self, tables: dict[str, DataFrame] | None = None, cursors: dict[str, str] | None = None, base: int | None = None, deltas: dict[str, DataFrame] | None = None) -> int:
@@ -173,8 +189,8 @@ class Store:
             return
         names = {s.getPath().getName() for s in gone}
         kept = [self._load(s.getPath().getName()) for s in listed if s.getPath().getName() not in names]
-        named = {p for m in kept for t in m["tables"].values() for p in (t["base"], *t["deltas"], *t["index"]) if p}
-        for folder in {p.split("/")[0] for p in named} | {f"{t}{x}" for t in TABLES for x in ("", "-index")}:
+        named = {p for m in kept for t in m["tables"].values() for p in (t["base"], *t["deltas"], *t["index"], *map(_terms_of, t["index"])) if p}
+        for folder in {p.split("/")[0] for p in named} | {f"{t}{x}" for t in TABLES for x in ("", "-index", "-terms")}:
             place = self._path(f"{self.root}/{folder}")
             for s in self._fs.listStatus(place) if self._fs.exists(place) else []:
                 if f"{folder}/{s.getPath().getName()}" not in named and s.getModificationTime() / 1000 < before:

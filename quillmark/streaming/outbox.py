@@ -32,6 +32,16 @@ def lines(df: DataFrame, source: Column, kind: str, line: Column, subject: Colum
     return full.dropDuplicates(["line_id"]).select(*[f.name for f in OUTBOX.fields])
 
 
+def carried_by(due: DataFrame, batches: DataFrame) -> DataFrame:
+    """due with carried, the first of batches(line, carried) that has the line as a whole."""
+    return due.join(batches.groupBy("line").agg(F.min("carried").alias("carried")), "line")
+
+
+def unread(due: DataFrame, sent: DataFrame) -> DataFrame:
+    """Lines of due that sent(line) doesn't have as whole lines."""
+    return due.join(sent.select("line"), "line", "left_anti")
+
+
 def pending(store: Store) -> DataFrame:
     return store.read("outbox").where("acked_at IS NULL")
 
@@ -62,7 +72,7 @@ def acknowledge(store: Store, spool: str, now: datetime | None = None) -> int:
     n = 0
     if new := [b for b in whole if b not in done]:
         carried = store.spark.read.text([f"{spool}/{b}" for b in new]).select(F.col("value").alias("line"), F.regexp_extract(F.col("_metadata.file_path"), r"/(batch-[0-9a-f]+)/", 1).alias("carried"))
-        acked = pending(store).join(carried.groupBy("line").agg(F.min("carried").alias("carried")), "line")
+        acked = carried_by(pending(store), carried)
         acked = acked.withColumn("acked_at", when).withColumn("batch", F.col("carried")).select(*[f.name for f in OUTBOX.fields])
         n = acked.count()
         if n:
