@@ -30,7 +30,7 @@ from quillmark.engine import Engine
 from quillmark.evals import harness
 from quillmark.functions.recognise import Recogniser
 from quillmark.functions.redact import redact, redact_secrets
-from quillmark.operators import aggregates, merge, tagging
+from quillmark.operators import aggregates, backfill, merge, tagging
 from quillmark.sources.registry import SOURCES
 from quillmark.model import KEYS
 from quillmark.store import Store
@@ -38,6 +38,8 @@ from quillmark.streaming import ingest, outbox
 from quillmark.workspace import Staging, staging, stored
 
 DONE, FAILED, MISUSED, EMPTY = 0, 1, 2, 3
+#: Sources that an ingest reads at once.
+WORKERS = 4
 SCRUBBED = {"records": ("subject", "body"), "observations": ("body",)}
 
 
@@ -135,12 +137,20 @@ def status(store: Store) -> dict:
     }
 
 
+def _asked_to_stop() -> list[int]:
+    """A list that a SIGTERM fills; work that has begun (a source, a chunk) is finished."""
+    asked: list[int] = []
+    if threading.current_thread() is threading.main_thread():
+        signal.signal(signal.SIGTERM, lambda *_: asked.append(1))
+    return asked
+
+
 def main(args: list[str], spark: SparkSession | None = None) -> int:
     """0: done; 1: something failed; 2: used wrongly; 3: nothing ingested yet."""
     if len(args) < 2:
         print(__doc__)
         return MISUSED
-    spark = spark or SparkSession.builder.appName("quillmark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = spark or SparkSession.builder.appName("quillmark").config("spark.sql.session.timeZone", "UTC").config("spark.scheduler.mode", "FAIR").getOrCreate()
     store, command, rest = Store(spark, args[0]), args[1], [a for a in args[2:] if not a.startswith("--")]
     flags = {a for a in args[2:] if a.startswith("--")}
     if command in ("ingest", "rebuild", "rebuild-all"):
@@ -149,10 +159,8 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
             print(__doc__)
             return MISUSED
         if command == "ingest":
-            asked: list[int] = []
-            if threading.current_thread() is threading.main_thread():
-                signal.signal(signal.SIGTERM, lambda *_: asked.append(1))  # a source that has begun is finished
-            reports = ingest.run(store, roots, stop=lambda: bool(asked))
+            asked = _asked_to_stop()
+            reports = ingest.run(store, roots, stop=lambda: bool(asked), workers=WORKERS)
             for r in reports:
                 print(json.dumps(vars(r)))
             return FAILED if any(r.error for r in reports) else DONE
@@ -188,11 +196,8 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
         print(json.dumps(rescrub(store, redact if "--all" in flags else redact_secrets, "--write" in flags)))
         return DONE
     if command == "provenance":
-        observations = store.read("observations")
-        blank = observations.where("provenance IS NULL")
-        filled = stored(tagging.classify_missing(blank, store.read("sessions")), "provenance")
-        store.commit(deltas={"observations": filled})
-        print(filled.count())
+        asked = _asked_to_stop()
+        print(backfill.backfill(store, stop=lambda: bool(asked)))
         return DONE
     if command == "tag" and 1 <= len(rest) <= 2 and ":" in rest[0]:
         module, name = rest[0].split(":", 1)

@@ -18,8 +18,8 @@ from quillmark.functions.redact import redact_cards, redact_json
 from quillmark.functions.scalar import fault_key, file_stamp, parse_epoch, parse_time, row_hash
 from quillmark.operators import joins as J
 from quillmark.operators import merge as M
-from quillmark.operators import tagging
-from quillmark.sources import chats, files, hits, polls, tasks, transcripts
+from quillmark.operators import backfill, tagging
+from quillmark.sources import chats, files, hits, polls, splits, tasks, transcripts
 from quillmark.sources import testbed as T
 from quillmark.streaming import ingest, outbox
 from quillmark.streaming import state as ST
@@ -109,6 +109,35 @@ def spawn_index(spark, sf_dir):
     return transcripts.spawn_index(objects)
 
 
+@query("split_lines", "SELECT doc_id, true AS numbered FROM documents")
+def split_lines(spark, sf_dir):
+    """A line for each document, in files that many tasks read a part of: each line has the number that it was written with."""
+    docs = T.read(spark, sf_dir, "documents").select("doc_id", "text")
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    with staging(spark) as work:
+        docs.select(_json(id=F.col("doc_id"), at=at, text=F.col("text")).alias("value")).write.text(f"{work.root}/lines")
+        was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 << 10))
+        try:
+            lines = splits.numbered_lines(spark.read.option("pathGlobFilter", "part-*"), f"{work.root}/lines")
+            numbered = F.get_json_object("raw", "$.at").cast("int") == F.col("lineno")
+            return stored(lines.select(F.get_json_object("raw", "$.id").cast("long").alias("doc_id"), numbered.alias("numbered")), "split-lines")
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+@query("backfill_archive", f"""SELECT obs_id, CASE WHEN conv_id % 3 = 0 AND type IS NOT NULL AND type = 'user' AND kind <> 'subagent' THEN CASE conv_id % 4 WHEN 1 THEN 'system' WHEN 2 THEN 'hook' WHEN 3 THEN 'agent' ELSE provenance END ELSE provenance END AS provenance FROM obs""")
+def backfill_archive(spark, sf_dir):
+    """Turns without a class; the transcripts of every third conversation are still there and say who wrote its turns."""
+    turns = T.observations(spark, sf_dir, classified=False)
+    kept = turns.where("conv_id % 3 = 0")
+    how = F.col("conv_id") % 4
+    raw = _json(uuid=F.col("obs_id"), type=F.lit("user"), isMeta=how == 1, promptSource=F.when(how == 2, "sdk"), isSidechain=F.when(how == 3, True))
+    lines = kept.select(F.concat(F.lit("/t/"), "session_id").alias("path"), F.lit(1).alias("lineno"), raw.alias("raw"))
+    found = transcripts.structure(transcripts.parse(lines)[0])
+    return backfill.by_structure(turns.select("obs_id", "session_id", "type", "body", "provenance"), T.sessions(spark, sf_dir), found).select("obs_id", "provenance")
+
+
 # --- chat exports ----------------------------------------------------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.authorship import author
 from quillmark.functions.scalar import parse_time
+from quillmark.sources.splits import numbered_lines
 
 # Fixed values.
 LINE_TYPES = (
@@ -34,9 +35,7 @@ def read_lines(spark: SparkSession, root: str, modified_before: datetime | None
         reader = reader.option("modifiedBefore", _utc(modified_before))
     if modified_after:
         reader = reader.option("modifiedAfter", _utc(modified_after))
-    files = reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("at", "raw"))
-    return lines.where(F.btrim("raw") != "").select("path", (F.col("at") + 1).alias("lineno"), "raw")
+    return numbered_lines(reader, root).where(F.btrim("raw") != "")
 
 
 def _utc(t: datetime) -> str:
@@ -96,6 +95,20 @@ def flatten(message: Column) -> Column:
     )
 
 
+def _structure(v: Column) -> dict[str, Column]:
+    """What a line says of who wrote it, beside its type and text."""
+    return {
+        "is_sidechain": _at(v, "$.isSidechain", "boolean"), "is_meta": _at(v, "$.isMeta", "boolean"), "is_compact_summary": _at(v, "$.isCompactSummary", "boolean"),
+        "prompt_source": _text(v, "$.promptSource"), "origin_kind": _text(v, "$.origin.kind"),
+    }
+
+
+def structure(objects: DataFrame) -> DataFrame:
+    """obs_id and the structural fields of lines that have an id."""
+    found = objects.select(_text(F.col("v"), "$.uuid").alias("obs_id"), *[c.alias(k) for k, c in _structure(F.col("v")).items()])
+    return found.where("coalesce(obs_id, '') <> ''")
+
+
 def fields(objects: DataFrame) -> DataFrame:
     """Typed fields of lines that have a session and an id."""
     v = F.col("v")
@@ -104,16 +117,12 @@ def fields(objects: DataFrame) -> DataFrame:
     m = objects.withColumn("flat", flatten(F.try_variant_get(v, "$.message", "variant"))).withColumn("known", known)
     kind = F.when((F.col("known") == "assistant") & F.col("flat.tool_name").isNotNull(), "tool_use").when((F.col("known") == "user") & F.col("flat.has_result"), "tool_result").otherwise(F.col("known"))
     typed = m.withColumn("type", kind)
-    structure = {
-        "is_sidechain": _at("v", "$.isSidechain", "boolean"), "is_meta": _at("v", "$.isMeta", "boolean"), "is_compact_summary": _at("v", "$.isCompactSummary", "boolean"),
-        "prompt_source": _text(v, "$.promptSource"), "origin_kind": _text(v, "$.origin.kind"),
-    }
     out = typed.select(
         "path", "lineno", _text(v, "$.sessionId").alias("sid"), _text(v, "$.uuid").alias("obs_id"), _text(v, "$.parentUuid").alias("parent_obs_id"), parse_time(_text(v, "$.timestamp")).alias("ts"),
         "type", _text(v, "$.agentId").alias("line_agent"), _text(v, "$.agentType").alias("line_agent_type"), _text(v, "$.cwd").alias("cwd"), _text(v, "$.gitBranch").alias("git_branch"),
         _text(v, "$.message.model").alias("model"), _at("v", "$.message.usage.input_tokens", "bigint").alias("input_tokens"), _at("v", "$.message.usage.output_tokens", "bigint").alias("output_tokens"),
         F.col("flat.tool_name").alias("tool_name"), F.col("flat.tool_use_id").alias("tool_use_id"), F.col("flat.body").alias("body"),
-        author(F.col("type"), F.col("flat.body"), **structure).alias("provenance"),
+        author(F.col("type"), F.col("flat.body"), **_structure(v)).alias("provenance"),
     )
     return out.where("coalesce(sid, '') <> '' AND coalesce(obs_id, '') <> ''")
 

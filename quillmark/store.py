@@ -198,10 +198,38 @@ class Store:
         for s in gone:
             self._fs.delete(s.getPath(), False)
 
+    def reindex(self) -> int:
+        """Indexes of all folders made anew beside the live ones, and swapped in one version; bodies are not written again.
+
+        Queries answer from the old indexes until then. What is committed meanwhile is caught up with before the swap.
+        """
+        built: dict[str, str] = {}
+        while True:
+            now = self.manifest()
+            folders = lambda m: {t: [p for p in (x["base"], *x["deltas"]) if p] for t, x in m["tables"].items() if t in INDEXED}
+            for table, paths in folders(now).items():
+                for path in paths:
+                    if path not in built:
+                        built[path] = self._write_index(table, self._parquet(table, path), "rebuilt")
+            now = self.manifest()
+            own = folders(now)
+            if not all(p in built for paths in own.values() for p in paths):
+                continue
+            tables = {t: dict(x) | ({"index": [built[p] for p in own[t]]} if t in own else {}) for t, x in now["tables"].items()}
+            try:
+                self._publish(now | {"version": now["version"] + 1, "schema": SCHEMA_VERSION, "tokenizer": TOKENIZER_VERSION, "tables": tables})
+            except StoreError:  # another commit: catch up with it
+                continue
+            self._sweep()
+            return now["version"] + 1
+
     def migrate(self) -> bool:
-        """Bring a store of older code up to this one: columns it lacks turn null, indexes of another tokenizer are made anew."""
+        """Bring a store of older code up to this one: columns it lacks are read as null, indexes of another tokenizer are made anew."""
         now = self.manifest()
         if not now["version"] or (now["schema"] == SCHEMA_VERSION and now.get("tokenizer") == TOKENIZER_VERSION):
             return False
-        self.commit({t: self.read(t, now) for t in now["tables"]}, base=now["version"])
+        if now.get("tokenizer") == TOKENIZER_VERSION:
+            self._publish(now | {"version": now["version"] + 1, "schema": SCHEMA_VERSION})
+        else:
+            self.reindex()
         return True

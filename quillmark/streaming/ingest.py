@@ -13,8 +13,10 @@ the run that first meets them.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 
@@ -265,10 +267,7 @@ def write(
     """
     now = now or datetime.now(UTC)
     when = F.lit(now).cast("timestamp")
-    policy = state.POLICIES.get(source, state.CursorPolicy("none"))
-    report, deltas, tables, told = Report(source, cursor=cursor), {}, {}, []
-    base = store.manifest()["version"]
-    held = store.read("quarantine").where(F.col("source") == source)
+    held = store.read("quarantine").where(F.col("source") == source)  # only this source's runs change it
     anything_held = not held.isEmpty()
     with staging(store.spark) as work:
         ready, aside, done, own = {}, [], [], {k: v for k, v in frames.items() if k not in (*MERGED, "faults")}
@@ -279,81 +278,104 @@ def write(
                 aside += [batch.aside] if batch.aside is not None else []
                 done += [batch.again] if batch.again is not None else []
         own = {k: work.keep(v, k) for k, v in own.items()}
-        if finish:
-            ready |= finish(store.read, ready | own, now)
-        lines = ready.pop("lines", None)
-        baseline = ready.pop("open_tasks", None)
-        ready = {k: v for k, v in ready.items() if k in MERGED}
-        if run and policy.kind != "none":
-            report.cursor = _mark(ready, now)
-        batches: dict[str, DataFrame] = {}
-        for table, rows in ready.items():
-            key, was = KEYS[table], store.read(table)
-            if table == "observations":
-                due = state.retry_due(held.where("error_type = 'orphan'"), when)
-                if anything_held and not due.isEmpty():
-                    back = _orphans_again(store, due)
-                    rows = _shaped(rows, was).unionByName(back.join(rows.select("obs_id"), "obs_id", "left_anti").select(*was.columns))
-            own_hash = row_hash(*_text(rows, HASHED[table]))
-            batch = coalesced(rows.withColumn("src_hash", F.coalesce("src_hash", own_hash) if "src_hash" in rows.columns else own_hash), table)
-            if table == "observations":
-                known = store.read("sessions").select("session_id")
-                if "sessions" in batches:
-                    known = known.union(batches["sessions"].select("session_id"))
-                batch = work.keep(_shaped(batch, was), "observations-all")
-                lost = joins.orphans(batch, known)
-                report.orphans = lost.count()
-                if report.orphans:
-                    aside.append(lost.select(F.concat(F.lit("observations:"), redact(F.col("obs_id"))).alias("record_key"), F.lit("orphan").alias("error_type"), redact(F.concat(F.lit("no session "), "session_id")).alias("error_detail"), F.to_json(F.struct(*was.columns), _TIMES).alias("payload")))
-                    batch = batch.join(known, "session_id", "left_semi")
-            batch = batches[table] = work.keep(_shaped(batch, was), f"{table}-batch")
-            done.append(batch.select(F.concat(F.lit(f"{table}:"), redact(F.col(key).cast("string"))).alias("record_key")))
-            touched = work.keep(was.join(batch.select(key), key, "left_semi").select(*was.columns), f"{table}-touched")
-            report.counts[table] = merge.write_counts(merge.changes(touched, batch, key)).first().asDict()
-            new = merge.upsert_records(touched, batch, lambda c: c) if table == "records" else merge.upsert_entities(touched, batch, key, lambda c: c)
-            deltas[table] = _differing(new, touched, key)
-        failed = None
-        for df in aside:
-            failed = df if failed is None else failed.unionByName(df)
-        if failed is not None:
-            failed = work.keep(failed.withColumn("source", F.lit(source)).dropDuplicates(["source", "record_key"]), "aside")
-            kinds = {r["error_type"]: r["n"] for r in failed.groupBy("error_type").agg(F.count("*").alias("n")).collect()}
-            report.quarantined = sum(kinds.values())
-            told.append(outbox.lines(failed.where("error_type <> 'invalid'").orderBy("record_key").limit(TOLD_SINGLY), F.lit(source), "held", F.concat(F.lit(f"{source}: set aside ("), "error_type", F.lit("): "), "record_key", F.lit(": "), "error_detail"), F.col("record_key"), when))
-            fresh = failed.where("error_type <> 'invalid'").join(held.select("record_key"), "record_key", "left_anti")
-            if set(kinds) - {"invalid"} and not fresh.isEmpty():
-                report.cursor = None  # read again from where it was
-        if failed is not None or anything_held:
-            every = store.read("quarantine")
-            after = state.quarantine(every, failed, when) if failed is not None else every
-            if done:
-                written = done[0]
-                for df in done[1:]:
-                    written = written.union(df)
-                written = written.withColumn("source", F.lit(source))
-                after = state.release(after, written if failed is None else written.join(failed.select("record_key"), "record_key", "left_anti"))
-            tables["quarantine"] = work.keep(after.select(*[f.name for f in TABLES["quarantine"].fields]), "quarantine")
         if "faults" in frames:
-            found = staged_faults(work, frames["faults"])
-            report.faults = found.count()
-            if report.faults or not store.read("poison_faults").where(F.col("source") == source).isEmpty():
-                table, fresh = _faults(store, source, found, when)
-                tables["poison_faults"] = work.keep(table, "faults-after")
-                line = F.concat(F.lit(f"{source}: "), F.coalesce("scope", F.lit("?")), F.coalesce(F.concat(F.lit(":"), "detail"), F.lit("")), F.lit(": "), "reason")
-                told.append(outbox.lines(fresh, F.lit(source), "fault", line, F.col("fault_key"), when))
-        if baseline is not None:
-            old = store.read("open_tasks")
-            tables["open_tasks"] = work.keep(old.where(F.col("source") != source).unionByName(baseline.withColumn("source", F.lit(source)).select(*old.columns)), "open-tasks")
-        if lines is not None:
-            told.append(lines)
-        for df in told:
-            df = work.keep(df, "lines")
-            if not df.isEmpty():
-                deltas["outbox"] = df if "outbox" not in deltas else deltas["outbox"].unionByName(df)
-        if run:
-            rows_seen = sum(c["added"] + c["updated"] for c in report.counts.values())
-            deltas["ingest_state"] = _state_row(store, source, True, report.cursor, rows_seen, None, now, input_at)
-        store.commit(tables, {source: report.cursor} if report.cursor else None, base, deltas)
+            own["faults"] = staged_faults(work, frames["faults"])
+        with _merging(store):
+            return _merged(store, work, source, ready, aside, done, own, held, anything_held, cursor, now, run, input_at, finish)
+
+
+_LOCKS: dict[str, threading.Lock] = {}
+
+
+def _merging(store: Store) -> threading.Lock:
+    """Sources are read side by side in this process and merged one after the other; other processes are told by the version."""
+    return _LOCKS.setdefault(store.root, threading.Lock())
+
+
+def _merged(
+    store: Store, work: Staging, source: str, ready: dict[str, DataFrame], aside: list[DataFrame], done: list[DataFrame], own: dict[str, DataFrame], held: DataFrame, anything_held: bool,
+    cursor: str | None, now: datetime, run: bool, input_at: datetime | None, finish: Callable | None,
+) -> Report:
+    """Merge what was staged into the current version, and commit."""
+    when = F.lit(now).cast("timestamp")
+    policy = state.POLICIES.get(source, state.CursorPolicy("none"))
+    report, deltas, tables, told = Report(source, cursor=cursor), {}, {}, []
+    base = store.manifest()["version"]
+    if finish:
+        ready |= finish(store.read, ready | own, now)
+    lines = ready.pop("lines", None)
+    baseline = ready.pop("open_tasks", None)
+    ready = {k: v for k, v in ready.items() if k in MERGED}
+    if run and policy.kind != "none":
+        report.cursor = _mark(ready, now)
+    batches: dict[str, DataFrame] = {}
+    for table, rows in ready.items():
+        key, was = KEYS[table], store.read(table)
+        if table == "observations":
+            due = state.retry_due(held.where("error_type = 'orphan'"), when)
+            if anything_held and not due.isEmpty():
+                back = _orphans_again(store, due)
+                rows = _shaped(rows, was).unionByName(back.join(rows.select("obs_id"), "obs_id", "left_anti").select(*was.columns))
+        own_hash = row_hash(*_text(rows, HASHED[table]))
+        batch = coalesced(rows.withColumn("src_hash", F.coalesce("src_hash", own_hash) if "src_hash" in rows.columns else own_hash), table)
+        if table == "observations":
+            known = store.read("sessions").select("session_id")
+            if "sessions" in batches:
+                known = known.union(batches["sessions"].select("session_id"))
+            batch = work.keep(_shaped(batch, was), "observations-all")
+            lost = joins.orphans(batch, known)
+            report.orphans = lost.count()
+            if report.orphans:
+                aside.append(lost.select(F.concat(F.lit("observations:"), redact(F.col("obs_id"))).alias("record_key"), F.lit("orphan").alias("error_type"), redact(F.concat(F.lit("no session "), "session_id")).alias("error_detail"), F.to_json(F.struct(*was.columns), _TIMES).alias("payload")))
+                batch = batch.join(known, "session_id", "left_semi")
+        batch = batches[table] = work.keep(_shaped(batch, was), f"{table}-batch")
+        done.append(batch.select(F.concat(F.lit(f"{table}:"), redact(F.col(key).cast("string"))).alias("record_key")))
+        touched = work.keep(was.join(batch.select(key), key, "left_semi").select(*was.columns), f"{table}-touched")
+        report.counts[table] = merge.write_counts(merge.changes(touched, batch, key)).first().asDict()
+        new = merge.upsert_records(touched, batch, lambda c: c) if table == "records" else merge.upsert_entities(touched, batch, key, lambda c: c)
+        deltas[table] = _differing(new, touched, key)
+    failed = None
+    for df in aside:
+        failed = df if failed is None else failed.unionByName(df)
+    if failed is not None:
+        failed = work.keep(failed.withColumn("source", F.lit(source)).dropDuplicates(["source", "record_key"]), "aside")
+        kinds = {r["error_type"]: r["n"] for r in failed.groupBy("error_type").agg(F.count("*").alias("n")).collect()}
+        report.quarantined = sum(kinds.values())
+        told.append(outbox.lines(failed.where("error_type <> 'invalid'").orderBy("record_key").limit(TOLD_SINGLY), F.lit(source), "held", F.concat(F.lit(f"{source}: set aside ("), "error_type", F.lit("): "), "record_key", F.lit(": "), "error_detail"), F.col("record_key"), when))
+        fresh = failed.where("error_type <> 'invalid'").join(held.select("record_key"), "record_key", "left_anti")
+        if set(kinds) - {"invalid"} and not fresh.isEmpty():
+            report.cursor = None  # read again from where it was
+    if failed is not None or anything_held:
+        every = store.read("quarantine")
+        after = state.quarantine(every, failed, when) if failed is not None else every
+        if done:
+            written = done[0]
+            for df in done[1:]:
+                written = written.union(df)
+            written = written.withColumn("source", F.lit(source))
+            after = state.release(after, written if failed is None else written.join(failed.select("record_key"), "record_key", "left_anti"))
+        tables["quarantine"] = work.keep(after.select(*[f.name for f in TABLES["quarantine"].fields]), "quarantine")
+    if "faults" in own:
+        found = own["faults"]
+        report.faults = found.count()
+        if report.faults or not store.read("poison_faults").where(F.col("source") == source).isEmpty():
+            table, fresh = _faults(store, source, found, when)
+            tables["poison_faults"] = work.keep(table, "faults-after")
+            line = F.concat(F.lit(f"{source}: "), F.coalesce("scope", F.lit("?")), F.coalesce(F.concat(F.lit(":"), "detail"), F.lit("")), F.lit(": "), "reason")
+            told.append(outbox.lines(fresh, F.lit(source), "fault", line, F.col("fault_key"), when))
+    if baseline is not None:
+        old = store.read("open_tasks")
+        tables["open_tasks"] = work.keep(old.where(F.col("source") != source).unionByName(baseline.withColumn("source", F.lit(source)).select(*old.columns)), "open-tasks")
+    if lines is not None:
+        told.append(lines)
+    for df in told:
+        df = work.keep(df, "lines")
+        if not df.isEmpty():
+            deltas["outbox"] = df if "outbox" not in deltas else deltas["outbox"].unionByName(df)
+    if run:
+        rows_seen = sum(c["added"] + c["updated"] for c in report.counts.values())
+        deltas["ingest_state"] = _state_row(store, source, True, report.cursor, rows_seen, None, now, input_at)
+    store.commit(tables, {source: report.cursor} if report.cursor else None, base, deltas)
     return report
 
 
@@ -380,34 +402,73 @@ def _failed(store: Store, source: str, error: str, now: datetime) -> None:
     store.commit(deltas={"ingest_state": row, "outbox": line}, base=store.manifest()["version"])
 
 
+def _run_one(store: Store, source, root: str, row, now: datetime, recogniser: Recogniser | None) -> Report:
+    """Read one source from its cursor and write it; a failure is counted."""
+    name = source.name
+    policy = state.POLICIES.get(name, state.CursorPolicy("none"))
+    since = None
+    if policy.kind != "none" and row and row["cursor_value"]:
+        since = datetime.fromisoformat(row["cursor_value"]) - timedelta(seconds=policy.overlap_seconds)
+    try:
+        frames = source.read(store.spark, root, since=since, now=now)
+        newest = newest_input(inputs_of(store.spark, root)).first()["newest"]
+        return write_with_retry(store, name, frames, None, now, recogniser=recogniser, run=True, input_at=newest, finish=source.finish)
+    except Exception as e:  # one source's failure is counted and the others go on
+        report = Report(name, error=f"{type(e).__name__}: {str(e)[:500]}")
+        store.spark.sparkContext.setJobGroup(f"ingest-{name}-failed", "count a failure")  # a group that was cancelled may stay so
+        with _merging(store):
+            _failed(store, name, report.error, now)
+        return report
+
+
 def run(
     store: Store, roots: dict[str, str], now: datetime | None = None, stop: Callable[[], bool] | None = None, sources: dict | None = None, recogniser: Recogniser | None = None,
+    workers: int = 1, most_seconds: float | None = None,
 ) -> list[Report]:
-    """One run over the sources whose roots are given, each by its cursor policy; each commits its rows and its state together."""
-    now, out = now or datetime.now(UTC), []
+    """One run over the sources whose roots are given, each by its cursor policy; each commits its rows and its state together.
+
+    So many workers read sources at once, each in a scheduler pool and a job group of its own; merges follow one another. A
+    source that takes longer than most_seconds has its jobs cancelled, which counts as its failure; nothing of it is stored.
+    """
+    now = now or datetime.now(UTC)
     known = sources or SOURCES
     past = {r["source"]: r for r in store.read("ingest_state").collect()}
-    for name, root in roots.items():
+    sc, begun, over = store.spark.sparkContext, {}, threading.Event()
+
+    def one(name: str, root: str) -> Report | None:
         if stop and stop():
-            break
+            return None
         row = past.get(name)
         wait = row["next_attempt_at"] if row else None
         if wait is not None and wait.astimezone(UTC) > now:
-            out.append(Report(name, waiting_until=wait.astimezone(UTC).isoformat()))
-            continue
-        policy = state.POLICIES.get(name, state.CursorPolicy("none"))
-        since = None
-        if policy.kind != "none" and row and row["cursor_value"]:
-            since = datetime.fromisoformat(row["cursor_value"]) - timedelta(seconds=policy.overlap_seconds)
+            return Report(name, waiting_until=wait.astimezone(UTC).isoformat())
+        sc.setLocalProperty("spark.scheduler.pool", f"ingest-{name}")
+        sc.setJobGroup(f"ingest-{name}", f"ingest of {name}", interruptOnCancel=True)
+        begun[name] = time.monotonic()
         try:
-            frames = known[name].read(store.spark, root, since=since, now=now)
-            newest = newest_input(inputs_of(store.spark, root)).first()["newest"]
-            report = write_with_retry(store, name, frames, None, now, recogniser=recogniser, run=True, input_at=newest, finish=known[name].finish)
-        except Exception as e:  # one source's failure is counted and the others go on
-            report = Report(name, error=f"{type(e).__name__}: {str(e)[:500]}")
-            _failed(store, name, report.error, now)
-        out.append(report)
-    return out
+            return _run_one(store, known[name], root, row, now, recogniser)
+        finally:
+            begun.pop(name, None)
+            sc.setLocalProperty("spark.scheduler.pool", None)
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
+    def watch() -> None:
+        while not over.wait(0.2):
+            for name, at in list(begun.items()):
+                if time.monotonic() - at > most_seconds:
+                    sc.cancelJobGroup(f"ingest-{name}")
+
+    if most_seconds is not None:
+        threading.Thread(target=watch, daemon=True).start()
+    try:
+        if workers == 1:
+            made = [one(name, root) for name, root in roots.items()]
+        else:
+            with ThreadPoolExecutor(workers) as pool:
+                made = list(pool.map(lambda x: one(*x), roots.items()))
+    finally:
+        over.set()
+    return [r for r in made if r is not None]
 
 
 def stale(store: Store, now: datetime | None = None) -> list[dict]:
