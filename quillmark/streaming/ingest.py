@@ -257,6 +257,7 @@ def _orphans_again(store: Store, due: DataFrame) -> DataFrame:
 def write(
     store: Store, source: str, frames: dict[str, DataFrame | Rows], cursor: str | None = None, now: datetime | None = None,
     recogniser: Recogniser | None = None, run: bool = False, input_at: datetime | None = None, finish: Callable | None = None,
+    when_read: Callable[[], object] = lambda: None,
 ) -> Report:
     """Merge the frames of one source into the store and move its state, in one commit.
 
@@ -264,6 +265,7 @@ def write(
     Rows that can't be stored go to quarantine (see above), and leave it when they are written at last. Only rows that
     change are written. A frame read twice changes nothing. With run, the cursor follows from the rows where the source has
     one, and the source's state row is part of the commit. finish(read table, frames, now) may add to the staged frames.
+    when_read is called once all frames are staged.
     """
     now = now or datetime.now(UTC)
     when = F.lit(now).cast("timestamp")
@@ -280,6 +282,7 @@ def write(
         own = {k: work.keep(v, k) for k, v in own.items()}
         if "faults" in frames:
             own["faults"] = staged_faults(work, frames["faults"])
+        when_read()
         with _merging(store):
             return _merged(store, work, source, ready, aside, done, own, held, anything_held, cursor, now, run, input_at, finish)
 
@@ -402,7 +405,7 @@ def _failed(store: Store, source: str, error: str, now: datetime) -> None:
     store.commit(deltas={"ingest_state": row, "outbox": line}, base=store.manifest()["version"])
 
 
-def _run_one(store: Store, source, root: str, row, now: datetime, recogniser: Recogniser | None) -> Report:
+def _run_one(store: Store, source, root: str, row, now: datetime, recogniser: Recogniser | None, when_read: Callable[[], object]) -> Report:
     """Read one source from its cursor and write it; a failure is counted."""
     name = source.name
     policy = state.POLICIES.get(name, state.CursorPolicy("none"))
@@ -412,7 +415,7 @@ def _run_one(store: Store, source, root: str, row, now: datetime, recogniser: Re
     try:
         frames = source.read(store.spark, root, since=since, now=now)
         newest = newest_input(inputs_of(store.spark, root)).first()["newest"]
-        return write_with_retry(store, name, frames, None, now, recogniser=recogniser, run=True, input_at=newest, finish=source.finish)
+        return write_with_retry(store, name, frames, None, now, recogniser=recogniser, run=True, input_at=newest, finish=source.finish, when_read=when_read)
     except Exception as e:  # one source's failure is counted and the others go on
         report = Report(name, error=f"{type(e).__name__}: {str(e)[:500]}")
         store.spark.sparkContext.setJobGroup(f"ingest-{name}-failed", "count a failure")  # a group that was cancelled may stay so
@@ -428,7 +431,7 @@ def run(
     """One run over the sources whose roots are given, each by its cursor policy; each commits its rows and its state together.
 
     So many workers read sources at once, each in a scheduler pool and a job group of its own; merges follow one another. A
-    source that takes longer than most_seconds has its jobs cancelled, which counts as its failure; nothing of it is stored.
+    source that isn't read after most_seconds has its jobs cancelled, which counts as its failure; nothing of it is stored.
     """
     now = now or datetime.now(UTC)
     known = sources or SOURCES
@@ -446,7 +449,7 @@ def run(
         sc.setJobGroup(f"ingest-{name}", f"ingest of {name}", interruptOnCancel=True)
         begun[name] = time.monotonic()
         try:
-            return _run_one(store, known[name], root, row, now, recogniser)
+            return _run_one(store, known[name], root, row, now, recogniser, lambda: begun.pop(name, None))
         finally:
             begun.pop(name, None)
             sc.setLocalProperty("spark.scheduler.pool", None)
