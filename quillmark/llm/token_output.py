@@ -102,14 +102,28 @@ class EliasFano:
             first &= first - 1
         return ((byte * 8 + (first & -first).bit_length() - 1 - i) << self.low_bits) | self._low(i)
 
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
-        out = (places - np.arange(self.n)).astype(np.int64) << self.low_bits
+    def batch(self, k: int) -> np.ndarray:
+        """The values of select for the k-th SAMPLE indexes, by the sample where they begin and the one where they end."""
+        a, b = k * SAMPLE, min(self.n, (k + 1) * SAMPLE)
+        first = int(self.samples[k])
+        last = int(self.samples[k + 1]) if b < self.n else 8 * len(self.highs)
+        places = np.flatnonzero(np.unpackbits(self.highs[first // 8 : last // 8 + 1], bitorder="little")) + first // 8 * 8
+        places = places[places >= first][: b - a]
+        out = (places - np.arange(a, b)).astype(np.int64) << self.low_bits
         if self.low_bits:
-            bits = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            out |= bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
+            low = a * self.low_bits
+            bits = np.unpackbits(self.lows[low // 8 : (b * self.low_bits + 7) // 8], bitorder="little")[low % 8 :][: (b - a) * self.low_bits]
+            out |= bits.reshape(b - a, self.low_bits).astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
         return out
 
+    def batches(self) -> Iterator[np.ndarray]:
+        """All values in turn, SAMPLE at a time: there is never a table of them."""
+        return map(self.batch, range(len(self.samples)))
+
+    def all(self) -> np.ndarray:
+        """All values as one array; for short sequences."""
+        return np.concatenate([np.zeros(0, np.int64), *self.batches()])
+
 
 def pack_segment(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     known = [x for x in doc_ids if x is not None]
@@ -132,8 +146,16 @@ class Segment:
     def doc_ids(self) -> list[int | None]:
         return [None] * self.n_null + (self._docs.all() + self.base).tolist()
 
-    def ends(self) -> np.ndarray:
-        return self._ends.all()
+    def documents(self) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+        """doc_ids, starts and ends of the documents, a batch of selected bounds at a time."""
+        known = (x for own in self._docs.batches() for x in own.tolist())
+        before, nulls = 0, self.n_null
+        for ends in self._ends.batches():
+            ids = [None] * min(nulls, len(ends))
+            nulls -= len(ids)
+            ids += [next(known) + self.base for _ in range(len(ends) - len(ids))]
+            yield ids, np.concatenate([[before], ends[:-1]]).astype(np.int64), ends
+            before = int(ends[-1])
 
     def tokens(self, i: int) -> np.ndarray:
         """Ids of the i-th document, found by select."""
@@ -263,14 +285,13 @@ def read_index(segments: DataFrame) -> DataFrame:
         for batch in batches:
             for part, seg, blob in zip(*(batch.column(i) for i in range(3)), strict=True):
                 s = Segment(blob.as_buffer())
-                ends = s.ends()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                sums = [zlib.crc32(s.ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                n = len(ends)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part.as_py(), np.int32)), pa.array(np.full(n, seg.as_py(), np.int32)), pa.array(s.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(sums, pa.int64())],
-                    ["part", "seg", "doc_id", "at", "n_tokens", "ids_crc32"],
-                )
+                for ids, starts, ends in s.documents():
+                    sums = [zlib.crc32(s.ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    n = len(ends)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, part.as_py(), np.int32)), pa.array(np.full(n, seg.as_py(), np.int32)), pa.array(ids, pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(sums, pa.int64())],
+                        ["part", "seg", "doc_id", "at", "n_tokens", "ids_crc32"],
+                    )
 
     rows = segments.select("part", "seg", "blob").mapInArrow(tidied(read), "part int, seg int, doc_id long, at long, n_tokens long, ids_crc32 long")
     sizes = segments.select("part", "seg", F.col("n_tokens").alias("size"))
