@@ -81,25 +81,32 @@ def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -
 class RunIndex:
     """The run-compressed transform of some pieces, each of which occurs copies times.
 
-    symbol and length are the runs, head and tail the places of a run's first and last suffix, and meet[r] the common
+    A piece's first suffix is a run of its own, so that its length says how often the piece is there. symbol and length are
+    the runs, head and tail the places of a run's first and last suffix, and meet[r] the common
     prefix, exact up to limit, of the suffixes at the end of run r and the start of run r + 1.
     """
 
     def __init__(self, pieces: list[bytes], copies: np.ndarray, limit: int = 512):
         self.sizes = np.array([len(p) for p in pieces], np.int64)
         self.start = np.cumsum(self.sizes + 1 + _DIGITS) - (self.sizes + 1 + _DIGITS)
-        self.copies, self.limit = copies, limit
+        self.limit = limit
         marks = ((np.arange(len(pieces))[:, None] >> (3 * np.arange(_DIGITS))) & 7) + _DIGIT
         ends = [bytes([_END]) + m.tobytes() for m in marks.astype(np.uint8)]
         text = np.frombuffer(b"".join(x for p, e in zip(pieces, ends, strict=True) for x in (p, e)), np.uint8)
         order = suffix_order(text)
         before = text[order - 1].astype(np.int16)
         before[order == 0] = -1  # nothing comes before the first place
-        cut = np.flatnonzero(before[1:] != before[:-1])
+        begins = np.zeros(len(text), bool)
+        begins[self.start] = True
+        begins = begins[order]
+        cut = np.flatnonzero((before[1:] != before[:-1]) | begins[1:] | begins[:-1])
         first, last = np.concatenate([[0], cut + 1]), np.append(cut, len(text) - 1)
         weight = np.repeat(copies, self.sizes + 1 + _DIGITS)
         self.symbol, self.length = before[first], np.add.reduceat(weight[order], first)
         self.head, self.tail = order[first], order[last]
+        self.often = np.ones(len(pieces), np.int64)
+        own = begins[first]
+        self.often[np.searchsorted(self.start, self.head[own])] = self.length[own]
         padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
         words = np.zeros(len(text), np.uint64)
         for k in range(8):
@@ -136,7 +143,7 @@ class RunIndex:
         for sampled, meet in self.samples:
             near = np.searchsorted(sampled, at, side="right") - 1
             found = np.maximum(found, meet[near] - (at - sampled[near]))
-        whole = np.where(self.copies[piece] > 1, self.sizes[piece] - place, 0)
+        whole = np.where(self.often[piece] > 1, self.sizes[piece] - place, 0)  # a copy's suffix is in the same run
         return np.maximum(np.minimum(found, self.sizes[piece] - place), whole)  # what follows a piece is no text of it
 
 
