@@ -196,6 +196,28 @@ def export_messages(spark, sf_dir):
     return observations.select("obs_id", "session_id", "parent_obs_id", "type", day("ts").alias("ts"), "body", "tool_name")
 
 
+@query("export_elements", """SELECT conv_id, row_number() OVER (PARTITION BY conv_id // 50 ORDER BY conv_id) - 1 AS at, count(*) AS turns, sum(length(coalesce(text, '')))::BIGINT AS chars FROM conversations GROUP BY conv_id""")
+def export_elements(spark, sf_dir):
+    """Exports of fifty conversations each, cut at their elements by tasks that read a part of a file each; texts hold all that JSON escapes."""
+    turns = T.read(spark, sf_dir, "conversations")
+    each = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"), F.lit(',"[{\\').alias("odd")))).alias("turns"))
+    one = each.select("conv_id", _json(id=F.col("conv_id"), turns=F.col("turns")).alias("raw"))
+    files_of = one.groupBy(F.floor(F.col("conv_id") / 50).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "raw"))), lambda x: x["raw"]), " , ").alias("all"))
+    with staging(spark) as work:
+        files_of.select("k", F.concat(F.lit("[ "), "all", F.lit(" ]\n")).alias("value")).repartition("k").write.partitionBy("k").text(f"{work.root}/exports")
+        was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
+        try:
+            found = splits.json_elements(spark.read.option("recursiveFileLookup", "true"), f"{work.root}/exports")
+            v = F.try_parse_json("value")
+            texts = F.try_variant_get(v, "$[0].turns", "array<struct<turn bigint, text string, odd string>>")
+            rows = found.select(F.try_variant_get(v, "$[0].id", "bigint").alias("conv_id"), F.col("first").alias("at"), texts.alias("t"))
+            sums = F.aggregate("t", F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
+            return stored(rows.select("conv_id", "at", F.size("t").cast("long").alias("turns"), sums.alias("chars")), "export-elements")
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 # --- search hits, tasks, files ---------------------------------------------------------------------------------------
 
 

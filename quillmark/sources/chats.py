@@ -1,6 +1,7 @@
 """Chat exports of two shapes: conversations as maps of nodes, and as lists of messages with blocks.
 
-Both readers take frames (path, modified, value) of whole export files, whose JSON is an array of conversations.
+Both readers take frames (path, modified, value) of export files, whose JSON is an array of conversations; with first,
+a value is the part of its file from that conversation on.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ def conversations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, modified, at, v of each conversation; faults path, reason of files that aren't arrays)."""
     seen = files.withColumn("v", F.try_parse_json("value"))
     whole = seen.where(_is(F.col("v"), "ARRAY"))
-    split = whole.select("path", "modified", F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("at", "v"))
+    split = whole.select("path", "modified", F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("at", "v"), *(["first"] if "first" in files.columns else []))
+    if "first" in files.columns:  # a value is a part of its file
+        split = split.select("path", "modified", (F.col("first") + F.col("at")).alias("at"), "v")
     return split, seen.where(~_is(F.col("v"), "ARRAY")).select("path", F.lit("not a JSON array of conversations").alias("reason"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.text import heading
 from quillmark.sources.html import read_html
+from quillmark.sources.splits import json_elements
 
 # Fixed values.
 EXTENSIONS = ("md", "txt", "docx", "pdf")
@@ -133,18 +134,21 @@ def post_records(zips: DataFrame) -> DataFrame:
 
 
 def export_files(spark: SparkSession, *roots: str) -> DataFrame:
-    """path, modified, value of bare *.json exports and of JSON members of *.zip in the given folders."""
-    load = lambda glob: spark.read.format("binaryFile").option("pathGlobFilter", glob).load(list(roots)).select("path", F.col("modificationTime").alias("modified"), "content")
-    bare = load("*.json").select("path", "modified", F.decode("content", "utf-8").alias("value"))
-    packed = zip_members(load("*.zip"), r"\.json$").select(F.concat("path", F.lit("!"), "member").alias("path"), "modified", F.decode("data", "utf-8").alias("value"))
+    """path, modified, first, value of bare *.json exports, an element a row, and of whole JSON members of *.zip in the given folders."""
+    zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(list(roots)).select("path", F.col("modificationTime").alias("modified"), "content")
+    bare = json_elements(spark.read.option("pathGlobFilter", "*.json"), list(roots))
+    packed = zip_members(zips, r"\.json$").select(F.concat("path", F.lit("!"), "member").alias("path"), "modified", F.lit(0).cast("long").alias("first"), F.decode("data", "utf-8").alias("value"))
     return bare.unionByName(packed)
 
 
 def sniff_exports(files: DataFrame, shape: str) -> DataFrame:
-    """Those of the export files whose first conversation has the shape: 'node_map' or 'message_list'."""
-    first = F.try_variant_get(F.try_parse_json("value"), "$[0]", "variant")
+    """Values of those export files whose first conversation has the shape: 'node_map' or 'message_list'."""
+    head = F.try_variant_get(F.try_parse_json("value"), "$[0]", "variant")
     key = {"node_map": "$.mapping", "message_list": "$.chat_messages"}[shape]
-    return files.where(F.try_variant_get(first, key, "variant").isNotNull())
+    has = F.try_variant_get(head, key, "variant").isNotNull()
+    if "first" not in files.columns:
+        return files.where(has)
+    return files.join(files.where((F.col("first") == 0) & has).select("path"), "path", "left_semi").select(*files.columns)
 
 
 def inputs_of(spark: SparkSession, root: str) -> DataFrame:

@@ -108,3 +108,37 @@ def test_lines_of_a_file_that_many_tasks_read(spark, tmp_path, end):
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     got = {(r["path"][-7:-6], r["lineno"]): r["raw"] for r in rows}
     assert len(got) == len(rows) and all(got[("a", i + 1)] == w for i, w in enumerate(words)) and all(got[("b", i + 1)] == w for i, w in enumerate(words[:6]))
+
+
+NASTY = ['a,b"c', "\\", '\\"', "[{", "}]", ",", "", "é\n\t,", '"', "\\\\,\"", "x" * 5000, "]}," * 50]
+
+
+def test_elements_of_an_array_that_many_tasks_read(spark, tmp_path):
+    from quillmark.sources.splits import json_elements
+
+    want = [{"i": i, "t": [NASTY[i % len(NASTY)], {"k": NASTY[(i * 5) % len(NASTY)]}], "e": [], "o": {}} for i in range(1500)]
+    (tmp_path / "a.json").write_text(json.dumps(want, indent=1, ensure_ascii=False))
+    (tmp_path / "b.json").write_text(json.dumps(want[:3], separators=(",", ":")))
+    (tmp_path / "c.json").write_text("[]")
+    (tmp_path / "d.json").write_text('﻿ [1 , "x,y", null , [] ] \n')
+    (tmp_path / "e.json").write_text('{"no": "array"}')
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        rows = json_elements(spark.read, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    got = {}
+    for r in rows:
+        got.setdefault(r["path"][-6:-5], {})[r["first"]] = r["value"]
+    assert [json.loads(got["a"][i])[0] for i in range(1500)] == want and len(got["a"]) == 1500
+    assert [json.loads(got["b"][i])[0] for i in range(3)] == want[:3] and "c" not in got and [json.loads(got["d"][i])[0] for i in range(4)] == [1, "x,y", None, []]
+
+
+def test_a_conversation_that_is_cut_off_is_a_fault_and_the_others_are_read(spark, tmp_path):
+    from quillmark.sources.registry import SOURCES
+
+    chat = lambda i: {"uuid": f"c{i}", "name": "n", "created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-01T00:00:00Z", "chat_messages": [{"uuid": f"m{i}", "sender": "human", "text": "hi", "created_at": "2024-01-01T00:00:00Z", "content": []}]}
+    (tmp_path / "x.json").write_text(json.dumps([chat(i) for i in range(5)])[:-40])
+    frames = SOURCES["claude-web"].read(spark, str(tmp_path))
+    assert {r["session_id"] for r in frames["sessions"].collect()} == {f"claude-web:c{i}" for i in range(4)} and frames["faults"].count() == 1
