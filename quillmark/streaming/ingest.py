@@ -15,19 +15,20 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillmark.functions.recognise import Recogniser
 from quillmark.functions.redact import redact, redact_json
 from quillmark.functions.scalar import backoff_seconds, fault_key, row_hash
 from quillmark.model import KINDS, TABLES
-from quillmark.operators import joins, merge
+from quillmark.operators import merge
 from quillmark.sources.files import inputs_of, newest_input
 from quillmark.sources.registry import SOURCES
 from quillmark.store import Store, StoreError
@@ -139,8 +140,16 @@ class Batch:
 
     rows: DataFrame
     aside: DataFrame | None
+    #: record_key of held rows that were tried again.
     again: DataFrame | None = None
-    """record_key of held rows that were tried again."""
+    #: The latest time of the rows that isn't after now.
+    top: datetime | None = None
+
+
+def observed(work: Staging, df: DataFrame, name: str, **what: Column) -> tuple[DataFrame, dict]:
+    """df as a staged table, and aggregates of its rows that the job that writes it has seen pass: no job counts them again."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+    return work.keep(df.observe(seen, *[c.alias(k) for k, c in what.items()]), name), seen.get
 
 
 def _payload(df: DataFrame) -> Column:
@@ -166,15 +175,23 @@ def staged(work: Staging, source: str, table: str, frame: DataFrame | Rows, held
             keyed = keyed.select("_k", *[F.col(f"`{f.name}`") for f in fields]).unionByName(kept.join(keyed.select("_k"), "_k", "left_anti"))
             again = due.select("record_key")
 
+    seen: list[dict] = []
+
     def write(df: DataFrame) -> DataFrame:
         marked = hashed(df, table).withColumn("error_detail", fault_in(table, df.columns))
-        return work.keep(redacted(marked, table, recogniser), table)
+        times = [F.col(c).cast("timestamp") for c in TIMES[table] if c in df.columns] or [F.lit(None).cast("timestamp")]
+        at = F.coalesce(*times)
+        good = F.col("error_detail").isNull()
+        top = F.max(F.when(good & (at <= now) if now is not None else good, at))
+        part, counts = observed(work, redacted(marked, table, recogniser), table, good=F.count_if(good), n=F.count(F.lit(1)), top=top)
+        seen.append(counts)
+        return part
 
     apart = written_apart(keyed, rows.parse, write)
     every = apart.parts[0]
     for part in apart.parts[1:]:
         every = every.unionByName(part)
-    counts = every.agg(F.count_if(F.col("error_detail").isNull()).alias("good"), F.count("*").alias("n")).first()
+    counts = {k: sum(c[k] for c in seen) for k in ("good", "n")}
     if counts["n"] and not counts["good"]:
         raise ValueError("every row of the batch is bad")
     plain = every.drop("error_detail")
@@ -190,17 +207,20 @@ def staged(work: Staging, source: str, table: str, frame: DataFrame | Rows, held
         texts = work.keep(lost.select("_k", _payload(lost).alias("payload")), "poison") if isinstance(frame, Rows) else errors.select("_k", F.lit(None).cast("string").alias("payload"))
         told = errors.join(texts.groupBy("_k").agg(F.min("payload").alias("payload")), "_k").select(F.concat(F.lit(mark), F.col("_k").cast("string")).alias("record_key"), F.lit("poison").alias("error_type"), redact(F.concat("error_type", F.lit(": "), "error_detail")).alias("error_detail"), "payload")
         aside = told if aside is None else aside.unionByName(told)
-    return Batch(every.where("error_detail IS NULL").drop("error_detail"), aside, again)
+    tops = [c["top"] for c in seen if c["top"] is not None]
+    return Batch(every.where("error_detail IS NULL").drop("error_detail"), aside, again, max(tops, default=None))
 
 
-def staged_faults(work: Staging, found: DataFrame) -> DataFrame:
-    """scope, reason, detail, scope_stamp, line of a source's faults, redacted."""
+def staged_faults(work: Staging, found: DataFrame) -> tuple[DataFrame, int]:
+    """scope, reason, detail, scope_stamp, line of a source's faults, redacted, and how many there are."""
     have = set(found.columns)
     scope = next((F.col(c).cast("string") for c in ("path", "row", "raw") if c in have), F.lit(None).cast("string"))
     number = F.col("lineno").cast("string") if "lineno" in have else F.lit(None).cast("string")
     stamp = F.col("stamp").cast("string") if "stamp" in have else F.lit(None).cast("string")
     line = F.col("lineno").cast("long") if "lineno" in have else F.lit(None).cast("long")
-    return work.keep(found.select(redact(scope).alias("scope"), redact(F.col("reason")).alias("reason"), number.alias("detail"), stamp.alias("scope_stamp"), line.alias("line")), "faults")
+    told = found.select(redact(scope).alias("scope"), redact(F.col("reason")).alias("reason"), number.alias("detail"), stamp.alias("scope_stamp"), line.alias("line"))
+    rows, counts = observed(work, told, "faults", n=F.count(F.lit(1)))
+    return rows, counts["n"]
 
 
 def _faults(store: Store, source: str, found: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -227,18 +247,6 @@ def _faults(store: Store, source: str, found: DataFrame, now: Column) -> tuple[D
 # --- the write -------------------------------------------------------------------------------------------------------
 
 
-def _mark(frames: dict[str, DataFrame], now: datetime) -> str | None:
-    """The latest time in the frames that isn't after now, as the next run's cursor: a row dated ahead skips no input."""
-    tops = []
-    for table, df in frames.items():
-        times = [c for c in TIMES.get(table, ()) if c in df.columns]
-        if times:
-            at = F.coalesce(*[F.col(c).cast("timestamp") for c in times])
-            tops.append(df.agg(F.max(F.when(at <= F.lit(now).cast("timestamp"), at)).alias("top")).first()["top"])
-    tops = [t for t in tops if t is not None]
-    return max(tops).astimezone(UTC).isoformat() if tops else None
-
-
 def _state_row(store: Store, source: str, ok: bool, cursor: str | None, rows: int, error: str | None, now: datetime, input_at: datetime | None = None) -> DataFrame:
     """The source's row of ingest_state after a run."""
     made = store.spark.createDataFrame([(source, ok, cursor, rows, error)], "source string, ok boolean, cursor_value string, rows_seen long, error string")
@@ -269,22 +277,26 @@ def write(
     """
     now = now or datetime.now(UTC)
     when = F.lit(now).cast("timestamp")
+    n_faults = 0
     held = store.read("quarantine").where(F.col("source") == source)  # only this source's runs change it
     anything_held = not held.isEmpty()
     with staging(store.spark) as work:
-        ready, aside, done, own = {}, [], [], {k: v for k, v in frames.items() if k not in (*MERGED, "faults")}
+        ready, aside, done, tops, own = {}, [], [], [], {k: v for k, v in frames.items() if k not in (*MERGED, "faults")}
         for table in MERGED:
             if table in frames:
                 batch = staged(work, source, table, frames[table], held if anything_held else None, recogniser, when)
                 ready[table] = batch.rows
+                tops += [batch.top] if batch.top is not None else []
                 aside += [batch.aside] if batch.aside is not None else []
                 done += [batch.again] if batch.again is not None else []
         own = {k: work.keep(v, k) for k, v in own.items()}
         if "faults" in frames:
-            own["faults"] = staged_faults(work, frames["faults"])
+            own["faults"], n_faults = staged_faults(work, frames["faults"])
+        if run and state.POLICIES.get(source, state.CursorPolicy("none")).kind != "none":  # a row dated ahead skips no input
+            cursor = max(tops).astimezone(UTC).isoformat() if tops else None
         when_read()
         with _merging(store):
-            return _merged(store, work, source, ready, aside, done, own, held, anything_held, cursor, now, run, input_at, finish)
+            return _merged(store, work, source, ready, aside, done, own, held, anything_held, cursor, now, run, input_at, finish, n_faults)
 
 
 _LOCKS: dict[str, threading.Lock] = {}
@@ -297,20 +309,17 @@ def _merging(store: Store) -> threading.Lock:
 
 def _merged(
     store: Store, work: Staging, source: str, ready: dict[str, DataFrame], aside: list[DataFrame], done: list[DataFrame], own: dict[str, DataFrame], held: DataFrame, anything_held: bool,
-    cursor: str | None, now: datetime, run: bool, input_at: datetime | None, finish: Callable | None,
+    cursor: str | None, now: datetime, run: bool, input_at: datetime | None, finish: Callable | None, n_faults: int,
 ) -> Report:
     """Merge what was staged into the current version, and commit."""
     when = F.lit(now).cast("timestamp")
-    policy = state.POLICIES.get(source, state.CursorPolicy("none"))
-    report, deltas, tables, told = Report(source, cursor=cursor), {}, {}, []
+    report, deltas, tables, told = Report(source, cursor=cursor, faults=n_faults), {}, {}, []
     base = store.manifest()["version"]
     if finish:
         ready |= finish(store.read, ready | own, now)
     lines = ready.pop("lines", None)
     baseline = ready.pop("open_tasks", None)
     ready = {k: v for k, v in ready.items() if k in MERGED}
-    if run and policy.kind != "none":
-        report.cursor = _mark(ready, now)
     batches: dict[str, DataFrame] = {}
     for table, rows in ready.items():
         key, was = KEYS[table], store.read(table)
@@ -325,16 +334,17 @@ def _merged(
             known = store.read("sessions").select("session_id")
             if "sessions" in batches:
                 known = known.union(batches["sessions"].select("session_id"))
-            batch = work.keep(_shaped(batch, was), "observations-all")
-            lost = joins.orphans(batch, known)
-            report.orphans = lost.count()
+            flagged = _shaped(batch, was).join(known.distinct().withColumn("_known", F.lit(True)), "session_id", "left")
+            flagged, counts = observed(work, flagged.select(*was.columns, "_known"), "observations-all", orphans=F.count_if(F.col("_known").isNull()))
+            report.orphans, lost, batch = counts["orphans"], flagged.where("_known IS NULL"), flagged.where("_known").drop("_known")
             if report.orphans:
                 aside.append(lost.select(F.concat(F.lit("observations:"), redact(F.col("obs_id"))).alias("record_key"), F.lit("orphan").alias("error_type"), redact(F.concat(F.lit("no session "), "session_id")).alias("error_detail"), F.to_json(F.struct(*was.columns), _TIMES).alias("payload")))
-                batch = batch.join(known, "session_id", "left_semi")
-        batch = batches[table] = work.keep(_shaped(batch, was), f"{table}-batch")
+        changed = merge.changes(was.select(key, "src_hash"), _shaped(batch, was), key)
+        n = lambda *kinds: F.count_if(F.col("change").isin(*kinds))
+        marked, report.counts[table] = observed(work, changed, f"{table}-batch", added=n("added"), updated=n("updated", "unchanged"), unchanged=n("unchanged"))
+        batch = batches[table] = marked.drop("change")
         done.append(batch.select(F.concat(F.lit(f"{table}:"), redact(F.col(key).cast("string"))).alias("record_key")))
-        touched = work.keep(was.join(batch.select(key), key, "left_semi").select(*was.columns), f"{table}-touched")
-        report.counts[table] = merge.write_counts(merge.changes(touched, batch, key)).first().asDict()
+        touched = work.keep(was.join(marked.where("change <> 'added'").select(key), key, "left_semi").select(*was.columns), f"{table}-touched")
         new = merge.upsert_records(touched, batch, lambda c: c) if table == "records" else merge.upsert_entities(touched, batch, key, lambda c: c)
         deltas[table] = _differing(new, touched, key)
     failed = None
@@ -360,7 +370,6 @@ def _merged(
         tables["quarantine"] = work.keep(after.select(*[f.name for f in TABLES["quarantine"].fields]), "quarantine")
     if "faults" in own:
         found = own["faults"]
-        report.faults = found.count()
         if report.faults or not store.read("poison_faults").where(F.col("source") == source).isEmpty():
             table, fresh = _faults(store, source, found, when)
             tables["poison_faults"] = work.keep(table, "faults-after")
