@@ -408,9 +408,9 @@ def write_with_retry(store: Store, source: str, frames: dict, cursor: str | None
 def _failed(store: Store, source: str, error: str, now: datetime) -> None:
     """Count a failure and put it in the outbox."""
     when = F.lit(now).cast("timestamp")
-    row = _state_row(store, source, False, None, 0, error, now)
-    row = row.withColumn("last_error", redact(F.col("last_error")))
-    line = outbox.lines(store.spark.createDataFrame([(error,)], "error string"), F.lit(source), "failure", F.concat(F.lit(f"{source}: "), F.left("error", F.lit(300))), F.lit(source), when)
+    said = store.spark.createDataFrame([(error,)], "error string").select(redact(F.col("error"))).first()[0]
+    row = _state_row(store, source, False, None, 0, said, now)
+    line = outbox.lines(store.spark.range(1), F.lit(source), "failure", F.lit(f"{source}: {said[:300]}"), F.lit(source), when, clean=True)
     store.commit(deltas={"ingest_state": row, "outbox": line}, base=store.manifest()["version"])
 
 

@@ -23,9 +23,10 @@ from quillmark.store import Store
 KINDS = ("fault", "held", "uncovered", "poll", "stale", "failure")
 
 
-def lines(df: DataFrame, source: Column, kind: str, line: Column, subject: Column, at: Column) -> DataFrame:
-    """Outbox rows of df, one for each different (source, kind, subject, at); a line is redacted and has no line ends."""
-    said = redact(F.btrim(F.regexp_replace(line, r"\s+", " ")))
+def lines(df: DataFrame, source: Column, kind: str, line: Column, subject: Column, at: Column, clean: bool = False) -> DataFrame:
+    """Outbox rows of df, one for each different (source, kind, subject, at); a line is redacted, unless it is clean, and has no line ends."""
+    said = F.btrim(F.regexp_replace(line, r"\s+", " "))
+    said = said if clean else redact(said)
     made = df.select(source.alias("source"), F.lit(kind).alias("kind"), said.alias("line"), subject.cast("string").alias("subject"), at.alias("created_at"))
     key = F.sha2(F.to_json(F.struct("source", "kind", "subject", "created_at")), 256)
     full = made.withColumn("line_id", key).withColumn("acked_at", F.lit(None).cast("timestamp")).withColumn("batch", F.lit(None).cast("string"))
