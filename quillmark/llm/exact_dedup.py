@@ -3,12 +3,15 @@
 Texts are read once. Each task first combines equal texts of some MB of its own rows and keeps their ids beside the
 text; then salted groups of equal texts meet; then the winners of a text's salts. Rows merge only where their full texts
 are equal: the text is part of every grouping key, beside its digest. Ids go back by digest, which the groups have shown
-to stand for one text only; where a digest stood for several, ids go back by the text itself.
+to stand for one text only, and by salt; where a digest stood for several texts, ids go back by the text itself.
+
+A text that is in every chunk meets itself in groups of about the square root of the chunks, as many as there are salts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import discard, documents, spread, text_of, tidied, written
 
+#: Fewest salts; a corpus of many chunks has as many as the square root of their number.
 SALTS = 16
 #: Bytes of different texts, and rows, that a task combines at once.
 LOCAL_BYTES, LOCAL_ROWS = 16 << 20, 100_000
@@ -75,21 +79,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = spread(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), text_of(f"`{text_col}`").alias("body"))
     local = written(combined(base, digest_bytes), "exact-local")
+    salts = max(salts, math.isqrt(local.select("chunk").distinct().count()))
+    local = local.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)))  # a chunk's number alone is 0 in each task's first
     top = F.max(F.struct(F.col("top").isNotNull().alias("known"), "top", "chunk"))
-    salted = local.groupBy("digest", F.pmod("chunk", F.lit(salts)).alias("salt"), "body").agg(top.alias("best"), F.sum("n").alias("n"))
+    salted = local.groupBy("digest", "salt", "body").agg(top.alias("best"), F.sum("n").alias("n"))
     salted = written(salted, "exact-salted")
     again = salted.groupBy("digest").agg(F.count("*").alias("times")).where("times > 1").select("digest")
-    once = salted.join(again, "digest", "left_anti").select("digest", "best", "n")
+    once = salted.join(again, "digest", "left_anti").select("digest", "salt", "best", "n")
     merged = salted.join(again, "digest", "left_semi").groupBy("digest", "body").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
     merged = written(merged, "exact-merged")
     twins = merged.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     none = twins.isEmpty()
-    clear = once.union((merged if none else merged.join(twins, "digest", "left_anti")).select("digest", "best", "n"))
-    clear = written(clear.select("digest", F.col("best.top").alias("keep_id"), F.col("best.chunk").alias("stays"), F.col("n").alias("group_size")), "exact-winners")
+    winners = (merged if none else merged.join(twins, "digest", "left_anti")).select("digest", "best", "n")
+    clear = once.union(salted.select("digest", "salt").join(winners, "digest").select("digest", "salt", "best", "n"))
+    clear = written(clear.select("digest", "salt", F.col("best.top").alias("keep_id"), F.col("best.chunk").alias("stays"), F.col("n").alias("group_size")), "exact-winners")
     discard(salted)
-    found = local.select("digest", "sha", "chunk", "ids").join(clear, "digest")
+    found = local.select("digest", "salt", "sha", "chunk", "ids").join(clear, ["digest", "salt"])
     columns = ("sha", "chunk", "ids", "keep_id", "stays", "group_size")
-    if not none:  # a digest of several texts: by the texts
+    if none:
+        discard(merged)
+    else:  # a digest of several texts: by the texts
         split = merged.join(twins, "digest", "left_semi").select("digest", "body", F.col("best.top").alias("keep_id"), F.col("best.chunk").alias("stays"), F.col("n").alias("group_size"))
         found = found.select(*columns).union(local.join(split, ["digest", "body"]).select(*columns))
     rows = found.select(*columns, F.posexplode("ids").alias("at", "doc_id"))

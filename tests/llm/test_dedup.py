@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quillmark.llm import exact_dedup as exact_module
 from quillmark.llm import near_dedup, repeats, substring_dedup, suffix_dedup
 from quillmark.llm.exact_dedup import exact_dedup
 from tests.llm import brute
@@ -41,6 +42,17 @@ def test_exact(spark, texts, digest_bytes):
     assert {r["keep_id"] for r in named} == {top} and [r["doc_id"] for r in named if r["kept"]] == [top]
 
 
+def test_exact_of_a_text_in_every_chunk(spark, monkeypatch):
+    """Chunks of four rows: the copies of one text come by many salts and give one winner and one size."""
+    monkeypatch.setattr(exact_module, "LOCAL_ROWS", 4)
+    docs = spark.range(0, 600, 1, 5).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN concat('t', id) WHEN id % 3 = 1 THEN '' END AS text")
+    assert exact_module.combined(docs.selectExpr("doc_id", "coalesce(text, '') AS body")).select("chunk").distinct().count() == 150
+    rows = exact_dedup(docs, salts=2).collect()
+    hot = [r for r in rows if r["doc_id"] % 3]
+    assert len(rows) == 600 and {(r["keep_id"], r["group_size"]) for r in hot} == {(599, 400)} and [r["doc_id"] for r in hot if r["kept"]] == [599]
+    assert all(r["kept"] and r["group_size"] == 1 and r["keep_id"] == r["doc_id"] for r in rows if r["doc_id"] % 3 == 0)
+
+
 @pytest.mark.parametrize(("part", "dense"), [(2048, 4), (3, 4), (2048, 0)])
 def test_near(spark, texts, part, dense, monkeypatch):
     """With whole buckets, buckets in parts, and sets that come to every block."""
