@@ -3,7 +3,8 @@
 All documents of a source are expected equally often: rate = target / source size. The prefix sum of expected copies
 is then rate * rank, and a document is emitted once for each integer that rate * rank + offset passes over it. Ranks
 follow the document's size, so that each part of the size range is drawn at its rate and the words come near target.
-Ranks are found in two levels (counts of small groups, then places inside them), so no source is sorted in one task.
+Ranks are places in one order of all rows by source and size, dealt by ranges, so no source, and no crowd of rows of one
+size, is sorted in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import documents, spread, written
+from quillmark.llm.ordering import numbered
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -46,29 +48,30 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 
 
 def draw(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, salts: int = 16) -> DataFrame:
-    """sized(doc_id, source, size) -> doc_id, source, size, source_size, target, copies: how often the mix holds each row."""
+    """sized(doc_id, source, size, tie) -> doc_id, source, size, source_size, target, copies: how often the mix holds each row.
+
+    tie is a number that differs from row to row; it decides between rows that share all else.
+    """
     sized = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s:"), "source"), F.lit("null")))
     goals = targets(sized, weights, share, most)
     bits = F.length(F.bin("size"))
     band = F.when(F.col("size") < 32, F.col("size")).otherwise(bits * 16 + F.expr("shiftright(size, length(bin(size)) - 5)") - 16)
     salt = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 4), 16, 10).cast("long") % salts
     sized = sized.withColumn("band", band).withColumn("salt", salt)
-    key = ["skey", "band", "salt"]
-    groups = sized.groupBy(*key).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("skey").orderBy("band", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("size", "doc_id"))
-    ranked = sized.withColumn("place", place).join(starts, key).join(goals, "skey")
+    placed = numbered(sized, [F.col(c).asc() for c in ("skey", "band", "salt", "size", "doc_id", "tie")], "mix-placed")
+    starts = placed.groupBy("skey").agg(F.min("place").alias("start"))
+    ranked = placed.join(goals.join(starts, "skey"), "skey")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _fraction(F.concat(F.lit(f"{seed}/"), F.col("skey")))
-    rank = F.col("start") + F.col("place")
+    rank = F.col("place") - F.col("start") + 1
     ranked = ranked.withColumn("rate", rate).withColumn("offset", offset).withColumn("rank", rank)
     passed = F.floor(F.col("rate") * F.col("rank") + F.col("offset")) - F.floor(F.col("rate") * (F.col("rank") - 1) + F.col("offset"))
     return ranked.select("doc_id", "source", "size", "source_size", "target", passed.cast("long").alias("copies"))
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
-    sized = spread(docs, "doc_id", "source", "text").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    sized = spread(docs, "doc_id", "source", "text").select("doc_id", "source", size, F.monotonically_increasing_id().alias("tie"))
     return written(sized, "mix-sizes")
 
 
@@ -86,7 +89,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     Rows that share a doc_id and a source are drawn together, as one unit of their joint size.
     """
-    units = word_sizes(docs).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
+    units = word_sizes(docs).groupBy("doc_id", "source").agg(F.sum("size").alias("size"), F.min("tie").alias("tie"))
     drawn = draw(units, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.expr("sequence(1, cast(copies as int))").alias("_copies"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & F.col("row.source").eqNullSafe(F.col("_source"))

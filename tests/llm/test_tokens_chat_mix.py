@@ -179,6 +179,15 @@ def test_mix_meets_targets(spark):
     assert {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs.repartition(7)).collect()} == {i: r["taken"] for i, r in got.items()}
 
 
+def test_mix_of_a_source_of_equal_rows(spark):
+    """Thousands of rows of one size and no id, which only their tie tells apart, are drawn at their source's rate."""
+    hot = spark.range(0, 6000, 1, 6).selectExpr("cast(null as long) doc_id", "'hot' source", "'one two three' text")
+    docs = hot.union(spark.range(3000).selectExpr("id", "'rest'", "repeat('w ', cast(id % 40 as int))"))
+    rows = mixing.mix_sources(docs).groupBy(F.col("doc_id").isNull()).agg(F.sum("taken"), F.max("target"), F.count("*")).collect()
+    assert sorted(r[3] for r in rows) == [3000, 6000]
+    assert all(abs(taken - target) <= 40 + 0.01 * target for _, taken, target, _ in rows)
+
+
 def test_mixed_documents_repeat_rows(spark):
     rows, docs = mix_frame(spark, 400)
     drawn = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix_sources(docs).where("size > 0").collect()}
