@@ -19,6 +19,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 SEED = "mix-1"
+#: Parts in which a source's rows meet its target.
+DEALS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,7 +62,8 @@ def draw(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
     sized = sized.withColumn("band", band).withColumn("salt", salt)
     placed = numbered(sized, [F.col(c).asc() for c in ("skey", "band", "salt", "size", "doc_id", "tie")], "mix-placed")
     starts = placed.groupBy("skey").agg(F.min("place").alias("start"))
-    ranked = placed.join(goals.join(starts, "skey"), "skey")
+    goals = goals.join(starts, "skey").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))  # a row for each part of a source
+    ranked = placed.withColumn("deal", F.pmod(F.xxhash64("tie"), F.lit(DEALS)).cast("int")).join(goals, ["skey", "deal"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _fraction(F.concat(F.lit(f"{seed}/"), F.col("skey")))
     rank = F.col("place") - F.col("start") + 1
