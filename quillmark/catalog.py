@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillmark.evals import metrics
 from quillmark.functions import redact as R
 from quillmark.functions.porter import stem
-from quillmark.functions.scalar import fair_share
+from quillmark.functions.scalar import fair_shares
 from quillmark.functions.text import fold, heading, slug_title, snippet, token_text, wrapped
 from quillmark.operators import aggregates as A
 from quillmark.operators import cards as C
@@ -462,9 +462,7 @@ SELECT doc_id, share::BIGINT AS share FROM r)"""
 @query("fair_share", _SHARES)
 def fair_share_query(spark, sf_dir):
     """100,000 characters dealt to all documents, as a page's ceiling deals them to its items."""
-    lengths = T.read(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy("n_chars", "doc_id").toPandas()
-    shares = fair_share(lengths["n_chars"].tolist(), 100_000)
-    return spark.createDataFrame(list(zip(lengths["doc_id"].tolist(), shares, strict=True)), "doc_id long, share long")
+    return fair_shares(T.read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 100_000).select("doc_id", "share")
 
 
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,34 @@ def fair_share(lengths: Sequence[int], budget: int) -> list[int]:
     return out
 
 
+def fair_shares(rows: DataFrame, asked: str, order: str, budget: int) -> DataFrame:
+    """rows with share, a long: what fair_share gives rows in order of asked, then order (no nulls in either).
+
+    Lengths up to the level get all they ask; the rest get the level, and the last of them one more while any is left.
+    Sums run over different lengths, a row each; only rows of the one length at which "one more" begins are ranked.
+    """
+    sizes = rows.groupBy(F.col(asked).alias("_len")).agg(F.count("*").alias("_n"))
+    up = Window.orderBy("_len")
+    before = up.rowsBetween(Window.unboundedPreceding, -1)
+    n = F.sum("_n").over(Window.partitionBy())
+    rest = F.lit(max(0, budget)) - F.coalesce(F.sum(F.col("_len") * F.col("_n")).over(before), F.lit(0))
+    after = n - F.coalesce(F.sum("_n").over(before), F.lit(0))  # rows of this length or more
+    sizes = sizes.select("_len", "_n", rest.alias("_rest"), after.alias("_after"))
+    first = F.min(F.when(F.col("_len") * F.col("_after") > F.col("_rest"), F.struct("_len", "_rest", "_after"))).over(Window.partitionBy())
+    sizes = sizes.select("_len", "_n", "_after", first.alias("_cut"))
+    level, more = F.expr("_cut._rest div _cut._after"), F.col("_cut._rest") % F.col("_cut._after")
+    longer = F.col("_after") - F.col("_n")
+    sizes = sizes.select("_len", (F.col("_len") >= F.col("_cut._len")).alias("_over"), level.alias("_level"), F.greatest(F.lit(0), more - longer).alias("_more"), F.col("_n"))
+    all_or_none = rows.join(sizes, rows[asked] == F.col("_len"))
+    part = (F.col("_over") & (F.col("_more") > 0) & (F.col("_more") < F.col("_n")))
+    last = F.row_number().over(Window.partitionBy("_len").orderBy(F.col(order).desc())) <= F.col("_more")
+    keep = [rows[c] for c in rows.columns]
+    plain = F.when(F.col("_over"), F.col("_level") + (F.col("_more") >= F.col("_n")).cast("long")).otherwise(F.col("_len"))
+    whole = all_or_none.where(~F.coalesce(part, F.lit(False))).select(*keep, plain.cast("long").alias("share"))
+    split = all_or_none.where(part).select(*keep, (F.col("_level") + last.cast("long")).cast("long").alias("share"))
+    return whole.union(split)
+
+
 def backoff_seconds(failures: int, base: float, cap: float, rng: random.Random | None = None) -> float:
     """Full jitter: anywhere from 0 to the doubled and capped delay."""
     return (rng or random).uniform(0, min(cap, base * 2 ** max(0, failures)))

@@ -7,7 +7,7 @@ from quillmark.evals import metrics
 from quillmark.functions import redact as R
 from quillmark.functions.authorship import author
 from quillmark.functions.porter import stem
-from quillmark.functions.scalar import backoff_seconds, fair_share, parse_epoch, parse_time, row_hash
+from quillmark.functions.scalar import backoff_seconds, fair_share, fair_shares, parse_epoch, parse_time, row_hash
 from quillmark.functions.text import heading, snippet, stem_tokens, wrapped
 from quillmark.sources.html import read_html
 
@@ -121,3 +121,10 @@ def test_metrics(spark):
     ndcg = metrics.ndcg(ranked, grades).collect()
     assert [r["query"] for r in ndcg] == ["q"] and abs(ndcg[0]["ndcg"] - (2 / 1.5849625) / (2 + 1 / 1.5849625)) < 1e-6
     assert metrics.recall(ranked, grades).first()["recall"] == 0.5 and metrics.mrr(ranked, grades).first()["mrr"] == 0.5
+
+
+@pytest.mark.parametrize(("lengths", "budget"), [([0, 3, 9, 9, 9, 20], 40), ([9] * 7, 24), ([1, 2, 3], 100), ([5, 5, 8], 0), ([], 9)])
+def test_fair_shares_of_a_table_are_those_of_a_list(spark, lengths, budget):
+    rows = spark.createDataFrame(list(enumerate(lengths)), "id long, n long")
+    got = fair_shares(rows, "n", "id", budget).orderBy("id").collect()
+    assert [r["share"] for r in got] == fair_share(lengths, budget)
