@@ -43,6 +43,12 @@ class Found:
     hits: DataFrame | None = None
     tier: str | None = None
     matched: int | None = None
+    total: int | None = None
+
+    def count(self) -> int:
+        if self.total is None:
+            self.total = self.rows.count()
+        return self.total
 
 
 class Engine:
@@ -59,6 +65,7 @@ class Engine:
         self.stemmed, self.on_miss = stem, on_miss
         self.indexes = {k: v for k, v in (indexes or {}).items() if v is not None and stem}
         self.sessions, self._scopes = sessions, {}  # scopes: rows and where they are kept, the last asked for last
+        self._held: list[DataFrame] = []  # what a query reads more than once
         self.records = records if "records" in self.indexes else records.withColumn("terms", terms(F.concat_ws(" ", "subject", "body")))
         self.observations = observations if "observations" in self.indexes else observations.withColumn("terms", terms(F.coalesce("body", F.lit(""))))
 
@@ -73,8 +80,10 @@ class Engine:
     def _with_tier(self, table: str, df: DataFrame, phrases: list[list[str]]) -> DataFrame:
         """Rows that meet some tier, with it."""
         index = self.indexes.get(table)
-        if index is None:
-            return df.withColumn("_tier", S.tier_of(phrases)).where("_tier > 0")
+        if index is None:  # the texts are searched once, for all that comes after: rows are kept without them
+            seen = df.withColumn("_tier", S.tier_of(phrases)).drop("terms", "body").persist()
+            self._held.append(seen)
+            return seen.where("_tier > 0")
         met = index.tiers(phrases).select(index.key, "src_hash", F.col("tier").alias("_tier"))
         return df.join(met, [index.key, "src_hash"])
 
@@ -94,7 +103,7 @@ class Engine:
         met = self._with_tier(table, df, phrases)
         counts = {r["tier"]: r["n"] for r in met.groupBy(F.col("_tier").alias("tier")).agg(F.count("*").alias("n")).collect()}
         best = max(counts, default=0)
-        return met.where(F.col("_tier") >= best).select(*df.columns), S.TIER_NAMES.get(best), counts.get(best, 0)
+        return met.where(F.col("_tier") >= best).drop("_tier"), S.TIER_NAMES.get(best), counts.get(best, 0)
 
     def _session_scope(self, df: DataFrame, phrases: list[list[str]]) -> DataFrame:
         index = self.indexes.get("observations")
@@ -132,6 +141,16 @@ class Engine:
         rows, tier, matched = self._tier("records", self.records, phrases)
         return Found(rows.where(record_filter(ast)), tier=tier, matched=matched)
 
+    def _items(self, kind: str, page: DataFrame, made: Callable[[DataFrame], DataFrame]) -> list:
+        """Items of a page's rows in its order; bodies that a search has left behind are read for the page's keys."""
+        every = {"records": self.records, "observations": self.observations}.get(kind)
+        if every is None or "body" in page.columns:
+            return made(page).collect()
+        key = P.ORDERS[kind][2]
+        ids = [r[0] for r in page.select(key).collect()]  # a page and one row at most
+        of = {r["id"]: r for r in made(among(every, key, ids)).collect()}
+        return [of[i] for i in ids]
+
     def find_observations(self, ast: QueryAST) -> Found:
         if ast.text is None:
             return Found(observation_rows(self.observations, self.sessions, ast))
@@ -169,6 +188,38 @@ class Engine:
             hits, tier, matched = self._tier("observations", rows, phrases)
         return Found(S.hit_sessions(passing, hits), hits=hits, tier=tier, matched=matched)
 
+    def _release(self) -> None:
+        while self._held:
+            self._held.pop().unpersist()
+
+    def _find(self, ast: QueryAST, mode: str, full: bool = False) -> dict[str, Found]:
+        """What answers, by kind: records, sessions, observations."""
+        found = {}
+        if mode in ("records", "union"):
+            found["records"] = self.find_records(ast)
+        if mode in ("sessions", "union"):
+            kind = "observations" if mode == "sessions" and (ast.source == "observations" or full) else "sessions"
+            found[kind] = self.find_observations(ast) if kind == "observations" else self.find_sessions(ast)
+        return found
+
+    def places(self, text: str) -> DataFrame:
+        """place (from 0), id, total of every row that answers, in the order of the pages: page n of a size has the places from n * size on.
+
+        One search and one distributed sort, however many pages there are.
+        """
+        ast = dsl.parse(text)
+        mode = dsl.route(ast)
+        if mode in _MISMATCH:
+            raise dsl.DSLError(_MISMATCH[mode])
+        try:
+            found = self._find(ast, "records" if _records_only(ast, mode) else mode)
+            if len(found) > 1:
+                return P.union_placed(found["records"].rows, found["sessions"].rows)
+            kind, f = next(iter(found.items()))
+            return P.placed(f.rows, kind)
+        finally:
+            self._release()
+
     def query(self, text: str, fields: str = "summary", page_size: int | None = None, page_token: str | None = None, max_chars: int = CEILING_CHARS) -> dict:
         """One page. Errors of the caller come back as {'error': ...}; mismatched keys as an empty page with a notice."""
         try:
@@ -183,22 +234,23 @@ class Engine:
         mode = dsl.route(ast)
         if mode in _MISMATCH:
             return {"items": [], "total_matched": 0, "notices": [{"code": mode, "text": _MISMATCH[mode]}], "next_page_token": None}
-        terms = dsl.query_terms(ast.text)
-        found = {}
-        if mode in ("records", "union"):
-            found["records"] = self.find_records(ast)
-        if mode in ("sessions", "union"):
-            kind = "observations" if mode == "sessions" and (ast.source == "observations" or full) else "sessions"
-            found[kind] = self.find_observations(ast) if kind == "observations" else self.find_sessions(ast)
-        total = sum(f.rows.count() for f in found.values())
-        if mode == "union":
-            page = P.union_by_time(found["records"].rows, found["sessions"].rows, offset, size)
+        try:
+            return self._answer(text, ast, mode, full, offset, size, max_chars)
+        finally:
+            self._release()
+
+    def _answer(self, text: str, ast: QueryAST, mode: str, full: bool, offset: int, size: int, max_chars: int) -> dict:
+        terms, found = dsl.query_terms(ast.text), self._find(ast, mode, full)
+        total = sum(f.count() for f in found.values())
+        if total <= offset:
+            items = []
+        elif mode == "union" and not _records_only(ast, mode):
+            items = P.union_by_time(found["records"].rows, found["sessions"].rows, offset, size).collect()
         else:
             kind, f = next(iter(found.items()))
             made = {"records": lambda d: P.record_items(d, full), "sessions": P.session_items, "observations": lambda d: P.observation_items(d, terms, full)}[kind]
-            page = P.page(f.rows, kind, offset, size)
-            page = made(page).orderBy(F.asc_nulls_first("ts") if kind == "observations" else F.desc_nulls_last("ts"), "arm", "id")
-        items = [r.asDict() for r in page.collect()]
+            items = self._items(kind, P.page(f.rows, kind, offset, size), made)  # in the pages' own order: a record's time may be when it was made
+        items = [r.asDict() for r in items]
         more = len(items) > size
         items = self._enrich(items[:size], found.get("sessions"))
         items, cut = ceiling(items, max_chars)
@@ -220,6 +272,8 @@ class Engine:
         of_page = on_page.select("root_session_id").distinct()
         observations = self.observations.join(of_page, "root_session_id", "left_semi")
         hits = observations if sessions.hits is None else sessions.hits.join(of_page, "root_session_id", "left_semi")
+        if "body" not in hits.columns:
+            hits = hits.join(observations.select("obs_id", "body"), "obs_id")
         known = {r["session_id"]: r for r in C.cards(on_page, observations, hits).collect()}
         shown: dict[str, list[str]] = {}
         if sessions.hits is not None:
@@ -240,6 +294,11 @@ class Engine:
         }
 
 
+def _records_only(ast: QueryAST, mode: str) -> bool:
+    """tag: leaves sessions out, so a union's answer is in the order of records."""
+    return mode == "union" and bool(ast.tags)
+
+
 def _grouped(rows: list) -> dict[str, list]:
     out: dict[str, list] = {}
     for r in rows:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import snippet, wrapped
+from quillmark.workspace import stored
 
 ORDERS = {
     "records": (F.desc_nulls_last, "updated_at", "stable_id"),
@@ -16,6 +17,10 @@ ORDERS = {
 }
 
 
+def _newest() -> list[Column]:
+    return [F.desc_nulls_last("ts"), F.asc("arm"), F.asc("id")]
+
+
 def ordered(df: DataFrame, table: str) -> DataFrame:
     way, by, key = ORDERS[table]
     return df.orderBy(way(by), F.asc(key))
@@ -26,6 +31,34 @@ def page(df: DataFrame, table: str, offset: int, size: int) -> DataFrame:
     return ordered(df, table).offset(offset).limit(size + 1)
 
 
+def _placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """place (from 0), id, total of all rows of df(id, ..) by an order that no two rows share.
+
+    Rows are dealt by ranges of the order and sorted in their parts, as a table; a part's start is the sum of the parts
+    before it, a row for each part.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(dealt.withColumn("at", F.monotonically_increasing_id()), "places")
+    part = F.shiftright("at", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    found = rows.withColumn("part", part).join(F.broadcast(starts), "part")  # as many rows as the shuffle has parts
+    return found.select((F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"), "id", "total")
+
+
+def placed(df: DataFrame, table: str) -> DataFrame:
+    """The places of all rows in the order of page()."""
+    way, by, key = ORDERS[table]
+    return _placed(df.select(by, F.col(key).alias("id")), [way(by), F.asc("id")])
+
+
+def union_placed(records: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The places of all items in the order of union_by_time()."""
+    both = record_items(records).unionByName(session_items(sessions))
+    return _placed(both.select("ts", "arm", "id"), _newest())
+
+
 def record_items(records: DataFrame, full: bool = False) -> DataFrame:
     content = wrapped(F.col("stable_id"), F.col("body")) if full else F.lit("")
     return records.select(
@@ -52,8 +85,7 @@ def union_by_time(records: DataFrame, sessions: DataFrame, offset: int, size: in
 
     Each arm gives its first offset + size + 1 rows only, as no more of it can be on the page.
     """
-    newest = [F.desc_nulls_last("ts"), F.asc("arm"), F.asc("id")]
-    reach = offset + size + 1
+    newest, reach = _newest(), offset + size + 1
     both = record_items(records).orderBy(*newest).limit(reach).unionByName(session_items(sessions).orderBy(*newest).limit(reach))
     return both.orderBy(*newest).offset(offset).limit(size + 1)
 

@@ -11,31 +11,35 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.functions.text import has_phrase
+from quillmark.functions.text import has_phrase, let
 
 STRICT, OR, PREFIX = 3, 2, 1
 TIER_NAMES = {STRICT: None, OR: "or", PREFIX: "prefix"}
 
 
-def match_all(phrases: list[list[str]], terms: str = "terms") -> Column:
-    return reduce(and_, [has_phrase(F.col(terms), p) for p in phrases]) if phrases else F.lit(False)
+def _column(terms: str | Column) -> Column:
+    return F.col(terms) if isinstance(terms, str) else terms
 
 
-def match_any(phrases: list[list[str]], terms: str = "terms") -> Column:
-    return reduce(or_, [has_phrase(F.col(terms), p) for p in phrases]) if phrases else F.lit(False)
+def match_all(phrases: list[list[str]], terms: str | Column = "terms") -> Column:
+    return reduce(and_, [has_phrase(_column(terms), p) for p in phrases]) if phrases else F.lit(False)
 
 
-def match_prefix(phrases: list[list[str]], terms: str = "terms") -> Column:
+def match_any(phrases: list[list[str]], terms: str | Column = "terms") -> Column:
+    return reduce(or_, [has_phrase(_column(terms), p) for p in phrases]) if phrases else F.lit(False)
+
+
+def match_prefix(phrases: list[list[str]], terms: str | Column = "terms") -> Column:
     """Any conjunct, the last of them as a beginning."""
     if not phrases:
         return F.lit(False)
-    last = has_phrase(F.col(terms), phrases[-1], prefix=True)
+    last = has_phrase(_column(terms), phrases[-1], prefix=True)
     return last if len(phrases) == 1 else match_any(phrases[:-1], terms) | last
 
 
 def tier_of(phrases: list[list[str]], terms: str = "terms") -> Column:
-    """The strictest tier that a row meets, 0 for none. With one conjunct the OR tier is the strict one."""
-    return F.when(match_all(phrases, terms), STRICT).when(match_any(phrases, terms), OR).when(match_prefix(phrases, terms), PREFIX).otherwise(0)
+    """The strictest tier that a row meets, 0 for none. With one conjunct the OR tier is the strict one. terms are made once."""
+    return let(F.col(terms), lambda t: F.when(match_all(phrases, t), STRICT).when(match_any(phrases, t), OR).when(match_prefix(phrases, t), PREFIX).otherwise(0))
 
 
 def ladder(df: DataFrame, phrases: list[list[str]], terms: str = "terms") -> DataFrame:
