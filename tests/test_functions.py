@@ -128,3 +128,8 @@ def test_fair_shares_of_a_table_are_those_of_a_list(spark, lengths, budget):
     rows = spark.createDataFrame(list(enumerate(lengths)), "id long, n long")
     got = fair_shares(rows, "n", "id", budget).orderBy("id").collect()
     assert [r["share"] for r in got] == fair_share(lengths, budget)
+
+
+def test_references_count_when_they_are_whole():
+    """A title that is cut inside a reference keeps what is left of it, as the query's SQL says."""
+    assert read_html("<title>a &amp;&amp</title><p>b &am &#3 &#39 &lt &quot &#39; &copy; &nosuch; &notit; & c</p>") == ("a &&amp", "a &&amp" + "b &am &#3 &#39 &lt &quot ' © &nosuch; &notit; & c")
