@@ -243,16 +243,26 @@ def hit_faults(spark, sf_dir):
     return hits.all_endpoints(_hit_frames(spark, sf_dir))[1]
 
 
+#: Rows of orders that lie in one split of their backups.
+_ROWS_A_SPLIT = 50_000
+
+
 def _backups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as task backups: a file for each status, with a preamble, quotes and commas; one row in each lacks its id."""
+    """Orders as lines of task backups: a file for each status, with a preamble, quotes and commas; one row in each lacks its id."""
     o = T.read(spark, sf_dir, "orders")
     cell = lambda c: F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
     made = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ssxx")
     cells = [F.lit("F"), F.concat(F.lit("L"), F.col("o_custkey") % 9), F.concat(F.lit('Order "'), "o_orderkey", F.lit('", '), "o_orderpriority"), F.concat(F.lit("x, "), F.lower("o_orderstatus")), F.lit("two\nlines"), F.lit("5"), F.when(F.col("o_orderstatus") == "F", "2").otherwise("0"), made, F.when(F.col("o_orderstatus") == "F", made).otherwise(""), F.col("o_orderkey")]
     row = F.concat_ws(",", *[cell(c) for c in cells])
-    head = 'Date: 2024\n"Folder Name","List Name","Title","Tags","Content","Priority","Status","Created Time","Completed Time","taskId"\n'
-    text = F.concat(F.lit(head), F.array_join(F.collect_list(row), "\n"), F.lit('\n"F","L","lost","","","0","0","","",""\n'))
-    return o.groupBy("o_orderstatus").agg(text.alias("value")).select(F.concat(F.lit("/b/"), "o_orderstatus", F.lit(".csv")).alias("path"), F.lit("2024-03-01").cast("timestamp").alias("modified"), "value")
+    head = ("Date: 2024", '"Folder Name","List Name","Title","Tags","Content","Priority","Status","Created Time","Completed Time","taskId"')
+    path = F.concat(F.lit("/b/"), "o_orderstatus", F.lit(".csv")).alias("path")
+    split = F.floor(F.col("key") / _ROWS_A_SPLIT).cast("long") + 1
+    o = o.withColumn("key", F.monotonically_increasing_id())
+    rows = o.select(path, split.alias("split"), "key", F.posexplode(F.split(row, "\n")).alias("n", "raw"))
+    ends = o.groupBy(path).agg(F.max(split).alias("last"))
+    more = lambda split, *lines: ends.select("path", split.cast("long").alias("split"), F.lit(0).cast("long").alias("key"), F.posexplode(F.array(*[F.lit(x) for x in lines])).alias("n", "raw"))
+    lines = rows.unionByName(more(F.lit(0), *head)).unionByName(more(F.col("last") + 1, '"F","L","lost","","","0","0","","",""', ""))
+    return lines.select("path", F.lit("2024-03-01").cast("timestamp").alias("modified"), "split", F.struct("key", "n").alias("at"), "raw")
 
 
 @query("task_backups", """SELECT 'ticktick:' || o_orderkey AS stable_id, 'Order "' || o_orderkey || '", ' || o_orderpriority AS subject, 'two' || chr(10) || 'lines' AS body,

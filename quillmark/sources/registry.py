@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.sources import chats, files, hits, polls, tasks, transcripts
+from quillmark.sources import chats, files, hits, polls, splits, tasks, transcripts
 from quillmark.streaming import outbox
 
 
@@ -72,9 +72,7 @@ def _tasks(spark: SparkSession, root: str, since: datetime | None = None, now: d
         raise FileNotFoundError(f"no task backups in {root}")
     made, faults, more = [], [], {}
     if _any(spark, f"{place}/*.csv"):
-        raw = spark.read.text(f"{place}/*.csv", wholetext=True)
-        backups = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-        parsed = tasks.parse_backups(backups)
+        parsed = tasks.parse_backups(splits.file_lines(spark.read, f"{place}/*.csv"))
         rows = newest_wins(parsed, "taskid", F.col("modified"), F.col("path"))
         made.append(tasks.csv_records(rows).join(rows.select(F.concat(F.lit("ticktick:"), "taskid").alias("stable_id"), F.col("modified").alias("seen_at")), "stable_id"))
         faults.append(parsed.where("lost > 0").select("path", F.concat("lost", F.lit(" rows without an id")).alias("reason")).distinct())

@@ -42,6 +42,38 @@ def _opened(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\[{]")) - F.regexp_count(text, F.lit(r"[\]}]"))
 
 
+def file_lines(reader: DataFrameReader, paths: str | list[str]) -> DataFrame:
+    """path, modified, split, at, raw of every line: where it lies by its split and its place there."""
+    return reader.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"),
+    )
+
+
+_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^",][^,]*+|)'
+
+
+def csv_pieces(lines: DataFrame) -> DataFrame:
+    """path, modified, row (from 0), text of the rows of CSV files of any size, of lines(path, modified, split, at, raw).
+
+    A line that begins inside quotes goes on with the row before it. Whether it does depends on all lines before: a line
+    leaves that as it was, turns it, or settles it, so it follows from the last line that settled it and the number of turns
+    since, running sums within the splits and then over their totals.
+    """
+    inside = lambda text: (~F.rlike(text, F.lit(f"^{_FIELD}(?:,{_FIELD})*+$"))).cast("int")  # noqa: E731  at the end of a text that begins outside
+    lines = lines.withColumns({"a": inside(F.col("raw")), "b": inside(F.concat(F.lit('"'), "raw"))}).withColumn("turn", ((F.col("a") == 1) & (F.col("b") == 0)).cast("int"))
+    lines = _with_sums(lines, "turn").withColumn("settled", F.when(F.col("a") == F.col("b"), (F.col("a") + F.col("so_far_turn")) % 2))
+    over = lambda w, by: w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    ends = lines.groupBy("path", "split").agg(F.max_by("settled", F.when(F.col("settled").isNotNull(), F.col("at"))).alias("end"))
+    ends = ends.select("path", "split", F.last("end", True).over(over(Window.partitionBy("path"), "split")).alias("before"))
+    last = F.coalesce(F.last("settled", True).over(over(Window.partitionBy("path", "split"), "at")), F.col("before"), F.lit(0))
+    lines = lines.join(ends, ["path", "split"]).withColumn("begins", (last + F.col("so_far_turn")) % 2)
+    lines = lines.withColumn("done", (F.when(F.col("begins") == 0, F.col("a")).otherwise(F.col("b")) == 0).cast("int"))
+    lines = _with_sums(lines, "done")
+    parts = F.array_sort(F.collect_list(F.struct("split", "at", "raw")))
+    return lines.groupBy("path", "modified", F.col("so_far_done").alias("row")).agg(F.array_join(F.transform(parts, lambda p: p["raw"]), "\n").alias("text"))
+
+
 def json_elements(reader: DataFrameReader, paths: str | list[str]) -> DataFrame:
     """path, modified, first (from 0), value of every element of the JSON arrays in files of any size; value is an array of that one.
 

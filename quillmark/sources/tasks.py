@@ -7,10 +7,11 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.scalar import parse_time
+from quillmark.sources.splits import csv_pieces
 from quillmark.sources.transcripts import _is, _text
 
 # Fixed values.
@@ -22,32 +23,37 @@ MAX_PREAMBLE_ROWS = 20
 _USED = ("taskId", "Title", "Content", "Tags", "List Name", "Folder Name", "Status", "Priority", "Created Time", "Completed Time", "Due Date", "Start Date", "Repeat", "parentId")
 
 
-def csv_rows(text: str) -> tuple[list[dict[str, str]], int]:
-    """(rows by header, rows without an id); the header is the first row, within a few, that has the required columns."""
-    reader = csv.reader(io.StringIO(text.removeprefix("﻿"), newline=""))
-    for at, header in enumerate(reader):
-        if at >= MAX_PREAMBLE_ROWS:
-            return [], 0
-        if REQUIRED <= set(header):
-            rows = [dict(zip(header, row, strict=False)) for row in reader if row]
-            kept = [r for r in rows if r.get("taskId")]
-            return kept, len(rows) - len(kept)
-    return [], 0
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each piece of CSV, numbered by piece and place; most pieces are one row."""
+    for df in batches:
+        out = []
+        for path, modified, row, text in zip(df["path"], df["modified"], df["row"], df["text"], strict=True):
+            out += [(path, modified, row, at, cells) for at, cells in enumerate(csv.reader(io.StringIO(text, newline="")))]
+        yield pd.DataFrame(out, columns=["path", "modified", "row", "at", "cells"])
 
 
 def parse_backups(files: DataFrame) -> DataFrame:
-    """path, modified, lost and the used columns of each row of files(path, modified, value); a file without rows has none."""
-    names = [c.replace(" ", "_").lower() for c in _USED]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            out = []
-            for path, modified, value in zip(df["path"], df["modified"], df["value"], strict=True):
-                rows, lost = csv_rows(value)
-                out += [(path, modified, lost, *(r.get(c) for c in _USED)) for r in rows]
-            yield pd.DataFrame(out, columns=["path", "modified", "lost", *names])
-
-    return files.select("path", "modified", "value").mapInPandas(scan, "path string, modified timestamp, lost long, " + ", ".join(f"{n} string" for n in names))
+    """path, modified, lost and the used columns of each row of files(path, modified, value), or of lines(path, modified, split, at, raw).
+
+    The header is the first row, within a few, that has the required columns; lost counts a file's rows without an id. Rows
+    are put together from lines, so no task holds a file; a file without rows has none.
+    """
+    if "value" in files.columns:
+        files = files.select("path", "modified", F.lit(0).cast("long").alias("split"), F.posexplode(F.split("value", "\n")).alias("at", "raw"))
+    text = F.when(F.col("row") == 0, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text"))
+    found = csv_pieces(files).select("path", "modified", "row", text.alias("text")).mapInPandas(_cells, "path string, modified timestamp, row long, at int, cells array<string>")
+    place = F.struct("row", "at")
+    first = found.where(F.col("row") < MAX_PREAMBLE_ROWS).select("path", place.alias("place"), "cells")  # a piece is a row at least
+    number = F.row_number().over(Window.partitionBy("path").orderBy("place"))
+    heads = first.withColumn("number", number).where((F.col("number") <= MAX_PREAMBLE_ROWS) & F.forall(F.array(*[F.lit(c) for c in sorted(REQUIRED)]), lambda c: F.array_contains("cells", c)))
+    heads = heads.groupBy("path").agg(F.min("place").alias("head"), F.min_by("cells", "place").alias("header"))
+    at = lambda c: F.size("header") - F.array_position(F.reverse("header"), c)  # noqa: E731  of columns of one name the last counts
+    cell = lambda c: F.when(F.array_contains("header", c), F.get("cells", at(c)))
+    rows = found.join(F.broadcast(heads), "path").where((place > F.col("head")) & (F.size("cells") > 0))  # a row for each file
+    rows = rows.select("path", "modified", *[cell(c).alias(c.replace(" ", "_").lower()) for c in _USED])
+    sound = F.coalesce(F.col("taskid"), F.lit("")) != ""
+    lost = rows.groupBy("path").agg(F.count_if(~sound).alias("lost"))
+    return rows.where(sound).join(F.broadcast(lost), "path").select("path", "modified", "lost", *[c.replace(" ", "_").lower() for c in _USED])
 
 
 def _mapped(value: Column, table: dict[str, str], otherwise: Column) -> Column:

@@ -145,3 +145,21 @@ def test_a_source_that_fails_leaves_the_others(spark, tmp_path):
     made, failed = read_all(spark, {"research": str(tmp_path), "nothing": "x"})
     assert set(made) == {"research"} and set(failed) == {"nothing"}
     assert files.newest_input(spark.createDataFrame([], "modified timestamp")).first()["newest"] is None
+
+
+def test_backups_are_put_together_from_lines(spark):
+    """As the csv module reads the whole file: stray quotes, quoted ends of lines, commas and quotes, in splits of two lines."""
+    import csv
+    import io
+
+    from pyspark.sql import functions as F
+
+    text = '﻿Date: 5" wide, "x\n\n"Title","taskId","Content","Status"\n"a ""q"", b","1","one\ntwo, ""\n"",""\nthree","0"\nplain 6" b,2,x "y" z,2\n"lost","","",""\n\n"open\n",3,"",0\n"d",4\n'
+    rows = list(csv.reader(io.StringIO(text.removeprefix("﻿"), newline="")))[3:]
+    want = sorted((r[1], r[0], r[2] if len(r) > 2 else None) for r in rows if r and r[1])
+    assert len(want) == 4
+    whole = spark.createDataFrame([("/b", text)], "path string, value string").withColumn("modified", F.lit("2024-01-01").cast("timestamp"))
+    lines = whole.select("path", "modified", F.posexplode(F.split("value", "\n")).alias("at", "raw")).withColumn("split", F.floor(F.col("at") / 2))
+    for files_ in (whole, lines):
+        got = tasks.parse_backups(files_).collect()
+        assert sorted((r["taskid"], r["title"], r["content"]) for r in got) == want and {r["lost"] for r in got} == {1}
