@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Callable, Sequence
@@ -34,13 +35,10 @@ def stem_tokens(text: str | None) -> str:
     return " " + " ".join(stem(t) for t in re.findall(r"[^\W_]+", fold(text or "").lower())) + " "
 
 
-def _stem_each(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: stem(fold(t)))
-
-
-def stemmed_token(token: Column | str) -> Column:
-    """A token with folded diacritics, stemmed; the one text expression that Spark has no function for."""
-    return F.pandas_udf(_stem_each, "string")(token)
+@functools.lru_cache(1 << 16)
+def stemmed_word(token: str) -> str:
+    """A token with folded diacritics, stemmed; words come again, so a worker remembers the last ones."""
+    return stem(fold(token))
 
 
 def _stem_all(texts: pd.Series) -> pd.Series:

@@ -16,19 +16,31 @@ those keys.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillmark.functions.text import stemmed_token
+from quillmark.functions.text import stemmed_word
 from quillmark.operators.search import OR, PREFIX, STRICT
 
 #: Row groups are small, so that few rows are read beside a token's own.
 OPTIONS = {"parquet.block.size": str(8 << 20), "parquet.page.row.count.limit": "2000"}
 TERM_OPTIONS = {"parquet.block.size": str(1 << 20), "parquet.page.row.count.limit": "2000", "parquet.bloom.filter.enabled#token": "true"}
+#: Postings of a part, which a task sorts in memory; of a part where there are cores to spare, at least.
+PART, LEAST_PART = 1_000_000, 50_000
+#: Rows, and postings of them for each part, by which the parts are cut.
+SAMPLED, POINTS = 4000, 64
+#: Words that a task puts together at once, and postings of a batch that it gives out.
+WORDS, WRITTEN = 1 << 20, 50_000
 #: Rows of the rarest word whose keys become a condition on the others' postings; more are joined.
 PROBED = 1000
 _LAST = "\U0010ffff"
@@ -40,23 +52,117 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def _bounds(df: DataFrame, key: Column, text: Column, n_rows: int) -> list[tuple[str, object]]:
+    """(token, key) where the parts of the postings of df's n_rows begin, but for the first; from a sample of the rows.
+
+    They say only where a posting is put. A part has some PART postings, or fewer if the cluster has more cores than parts.
+    """
+    share = min(1.0, SAMPLED / max(1, n_rows))
+    drawn = (df.sample(share, seed=1) if share < 1 else df).select(key.alias("key"), F.array_distinct(tokens(text)).alias("words")).persist()
+    try:
+        found = drawn.agg(F.sum(F.size("words"))).first()[0] or 0
+        every, cores = int(found / share), df.sparkSession.sparkContext.defaultParallelism
+        parts = max(-(-every // PART), min(cores, every // LEAST_PART))
+        if parts < 2:
+            return []
+        points = drawn.select(F.explode("words").alias("token"), "key").sample(min(1.0, POINTS * parts / found), seed=2).collect()  # POINTS a part
+    finally:
+        drawn.unpersist()
+    points = sorted(((r[0], r[1]) for r in points), key=lambda p: (p[0], p[1] is not None, p[1]))
+    return list(dict.fromkeys(points[len(points) * k // parts] for k in range(1, parts))) if points else []
+
+
+def _together(bounds: list[tuple[str, object]], names: list[str], stemmed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings of batches of rows(_tokens, key, carried): each different token of a row once, with its places and the part it belongs to."""
+    starts, keys = sorted({t for t, _ in bounds}), sorted({k for _, k in bounds if k is not None})
+    step = len(keys) + 1
+    # a place among the bounds as one number: an odd one for a bound's own token, even ones between; then the keys that aren't above
+    edges = np.array(sorted((2 * bisect_left(starts, t) + 1) * step + (bisect_right(keys, k) if k is not None else 0) for t, k in bounds), dtype=np.int64)
+
+    def rank(word: str) -> int:
+        i = bisect_left(starts, word)
+        return 2 * i + (i < len(starts) and starts[i] == word)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of some WORDS words, or one row."""
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("_tokens")).fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // WORDS, prepend=0))
+            for lo, hi in zip([0, *at], [*at, len(sizes)], strict=True):
+                if lo < hi:
+                    yield batch.slice(lo, hi - lo)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in cut(batches):
+            lists = batch.column("_tokens")
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(code):
+                continue
+            if stemmed:
+                again = pa.array([stemmed_word(w) for w in words.to_pylist()], pa.string()).dictionary_encode()
+                words, code = again.dictionary, again.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
+            at = (np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            by_word, by_key = (pc.sort_indices(x).to_numpy() for x in (words, batch.column("key")))
+            group = np.argsort(by_word)[code] * len(sizes) + np.repeat(np.argsort(by_key), sizes)
+            order = np.argsort(group, kind="stable")  # by token and key, which the sort after the shuffle finds done in runs; places stay in order
+            at, group = at[order], group[order]
+            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            word, row = np.divmod(group[first], len(sizes))
+            code, row = by_word[word].astype(np.int64), by_key[row].astype(np.int64)
+            ranks = np.array([rank(w) for w in words.to_pylist()], dtype=np.int64)
+            above = np.array([bisect_right(keys, k) if k is not None else 0 for k in batch.column("key").to_pylist()], dtype=np.int64)
+            part = np.searchsorted(edges, ranks[code] * step + above[row], side="right").astype(np.int32)
+            ends = np.append(first, len(at)).astype(np.int32)
+            for i in range(0, len(first), WRITTEN):
+                own = slice(i, i + WRITTEN)
+                places = pa.ListArray.from_arrays(pa.array(ends[i : i + WRITTEN + 1] - ends[i]), pa.array(at[ends[i] : ends[min(i + WRITTEN, len(first))]]))
+                taken = pa.array(row[own])
+                yield pa.RecordBatch.from_arrays([pa.array(part[own]), words.take(pa.array(code[own])), *[batch.column(c).take(taken) for c in names], places], names=["_part", "token", *names, "at"])
+
+    return work
+
+
 def postings(df: DataFrame, key: str, text: Column, carry: tuple[str, ...] = (), stem: bool = False) -> DataFrame:
     """token, key, carried columns, at of the rows of df, in ranges of (token, key) and in that order.
 
-    With stem, each different token is folded and stemmed once. Rows without tokens have no postings; rows that repeat
-    a key count as one text each.
+    The places of a token in a row are put together where the row is read, so the shuffle has a row a posting and not one
+    a word. Its parts are as many as the postings need to be sorted in memory, and df is tokenised once: where the parts
+    begin is told by a sample. With stem, each different token of a batch is folded and stemmed once. Rows without tokens
+    have no postings; rows that repeat a key count as one text each, whose places are put together.
     """
-    rows = df.select(F.col(key).alias("key"), *carry, F.posexplode(tokens(text)).alias("at", "token"))
-    if stem:
-        known = rows.select("token").distinct().select(F.col("token").alias("_raw"), stemmed_token("token").alias("_stem"))
-        rows = rows.join(known, rows["token"] == known["_raw"]).withColumn("token", F.col("_stem")).drop("_raw", "_stem")
-    dealt = rows.repartitionByRange("token", "key")
-    return dealt.groupBy("token", "key", *carry).agg(F.array_sort(F.collect_list("at")).alias("at")).sortWithinPartitions("token", "key")
+    rows = df.select(F.col(key).alias("key"), *carry, tokens(text).alias("_tokens"))
+    keys = df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    bounds = _bounds(df, F.col(key), text, keys[0] or 0)
+    kinds = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("token", T.StringType()), *rows.drop("_tokens").schema.fields, T.StructField("at", T.ArrayType(T.IntegerType()))])
+    found = rows.mapInArrow(_together(bounds, ["key", *carry], stem), kinds)
+    dealt = found.repartitionById(len(bounds) + 1, F.col("_part")).drop("_part")
+    if (keys[1] or 0) > 1:
+        dealt = dealt.groupBy("token", "key", *carry).agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+        dealt = dealt.repartitionByRange(len(bounds) + 1, "token", "key")
+    return dealt.sortWithinPartitions("token", "key")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, df, low, high of runs of one token with keys that don't fall."""
+    for batch in batches:
+        token, key = batch.column("token"), batch.column("key")
+        if len(token):
+            parted = pc.or_(pc.not_equal(token[1:], token[:-1]), pc.less(key[1:], key[:-1])).fill_null(True).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate(([True], parted)))
+            ends = np.append(first[1:], len(token))
+            yield pa.RecordBatch.from_arrays([token.take(pa.array(first)), pa.array(ends - first), key.take(pa.array(first)), key.take(pa.array(ends - 1))], names=["token", "df", "low", "high"])
 
 
 def terms(rows: DataFrame) -> DataFrame:
-    """token, df, low, high of a segment's postings: how many rows have the token, and the range of their keys; sorted by token."""
-    found = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("key").alias("low"), F.max("key").alias("high"))
+    """token, df, low, high of a segment's postings: how many rows have the token, and the range of their keys; sorted by token.
+
+    Postings lie in order, so what is grouped is a row a token and batch, and no posting is sorted again.
+    """
+    key = rows.schema["key"].dataType
+    kinds = T.StructType([T.StructField("token", T.StringType()), T.StructField("df", T.LongType()), T.StructField("low", key), T.StructField("high", key)])
+    found = rows.select("token", "key").mapInArrow(_runs, kinds).groupBy("token").agg(F.sum("df").alias("df"), F.min("low").alias("low"), F.max("high").alias("high"))
     return found.repartitionByRange("token").sortWithinPartitions("token")
 
 

@@ -98,3 +98,70 @@ def test_stemmed_matches_are_confirmed_by_spelling(spark):
     every = P.postings(rows, "stable_id", F.col("body"), stem=True)
     found = _spelt(rows, P.TextIndex(every, "stable_id"), "this was the", [("this", "thi"), ("was", "wa"), ("the",)])
     assert sorted(r[0] for r in found.collect()) == ["a", "d"]
+
+
+def shuffled(df):
+    """Rows that the exchanges of df's plan wrote."""
+    df.collect()
+    todo, out = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        else:
+            if node.nodeName() == "Exchange":
+                out += node.metrics().apply("shuffleRecordsWritten").value()
+            kids = node.children()
+            todo += [kids.apply(i) for i in range(kids.size())]
+    return out
+
+
+def test_the_shuffle_of_an_index_has_a_row_a_posting(spark):
+    rows = spark.range(300).select(F.format_string("k%03d", "id").alias("k"), F.concat(F.repeat(F.lit("same words "), 40), "id").alias("body"))
+    every = P.postings(rows, "k", F.col("body"))
+    assert every.count() == 900 and shuffled(every) == 900  # 24,300 words
+    assert {tuple(r["at"]) for r in every.where("token = 'words'").collect()} == {tuple(range(1, 80, 2))}
+
+
+def plain_postings(rows, stem=False):
+    """(token, key): places, word by word."""
+    from quillmark.functions.porter import stem as porter
+    from quillmark.functions.text import fold
+
+    out = {}
+    for r in rows.select("k", P.tokens(F.col("body")).alias("t")).collect():
+        for at, word in enumerate(r["t"]):
+            out.setdefault((porter(fold(word)) if stem else word, r["k"]), []).append(at)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_postings_in_many_parts(spark, monkeypatch):
+    """Parts are ranges of (token, key), a token of many rows is in several, and nothing is lost, by whatever cut."""
+    for name, n in (("PART", 700), ("LEAST_PART", 50), ("SAMPLED", 400), ("WORDS", 90), ("WRITTEN", 40)):
+        monkeypatch.setattr(P, name, n)
+    body = F.when(F.col("id") % 97 == 0, None).when(F.col("id") % 89 == 0, " .. ").otherwise(F.concat_ws(" ", F.lit("The often THE"), F.concat(F.lit("x"), F.col("id") % 50), F.lit("running runs caf\u00e9"), F.concat(F.lit("\U00010400y"), "id")))
+    rows = spark.range(1000).select(F.format_string("k%04d", "id").alias("k"), body.alias("body"))
+    for stem in (False, True):
+        every = P.postings(rows, "k", F.col("body"), stem=stem)
+        found = every.withColumn("p", F.spark_partition_id()).collect()
+        assert {(r["token"], r["key"]): r["at"] for r in found} == plain_postings(rows, stem) and len(found) == len(plain_postings(rows, stem))
+        order = [(r["p"], r["token"], r["key"]) for r in found]
+        assert order == sorted(order) and [o[1:] for o in order] == sorted(o[1:] for o in order)
+        assert every.rdd.getNumPartitions() >= 5 and len({r["p"] for r in found if r["token"] == "the"}) > 1
+        told = {r["token"]: (r["df"], r["low"], r["high"]) for r in P.terms(every).collect()}
+        keys = {}
+        for token, key in plain_postings(rows, stem):
+            keys.setdefault(token, []).append(key)
+        assert told == {t: (len(k), min(k), max(k)) for t, k in keys.items()}
+
+
+def test_rows_that_repeat_a_key_and_no_rows(spark):
+    rows = spark.createDataFrame([("a", "one two one"), ("a", "two"), ("b", "one"), (None, "one"), ("c", None)], "k string, body string")
+    for stem in (False, True):
+        found = P.postings(rows, "k", F.col("body"), stem=stem)
+        got = {(r["token"], r["key"]): r["at"] for r in found.collect()}
+        assert got == plain_postings(rows, stem) and got[("two", "a")] == [0, 1] and len(got) == 4
+    assert P.postings(rows.where("false"), "k", F.col("body")).count() == 0
+    assert P.terms(P.postings(rows.where("false"), "k", F.col("body"))).count() == 0
