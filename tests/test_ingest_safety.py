@@ -382,3 +382,33 @@ def test_rebuild_all_is_one_version(spark, tmp_path):
     rows, failed = cli.rebuild_all(store, {"research": str(tmp_path / "research"), "sota-watch": str(tmp_path / "sota-watch"), "dropbox": str(tmp_path / "none")})
     assert store.manifest()["version"] == 1 and store.read("records").count() == 2 and set(rows) == {"research", "sota-watch"} and set(failed) == {"dropbox"}
     assert set(KEYS) >= {"open_tasks", "outbox"}
+
+
+def test_a_bad_row_among_many_costs_few_scans(spark):
+    """Small halves are read from what is held in memory, not by scans of all the input; nothing stays held."""
+    n, read = 6000, spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    raw = spark.range(n).mapInPandas(counted, "id long")
+    rows = Rows(raw, lambda d: d.select(F.when(F.col("id") == 4321, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id")), ("id",))
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    with staging(spark) as work:
+        apart = written_apart(rows.keyed(), rows.parse, lambda d: work.keep(d, "t"))
+        assert len(apart.bad) == 1 and sorted(r["id"] for p in apart.parts for r in p.collect()) == [i for i in range(n) if i != 4321]
+    assert read.value < 12 * n  # halving 6000 rows takes some 13 steps of three scans each
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == held
+
+
+def test_rows_that_fail_to_parse_and_rows_that_fail_to_be_written(spark):
+    """The search by parses alone doesn't see what fails in the write: those rows are found too, and no other is lost."""
+    bad = lambda n: F.when(F.col("id") == n, F.raise_error(F.lit(f"no {n}"))).otherwise(F.col("id"))
+    for parse, write, lost in ((11, 57, [11, 57]), (-1, 57, [57])):
+        rows = Rows(spark.range(100), lambda d, p=parse: d.select(bad(p).alias("id")), ("id",))
+        with staging(spark) as work:
+            apart = written_apart(rows.keyed(), rows.parse, lambda d, w=write: work.keep(d.select(bad(w).alias("id")), "t"))
+            assert sorted(r["id"] for p in apart.parts for r in p.collect()) == [i for i in range(100) if i not in lost]
+            assert sorted(said.split("no ")[1][:2] for _, _, said in apart.bad) == [str(i) for i in lost]
